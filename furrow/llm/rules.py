@@ -38,13 +38,13 @@ def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     # one trim first, so that split gives no empty word at either end
-    trimmed = F.trim(F.lit(SPACE), text)
+    trimmed = F.trim(text, F.lit(SPACE))
     words = F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, "[ \\t-\\r]+"))
     step1 = docs.select(docs[id_col].alias("id"), docs[text_col].cast("string").alias("text")).select(
         "id",
         F.length(F.translate(text, SPACE, "")).cast("long").alias("word_chars"),
         (F.length(text) - F.length(F.translate(text, SYMBOLS, ""))).cast("long").alias("n_symbols"),
-        F.filter(F.split(text, "\n"), lambda line: F.trim(F.lit(SPACE), line) != "").alias("lines"),
+        F.filter(F.split(text, "\n"), lambda line: F.trim(line, F.lit(SPACE)) != "").alias("lines"),
         F.transform(words, lambda w: F.xxhash64(w)).alias("h"),
     )
     n = F.size("h")
