@@ -6,9 +6,10 @@ state, and the tokenizer's normaliser, pre-tokenizer and merges never look acros
 (white space is dropped, merges stay inside a word), so the transducer is
 deterministic: from the start state a lexeme leads, over one path-compressed
 transition, back to the start state, and the transition is annotated with the number
-of tokens emitted. Transitions are compiled on first use with the tokenizers library
-(all missing ones of a slice in one call) and kept in a table of bounded size per
-worker process.
+of tokens emitted. Transitions are compiled on first use and kept in a table of bounded
+size per worker process: words of lower-case Latin letters by the tokenizer's own merge
+table, all new ones of a slice in lockstep; anything else (digits, marks inside a word,
+other scripts, special strings) by the tokenizers library.
 
 A chunk of text is summarised by its state map: from any state inside a lexeme the
 chunk emits a fixed inner count and only its first and last partial lexemes depend
@@ -22,14 +23,20 @@ import os
 import re
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from furrow.llm.merges import MergeMachine
 from furrow.llm.text import annotate
 
 CHUNK_BYTES = 256 << 10
-MAX_TRANSITIONS = 600_000
+MAX_TRANSITIONS = 1_200_000
 _SPACE = re.compile(rb"[\x20\x09-\x0D]")
+#: Letters whose lower case and normal form are known here: a-z and the Latin-1 letters.
+_WORD = re.compile(rb"(?:[a-z]|\xC3[\x9F-\xB6\xB8-\xBF])+")
+_CAPITAL = re.compile(rb"\xC3[\x80-\x96\x98-\x9E]")
+_MARKS = b".,;:!?"
 
 
 @dataclass(frozen=True)
@@ -53,18 +60,59 @@ class CountTransducer:
         self.tokenizer = Tokenizer.from_file(tokenizer_file)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        self.merges = MergeMachine(tokenizer_file)
         self.limit = limit
         self.emits: dict[bytes, int] = {}
 
+    def _library(self, lexemes: list[bytes]) -> list[int]:
+        found = []
+        for at in range(0, len(lexemes), 4096):
+            part = self.tokenizer.encode_batch_fast([x.decode() for x in lexemes[at : at + 4096]], add_special_tokens=False)
+            found += [len(x) for x in part]
+        return found
+
+    def compute(self, lexemes: list[bytes]) -> list[int]:
+        """Tokens of each lexeme: its word by the merge table, a tail of sentence marks by the library."""
+        words: list[bytes] = []
+        word_of: list[int] = []
+        others: list[bytes] = []
+        other_of: list[int] = []
+        plain = _WORD.fullmatch
+        for i, lexeme in enumerate(lexemes):
+            if plain(lexeme):
+                words.append(lexeme)
+                word_of.append(i)
+                continue
+            body = lexeme.rstrip(_MARKS)
+            word = body.lower()
+            if not word.isascii():
+                word = _CAPITAL.sub(lambda m: bytes((0xC3, m[0][1] + 0x20)), word)
+            if plain(word):
+                words.append(word)
+                word_of.append(i)
+                if len(body) < len(lexeme):
+                    others.append(lexeme[len(body) :])
+                    other_of.append(i)
+            else:
+                others.append(lexeme)
+                other_of.append(i)
+        out = np.zeros(len(lexemes), np.int64)
+        if words:
+            out[word_of] = self.merges.counts(words)
+        if others:
+            distinct = list(set(others))
+            counted = dict(zip(distinct, self._library(distinct), strict=True))
+            out[other_of] += np.fromiter(map(counted.__getitem__, others), np.int64, len(others))
+        return out.tolist()
+
     def compile(self, lexemes: set[bytes]) -> None:
         """Add the transitions of these lexemes; over the limit the table starts afresh."""
         if len(self.emits) + len(lexemes) > self.limit:
             self.emits = {}
         order = list(lexemes)
-        for at in range(0, len(order), 4096):
-            part = order[at : at + 4096]
-            found = self.tokenizer.encode_batch_fast([x.decode() for x in part], add_special_tokens=False)
-            self.emits.update(zip(part, (len(x) for x in found), strict=True))
+        for at in range(0, len(order), 50_000):
+            part = order[at : at + 50_000]
+            self.emits.update(zip(part, self.compute(part), strict=True))
 
     def count_lexemes(self, lexemes: list[bytes]) -> int:
         emits = self.emits
@@ -73,7 +121,7 @@ class CountTransducer:
         except KeyError:
             missing = set(lexemes) - emits.keys()
             if len(missing) > self.limit:
-                return sum(len(x) for at in range(0, len(lexemes), 4096) for x in self.tokenizer.encode_batch_fast([w.decode() for w in lexemes[at : at + 4096]], add_special_tokens=False))
+                return sum(sum(self.compute(lexemes[at : at + 50_000])) for at in range(0, len(lexemes), 50_000))
             kept = {x: emits[x] for x in set(lexemes) & emits.keys()}
             self.compile(missing)
             emits = kept | self.emits
