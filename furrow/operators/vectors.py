@@ -174,4 +174,4 @@ def _every_cell(df: DataFrame, ident: str, cell: float, ring: str) -> DataFrame:
     odd = F.filter(F.transform("xs", lambda v, i: F.struct(v.alias("v"), F.element_at("xs", F.least(i + 2, F.size("xs"))).alias("w"), i.alias("i"))), lambda s: s["i"] % 2 == 0)
     runs = crossed.select(ident, "r", F.explode(odd).alias("s"))
     a, b = F.ceil(F.col("s.v") / cell - 0.5).cast("int"), (F.ceil(F.col("s.w") / cell - 0.5) - 1).cast("int")
-    return runs.filter(a <= b).select(ident, F.col("r").cast("long").alias("r"), F.explode(F.sequence(a, b)).cast("long").alias("c"))
+    return runs.filter(a <= b).select(ident, F.col("r").cast("long").alias("r"), F.explode(F.sequence(a.cast("long"), b.cast("long"))).alias("c"))
