@@ -7,6 +7,11 @@ and a shard's work grows with its own text only, not with the corpus times the s
 Tasks drop segments that repeat inside the task before the shuffle (their words are
 known repeats of an earlier place) and ship the rest in compressed packs.
 
+A first pass over the documents marks minimisers in a bitmap of 2 ** FILTER_BITS cells
+(32 MB whatever the corpus) that at least two segments share; a segment alone in its
+cell repeats nowhere and isn't shipped. The bitmap only saves shuffle: on a corpus that
+fills it, more segments travel, and the result is the same.
+
 In a shard, segments whose minimiser is unique are done. Equal segments collapse to
 their earliest place. What is left is indexed (BWT of the word sequence in a wavelet
 matrix) and streamed through backward search; matching statistics that reach the
@@ -40,6 +45,7 @@ SLICE = 1 << 20
 PACK_BYTES = 12 << 20
 HOT_PER_SHARD = 8
 SAMPLE = 32
+FILTER_BITS = 28
 _NULL_ID = -(2**63)
 
 
@@ -81,6 +87,10 @@ class Segments:
         ties = np.bincount(group[valid[:-1] & many], minlength=len(self.first)) > 0 if len(self.first) else np.zeros(0, bool)
         self.loops = ties | (self.count > window - run + 1)
 
+    def keep(self, chosen: np.ndarray) -> None:
+        for name in ("first", "count", "minimiser", "text", "start", "loops"):
+            setattr(self, name, getattr(self, name)[chosen])
+
     def contents(self) -> list[bytes]:
         data, a, b = self.words.data, self.words.starts, self.words.ends
         return [data[x:y] for x, y in zip(a[self.first].tolist(), b[self.first + self.count + self.window - 2].tolist(), strict=True)]
@@ -116,11 +126,36 @@ def _windows_of(content: bytes, window: int) -> list[bytes]:
     return [b" ".join(words[i : i + window]) for i in range(len(words) - window + 1)]
 
 
-def _emit(rows: DataFrame, window: int, run: int, shards: int, hot) -> DataFrame:
-    """(shard, pack, id, tie, start, n): packs for shards, and repeats that a task finds itself (shard null)."""
+def _shared_cells(rows: DataFrame, window: int, run: int) -> bytes:
+    """Bitmap of cells (the top FILTER_BITS of a minimiser) with two segments or more."""
+    block = 1 << 16
+
+    def work(batches):
+        for batch in batches:
+            for part in slices(batch, "text", SLICE):
+                low = Segments(texts(part.column("text")), window, run).minimiser
+                cell, n = np.unique((low >> np.uint64(64 - FILTER_BITS)).astype(np.int32), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array(np.minimum(n, 2).astype(np.int32))], names=["cell", "n"])
+
+    def fold(frame: pd.DataFrame) -> pd.DataFrame:
+        bits = np.zeros(block, bool)
+        bits[frame.cell.to_numpy() % block] = True
+        return pd.DataFrame({"block": frame.block[:1], "bits": [np.packbits(bits, bitorder="little").tobytes()]})
+
+    counted = rows.select("text").mapInArrow(work, "cell int, n int").groupBy("cell").agg(F.sum("n").alias("n")).filter("n > 1")
+    blocks = counted.select(F.shiftright("cell", 16).alias("block"), "cell").groupBy("block").applyInPandas(fold, "block int, bits binary")
+    out = np.zeros((1 << FILTER_BITS) // block * (block // 8), np.uint8).reshape(-1, block // 8)
+    for r in blocks.collect():  # at most 2 ** (FILTER_BITS - 16) rows of 8 KB
+        out[r["block"]] = np.frombuffer(r["bits"], np.uint8)
+    return out.tobytes()
+
+
+def _emit(rows: DataFrame, window: int, run: int, shards: int, hot, cells) -> DataFrame:
+    """(shard, kind, pack): packs of segments for shards (kind 0), and repeats that a task finds itself (kind 1)."""
 
     def work(batches):
         hot_set = np.sort(np.array(hot.value, np.uint64))
+        shared = np.frombuffer(cells.value, np.uint8)
         held: dict[bytes, tuple] = {}
         size = 0
         repeats: list[tuple] = []
@@ -140,20 +175,13 @@ def _emit(rows: DataFrame, window: int, run: int, shards: int, hot) -> DataFrame
         def flush():
             by: dict[int, list] = {}
             for content, (key, count, low, loops) in held.items():
-                # a hot minimiser's windows are placed by themselves
                 by.setdefault(low % shards, []).append((*key, count, low // shards, loops, content))
-            shard_ids = list(by)
-            packs = [_pack(by[s]) for s in shard_ids]
-            columns = list(zip(*repeats)) or [(), (), (), ()]
-            n, m = len(packs), len(repeats)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array([*shard_ids, *[None] * m], pa.int32()),
-                    pa.array([*packs, *[None] * m], pa.binary()),
-                    *(pa.array([*[None] * n, *c], kind) for c, kind in zip(columns, (pa.int64(), pa.int64(), pa.int32(), pa.int32()))),
-                ],
-                names=["shard", "pack", "id", "tie", "start", "n"],
-            )
+            out = [(s, 0, _pack(part)) for s, part in by.items()]
+            if repeats:
+                columns = [np.array(c, k).tobytes() for c, k in zip(zip(*repeats), (np.int64, np.int64, np.int32, np.int32))]
+                out.append((repeats[0][0] % shards, 1, zstandard.ZstdCompressor(level=3).compress(np.int64(len(repeats)).tobytes() + b"".join(columns))))
+            columns = list(zip(*out)) or [(), (), ()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int32(), pa.int32(), pa.binary()))], names=["shard", "kind", "pack"])
             held.clear()
             repeats.clear()
 
@@ -161,6 +189,8 @@ def _emit(rows: DataFrame, window: int, run: int, shards: int, hot) -> DataFrame
             for part in slices(batch, "text", SLICE):
                 found = Segments(texts(part.column("text")), window, run)
                 ids, ties = part.column("id").to_pylist(), part.column("tie").to_pylist()
+                cell = (found.minimiser >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
+                found.keep(((shared[cell >> 3] >> (cell & 7).astype(np.uint8)) & 1 == 1) | found.loops)
                 at = np.minimum(np.searchsorted(hot_set, found.minimiser), max(0, len(hot_set) - 1))
                 is_hot = hot_set[at] == found.minimiser if len(hot_set) else np.zeros(len(at), bool)
                 for t, start, count, low, loops, hot_one, content in zip(
@@ -176,7 +206,7 @@ def _emit(rows: DataFrame, window: int, run: int, shards: int, hot) -> DataFrame
                     size = 0
         yield from flush()
 
-    return rows.mapInArrow(work, "shard int, pack binary, id long, tie long, start int, n int")
+    return rows.mapInArrow(work, "shard int, kind int, pack binary")
 
 
 def hash_of(content: bytes) -> int:
@@ -263,14 +293,26 @@ def repeats(docs: DataFrame, window: int = WINDOW, run: int = RUN, shards: int |
     tie = F.xxhash64(docs[text_col].cast("string")) if shared_ids else F.lit(0).cast("long")
     rows = docs.select(ident.alias("id"), tie.alias("tie"), F.coalesce(docs[text_col].cast("string"), F.lit("")).alias("text"))
     hot = spark.sparkContext.broadcast(_hot_minimisers(rows, window, run, shards))
-    emitted = materialise(_emit(rows, window, run, shards, hot), "packs")
+    cells = spark.sparkContext.broadcast(_shared_cells(rows, window, run))
 
     def work(frame: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame(dict(zip(("id", "tie", "start", "n"), shard_repeats(list(frame["pack"]), window))))
+        out = [_local_repeats(p) for p in frame["pack"][frame["kind"] == 1]]
+        packs = list(frame["pack"][frame["kind"] == 0])
+        if packs:
+            out.append(shard_repeats(packs, window))
+        return pd.DataFrame({name: np.concatenate(c) for name, c in zip(("id", "tie", "start", "n"), zip(*out, strict=True))})
+
+    emitted = _emit(rows, window, run, shards, hot, cells)
+    return rows, emitted.groupBy("shard").applyInPandas(work, "id long, tie long, start int, n int")
 
-    in_shards = emitted.filter("shard IS NOT NULL").select("shard", "pack").groupBy("shard").applyInPandas(work, "id long, tie long, start int, n int")
-    in_tasks = emitted.filter("shard IS NULL").select("id", "tie", "start", "n")
-    return rows, in_shards.union(in_tasks)
+
+def _local_repeats(block: bytes) -> list[np.ndarray]:
+    body = zstandard.ZstdDecompressor().decompress(block)
+    n, at, out = int(np.frombuffer(body, np.int64, 1)[0]), 8, []
+    for kind in (np.int64, np.int64, np.int32, np.int32):
+        out.append(np.frombuffer(body, kind, n, at))
+        at += n * np.dtype(kind).itemsize
+    return out
 
 
 def _cut(docs: DataFrame, window: int, run: int, shards: int | None, id_col: str, text_col: str) -> DataFrame:
