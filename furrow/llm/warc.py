@@ -35,6 +35,7 @@ from furrow.session import fresh_path, materialise
 
 GROUP_ROWS = 4096
 RUN_ROWS = 100_000
+KEY_STEP = 128
 ARCHIVE_BYTES = 1 << 30
 FAN_IN = 128
 SALTS = 16
@@ -186,14 +187,15 @@ def _batches(rows: Iterator[tuple]) -> Iterator[pa.RecordBatch]:
 
 
 def _write_run(folder: str, rows: Iterator[tuple]) -> tuple[str, int, list[tuple]]:
-    """Write sorted rows; (uri, number of rows, first key of every row group)."""
+    """Write sorted rows; (uri, number of rows, every KEY_STEP-th key)."""
     uri = f"{folder}/run-{uuid.uuid4().hex}.parquet"
     fs, path = filesystem(uri)
     n, keys = 0, []
     with fs.open_output_stream(path) as sink, pq.ParquetWriter(sink, INDEX) as writer:
         for batch in _batches(rows):
             n += batch.num_rows
-            keys.append(tuple(batch.column(i)[0].as_py() for i in range(3)))
+            at = range(min(KEY_STEP // 2, batch.num_rows // 2), batch.num_rows, KEY_STEP)
+            keys += zip(*(batch.column(i).take(pa.array(at)).to_pylist() for i in range(3)), strict=True)
             writer.write_batch(batch, row_group_size=GROUP_ROWS)
     return uri, n, keys
 
@@ -304,8 +306,9 @@ def merge_runs(spark: SparkSession, manifest: DataFrame, folder: str, ranges: in
                 yield from _batches(iter(LoserTree([run_rows(uri, low, high) for uri in names.value])))
 
     ddl = "i int, k0 string, c0 long, p0 long, k1 string, c1 long, p1 long"
-    table = spark.createDataFrame(plan, ddl)
-    return table.repartitionByRange(len(plan), "i").mapInArrow(merge, _INDEX_DDL)
+    # one task a range: the few plan rows are dealt by an RDD of as many slices, as a shuffle would pack them together
+    table = spark.createDataFrame(spark.sparkContext.parallelize(plan, len(plan)), ddl)
+    return table.mapInArrow(merge, _INDEX_DDL)
 
 
 def read_archives(archives: DataFrame) -> DataFrame:
@@ -343,8 +346,9 @@ def capture_records(pages: DataFrame, id_col: str = "page_id", url_col: str = "u
     spark = pages.sparkSession
     folder = fresh_path(spark, "warc")
     manifest = write_archives(pages, folder, id_col, url_col, html_col, captured, min_bytes)
-    history = merge_runs(spark, manifest, folder)
-    found = read_archives(manifest)
+    history = materialise(merge_runs(spark, manifest, folder), "captures")
+    # merge: the optimizer would take the size of the archive names for that of the records
+    found = read_archives(manifest).hint("merge")
     joined = history.join(found, ["archive", "offset"], "left")
     there = F.when(F.col("record_type").isNull(), F.raise_error(F.lit("an indexed record is not in its archive"))).otherwise(F.col("record_type"))
     return joined.select("page_id", "payload_bytes", "payload_digest", there.cast("string").alias("record_type"), "refers_to", "url_key", "captured")
