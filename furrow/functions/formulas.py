@@ -145,12 +145,12 @@ INCIDENCE = sets(
 # near-infrared diffuse beam are as in the calibrated original.
 DIFFUSE = sets(
     cosz="cos(radians(sza))",
-    day="CASE WHEN sza < 90.0 THEN 1 ELSE 0 END",
-    w_abs="CASE WHEN day = 1 THEN 1320.0 * pow(10.0, -1.195 + 0.4459 * log10(cosz) - 0.0345 * pow(log10(cosz), 2.0)) ELSE 0.0 END",
-    dir_vis="CASE WHEN day = 1 THEN greatest(1320.0 * (1.0 - 0.5455) * exp(-0.185 * (p / 1313.25) / cosz) * cosz, 0.0) ELSE 0.0 END",
-    dif_vis="CASE WHEN day = 1 THEN greatest(0.4 * (1320.0 * (1.0 - 0.5455) * cosz - dir_vis), 0.0) ELSE 0.0 END",
-    dir_nir="CASE WHEN day = 1 THEN greatest((1320.0 * 0.5455 * exp(-0.06 * (p / 1313.25) / cosz) - w_abs) * cosz, 0.0) ELSE 0.0 END",
-    dif_nir="CASE WHEN day = 1 THEN greatest(0.6 * (1320.0 * 0.5455 * cosz - dir_vis - w_abs), 0.0) ELSE 0.0 END",
+    sunlit="CASE WHEN sza < 90.0 THEN 1 ELSE 0 END",
+    w_abs="CASE WHEN sunlit = 1 THEN 1320.0 * pow(10.0, -1.195 + 0.4459 * log10(cosz) - 0.0345 * pow(log10(cosz), 2.0)) ELSE 0.0 END",
+    dir_vis="CASE WHEN sunlit = 1 THEN greatest(1320.0 * (1.0 - 0.5455) * exp(-0.185 * (p / 1313.25) / cosz) * cosz, 0.0) ELSE 0.0 END",
+    dif_vis="CASE WHEN sunlit = 1 THEN greatest(0.4 * (1320.0 * (1.0 - 0.5455) * cosz - dir_vis), 0.0) ELSE 0.0 END",
+    dir_nir="CASE WHEN sunlit = 1 THEN greatest((1320.0 * 0.5455 * exp(-0.06 * (p / 1313.25) / cosz) - w_abs) * cosz, 0.0) ELSE 0.0 END",
+    dif_nir="CASE WHEN sunlit = 1 THEN greatest(0.6 * (1320.0 * 0.5455 * cosz - dir_vis - w_abs), 0.0) ELSE 0.0 END",
     pot_vis="CASE WHEN dir_vis + dif_vis > 0.0 THEN dir_vis + dif_vis ELSE 1e-6 END",
     pot_nir="CASE WHEN dir_nir + dif_nir > 0.0 THEN dir_nir + dif_nir ELSE 1e-6 END",
     clear="least(s_dn / (pot_vis + pot_nir), 1.0)",
@@ -200,7 +200,7 @@ def canopy_spectra(band: str, rho_leaf: str, tau_leaf: str, rho_soil: str, lai:
 
 # Net radiation of canopy and soil. Inputs lai > 0, lai_eff, sza, s_dir, s_dif, f_vis,
 # f_nir, leaf and soil spectra; longwave: t_canopy, t_soil, l_dn, emis_c, emis_s.
-CANOPY_K = FormulaSet({"k_be": extinction("radians(least(sza, 89.0))"), "tau_d": diffuse_transmittance("lai"), "k_d": "-ln(tau_d) / lai"})
+CANOPY_K = FormulaSet({"k_be": extinction("radians(least(sza, 89.0))"), "tau_d": diffuse_transmittance("lai"), "k_d": "-ln(tau_d) / nullif(lai, 0.0)"})
 NET_SHORTWAVE = (
     CANOPY_K
     | canopy_spectra("vis", "rho_vis", "tau_vis", "soil_vis")
@@ -221,14 +221,14 @@ NET_LONGWAVE = canopy_spectra("lw", "(1.0 - emis_c)", "0.0", "(1.0 - emis_s)", b
 CLUMPING = FormulaSet(
     {
         "k_nadir": extinction("0.0"),
-        "f_local": "lai / f_c",
+        "f_local": "lai / nullif(f_c, 0.0)",
         "gap": "greatest(f_c * exp(-k_nadir * f_local) + (1.0 - f_c), 1e-36)",
-        "omega0": "-ln(gap) / (f_local * k_nadir)",
+        "omega0": "-ln(gap) / nullif(f_local * k_nadir, 0.0)",
         "omega": "omega0 / (omega0 + (1.0 - omega0) * exp(-2.2 * pow(radians(vza), 3.8 - 0.46 / w_c)))",
         "fc_rows": "least(f_c * (1.0 + tan(radians(vza)) * abs(sin(radians(psi))) / w_c), 1.0)",
         "k_view": extinction("radians(vza)"),
         "gap_rows": "fc_rows * exp(-k_view * f_local) + (1.0 - fc_rows)",
-        "omega_rows": "CASE WHEN gap_rows > 0.0 THEN -ln(gap_rows) / (f_local * k_view) ELSE 0.0 END",
+        "omega_rows": "CASE WHEN gap_rows > 0.0 THEN -ln(gap_rows) / nullif(f_local * k_view, 0.0) ELSE 0.0 END",
     }
 )
 
@@ -299,9 +299,9 @@ RESISTANCES = FormulaSet(
         "r_s_kn": "1.0 / (0.0038 * pow(greatest(dt, 0.0), 1.0 / 3.0) + 0.012 * u_s)",
         "r_s_cm": "h_c * exp(2.0) / (2.0 * KARMAN * u_star * (h_c - d_0)) * (exp(-2.0 * 0.01 / h_c) - exp(-2.0 * (d_0 + z_0m) / h_c))",
         "r_s_mv": "10.0 / u_star",
-        "r_x_kn": "90.0 / lai * sqrt(leaf_w / u_d)",
-        "r_x_cm": "1.0 / (lai * (2.0 * 0.01 / 3.0) * sqrt(u_c / leaf_w) * (1.0 - exp(-1.5)))",
-        "r_x_mv": "130.0 / lai * sqrt(leaf_w * u_star) + 0.36 / u_star",
+        "r_x_kn": "90.0 / nullif(lai, 0.0) * sqrt(leaf_w / u_d)",
+        "r_x_cm": "1.0 / nullif(lai * (2.0 * 0.01 / 3.0) * sqrt(u_c / leaf_w) * (1.0 - exp(-1.5)), 0.0)",
+        "r_x_mv": "130.0 / nullif(lai, 0.0) * sqrt(leaf_w * u_star) + 0.36 / u_star",
     }
 )
 

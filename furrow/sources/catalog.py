@@ -98,14 +98,15 @@ def read_station(spark: SparkSession, path: str, required: list[str] = STATION_R
     """A white-space separated table with a header line: all columns as doubles, and ts.
 
     Fails if a required column is missing; further columns stay. The header is the
-    first line of the file; NULL where a field isn't a number.
+    line with the required names; NULL where a field isn't a number.
     """
     lines = spark.read.text(path)
-    head = lines.first()
+    fields = F.split(F.trim(F.regexp_replace("value", r"\s+", " ")), " ")
+    # files come in no order, so the header is looked for, not taken as the first row
+    head = lines.filter(F.arrays_overlap(fields, F.array(*(F.lit(c) for c in required)))).first()
     names = head[0].split() if head else []
     if missing := [c for c in required if c not in names]:
         raise ValueError(f"the table lacks {', '.join(missing)}")
-    fields = F.split(F.trim("value"), r"\s+")
     rows = lines.filter((F.trim("value") != "") & (F.col("value") != head[0]))
     table = rows.select(*(F.get(fields, F.lit(i)).try_cast("double").alias(n) for i, n in enumerate(names)))
     return table.withColumn("ts", station_time(F.col("year"), F.col("DOY"), F.col("time")))

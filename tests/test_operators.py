@@ -1,0 +1,281 @@
+"""Hand-made grids and invariants for operators."""
+
+import math
+import random
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from conftest import DATA
+from furrow.functions import formulas
+from furrow.operators import composite, focal, graph, grids, labels, masks, sampling, sets, temporal, vectors
+from furrow.plans import fluxes, registry, sharpen
+from furrow.sources import catalog
+
+
+def cells(spark, picture):
+    rows = [(r, c, int(ch)) for r, line in enumerate(picture.split()) for c, ch in enumerate(line) if ch != "."]
+    return spark.createDataFrame(rows, "r long, c long, v long")
+
+
+def by_cell(df, col):
+    return {(r.r, r.c): r[col] for r in df.collect()}
+
+
+# --- graph and labels ---------------------------------------------------------
+
+def test_components_of_a_graph(spark):
+    edges = [(1, 2), (2, 3), (9, 8), (5, 5), (None, 4), (3, 2)] + [(100 + i, 101 + i) for i in range(60)]
+    got = {r.node: r.component for r in graph.connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {1: 1, 2: 1, 3: 1, 8: 8, 9: 8} | {100 + i: 100 for i in range(61)}
+    assert graph.connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+@pytest.mark.parametrize("block", [2, 3, 100])
+def test_label_components(spark, block):
+    df = cells(spark, "11022 01020 11011 00100 22222")
+    four = by_cell(labels.label_components(df, "v", 4, block), "component")
+    key = lambda r, c: r * 2**32 + c
+    assert four[(0, 0)] == four[(2, 1)] == key(0, 0)
+    assert four[(2, 3)] == key(2, 3) and four[(3, 2)] == key(3, 2) and four[(4, 4)] == key(4, 0)
+    eight = by_cell(labels.label_components(df, "v", 8, block), "component")
+    assert eight[(2, 3)] == eight[(3, 2)] == eight[(0, 0)] == key(0, 0)
+    assert eight[(4, 0)] == key(4, 0) and (0, 2) not in eight
+
+
+def test_labels_do_not_depend_on_partitions(spark):
+    rng = random.Random(1)
+    df = spark.createDataFrame([(r, c, rng.randrange(3)) for r in range(30) for c in range(30)], "r long, c long, v long")
+    runs = [by_cell(labels.label_components(df.repartition(n), "v", 4, 8), "component") for n in (1, 7)]
+    assert runs[0] == runs[1]
+    for (r, c), k in runs[0].items():
+        for q in ((r + 1, c), (r, c + 1)):
+            if q in runs[0]:
+                same = df.filter(f"(r={r} AND c={c}) OR (r={q[0]} AND c={q[1]})").select("v").distinct().count() == 1 if rng.random() < 0.01 else None
+                assert same is None or (runs[0][q] == k) == same
+
+
+def test_overlap_counts(spark):
+    df = spark.createDataFrame([(r, c, 1 if c < 4 else 0, 7 if r < 3 else 8) for r in range(6) for c in range(6)], "r long, c long, ref long, pred long")
+    pairs = labels.pair_counts(df, "ref", "pred")
+    assert pairs.agg(F.sum("n")).first()[0] == 36
+    best = labels.best_iou(pairs).collect()
+    assert [(r.ref, r.pred, r.n) for r in best] == [(1, 7, 12)] and best[0].iou == pytest.approx(12 / 30)
+    assert labels.zonal(df, "ref").first().asDict() == {"ref": 1, "n": 24, "centre_r": 2, "centre_c": 1}
+
+
+def test_border_distance(spark):
+    d = by_cell(labels.border_distance(cells(spark, "00000 01110 01110 01110 00000 00002"), "v", block=2), "dist")
+    assert d[(2, 2)] == 1.0 and d[(1, 1)] == 0.5 and d[(5, 4)] == 1.0 and (0, 0) not in d
+
+
+def test_border_labels_and_boundaries(spark):
+    df = cells(spark, "0000 0110 0110 0003")
+    assert by_cell(focal.label_boundary(df, "v"), "v").keys() == {(1, 1), (1, 2), (2, 1), (2, 2), (3, 3)}
+    assert labels.drop_border_labels(df, "v", 4, 1).select("v").distinct().collect()[0].v == 1
+
+
+# --- neighbourhoods -----------------------------------------------------------
+
+def test_smoothing_keeps_gaps(spark):
+    df = spark.createDataFrame([(r, c, None if (r, c) == (1, 1) else float(c)) for r in range(3) for c in range(3)], "r long, c long, v double")
+    s = by_cell(focal.smooth_binomial(df, "v"), "smooth")
+    assert s[(1, 1)] is None and s[(0, 0)] == pytest.approx((4 * 0 + 2 * 1 + 2 * 0) / 8)
+    assert by_cell(focal.fill_edges(df, "v"), "filled")[(1, 1)] == 1.0
+
+
+def test_dilate_erode(spark):
+    df = cells(spark, "00000 01110 01110 01110 00000")
+    assert sum(by_cell(focal.dilate(df, "v"), "v").values()) == 21
+    assert by_cell(focal.erode(df, "v"), "v")[(2, 2)] == 1 and sum(by_cell(focal.erode(df, "v"), "v").values()) == 1
+    assert sum(by_cell(focal.opened(df, "v"), "v").values()) == 5
+
+
+def test_slope_of_a_plane(spark):
+    df = spark.createDataFrame([(r, c, 10.0 * c) for r in range(4) for c in range(4)], "r long, c long, z double")
+    for row in focal.slope_aspect(df, "z", 10.0).collect():
+        assert row.slope == pytest.approx(45) and row.aspect == pytest.approx(270)
+
+
+def test_fill_nearest(spark):
+    df = spark.createDataFrame([(0, c, 5.0 if c == 0 else (9.0 if c == 30 else None)) for c in range(31)], "r long, c long, v double")
+    f = by_cell(focal.fill_nearest(df, "v", 2), "filled")
+    assert f[(0, 14)] == 5.0 and f[(0, 15)] == 5.0 and f[(0, 16)] == 9.0
+    assert focal.fill_nearest(df.withColumn("v", F.lit(None).cast("double")), "v").filter("filled IS NOT NULL").count() == 0
+
+
+# --- vectors ------------------------------------------------------------------
+
+def ring(*points):
+    return [{"x": float(x), "y": float(y)} for x, y in points]
+
+
+RINGS = "id long, ring array<struct<x:double,y:double>>"
+
+
+def test_rasterise(spark):
+    df = spark.createDataFrame([(1, ring((0, 0), (4, 0), (4, 4), (0, 4), (0, 0))), (2, ring((2, 2), (6, 2), (2, 6), (2, 2))), (3, None)], RINGS)
+    got = by_cell(vectors.rasterise_polygons(df, "id", 1.0), "id")
+    assert got[(0, 0)] == 1 and got[(2, 2)] == 2 and got[(2, 4)] == 2 and (5, 5) not in got and len([k for k in got if got[k] == 1]) == 12
+    line = spark.createDataFrame([(1, ring((0.5, 0.5), (3.5, 0.5)))], RINGS)
+    edges = vectors.polygon_edges(line, "id")
+    assert {(r.r, r.c) for r in vectors.rasterise_lines(edges, "id", 1.0).collect()} == {(0, 0), (0, 1), (0, 2), (0, 3)}
+    slanted = vectors.polygon_edges(spark.createDataFrame([(1, ring((0.2, 0.1), (2.7, 2.9)))], RINGS), "id")
+    cells_ = {(r.r, r.c) for r in vectors.rasterise_lines(slanted, "id", 1.0).collect()}
+    assert {(0, 0), (2, 2)} <= cells_ and all(abs(r - c) <= 1 for r, c in cells_)
+
+
+def test_polygonise_and_rings(spark):
+    df = cells(spark, "11111 10001 10101 10001 11111")
+    shape = vectors.polygonise(df, "v", 10.0).first()
+    assert shape.n_cells == 17 and shape.n_faces == 20 + 12 + 4 and shape.area_ha == pytest.approx(0.17)
+    rings = vectors.label_rings(df, "v", 1.0).collect()
+    area = lambda p: sum(a.x * b.y - b.x * a.y for a, b in zip(p, p[1:])) / 2
+    assert sorted(abs(area(r.ring)) for r in rings) == [1, 9, 25] and all(r.ring[0] == r.ring[-1] for r in rings)
+
+
+# --- grids --------------------------------------------------------------------
+
+def test_chip_modes(spark):
+    assert grids.chip_grid(spark, 20, 11, 10, 0).count() == 1  # the last of 20 rows' exact fits is lost
+    assert grids.chip_grid(spark, 20, 11, 10, 0, cover=True).count() == 4
+    df = spark.range(21).select(F.col("id").alias("r"), F.lit(0).cast("long").alias("c"))
+    assert grids.explode_to_chips(df, 21, 10, 10, 2).select("r").distinct().count() == 21
+
+
+def test_resample_bilinear_between_centres(spark):
+    src = spark.createDataFrame([(0, 0, 1.0), (0, 1, 3.0), (1, 0, None), (1, 1, 5.0)], "r long, c long, v double")
+    at = spark.createDataFrame([(1, 1.0, 0.5), (2, 1.0, 1.0)], "k long, x double, y double")
+    got = {r.k: r.v for r in grids.resample_bilinear(src, at, 0, 0, 1, 1, "v", ["k"]).collect()}
+    assert got[1] == 2.0 and got[2] == pytest.approx(3.0)
+
+
+def test_mosaic_and_stack(spark):
+    a = spark.createDataFrame([(0, 0, 1), (0, 1, 1)], "r long, c long, v long")
+    b = spark.createDataFrame([(0, 1, 2), (0, 2, 2)], "r long, c long, v long")
+    assert by_cell(grids.mosaic([a, b], "v"), "v") == {(0, 0): 1, (0, 1): 2, (0, 2): 2}
+    assert grids.stack_layers(a, b.withColumnRenamed("v", "w")).count() == 1
+
+
+# --- time and masks -----------------------------------------------------------
+
+def test_composite_ties_and_empty_days(spark):
+    rows = [(1, 2, "2024-01-01 10:00:00", 300.0, 10, 5), (1, 1, "2024-01-01 09:00:00", 300.0, 20, 6), (1, 3, "2024-01-02 09:00:00", 310.0, 50, 7)]
+    df = spark.createDataFrame(rows, "pixel long, seq long, ts string, lst double, vza long, vaa long").withColumn("ts", F.to_timestamp("ts"))
+    got = {str(r.day): (r.lst, r.vza) for r in composite.best_pixel(df).collect()}
+    assert got == {"2024-01-01": (300.0, 20), "2024-01-02": (None, None)}
+
+
+def test_interpolation_at_the_exact_hour(spark):
+    obs = spark.createDataFrame([(1, "2024-01-01 10:00:00"), (2, "2024-01-01 10:30:59"), (3, "2024-01-01 11:00:00")], "k long, t string").withColumn("t", F.to_timestamp("t"))
+    met = spark.createDataFrame([("2024-01-01 10:00:00", 1.0), ("2024-01-01 11:00:00", 3.0)], "h string, v double").withColumn("h", F.to_timestamp("h"))
+    run = lambda mode: {r.k: r.v for r in temporal.interp_hourly(obs, met, "t", "h", ["v"], mode=mode).collect()}
+    assert run("floor") == {1: 1.0, 2: 2.0} and run("ceil") == {1: 1.0, 2: 2.0, 3: 3.0}
+
+
+def test_repeated_ids(spark):
+    df = spark.createDataFrame([(1, 5), (1, 6), (2, 7)], "id long, v long")
+    assert [r.v for r in masks.drop_repeated_ids(df, "id").collect()] == [7]
+    assert sampling.drop_worst_duplicate(df, "id", "v").count() == 2
+    assert {r.v for r in sampling.drop_worst_duplicate(df, "id", "v", "dedup").collect()} == {6, 7}
+
+
+def test_defaults_only_where_absent(spark):
+    got = temporal.with_defaults(spark.createDataFrame([(1, None)], "a long, p double"), {"p": F.lit(9.0), "q": F.lit(8.0)}).first()
+    assert got.p is None and got.q == 8.0
+
+
+def test_sets(spark):
+    a, b = spark.createDataFrame([(1, 2)], "k long, x long"), spark.createDataFrame([(2, "s")], "k long, y string")
+    assert sets.union_with_source({"a": a, "b": b}).columns == ["k", "x", "source", "y"]
+    assert sets.subtract(a, b, ["k"]).count() == 1
+
+
+# --- catalogues ---------------------------------------------------------------
+
+def test_station_table(spark, tmp_path):
+    (tmp_path / "s.txt").write_text("year DOY\ttime T_R1 VZA T_A1 u ea S_dn LAI h_C extra\n2024 60 12.5 300 0 290 2 10 500 1 0.5 7\n 2024 61 0 x 0 290 2 10 500 1 0.5 8\n")
+    rows = catalog.read_station(spark, str(tmp_path)).orderBy("DOY").collect()
+    assert str(rows[0].ts) == "2024-02-29 12:30:00" and rows[1].T_R1 is None and rows[1].extra == 8
+    (tmp_path / "bad").mkdir()
+    (tmp_path / "bad/s.txt").write_text("year DOY\n2024 1\n")
+    with pytest.raises(ValueError, match="T_R1"):
+        catalog.read_station(spark, str(tmp_path / "bad"))
+
+
+def test_assets_and_contract(spark):
+    df = spark.sql("SELECT map('a', named_struct('href', 'u', 'type', 't'), 'b', CAST(NULL AS STRUCT<href: STRING, type: STRING>)) AS assets")
+    assert catalog.sign_assets(df, "k=1").first().assets["a"].href == "u?k=1"
+    assert catalog.bad_assets(df).first().bad == ["b"]
+    wanted = T.StructType([T.StructField("assets", T.StringType()), T.StructField("x", T.LongType())])
+    assert len(catalog.check_contract(df, wanted)) == 2 and catalog.check_contract(df, df.schema) == []
+
+
+def test_band_order_is_checked(spark):
+    df = spark.createDataFrame([("BLU", "d1", "X")], "band string, scene_date string, tile string")
+    assert catalog.order_bands(df, ["BLU"], 1, 1).first().place == 0
+    with pytest.raises(ValueError):
+        catalog.order_bands(df, ["BLU", "RED"], 1, 1)
+
+
+def test_files_by_exact_suffix(spark, tmp_path):
+    for n in ("b.tif", "a.tif", "c.tiff", "tif"):
+        (tmp_path / n).write_text("x")
+    assert [r.path.rsplit("/", 1)[1] for r in catalog.list_scenes(spark, str(tmp_path), ".tif").collect()] == ["a.tif", "b.tif"]
+
+
+# --- physics ------------------------------------------------------------------
+
+def test_formulas_against_hand_numbers(spark):
+    df = spark.createDataFrame([(293.15, 15.0, 1013.25)], "t_a double, ea double, p double")
+    row = formulas.HUMIDITY.apply(formulas.AIR.apply(df)).first()
+    assert row.lambda_v == pytest.approx(2453780.0) and row.e_sat == pytest.approx(23.37, abs=0.03)
+    assert row.rho == pytest.approx(1.197, abs=0.002) and row.rho_w == pytest.approx(998.2, abs=0.1) and row.psicr == pytest.approx(0.669, abs=0.005)
+    noon = spark.createDataFrame([(0.0, 0.0, 0.0, 80.0, 12.0)], "lat double, lon double, stdlon double, doy double, hr double")
+    assert formulas.SUN.apply(noon).first().sun_zenith < 5
+    neutral = spark.sql(f"SELECT {formulas.double(formulas.psi_m('-1e-9'))} AS m, {formulas.double(formulas.psi_h('0.0'))} AS h").first()
+    assert neutral.m == pytest.approx(0, abs=1e-3) and neutral.h == pytest.approx(0)
+
+
+def station(spark, n=1):
+    s = registry.base.Source(spark, DATA).view("station").withColumnsRenamed({"t_r1": "t_r", "t_a1": "t_a"})
+    return s.withColumns({c: F.col(c).cast("double") for c in s.columns if c != "id"}).filter(f"id % {n} = 0")
+
+
+def test_energy_balance_closes(spark):
+    out = fluxes.run_fluxes(station(spark), ["id"]).toPandas()
+    good = out[out.flag != fluxes.FLAG_INVALID]
+    assert len(good) > 0.5 * len(out) and set(out.flag) <= {0, 3, 5, 10, 15, 255}
+    rn = good.sn_c + good.sn_s + good.ln_c + good.ln_s
+    assert np.allclose(rn, good["h"] + good["le"] + good["g"], atol=1e-6)
+    assert (good.le_s >= -1e-6)[good.flag.isin([0, 3, 10, 15])].all() and (good.r_a >= 0.1).all()
+    assert out[out.flag == 255]["le"].isna().all()
+
+
+def test_balance_does_not_depend_on_batches(spark):
+    df = station(spark, 7)
+    runs = [fluxes.run_fluxes(df.repartition(n), ["id"]).orderBy("id").toPandas() for n in (1, 5)]
+    assert np.allclose(runs[0].drop(columns="id"), runs[1].drop(columns="id"), equal_nan=True)
+    gap = fluxes.run_fluxes(df.withColumn("t_r", F.when(F.col("id") % 2 == 1, F.col("t_r"))), ["id"])
+    assert gap.filter("id % 2 = 0 AND flag <> 255").count() == 0
+
+
+def test_python_and_sql_stability_agree(spark):
+    z = [-3.0, -0.5, -0.01, 0.0, 0.2, 2.0]
+    rows = spark.createDataFrame([(x,) for x in z], "z double").select(F.expr(formulas.double(formulas.psi_m("z"))), F.expr(formulas.double(formulas.psi_h("z")))).collect()
+    assert np.allclose([r[0] for r in rows], fluxes._psi(np.array(z), False)) and np.allclose([r[1] for r in rows], fluxes._psi(np.array(z), True))
+
+
+def test_sharpening_recovers_a_linear_scene(spark):
+    rng = np.random.default_rng(3)
+    x = rng.uniform(0, 1, (48, 48))
+    x = (x + np.roll(x, 1, 0) + np.roll(x, 1, 1)) / 3
+    t = 290 + 12 * x
+    fine = spark.createDataFrame([(r, c, float(x[r, c])) for r in range(48) for c in range(48)], "r long, c long, x double")
+    low = (t**4).reshape(12, 4, 12, 4).mean(axis=(1, 3)) ** 0.25
+    coarse = spark.createDataFrame([(r, c, float(low[r, c])) for r in range(12) for c in range(12)], "r long, c long, lst double")
+    got = by_cell(sharpen.sharpen(fine, coarse, 4, ["x"], "lst", window=6), "t_sharp")
+    error = np.array([got[(r, c)] - t[r, c] for r in range(48) for c in range(48)])
+    assert math.sqrt((error**2).mean()) < 0.4 * t.std()
