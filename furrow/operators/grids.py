@@ -108,6 +108,14 @@ def chip_grid(spark, n_rows: int, n_cols: int, size: int, overlap: int, cover: b
     return grid.withColumns({"row_end": F.col("row_start") + size, "col_end": F.col("col_start") + size})
 
 
+def slice_grid(spark, n_rows: int, n_cols: int, n: int) -> DataFrame:
+    """n x n slices of equal whole size; the remainder at the far edges is in none."""
+    h, w = n_rows // n, n_cols // n
+    ids = spark.range(n)
+    both = ids.toDF("i").crossJoin(ids.toDF("j"))
+    return both.select("i", "j", (F.col("i") * h).alias("row_start"), ((F.col("i") + 1) * h).alias("row_end"), (F.col("j") * w).alias("col_start"), ((F.col("j") + 1) * w).alias("col_end"))
+
+
 def explode_to_chips(df: DataFrame, n_rows: int, n_cols: int, size: int, overlap: int, cover: bool = True) -> DataFrame:
     """Each cell once per chip that holds it, with chip origin and place inside."""
     step = size - overlap

@@ -5,7 +5,6 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from furrow.operators.focal import EIGHT, FOUR, spread
@@ -207,7 +206,3 @@ def proximity(df: DataFrame, value: str, cell: float, reach: int) -> DataFrame:
     d2 = (F.col("r") - F.col("q")) * (F.col("r") - F.col("q")) + (F.col("c") - F.col("p")) * (F.col("c") - F.col("p"))
     near = wide.join(ones, ["br", "bc"]).groupBy("r", "c").agg(F.min(d2).alias("d2")).filter(F.col("d2") <= reach * reach)
     return df.select("r", "c").join(near, ["r", "c"], "left").select("r", "c", (F.sqrt("d2") * cell).alias("dist"))
-
-
-def fill_rank(df: DataFrame, keys: list[str], order: list) -> DataFrame:
-    return df.withColumn("rank", F.row_number().over(W.partitionBy(*keys).orderBy(*order)))

@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 # Land-cover codes that count as agricultural.
@@ -110,10 +109,6 @@ def drop_repeated_ids(df: DataFrame, ident: str) -> DataFrame:
     return df.join(single, ident, "left_semi")
 
 
-def drop_repeated_ids_windowed(df: DataFrame, ident: str) -> DataFrame:
-    return df.withColumn("_n", F.count(F.lit(1)).over(W.partitionBy(ident))).filter("_n = 1").drop("_n")
-
-
 def clamp_et(value: Column, most: float = 12.0) -> Column:
     """Daily ET outside (0, most] counts as 0."""
     return F.when((value <= 0) | (value > most), F.lit(0.0)).otherwise(value)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from furrow.functions import canopy
 from furrow.functions import formulas as f
 from furrow.operators import masks
-from furrow.plans.registry.base import Source, query
+from furrow.plans.registry.base import Source, query, rounded
 
 _STATION = (
     "SELECT CAST(id AS BIGINT) AS id, CAST(year AS DOUBLE) AS year, CAST(doy AS DOUBLE) AS doy, CAST(round(hr * 60) AS DOUBLE) / 60e0 AS hr, CAST(t_r1 AS DOUBLE) AS t_r, CAST(t_a1 AS DOUBLE) AS t_a, CAST(u AS DOUBLE) AS u, CAST(ea AS DOUBLE) AS ea, "
@@ -21,13 +21,13 @@ def _register(name: str, chain: f.FormulaSet, extra: dict[str, str], out: list[s
     """A query that applies a chain to station rows and rounds the named columns."""
     first = f.FormulaSet(extra)
     source = (first | chain).as_sql(f"SELECT * FROM ({_STATION}) s0 WHERE {where}")
-    rounded = ", ".join(f"round(CAST({c} AS DOUBLE) + 3e-9, {digits}) AS {c}" for c in out)
+    shown = ", ".join(f"round(CAST({c} AS DOUBLE), {digits}) AS {c}" for c in out)
 
-    @query(name, f"SELECT id, {rounded} FROM ({source}) q", "station")
+    @query(name, f"SELECT id, {shown} FROM ({source}) q", "station")
     def _(s: Source):
         s.view("station").createOrReplaceTempView("station")
         rows = s.spark.sql(_STATION).filter(where)
-        return chain.apply(first.apply(rows)).select("id", *(F.round(F.col(c).cast("double") + 3e-9, digits).alias(c) for c in out))
+        return chain.apply(first.apply(rows)).select("id", *(rounded(F.col(c).cast("double"), digits).alias(c) for c in out))
 
 
 _P = f.PRESSURE.columns
@@ -68,7 +68,7 @@ _register("a23_bowen", f.BOWEN, {"rn": "s_dn * 0.6", "g": "s_dn * 0.06", "h": "(
 def _(s: Source):
     v = masks.with_ndvi(s.view("pixels"), "red", "bnr").withColumn("lai", 0.57 * F.exp(2.33 * F.col("ndvi")))
     out = canopy.with_canopy_height(canopy.with_fg_gutman(v, "ndvi", "tile"), "lai", "tile")
-    return out.select("r", "c", F.round("f_g", 6).alias("f_g"), F.round("h_canopy", 6).alias("h_canopy"))
+    return out.select("r", "c", rounded("f_g", 6).alias("f_g"), rounded("h_canopy", 6).alias("h_canopy"))
 
 
 def _steps_sql(n: int) -> str:
@@ -85,7 +85,7 @@ def _(s: Source):
     s.view("station").createOrReplaceTempView("station")
     rows = s.spark.sql(_STATION).filter("lai > 0").withColumns({"fapar": 0.05 + F.col("lai") / 5.0, "theta": F.radians("sza")})
     out = canopy.with_green_fraction(rows, "lai", "fapar", "theta")
-    return out.select("id", *(F.round(c, 5).alias(c) for c in ("f_green", "fipar", "pai")))
+    return out.select("id", *(rounded(c, 5).alias(c) for c in ("f_green", "fipar", "pai")))
 
 
 @query(
@@ -108,4 +108,4 @@ WEIGHTS = {"in_off": [0.0, 0.0], "in_gain": [0.004, 0.013], "w1": [[0.5, -0.3],
 def _(s: Source):
     schema = "in_off array<double>, in_gain array<double>, w1 array<array<double>>, b1 array<double>, w2 array<double>, b2 double, out_off double, out_gain double"
     weights = s.spark.createDataFrame([tuple(WEIGHTS.values())], schema)
-    return canopy.score_network(s.table("events"), weights, ["value", "user_id"]).select("event_id", F.round("scored", 6).alias("scored"))
+    return canopy.score_network(s.table("events"), weights, ["value", "user_id"]).select("event_id", rounded("scored", 6).alias("scored"))

@@ -8,12 +8,12 @@ from pyspark.sql import functions as F
 from furrow.functions import formulas
 from furrow.operators import grids
 from furrow.plans import fluxes, pipelines, sharpen
-from furrow.plans.registry.base import Source, query
+from furrow.plans.registry.base import Source, query, rounded
 from furrow.session import fresh_path
 from furrow.sources import catalog
 from furrow.streaming.composite import stream_best_pixel
 
-R = lambda c, n=4: F.round(F.col(c), n).alias(c)
+R = lambda c, n=4: rounded(c, n).alias(c)
 
 
 def _station(s: Source):
@@ -111,7 +111,7 @@ def _(s: Source):
 def _(s: Source):
     """Write a station table as white-space separated text, read it back by its header."""
     rows = s.view("station").filter("id % 5 = 0").select(
-        F.col("year"), F.col("doy"), F.round("hr", 4).alias("time"), F.col("t_r1"), F.col("vza"), F.col("t_a1"), "u", "ea", "s_dn", "lai", "h_c"
+        F.col("year"), F.col("doy"), rounded("hr", 4).alias("time"), F.col("t_r1"), F.col("vza"), F.col("t_a1"), "u", "ea", "s_dn", "lai", "h_c"
     )
     path = fresh_path(s.spark, "station")
     head = s.spark.createDataFrame([("  ".join(catalog.STATION_REQUIRED),)], "value string")
@@ -119,7 +119,7 @@ def _(s: Source):
     head.coalesce(1).write.text(f"{path}/part=0")
     body.write.text(f"{path}/part=1")
     table = catalog.read_station(s.spark, path)
-    return table.groupBy("year", F.col("DOY").alias("doy"), F.round("T_R1", 3).alias("t_r1")).agg(F.count(F.lit(1)).alias("n"))
+    return table.groupBy("year", F.col("DOY").alias("doy"), rounded("T_R1", 3).alias("t_r1")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("s11_write_station", "SELECT CAST(id AS BIGINT) AS id, CAST(flag AS BIGINT) AS flag FROM (SELECT event_id AS id, 10 AS flag FROM events WHERE event_id % 50 = 0)")

@@ -6,13 +6,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from furrow.operators import composite, focal, grids, labels, masks, sampling, scoring, sets, temporal
-from furrow.plans.registry.base import Source, query
+from furrow.plans.registry.base import Source, query, rounded
 from furrow.sources import catalog
 
-# values that may end in an exact half at the sixth decimal are nudged alike on both sides
-NUDGE = 3e-8
-RN = lambda c: F.round(F.col(c) + NUDGE, 6).alias(c)
-R6 = lambda c, n=6: F.round(F.col(c), n).alias(c)
+R6 = lambda c, n=6: rounded(c, n).alias(c)
 
 
 # --- masks -------------------------------------------------------------------
@@ -56,7 +53,7 @@ def _(s: Source):
 
 @query("p6_clean_parcels", "SELECT min(field_id) AS field_id, arg_min(category, field_id) AS category, gx, gy, side FROM (SELECT field_id, category, field_id % 5 AS gx, CAST(floor(y0 / 400) AS BIGINT) AS gy, round(x1 - x0, 3) AS side FROM parcels) WHERE category NOT IN ('ECONOMY') GROUP BY gx, gy, side", "parcels")
 def _(s: Source):
-    p = s.view("parcels").select("field_id", "category", (F.col("field_id") % 5).alias("gx"), F.floor(F.col("y0") / 400).cast("long").alias("gy"), F.round(F.col("x1") - F.col("x0"), 3).cast("double").alias("side"))
+    p = s.view("parcels").select("field_id", "category", (F.col("field_id") % 5).alias("gx"), F.floor(F.col("y0") / 400).cast("long").alias("gy"), rounded(F.col("x1") - F.col("x0"), 3).cast("double").alias("side"))
     return masks.clean_parcels(p, "category", ["ECONOMY"], ["gx", "gy", "side"])
 
 
@@ -100,7 +97,7 @@ def _(s: Source):
 
 @query("p13_et_clamp", "SELECT pixel, d, round(CASE WHEN et <= 0 OR et > 12 THEN 0 ELSE et END, 6) AS et FROM et_daily", "et_daily")
 def _(s: Source):
-    return s.view("et_daily").select("pixel", "d", F.round(masks.clamp_et(F.col("et")), 6).alias("et"))
+    return s.view("et_daily").select("pixel", "d", rounded(masks.clamp_et(F.col("et")), 6).alias("et"))
 
 
 @query("p14_split_vegetation", "SELECT id, CAST(lai AS DOUBLE) AS lai, (h_c - 0.1) <= 0.01 OR lai <= 0 AS bare FROM station", "station")
@@ -121,21 +118,21 @@ def _(s: Source):
     return temporal.window_join(comp, o.groupBy("day").agg(F.count(F.lit(1)).alias("n")), "comp_date", "day")
 
 
-@query("t2_interp_hourly", f"WITH {_T2} SELECT pixel, seq, round(t2m + 3e-8, 6) AS t2m FROM i", "lst_obs met_hourly")
+@query("t2_interp_hourly", f"WITH {_T2} SELECT pixel, seq, round(t2m, 6) AS t2m FROM i", "lst_obs met_hourly")
 def _(s: Source):
-    return temporal.interp_hourly(s.view("lst_obs"), s.view("met_hourly"), "ts", "hour", ["t2m"]).select("pixel", "seq", RN("t2m"))
+    return temporal.interp_hourly(s.view("lst_obs"), s.view("met_hourly"), "ts", "hour", ["t2m"]).select("pixel", "seq", R6("t2m"))
 
 
 @query(
     "t3_interp_hourly_ceil",
-    "WITH o AS (SELECT *, CASE WHEN event_id % 10 = 0 THEN date_trunc('hour', ts) ELSE ts END AS t FROM events) SELECT o.event_id, round(a.t2m - (a.t2m - b.t2m) * (extract(minute FROM t) / 60.0) + 3e-8, 6) AS t2m FROM o JOIN met_hourly a ON a.hour = date_trunc('hour', t) JOIN met_hourly b ON b.hour = CASE WHEN extract(minute FROM t) = 0 AND floor(extract(second FROM t)) = 0 THEN date_trunc('hour', t) ELSE date_trunc('hour', t) + INTERVAL 1 HOUR END",
+    "WITH o AS (SELECT *, CASE WHEN event_id % 10 = 0 THEN date_trunc('hour', ts) ELSE ts END AS t FROM events) SELECT o.event_id, round(a.t2m - (a.t2m - b.t2m) * (extract(minute FROM t) / 60.0), 6) AS t2m FROM o JOIN met_hourly a ON a.hour = date_trunc('hour', t) JOIN met_hourly b ON b.hour = CASE WHEN extract(minute FROM t) = 0 AND floor(extract(second FROM t)) = 0 THEN date_trunc('hour', t) ELSE date_trunc('hour', t) + INTERVAL 1 HOUR END",
     "met_hourly",
 )
 def _(s: Source):
     obs = s.table("events").select("event_id", F.when(F.col("event_id") % 10 == 0, F.date_trunc("hour", "ts").cast("timestamp_ntz")).otherwise(F.col("ts").cast("timestamp_ntz")).alias("t"))
     met = s.view("met_hourly").withColumn("hour", F.col("hour").cast("timestamp"))
     obs = obs.withColumn("t", F.col("t").cast("timestamp"))
-    return temporal.interp_hourly(obs, met, "t", "hour", ["t2m"], mode="ceil").select("event_id", RN("t2m"))
+    return temporal.interp_hourly(obs, met, "t", "hour", ["t2m"], mode="ceil").select("event_id", R6("t2m"))
 
 
 @query("t4_per_day_counts", "SELECT pixel, CAST(ts AS DATE) AS day, count(*) AS n, CAST(sum(count(*)) OVER w AS BIGINT) AS day_end, CAST(sum(count(*)) OVER w - count(*) AS BIGINT) AS day_start FROM lst_obs GROUP BY 1, 2 WINDOW w AS (PARTITION BY pixel ORDER BY CAST(ts AS DATE))", "lst_obs")
@@ -156,7 +153,7 @@ def _(s: Source):
 
 @query("t7_flux", "SELECT hour, round(nullif(ssrd, 0) / 3600, 6) AS flux FROM met_hourly", "met_hourly")
 def _(s: Source):
-    return s.view("met_hourly").select("hour", F.round(temporal.flux_from_accumulated(F.col("ssrd")), 6).alias("flux"))
+    return s.view("met_hourly").select("hour", rounded(temporal.flux_from_accumulated(F.col("ssrd")), 6).alias("flux"))
 
 
 @query("t8_calendar", "SELECT o_orderkey, CAST(extract(doy FROM o_orderdate) AS INT) AS doy, extract(day FROM last_day(make_date(extract(year FROM o_orderdate), 2, 1))) = 29 AS is_leap, monthname(o_orderdate) AS month_name, CAST(extract(day FROM last_day(o_orderdate)) AS INT) AS month_days, CAST(CASE WHEN extract(day FROM last_day(make_date(extract(year FROM o_orderdate), 2, 1))) = 29 THEN 366 ELSE 365 END AS INT) AS year_days FROM orders")
@@ -166,12 +163,12 @@ def _(s: Source):
 
 @query(
     "t9_fill_et",
-    "WITH e AS (SELECT pixel, d, CASE WHEN et > 8 OR et < 0 THEN NULL ELSE et END AS et, 1 + extract(day FROM d) / 5.0 AS et_ref FROM et_daily), k AS (SELECT *, last_value(CASE WHEN et IS NOT NULL THEN et / et_ref END IGNORE NULLS) OVER (PARTITION BY pixel ORDER BY d ROWS UNBOUNDED PRECEDING) AS kc FROM e) SELECT pixel, d, round(kc + 3e-8, 6) AS kc, round(coalesce(et, kc * et_ref) + 3e-8, 6) AS et_filled FROM k",
+    "WITH e AS (SELECT pixel, d, CASE WHEN et > 8 OR et < 0 THEN NULL ELSE et END AS et, 1 + extract(day FROM d) / 5.0 AS et_ref FROM et_daily), k AS (SELECT *, last_value(CASE WHEN et IS NOT NULL THEN et / et_ref END IGNORE NULLS) OVER (PARTITION BY pixel ORDER BY d ROWS UNBOUNDED PRECEDING) AS kc FROM e) SELECT pixel, d, round(kc, 6) AS kc, round(coalesce(et, kc * et_ref), 6) AS et_filled FROM k",
     "et_daily",
 )
 def _(s: Source):
     df = s.view("et_daily").withColumns({"et": F.when((F.col("et") <= 8) & (F.col("et") >= 0), F.col("et")), "et_ref": 1 + F.dayofmonth("d") / 5.0})
-    return temporal.fill_et(df, "pixel", "d", "et", "et_ref").select("pixel", "d", RN("kc"), RN("et_filled"))
+    return temporal.fill_et(df, "pixel", "d", "et", "et_ref").select("pixel", "d", R6("kc"), R6("et_filled"))
 
 
 @query("t10_defaults", "SELECT id, 1013.25 AS p, CAST(u AS DOUBLE) AS u FROM station", "station")
@@ -191,7 +188,7 @@ def _(s: Source):
 @query("j2_mosaic", "SELECT r, c, round(CASE WHEN c >= 15 THEN bnr ELSE red END, 6) AS v FROM pixels WHERE c < 25 OR c >= 15", "pixels")
 def _(s: Source):
     p = s.view("pixels")
-    a, b = p.filter("c < 25").select("r", "c", F.round("red", 6).alias("v")), p.filter("c >= 15").select("r", "c", F.round("bnr", 6).alias("v"))
+    a, b = p.filter("c < 25").select("r", "c", rounded("red", 6).alias("v")), p.filter("c >= 15").select("r", "c", rounded("bnr", 6).alias("v"))
     return grids.mosaic([a, b], "v")
 
 
@@ -264,9 +261,9 @@ def _(s: Source):
     return composite.best_pixel(s.view("lst_obs"), by="vza", how="min").select("pixel", "day", R6("lst"), "vza", "vaa")
 
 
-@query("a3_et_median", "SELECT pixel, round(median(CASE WHEN et <= 0 OR et > 12 THEN 0 ELSE et END) + 3e-8, 6) AS et_median, count(*) AS n_days FROM et_daily WHERE d BETWEEN DATE '2024-01-05' AND DATE '2024-01-25' GROUP BY pixel", "et_daily")
+@query("a3_et_median", "SELECT pixel, round(median(CASE WHEN et <= 0 OR et > 12 THEN 0 ELSE et END), 6) AS et_median, count(*) AS n_days FROM et_daily WHERE d BETWEEN DATE '2024-01-05' AND DATE '2024-01-25' GROUP BY pixel", "et_daily")
 def _(s: Source):
-    return composite.et_median(s.view("et_daily"), "2024-01-05", "2024-01-25").select("pixel", RN("et_median"), "n_days")
+    return composite.et_median(s.view("et_daily"), "2024-01-05", "2024-01-25").select("pixel", R6("et_median"), "n_days")
 
 
 @query("a4_monthly_median", "SELECT l_suppkey AS pixel, CAST(date_trunc('month', l_shipdate) AS DATE) AS month, l_linenumber AS band, round(median(l_quantity), 6) AS value, count(*) AS n FROM lineitem WHERE (l_partkey & 6) = 0 GROUP BY 1, 2, 3")

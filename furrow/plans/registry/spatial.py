@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from furrow.operators import focal, grids, labels, sampling, scoring, vectors
-from furrow.plans.registry.base import Source, query
+from furrow.plans.registry.base import Source, query, rounded
 
-R = lambda c, n=6: F.round(F.col(c), n).alias(c)
+R = lambda c, n=6: rounded(c, n).alias(c)
 
 _HOLES = "px AS (SELECT r, c, CASE WHEN (r * 7 + c * 3) % 11 <> 0 THEN red END AS red, CASE WHEN extent >= 0.5 THEN 1 ELSE 0 END AS m FROM pixels)"
 
@@ -188,7 +188,7 @@ _FACES = "SELECT ref, count(*) AS faces FROM (SELECT ref, fr, fc FROM (SELECT re
 
 @query("w18_polygonise", f"SELECT ref, count(*) AS n_cells, round(CAST(count(*) AS DOUBLE) * CAST(0.01 AS DOUBLE), 6) AS area_ha, CAST(min(c) * 10.0 AS DOUBLE) AS x0, CAST(min(r) * 10.0 AS DOUBLE) AS y0, CAST((max(c) + 1) * 10.0 AS DOUBLE) AS x1, CAST((max(r) + 1) * 10.0 AS DOUBLE) AS y1, CAST(any_value(faces) * 10.0 AS DOUBLE) AS perimeter, any_value(faces) AS n_faces FROM labels2 JOIN ({_FACES}) f USING (ref) WHERE ref <> 0 GROUP BY ref", "labels2")
 def _(s: Source):
-    return vectors.polygonise(s.view("labels2"), "ref", 10.0).withColumn("area_ha", F.round("area_ha", 6))
+    return vectors.polygonise(s.view("labels2"), "ref", 10.0).withColumn("area_ha", rounded("area_ha", 6))
 
 
 @query("w18_label_rings")
@@ -214,6 +214,24 @@ def _(s: Source):
     return grids.explode_to_chips(s.view("pixels").select("r", "c"), 40, 40, 14, 4)
 
 
+def _extent(s: Source) -> tuple[int, int]:
+    e = s.table("lineitem").agg(F.max("l_orderkey"), F.max("l_partkey")).first()
+    return e[0] + 1, e[1] + 1
+
+
+_SIZE = "e AS (SELECT max(l_orderkey) + 1 AS h, max(l_partkey) + 1 AS w FROM lineitem)"
+
+
+@query("w21_chip_grid", f"WITH {_SIZE} SELECT r.i * 236 AS row_start, c.i * 236 AS col_start, r.i * 236 + 256 AS row_end, c.i * 236 + 256 AS col_end FROM e, range(0, 100000) r(i), range(0, 10000) c(i) WHERE r.i * 236 + 256 < h AND c.i * 236 + 256 < w")
+def _(s: Source):
+    return grids.chip_grid(s.spark, *_extent(s), 256, 20)
+
+
+@query("w21_slice_grid", f"WITH {_SIZE} SELECT i, j, i * (h // 10) AS row_start, (i + 1) * (h // 10) AS row_end, j * (w // 10) AS col_start, (j + 1) * (w // 10) AS col_end FROM e, range(0, 10) a(i), range(0, 10) b(j)")
+def _(s: Source):
+    return grids.slice_grid(s.spark, *_extent(s), 10)
+
+
 @query(
     "w22_stitch_chips",
     """WITH k AS (SELECT i * 10 AS row_start, j * 10 AS col_start, r, c, CASE WHEN ref = 0 THEN 0 ELSE extent END AS v FROM pixels JOIN labels2 USING (r, c), range(0, 4) a(i), range(0, 4) b(j) WHERE r >= i * 10 + 2 AND r < i * 10 + 12 AND c >= j * 10 + 2 AND c < j * 10 + 12)

@@ -232,7 +232,7 @@ def test_formulas_against_hand_numbers(spark):
     df = spark.createDataFrame([(293.15, 15.0, 1013.25)], "t_a double, ea double, p double")
     row = formulas.HUMIDITY.apply(formulas.AIR.apply(df)).first()
     assert row.lambda_v == pytest.approx(2453780.0) and row.e_sat == pytest.approx(23.37, abs=0.03)
-    assert row.rho == pytest.approx(1.197, abs=0.002) and row.rho_w == pytest.approx(998.2, abs=0.1) and row.psicr == pytest.approx(0.669, abs=0.005)
+    assert row.rho == pytest.approx(1.197, abs=0.002) and row.rho_w == pytest.approx(997.94, abs=0.01) and row.psicr == pytest.approx(0.669, abs=0.005)
     noon = spark.createDataFrame([(0.0, 0.0, 0.0, 80.0, 12.0)], "lat double, lon double, stdlon double, doy double, hr double")
     assert formulas.SUN.apply(noon).first().sun_zenith < 5
     neutral = spark.sql(f"SELECT {formulas.double(formulas.psi_m('-1e-9'))} AS m, {formulas.double(formulas.psi_h('0.0'))} AS h").first()
