@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from furrow.llm.text import ALNUM, alnum_words, annotate, rewrite, sha256_hex, slices, texts
+from furrow.llm.text import ALNUM, alnum_words, annotate, rewrite, sha256_hex, slices, texts, tidy
 
 WINDOW = 13
 MAX_WINDOWS = 500_000
@@ -52,7 +52,7 @@ def windows(items: DataFrame, id_col: str = "item_id", text_col: str = "text", n
                 yield pa.RecordBatch.from_pydict({"item": pa.array(out["item"], pa.string()), "gram": pa.array(out["gram"], pa.binary()), "size": pa.array(out["size"], pa.int32())})
 
     chosen = items.select(items[id_col].cast("string").alias("item"), items[text_col].cast("string").alias("text"))
-    return chosen.mapInArrow(run, "item string, gram binary, size int").distinct()
+    return chosen.mapInArrow(tidy(run), "item string, gram binary, size int").distinct()
 
 
 @dataclass
@@ -208,8 +208,8 @@ def _flag_by_join(docs: DataFrame, grams: DataFrame, n: int, id_col: str, text_c
 
     rows = docs.select(docs[id_col].alias("id"), docs[text_col].cast("string").alias("text"))
     rows = rows.select(F.concat_ws(":", F.coalesce(F.col("id").cast("string"), F.lit("null")), F.md5(F.coalesce("text", F.lit("")))).alias("row"), "id", "text")
-    places = rows.dropDuplicates(["row"]).select("row", "text").mapInArrow(run, "row string, key binary, start int, size int")
-    keys = grams.select("gram", "item").mapInArrow(digests, "key binary, item string")
+    places = rows.dropDuplicates(["row"]).select("row", "text").mapInArrow(tidy(run), "row string, key binary, start int, size int")
+    keys = grams.select("gram", "item").mapInArrow(tidy(digests), "key binary, item string")
     hits = places.join(keys, "key").groupBy("row").agg(F.collect_set(F.struct("start", "size", "item")).alias("hits"))
     schema = T.StructType([T.StructField(id_col, docs.schema[id_col].dataType), *_FIELDS])
     return rows.join(hits, "row", "left").select("row", "id", "text", "hits").mapInPandas(close, schema)

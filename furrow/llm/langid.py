@@ -17,13 +17,12 @@ import uuid
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from furrow.llm.text import annotate, rewrite, slices, texts
+from furrow.llm.text import annotate, rewrite, slices, texts, tidy
 
 ORDER = 3
 #: Symbols: 0 the space, 1-26 letters, 27 rare high bytes, then the frequent high bytes.
@@ -133,7 +132,7 @@ def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang") ->
                 total += np.bincount(np.frombuffer(b"".join(texts(part.column("text"))), np.uint8), minlength=256)
         yield pa.RecordBatch.from_pydict({"byte": np.arange(128, 256, dtype=np.int32), "n": total[128:]})
 
-    found = rows.select("text").mapInArrow(count_bytes, "byte int, n long").groupBy("byte").agg(F.sum("n").alias("n")).collect()
+    found = rows.select("text").mapInArrow(tidy(count_bytes), "byte int, n long").groupBy("byte").agg(F.sum("n").alias("n")).collect()
     high = [r["byte"] for r in sorted(found, key=lambda r: (-r["n"], r["byte"])) if r["n"]][: ALPHABET - 28]
     table = symbol_table(high)
     size = ALPHABET ** (ORDER + 1)
@@ -166,12 +165,14 @@ def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang") ->
                         counts -= np.bincount(codes[pads], minlength=size).astype(np.uint32)
         yield from flush()
 
-    def pack(frame: pd.DataFrame) -> pd.DataFrame:
+    def pack(frame):
+        import pandas as pd
+
         frame = frame.sort_values("gram")
         docs, grams = frame[frame.gram < 0], frame[frame.gram >= 0]
         return pd.DataFrame({"lang": frame.lang[:1], "docs": [int(docs.n.sum())], "grams": [grams.gram.to_numpy(np.int32).tobytes()], "counts": [grams.n.to_numpy(np.int64).tobytes()]})
 
-    counted = rows.mapInArrow(count_grams, "lang string, gram int, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    counted = rows.mapInArrow(tidy(count_grams), "lang string, gram int, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     # at most ALPHABET ** (ORDER + 1) rows a language, whatever the corpus
     packed = sorted(counted.groupBy("lang").applyInPandas(pack, "lang string, docs long, grams binary, counts binary").collect())
     return LanguageModel(uuid.uuid4().hex, tuple(high), tuple(r[0] for r in packed), tuple(r[1] for r in packed), tuple(bytes(r[2]) for r in packed), tuple(bytes(r[3]) for r in packed))

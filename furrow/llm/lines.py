@@ -17,14 +17,13 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from furrow.llm.text import annotate, rewrite, sha256_hex, slices, texts
+from furrow.llm.text import annotate, rewrite, sha256_hex, slices, texts, tidy
 from furrow.session import materialise
 
 MIN_DOCS = 10
@@ -125,11 +124,13 @@ def _counted(docs: DataFrame, text_col: str, min_docs: int) -> DataFrame:
                 both = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, found)), ">u8").reshape(-1, 2).astype(np.uint64)
                 yield pa.RecordBatch.from_pydict({"high": both[:, 0].view(np.int64), "low": both[:, 1].view(np.int64), "n": np.fromiter(found.values(), np.int64, len(found))})
 
-    rows = docs.select(docs[text_col].cast("string").alias("text")).mapInArrow(run, "high long, low long, n long")
+    rows = docs.select(docs[text_col].cast("string").alias("text")).mapInArrow(tidy(run), "high long, low long, n long")
     return rows.groupBy("high", "low").agg(F.sum("n").alias("n")).filter(F.col("n") >= min_docs)
 
 
-def _pack(frame: pd.DataFrame) -> pd.DataFrame:
+def _pack(frame):
+    import pandas as pd
+
     high, low = frame.high.to_numpy(np.int64).view(np.uint64), frame.low.to_numpy(np.int64).view(np.uint64)
     perfect = PerfectHash.build(high)
     slot = perfect.slots(high)
@@ -252,6 +253,8 @@ def _kept_by_join(docs: DataFrame, frequent: DataFrame, text_col: str) -> DataFr
                 yield pa.RecordBatch.from_pydict({"row": pa.array(rows, pa.string()), "high": np.array(highs, np.uint64).view(np.int64), "low": np.array(lows, np.uint64).view(np.int64)})
 
     def close(frames):
+        import pandas as pd
+
         for frame in frames:
             out = []
             for t, hits in zip(frame.text, frame.hits, strict=True):
@@ -263,7 +266,7 @@ def _kept_by_join(docs: DataFrame, frequent: DataFrame, text_col: str) -> DataFr
 
     row = F.coalesce(F.sha2(docs[text_col].cast("string"), 256), F.lit(""))
     distinct = docs.select(row.alias("row"), docs[text_col].cast("string").alias("text")).dropDuplicates(["row"])
-    pairs = distinct.mapInArrow(run, "row string, high long, low long")
+    pairs = distinct.mapInArrow(tidy(run), "row string, high long, low long")
     hits = pairs.join(frequent, ["high", "low"], "left_semi").groupBy("row").agg(F.collect_list(F.struct("high", "low")).alias("hits"))
     kept = distinct.join(hits, "row", "left").select("row", "text", "hits").mapInPandas(close, "row string, n_lines long, n_dropped long, kept_text string")
     return docs.join(kept, row == kept["row"]).drop("row")

@@ -20,13 +20,12 @@ import hashlib
 from functools import reduce
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from furrow.llm.hashing import Words, finish
-from furrow.llm.text import slices, texts
+from furrow.llm.text import slices, texts, tidy
 from furrow.operators.graph import connected_components
 from furrow.session import materialise
 
@@ -95,7 +94,7 @@ def sketches(docs: DataFrame, n: int, id_col: str, text_col: str) -> DataFrame:
                     names=["id", "n_shingles", "node", "regs"],
                 )
 
-    return docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].cast("string").alias("text")).mapInArrow(run, "id long, n_shingles long, node binary, regs binary")
+    return docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].cast("string").alias("text")).mapInArrow(tidy(run), "id long, n_shingles long, node binary, regs binary")
 
 
 def _buckets(classes: DataFrame) -> DataFrame:
@@ -110,7 +109,7 @@ def _buckets(classes: DataFrame) -> DataFrame:
                 nodes = part.column("node").take(pa.array(np.repeat(np.arange(part.num_rows), BANDS)))
                 yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), nodes], names=["bucket", "node"])
 
-    return classes.select("node", "regs").mapInArrow(run, "bucket long, node binary")
+    return classes.select("node", "regs").mapInArrow(tidy(run), "bucket long, node binary")
 
 
 def _likely(pairs: DataFrame, classes: DataFrame, share: int) -> DataFrame:
@@ -128,7 +127,7 @@ def _likely(pairs: DataFrame, classes: DataFrame, share: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part.column(c).filter(pa.array(good)) for c in ("a", "b")], names=["a", "b"])
 
     side = lambda x: classes.select(F.col("node").alias(x), F.col("regs").alias(f"regs_{x}"), F.col("n_shingles").alias(f"n_{x}"))
-    return pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(run, "a binary, b binary")
+    return pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(tidy(run), "a binary, b binary")
 
 
 def _sets(nodes: DataFrame, classes: DataFrame, docs: DataFrame, n: int, id_col: str, text_col: str) -> DataFrame:
@@ -145,7 +144,7 @@ def _sets(nodes: DataFrame, classes: DataFrame, docs: DataFrame, n: int, id_col:
 
     chosen = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].cast("string").alias("text"))
     needed = nodes.join(classes.select("node", "id"), "node")
-    held = chosen.join(needed.withColumnRenamed("id", "of"), F.col("id").eqNullSafe(F.col("of"))).select("node", "text").mapInArrow(run, "node binary, shingles binary")
+    held = chosen.join(needed.withColumnRenamed("id", "of"), F.col("id").eqNullSafe(F.col("of"))).select("node", "text").mapInArrow(tidy(run), "node binary, shingles binary")
     return materialise(held.dropDuplicates(["node"]), "shingles")
 
 
@@ -162,7 +161,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, share: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(c).filter(pa.array(good, pa.bool_())) for c in ("a", "b")], names=["a", "b"])
 
     side = lambda x: sets.select(F.col("node").alias(x), F.col("shingles").alias(f"s{x}"))
-    return pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(count, "a binary, b binary")
+    return pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(tidy(count), "a binary, b binary")
 
 
 def block_links(left: list[np.ndarray], right: list[np.ndarray], share: int) -> np.ndarray:
@@ -209,7 +208,9 @@ def _tiles(nodes: DataFrame, sets: DataFrame, share: int, members: int = 256, bl
     spread = held.join(room, "grp").select("grp", "node", "comp", "shingles", ((F.col("n_in") == 1) & (F.col("n_all") == 1)).alias("small"), F.inline(copies))
     task = F.when(F.col("small"), F.pmod(F.xxhash64("grp"), F.lit(bundles))).otherwise(F.xxhash64("grp", "i", "j"))
 
-    def compare(frame: pd.DataFrame) -> pd.DataFrame:
+    def compare(frame):
+        import pandas as pd
+
         out = []
         for _, tile in frame.groupby(["grp", "i", "j"], sort=False):
             sides = [tile[tile.side == k] for k in (0, 1)]

@@ -27,7 +27,6 @@ The sample steers placement only; results don't depend on it.
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
@@ -36,7 +35,7 @@ from pyspark.sql import types as T
 
 from furrow.llm.fmindex import FMIndex
 from furrow.llm.hashing import Words
-from furrow.llm.text import sha256_hex, slices, texts
+from furrow.llm.text import sha256_hex, slices, texts, tidy
 from furrow.session import materialise
 
 WINDOW = 20
@@ -137,12 +136,14 @@ def _shared_cells(rows: DataFrame, window: int, run: int) -> bytes:
                 cell, n = np.unique((low >> np.uint64(64 - FILTER_BITS)).astype(np.int32), return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array(np.minimum(n, 2).astype(np.int32))], names=["cell", "n"])
 
-    def fold(frame: pd.DataFrame) -> pd.DataFrame:
+    def fold(frame):
+        import pandas as pd
+
         bits = np.zeros(block, bool)
         bits[frame.cell.to_numpy() % block] = True
         return pd.DataFrame({"block": frame.block[:1], "bits": [np.packbits(bits, bitorder="little").tobytes()]})
 
-    counted = rows.select("text").mapInArrow(work, "cell int, n int").groupBy("cell").agg(F.sum("n").alias("n")).filter("n > 1")
+    counted = rows.select("text").mapInArrow(tidy(work), "cell int, n int").groupBy("cell").agg(F.sum("n").alias("n")).filter("n > 1")
     blocks = counted.select(F.shiftright("cell", 16).alias("block"), "cell").groupBy("block").applyInPandas(fold, "block int, bits binary")
     out = np.zeros((1 << FILTER_BITS) // block * (block // 8), np.uint8).reshape(-1, block // 8)
     for r in blocks.collect():  # at most 2 ** (FILTER_BITS - 16) rows of 8 KB
@@ -206,7 +207,7 @@ def _emit(rows: DataFrame, window: int, run: int, shards: int, hot, cells) -> Da
                     size = 0
         yield from flush()
 
-    return rows.mapInArrow(work, "shard int, kind int, pack binary")
+    return rows.mapInArrow(tidy(work), "shard int, kind int, pack binary")
 
 
 def hash_of(content: bytes) -> int:
@@ -274,7 +275,7 @@ def _hot_minimisers(rows: DataFrame, window: int, run: int, shards: int) -> list
                 yield pa.RecordBatch.from_arrays([pa.array(low.view(np.int64)), pa.array(n)], names=["low", "n"])
 
     sampled = rows.filter(F.pmod(F.xxhash64("id"), F.lit(SAMPLE)) == 0)
-    counted = sampled.mapInArrow(work, "low long, n long").groupBy("low").agg(F.sum("n").alias("n")).filter("n >= 8")
+    counted = sampled.mapInArrow(tidy(work), "low long, n long").groupBy("low").agg(F.sum("n").alias("n")).filter("n >= 8")
     counted = materialise(counted, "hot")
     total = counted.agg(F.sum("n")).first()[0] or 0
     found = counted.filter(F.col("n") > total / (HOT_PER_SHARD * shards)).filter("n >= 64").select("low").collect()
@@ -295,7 +296,9 @@ def repeats(docs: DataFrame, window: int = WINDOW, run: int = RUN, shards: int |
     hot = spark.sparkContext.broadcast(_hot_minimisers(rows, window, run, shards))
     cells = spark.sparkContext.broadcast(_shared_cells(rows, window, run))
 
-    def work(frame: pd.DataFrame) -> pd.DataFrame:
+    def work(frame):
+        import pandas as pd
+
         out = [_local_repeats(p) for p in frame["pack"][frame["kind"] == 1]]
         packs = list(frame["pack"][frame["kind"] == 0])
         if packs:
@@ -359,7 +362,7 @@ def substring_digests(docs: DataFrame, window: int = WINDOW, run: int = RUN, sha
                 columns = list(zip(*out, strict=True))
                 yield pa.RecordBatch.from_arrays([pa.array(ids, kind), pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2])], names=schema.names)
 
-    return _cut(docs, window, run, shards, id_col, text_col).mapInArrow(work, schema)
+    return _cut(docs, window, run, shards, id_col, text_col).mapInArrow(tidy(work), schema)
 
 
 def deduplicated_texts(docs: DataFrame, window: int = WINDOW, run: int = RUN, shards: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -372,5 +375,5 @@ def deduplicated_texts(docs: DataFrame, window: int = WINDOW, run: int = RUN, sh
                 out = [b" ".join(kept_words(d, [(r["start"], r["n"]) for r in runs or ()], window)[2]) for d, runs in zip(texts(part.column("text")), part.column("runs").to_pylist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(out, pa.binary()).cast(pa.string())], names=["id", "text"])
 
-    cut = _cut(docs, window, run, shards, id_col, text_col).mapInArrow(work, schema)
+    cut = _cut(docs, window, run, shards, id_col, text_col).mapInArrow(tidy(work), schema)
     return cut.select(F.when(F.col("id") != _NULL_ID, F.col("id")).alias(id_col), F.col("text").alias(text_col))

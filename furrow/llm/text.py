@@ -8,8 +8,10 @@ because every separator is a single ASCII byte.
 
 from __future__ import annotations
 
+import ctypes
 import hashlib
 from collections.abc import Callable, Iterable, Iterator
+from functools import wraps
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -23,6 +25,27 @@ ALNUM = bytes((b + 32 if 0x41 <= b <= 0x5A else b) if b in _KEEP or 0x41 <= b <=
 SLICE_BYTES = 4 << 20
 
 
+def tidy(run: Callable) -> Callable:
+    """A batch function that gives freed memory back to the system when a task ends.
+
+    Workers live on and serve later stages; what the allocators would keep for them
+    counts against the executor.
+    """
+
+    @wraps(run)
+    def tidied(batches):
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL(None).malloc_trim(0)
+            except AttributeError:  # only glibc has it
+                pass
+
+    return tidied
+
+
 def alnum_words(data: bytes) -> list[bytes]:
     return data.translate(ALNUM).split()
 
@@ -74,7 +97,7 @@ def annotate(
                     [part.column("id").cast(arrow.field(0).type), *(pa.array(c, f.type) for c, f in zip(columns, list(arrow)[1:], strict=True))], schema=arrow
                 )
 
-    return docs.select(docs[id_col].alias("id"), docs[text_col].cast("string").alias("text")).mapInArrow(run, schema)
+    return docs.select(docs[id_col].alias("id"), docs[text_col].cast("string").alias("text")).mapInArrow(tidy(run), schema)
 
 
 def rewrite(
@@ -105,4 +128,4 @@ def rewrite(
                     columns[where] = pa.array(out, pa.binary()).cast(pa.string())
                 yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, arrow, strict=True)], schema=arrow)
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(tidy(run), schema)
