@@ -24,10 +24,10 @@ def iou_surface(best: DataFrame, grid: DataFrame) -> DataFrame:
 
 
 def grid_summary(results: DataFrame, keys: list[str], overlap: str = "overlap_b", filters: tuple[float, ...] = (0.0, 0.25, 0.5, 0.75)) -> DataFrame:
-    """Mean IoUs and sample size per key under four overlap filters, long, best row per (filter, metric) with ties."""
+    """Mean IoUs and sample size per key under four overlap filters, long, best row per (filter, metric) with ties (equal to nine digits)."""
     each = results.withColumn("least", F.explode(F.array(*(F.lit(f) for f in filters)))).filter(F.col(overlap) >= F.col("least"))
     means = each.groupBy("least", *keys).agg(F.avg("max_iou").alias("mean_max"), F.avg("centre_iou").alias("mean_centre"), F.count(F.lit(1)).alias("n"))
-    long = means.unpivot(["least", *keys, "n"], ["mean_max", "mean_centre"], "metric", "score").withColumn("score", F.round("score", 6))
+    long = means.unpivot(["least", *keys, "n"], ["mean_max", "mean_centre"], "metric", "score").withColumn("score", F.round("score", 9))
     best = long.groupBy("least", "metric").agg(F.max("score").alias("top"))
     return long.join(best, ["least", "metric"]).filter(F.col("score") == F.col("top")).drop("top")
 

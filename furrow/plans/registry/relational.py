@@ -333,12 +333,12 @@ def _(s: Source):
 
 @query(
     "a12_grid_summary",
-    f"WITH {_FIELD}, e AS (SELECT least, ref % 3 AS t_ext, ref % 2 AS t_bound, max_iou, centre_iou FROM f, (VALUES (0.0), (0.25), (0.5), (0.75)) l(least) WHERE ratio_true >= least), m AS (SELECT least, t_ext, t_bound, avg(max_iou) AS mean_max, avg(centre_iou) AS mean_centre, count(*) AS n FROM e GROUP BY 1, 2, 3), u AS (SELECT least, t_ext, t_bound, n, 'mean_max' AS metric, round(mean_max, 6) AS score FROM m UNION ALL SELECT least, t_ext, t_bound, n, 'mean_centre', round(mean_centre, 6) FROM m) SELECT CAST(least AS DOUBLE) AS least, metric, t_ext, t_bound, n, score FROM u QUALIFY rank() OVER (PARTITION BY least, metric ORDER BY score DESC) = 1",
+    f"WITH {_FIELD}, e AS (SELECT least, ref % 3 AS t_ext, ref % 2 AS t_bound, max_iou, centre_iou FROM f, (VALUES (0.0), (0.25), (0.5), (0.75)) l(least) WHERE ratio_true >= least), m AS (SELECT least, t_ext, t_bound, avg(max_iou) AS mean_max, avg(centre_iou) AS mean_centre, count(*) AS n FROM e GROUP BY 1, 2, 3), u AS (SELECT least, t_ext, t_bound, n, 'mean_max' AS metric, round(mean_max, 9) AS score FROM m UNION ALL SELECT least, t_ext, t_bound, n, 'mean_centre', round(mean_centre, 9) FROM m) SELECT CAST(least AS DOUBLE) AS least, metric, t_ext, t_bound, n, round(score, 6) AS score FROM u QUALIFY rank() OVER (PARTITION BY least, metric ORDER BY u.score DESC) = 1",
     "labels2",
 )
 def _(s: Source):
     f = labels.field_iou(s.view("labels2")).withColumns({"t_ext": F.col("ref") % 3, "t_bound": F.col("ref") % 2})
-    return scoring.grid_summary(f, ["t_ext", "t_bound"], overlap="ratio_true").select("least", "metric", "t_ext", "t_bound", "n", "score")
+    return scoring.grid_summary(f, ["t_ext", "t_bound"], overlap="ratio_true").select("least", "metric", "t_ext", "t_bound", "n", R6("score"))
 
 
 _DECILES = "e AS (SELECT quantile_cont(n_x, [0.0, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 1.0]) AS q FROM src)"
