@@ -10,15 +10,45 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from furrow.session import materialise
+
 
 def draw_order(ident: str, seed: int | None) -> Column:
     return F.col(ident) if seed is None else F.xxhash64(F.col(ident), F.lit(seed))
 
 
+def quantiles(df: DataFrame, value: str, shares: list[float]) -> list[float | None]:
+    """Exact quantiles, interpolated linearly, of a column of any size; NULLs don't count, no values give None.
+
+    Values are counted, range-partitioned and written once; sums per range place each
+    wanted rank, and at most two values a share come to the driver. The built-in
+    percentile would hold all distinct values in one task.
+    """
+    counted = df.filter(F.col(value).isNotNull()).groupBy(F.col(value).cast("double").alias("v")).agg(F.count(F.lit(1)).alias("n"))
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = materialise(counted.repartitionByRange(parts, "v").withColumn("part", F.spark_partition_id()), "quantiles")
+    sums = {r["part"]: r["n"] for r in dealt.groupBy("part").agg(F.sum("n").alias("n")).collect()}
+    total = sum(sums.values())
+    if not total:
+        return [None] * len(shares)
+    at = [q * (total - 1) for q in shares]
+    ranks = sorted({r for x in at for r in (int(x), min(int(x) + 1, total - 1))})
+    before, wanted = 0, []
+    for part in sorted(sums):  # parts are in the order of values
+        wanted += [(part, r - before, r) for r in ranks if before <= r < before + sums[part]]
+        before += sums[part]
+    inside = dealt.filter(F.col("part").isin(*{w[0] for w in wanted})).withColumn("upto", F.sum("n").over(W.partitionBy("part").orderBy("v").rowsBetween(W.unboundedPreceding, 0)))
+    ask = df.sparkSession.createDataFrame(wanted, "part int, place long, rank long")
+    hits = inside.join(F.broadcast(ask), "part").filter((F.col("place") < F.col("upto")) & (F.col("place") >= F.col("upto") - F.col("n")))
+    found = {r["rank"]: r["v"] for r in hits.select("rank", "v").collect()}
+    low = [found[int(x)] for x in at]
+    high = [found[min(int(x) + 1, total - 1)] for x in at]
+    return [a + (b - a) * (x - int(x)) for a, b, x in zip(low, high, at)]
+
+
 def quantile_edges(df: DataFrame, size: str, bins: int) -> list[float]:
     """Interpolated quantiles of size at 0, 1/bins ... 1; a bounded row to the driver."""
-    row = df.agg(*(F.percentile(size, F.lit(i / bins)).alias(f"q{i}") for i in range(bins + 1))).first()
-    return list(row)
+    return quantiles(df, size, [i / bins for i in range(bins + 1)])
 
 
 def distinct_edges(df: DataFrame, size: str, bins: int, start: float) -> list[float]:

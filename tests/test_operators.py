@@ -187,6 +187,15 @@ def test_defaults_only_where_absent(spark):
     assert got.p is None and got.q == 8.0
 
 
+def test_quantiles_equal_the_built_in(spark):
+    rng = random.Random(4)
+    df = spark.createDataFrame([(rng.choice([None, 1.0, 2.0, rng.random() * 9]),) for _ in range(800)], "v double")
+    shares = [0.0, 0.1, 0.25, 0.5, 0.999, 1.0]
+    expected = df.select(F.percentile("v", F.array(*(F.lit(q) for q in shares)))).first()[0]
+    assert sampling.quantiles(df, "v", shares) == pytest.approx(expected)
+    assert sampling.quantiles(df.filter("v > 99"), "v", [0.5]) == [None]
+
+
 def test_sets(spark):
     a, b = spark.createDataFrame([(1, 2)], "k long, x long"), spark.createDataFrame([(2, "s")], "k long, y string")
     assert sets.union_with_source({"a": a, "b": b}).columns == ["k", "x", "source", "y"]
