@@ -14,6 +14,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from furrow.operators.grids import CELL, aggregate_to_grid, assign_windows, resample_bilinear, with_cv
+from furrow.operators.sampling import quantiles
+from furrow.session import materialise
 
 GLOBAL = -1
 
@@ -28,7 +30,9 @@ def training_rows(fine: DataFrame, coarse: DataFrame, factor: int, predictors: l
     for p in predictors:
         cells = cells.filter(F.col(f"mean_{p}").isNotNull())
     cells = cells.filter("y IS NOT NULL AND cv > 0 AND cv < 1000")
-    bounds = cells.agg(F.percentile("cv", quantile).alias("cut"), F.min(1 / F.col("cv")).alias("lo"), F.max(1 / F.col("cv")).alias("hi"))
+    cells = materialise(cells, "training")
+    cut = quantiles(cells, "cv", [quantile])[0]
+    bounds = cells.agg(F.lit(cut).cast("double").alias("cut"), F.min(1 / F.col("cv")).alias("lo"), F.max(1 / F.col("cv")).alias("hi"))
     scaled = F.coalesce((1 / F.col("cv") - F.col("lo")) / F.nullif(F.col("hi") - F.col("lo"), F.lit(0.0)), F.lit(1.0))
     return cells.crossJoin(F.broadcast(bounds)).withColumn("w", scaled * F.when(F.col("cv") > F.col("cut"), 0.5).otherwise(1.0)).drop("cut", "lo", "hi")
 
