@@ -519,13 +519,13 @@ def _(s: Source):
     return catalog.bad_assets(_assets(s)).select("o_orderkey", F.array_join("bad", ",").alias("bad"))
 
 
-_NAMES = "SELECT o_orderkey, 'force/X' || lpad(CAST(o_custkey % 100 AS VARCHAR(9)), 4, '0') || '_Y' || lpad(CAST(o_orderkey % 80 AS VARCHAR(9)), 4, '0') || '/' || strftime(o_orderdate, '%Y%m%d') || '_LEVEL2_' || CASE o_orderkey % 3 WHEN 0 THEN 'BNR' WHEN 1 THEN 'RE1' ELSE 'SW2' END || '.tif' AS path FROM orders"
+_NAMES = "SELECT o_orderkey, 'tiles/X' || lpad(CAST(o_custkey % 100 AS VARCHAR(9)), 4, '0') || '_Y' || lpad(CAST(o_orderkey % 80 AS VARCHAR(9)), 4, '0') || '/' || strftime(o_orderdate, '%Y%m%d') || '_LEVEL2_' || CASE o_orderkey % 3 WHEN 0 THEN 'BNR' WHEN 1 THEN 'RE1' ELSE 'SW2' END || '.tif' AS path FROM orders"
 
 
 def _paths(s: Source):
     four = lambda k: F.lpad(k.cast("string"), 4, "0")
     band = F.get(F.array(*(F.lit(b) for b in ("BNR", "RE1", "SW2"))), (F.col("o_orderkey") % 3).cast("int"))
-    return s.table("orders").select("o_orderkey", F.concat(F.lit("force/X"), four(F.col("o_custkey") % 100), F.lit("_Y"), four(F.col("o_orderkey") % 80), F.lit("/"), F.date_format("o_orderdate", "yyyyMMdd"), F.lit("_LEVEL2_"), band, F.lit(".tif")).alias("path"))
+    return s.table("orders").select("o_orderkey", F.concat(F.lit("tiles/X"), four(F.col("o_custkey") % 100), F.lit("_Y"), four(F.col("o_orderkey") % 80), F.lit("/"), F.date_format("o_orderdate", "yyyyMMdd"), F.lit("_LEVEL2_"), band, F.lit(".tif")).alias("path"))
 
 
 @query("s4_scene_names", f"WITH n AS ({_NAMES}) SELECT o_orderkey, regexp_extract(path, '(X[0-9]{{4}}_Y[0-9]{{4}})', 1) AS tile, CAST(strptime(regexp_extract(path, '/([0-9]{{8}})_', 1), '%Y%m%d') AS DATE) AS scene_date, monthname(strptime(regexp_extract(path, '/([0-9]{{8}})_', 1), '%Y%m%d')) AS month_name, regexp_extract(path, '_([A-Z]{{2}}[A-Z0-9])[.]tif', 1) AS band, CASE o_orderkey % 3 WHEN 0 THEN 'B08' WHEN 1 THEN 'B05' ELSE 'B12' END AS sensor_band FROM n")
