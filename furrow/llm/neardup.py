@@ -21,7 +21,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from furrow.llm.hashing import Words, finish
@@ -77,8 +77,13 @@ def estimate(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray) ->
     return ((a == b).mean(axis=1) - chance) / (1 - chance)
 
 
+def text_key(docs: DataFrame, text_col: str) -> Column:
+    """128-bit digest of a row's text, null for a null text."""
+    return F.unhex(F.md5(docs[text_col].cast("string")))
+
+
 def sketches(docs: DataFrame, n: int, id_col: str, text_col: str) -> DataFrame:
-    """(id, n_shingles, node, regs) per row: node is a 128-bit digest of the set, null for an empty one."""
+    """(id, key, n_shingles, node, regs) per row: node is a 128-bit digest of the set, null for an empty one; key one of the text."""
 
     def run(batches):
         for batch in batches:
@@ -87,14 +92,16 @@ def sketches(docs: DataFrame, n: int, id_col: str, text_col: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(
                     [
                         part.column("id").cast(pa.int64()),
+                        part.column("key"),
                         pa.array([len(s) for s in sets], pa.int64()),
                         pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets], pa.binary()),
                         pa.array([registers(s).tobytes() if len(s) else None for s in sets], pa.binary()),
                     ],
-                    names=["id", "n_shingles", "node", "regs"],
+                    names=["id", "key", "n_shingles", "node", "regs"],
                 )
 
-    return docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].cast("string").alias("text")).mapInArrow(tidy(run), "id long, n_shingles long, node binary, regs binary")
+    chosen = docs.select(docs[id_col].cast("long").alias("id"), text_key(docs, text_col).alias("key"), docs[text_col].cast("string").alias("text"))
+    return chosen.mapInArrow(tidy(run), "id long, key binary, n_shingles long, node binary, regs binary")
 
 
 def _buckets(classes: DataFrame) -> DataFrame:
@@ -238,16 +245,8 @@ def _tiles(nodes: DataFrame, sets: DataFrame, share: int, members: int = 256, bl
     return spread.withColumn("task", task).groupBy("task").applyInPandas(compare, "a binary, b binary")
 
 
-def components(docs: DataFrame, n: int = SHINGLE, share: int = SHARE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n_shingles, component_id, kept) per row.
-
-    Rows with equal shingle sets belong together; two sets are linked if
-    100 * intersection >= share * union. component_id is the least id that links reach, kept
-    tells whether it is the row's own. A text of fewer than n words is one shingle; null
-    texts and texts without words have no shingles, are linked with nothing, and keep
-    their own id. Rows that repeat an id are judged by their own texts. Null ids never
-    become a component_id unless all ids of a component are null.
-    """
+def _linked(docs: DataFrame, n: int, share: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """The sketches of all rows, and (node, id, comp) of every class: its least id, and what links reach alike."""
     rows = materialise(sketches(docs, n, id_col, text_col), "sketches")
     filled = rows.filter("node IS NOT NULL")
     classes = materialise(filled.groupBy("node").agg(F.min("id").alias("id"), F.min("n_shingles").alias("n_shingles"), F.min("regs").alias("regs")), "classes")
@@ -271,7 +270,20 @@ def components(docs: DataFrame, n: int = SHINGLE, share: int = SHARE, id_col: st
     if more.take(1):
         found = materialise(connected_components(links.union(more)), "components")
 
-    ids = classes.select("node", "id").join(found, "node", "left").select("node", "id", F.coalesce("component", "node").alias("comp"))
+    return rows, classes.select("node", "id").join(found, "node", "left").select("node", "id", F.coalesce("component", "node").alias("comp"))
+
+
+def components(docs: DataFrame, n: int = SHINGLE, share: int = SHARE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, n_shingles, component_id, kept) per row.
+
+    Rows with equal shingle sets belong together; two sets are linked if
+    100 * intersection >= share * union. component_id is the least id that links reach, kept
+    tells whether it is the row's own. A text of fewer than n words is one shingle; null
+    texts and texts without words have no shingles, are linked with nothing, and keep
+    their own id. Rows that repeat an id are judged by their own texts. Null ids never
+    become a component_id unless all ids of a component are null.
+    """
+    rows, ids = _linked(docs, n, share, id_col, text_col)
     least = ids.groupBy("comp").agg(F.min("id").alias("component_id"))
     labels = materialise(ids.join(least, "comp").select("node", "component_id"), "labels")
     joined = rows.select("id", "n_shingles", "node").join(labels, "node", "left")
@@ -280,6 +292,27 @@ def components(docs: DataFrame, n: int = SHINGLE, share: int = SHARE, id_col: st
 
 
 def keep_first(docs: DataFrame, n: int = SHINGLE, share: int = SHARE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with all columns, one document (the least id) of each group of near-duplicates."""
-    gone = materialise(components(docs, n, share, id_col, text_col).filter("NOT kept").select(F.col(id_col).alias("gone_id")).distinct(), "gone")
-    return docs.join(gone, docs[id_col].cast("long").eqNullSafe(gone["gone_id"]), "left_anti")
+    """docs with all columns, exactly one row of each group of near-duplicates.
+
+    Rows are judged one by one, also those that share an id or have none: the row with
+    the least id stays (null ids last), among these the one with the least text digest.
+    Of rows that repeat id and text one stays, the least by its columns as JSON. Texts
+    without shingles are in no group and all stay.
+    """
+    rows, ids = _linked(docs, n, share, id_col, text_col)
+    place = F.struct(F.col("id").isNull().alias("last"), "id", "key")
+    firsts = materialise(rows.filter("node IS NOT NULL").groupBy("node").agg(F.min(place).alias("first")).join(ids.select("node", "comp"), "node"), "firsts")
+    least = firsts.groupBy("comp").agg(F.min("first").alias("first"))
+    chosen = materialise(firsts.select("node", "comp").join(least, "comp").select("node", "first"), "chosen")
+    judged = rows.select("id", "key", "node").join(chosen, "node").groupBy("id", "key").agg(F.first(place.eqNullSafe(F.col("first"))).alias("stays"), F.count(F.lit(1)).alias("n"))
+    # rows to take out: those that go, and those of which one is put back
+    out = materialise(judged.filter("NOT stays OR n > 1").select(F.col("id").alias("out_id"), F.col("key").alias("out_key"), "stays"), "out")
+    same = docs[id_col].cast("long").eqNullSafe(out["out_id"]) & (text_key(docs, text_col) == out["out_key"])
+    kept = docs.join(out, same, "left_anti")
+    again = out.filter("stays")
+    if not again.take(1):
+        return kept
+    row = F.struct("*")
+    repeated = docs.join(again, same, "left_semi")
+    one = repeated.groupBy(repeated[id_col].cast("long"), text_key(repeated, text_col)).agg(F.min_by(row, F.to_json(row)).alias("row"))
+    return kept.union(one.select("row.*"))

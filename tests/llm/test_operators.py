@@ -291,6 +291,30 @@ def test_near_duplicates(docs, pairs):
     assert kept.columns == docs.columns
 
 
+def test_keep_first_judges_rows(spark):
+    """One row of each group stays; rows that only share an id, or have none, are judged by their own texts."""
+    a, b, c, d = (" ".join(f"{x}{i}" for i in range(40)) for x in "abcd")
+    some = [
+        (3, a, "en", None, None), (5, a + " more", "en", None, None), (None, "no id " + a, None, None, None),
+        (5, "clean text under an id that goes", "en", None, None), (None, "unique without an id", None, None, None),
+        (None, None, None, None, None), (None, "", None, None, None), (8, "", None, None, None), (8, "", None, None, None),
+        (6, b, "en", "x", None), (6, b, "de", None, "y"), (6, b, "de", None, "y"), (9, b, "en", None, None),
+        (None, c, "en", None, None), (None, c, "en", None, None), (None, c + " tail", "en", None, None),
+        (7, d, None, None, None), (7, d + " tail", None, None, None),
+    ]
+    df = X.table(spark, some).repartition(3)
+    kept = neardup.keep_first(df)
+    assert kept.schema == df.schema
+    found = [tuple(r) for r in kept.collect()]
+    assert all(r in some for r in found)
+    # brute force: groups of rows, not of ids
+    groups = {}
+    for i, (_, _, comp, _) in enumerate(X.near([(i, r[1]) for i, r in enumerate(some)], 5, 80)):
+        groups.setdefault(comp, []).append(some[i])
+    expected = [min(g, key=lambda r: (r[0] is None, r[0] or 0, hashlib.md5((r[1] or "").encode()).digest()))[:2] for g in groups.values()]
+    assert X.ordered(r[:2] for r in found) == X.ordered(expected)
+
+
 def test_near_duplicate_chains(spark):
     """A family whose members are linked only through one another, at and around the threshold."""
     rng = random.Random(11)
