@@ -17,7 +17,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -116,6 +116,18 @@ def is_contaminated(n_hit: int, n_words: int) -> bool:
     return n_hit > 0 and 20 * n_hit >= n_words
 
 
+def without(t: bytes, hits: list[tuple], n: int) -> bytes:
+    """A text of n words less its hit words, from the first to the last byte of consecutive ones."""
+    spans = [m.span() for m in _WORD.finditer(t.translate(ALNUM))]
+    gone = np.flatnonzero(covered(hits, n)).tolist()
+    kept, at = [], 0
+    for k, i in enumerate(gone):
+        if not k or gone[k - 1] != i - 1:
+            kept.append(t[at : spans[i][0]])
+        at = spans[i][1]
+    return b"".join([*kept, t[at:]])
+
+
 def _small_set(grams: DataFrame, limit: int) -> NgramSet | None:
     """The windows on the driver, or None if there are more than `limit`."""
     found = grams.limit(limit + 1).collect()
@@ -167,11 +179,13 @@ def flag(docs: DataFrame, items: DataFrame, n: int = WINDOW, max_windows: int =
     return annotate(docs, id_col, text_col, _FIELDS, make)
 
 
-def _flag_by_join(docs: DataFrame, grams: DataFrame, n: int, id_col: str, text_col: str) -> DataFrame:
-    """flag() for a benchmark of any size: documents' windows meet the set in a shuffle join on 128-bit digests.
+def _row_key(docs: DataFrame, id_col: str, text_col: str) -> Column:
+    """Id and text digest of a row; rows that have both alike have equal results."""
+    return F.concat_ws(":", F.coalesce(docs[id_col].cast("string"), F.lit("null")), F.md5(F.coalesce(docs[text_col].cast("string"), F.lit(""))))
 
-    Rows are told apart by id and text digest; equal rows have equal results.
-    """
+
+def _hits_by_join(docs: DataFrame, grams: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """(row, id, text) of all rows and (row, hits), for a benchmark of any size: documents' windows meet the set in a shuffle join on 128-bit digests."""
     sizes = sorted(r["size"] for r in grams.select("size").distinct().collect())  # at most n values
 
     def run(batches):
@@ -193,12 +207,21 @@ def _flag_by_join(docs: DataFrame, grams: DataFrame, n: int, id_col: str, text_c
             keys = [hashlib.blake2b(g, digest_size=16).digest() for g in batch.column("gram").to_pylist()]
             yield pa.RecordBatch.from_pydict({"key": pa.array(keys, pa.binary()), "item": batch.column("item")})
 
+    rows = docs.select(_row_key(docs, id_col, text_col).alias("row"), docs[id_col].alias("id"), docs[text_col].cast("string").alias("text"))
+    places = rows.dropDuplicates(["row"]).select("row", "text").mapInArrow(tidy(run), "row string, key binary, start int, size int")
+    keys = grams.select("gram", "item").mapInArrow(tidy(digests), "key binary, item string")
+    return rows, places.join(keys, "key").groupBy("row").agg(F.collect_set(F.struct("start", "size", "item")).alias("hits"))
+
+
+def _flag_by_join(docs: DataFrame, grams: DataFrame, n: int, id_col: str, text_col: str) -> DataFrame:
+    """flag() for a benchmark of any size."""
+
     def close(frames):
         import pandas as pd
 
         for frame in frames:
             out = []
-            for row, ident, t, hits in frame.itertuples(index=False):
+            for ident, t, hits in frame.itertuples(index=False):
                 n_words = len(alnum_words((t or "").encode()))
                 spans = {(h["start"], h["size"]) for h in hits} if hits is not None else set()
                 found = sorted({h["item"] for h in hits if h["item"] is not None}) if hits is not None else []
@@ -206,13 +229,35 @@ def _flag_by_join(docs: DataFrame, grams: DataFrame, n: int, id_col: str, text_c
                 out.append((ident, n_words, n_hit, len(found), sha256_hex(",".join(found).encode()), is_contaminated(n_hit, n_words)))
             yield pd.DataFrame(out, columns=[id_col, *(f.name for f in _FIELDS)])
 
-    rows = docs.select(docs[id_col].alias("id"), docs[text_col].cast("string").alias("text"))
-    rows = rows.select(F.concat_ws(":", F.coalesce(F.col("id").cast("string"), F.lit("null")), F.md5(F.coalesce("text", F.lit("")))).alias("row"), "id", "text")
-    places = rows.dropDuplicates(["row"]).select("row", "text").mapInArrow(tidy(run), "row string, key binary, start int, size int")
-    keys = grams.select("gram", "item").mapInArrow(tidy(digests), "key binary, item string")
-    hits = places.join(keys, "key").groupBy("row").agg(F.collect_set(F.struct("start", "size", "item")).alias("hits"))
+    rows, hits = _hits_by_join(docs, grams, id_col, text_col)
     schema = T.StructType([T.StructField(id_col, docs.schema[id_col].dataType), *_FIELDS])
-    return rows.join(hits, "row", "left").select("row", "id", "text", "hits").mapInPandas(close, schema)
+    return rows.join(hits, "row", "left").select("id", "text", "hits").mapInPandas(close, schema)
+
+
+def _clean_by_join(docs: DataFrame, grams: DataFrame, action: str, id_col: str, text_col: str) -> DataFrame:
+    """clean() for a benchmark of any size."""
+
+    def judge(frames):
+        import pandas as pd
+
+        for frame in frames:
+            out = []
+            for row, t, hits in frame.itertuples(index=False):
+                data = t.encode()
+                n_words, spans = len(alnum_words(data)), list({(h["start"], h["size"]) for h in hits})
+                if action == "cut":
+                    out.append((row, without(data, spans, n_words).decode()))
+                elif is_contaminated(int(covered(spans, n_words).sum()), n_words):
+                    out.append((row, None))
+            yield pd.DataFrame(out, columns=["hit_row", "left"], dtype=object)
+
+    rows, hits = _hits_by_join(docs, grams, id_col, text_col)
+    judged = rows.select("row", "text").join(hits, "row").mapInPandas(judge, "hit_row string, left string").dropDuplicates(["hit_row"])
+    same = _row_key(docs, id_col, text_col) == judged["hit_row"]
+    if action == "drop":
+        return docs.join(judged, same, "left_anti")
+    text = F.when(judged["hit_row"].isNotNull(), judged["left"].cast(docs.schema[text_col].dataType)).otherwise(docs[text_col])
+    return docs.join(judged, same, "left").select(*(text.alias(c) if c == text_col else docs[c] for c in docs.columns))
 
 
 def clean(docs: DataFrame, items: DataFrame, action: str = "drop", n: int = WINDOW, max_windows: int = MAX_WINDOWS, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
@@ -224,10 +269,7 @@ def clean(docs: DataFrame, items: DataFrame, action: str = "drop", n: int = WIND
     grams = windows(items, item_id_col, item_text_col, n)
     small = _small_set(grams, max_windows)
     if small is None:
-        if action != "drop":
-            raise ValueError("cutting spans needs a benchmark of at most max_windows windows")
-        bad = _flag_by_join(docs, grams, n, id_col, text_col).filter("contaminated").select(F.col(id_col).alias("bad_id")).distinct()
-        return docs.join(bad, docs[id_col].eqNullSafe(bad["bad_id"]), "left_anti")
+        return _clean_by_join(docs, grams, action, id_col, text_col)
     shared = docs.sparkSession.sparkContext.broadcast(small)
 
     def make():
@@ -246,14 +288,7 @@ def clean(docs: DataFrame, items: DataFrame, action: str = "drop", n: int = WIND
             for t in batch:
                 words = alnum_words(t or b"")
                 if hits := index.hits(words):
-                    spans = [m.span() for m in _WORD.finditer(t.translate(ALNUM))]
-                    gone = np.flatnonzero(covered(hits, len(words))).tolist()
-                    kept, at = [], 0
-                    for k, i in enumerate(gone):
-                        if not k or gone[k - 1] != i - 1:
-                            kept.append(t[at : spans[i][0]])
-                        at = spans[i][1]
-                    t = b"".join([*kept, t[at:]])
+                    t = without(t, hits, len(words))
                 out.append(t)
             return out
 

@@ -56,6 +56,19 @@ def test_spans_are_cut(spark):
     assert got == {1: "Before, ! after", 2: "clean text", 3: None}
 
 
+@pytest.mark.parametrize("action", ["drop", "cut"])
+def test_large_benchmarks_clean_alike(spark, docs, pairs, action):
+    """Beyond the window cap the same rows and texts are left, also where ids are null or shared."""
+    items = spark.createDataFrame(ITEMS, "item_id long, text string")
+    small, large = (decontaminate.clean(docs, items, action=action, max_windows=most) for most in (decontaminate.MAX_WINDOWS, 3))
+    assert large.schema == small.schema
+    assert plain(large, *docs.columns) == plain(small, *docs.columns)
+    if action == "drop":
+        clean = [p for p, r in zip(pairs, X.decontaminate(pairs, ITEMS), strict=True) if not r[5]]
+        assert plain(large, "doc_id", "text") == X.ordered(clean)
+        assert (None, None) in clean and (7, "another text under the same id") in clean
+
+
 # --- 2: WARC ------------------------------------------------------------------
 
 PAGES = [(1, "http://b.example/x?q=1", "same"), (2, "http://a.example/", "same"), (9, "http://a.example/", "same"), (3, None, None), (4, "not a url", ""), (5, "http://a.example:8080/ü", "a\r\n\r\nb\x00 ünï"), (5, "http://a.example:8080/ü", "a\r\n\r\nb\x00 ünï"), (None, "http://c/", "same"), (None, None, "lonely"), (6, "http://[bad", "x" * 200_000)]
