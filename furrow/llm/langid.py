@@ -1,13 +1,13 @@
 """Language identification by prediction by partial matching over bytes.
 
-Each language has a variable-order context tree of depth ORDER over folded bytes
-(ASCII letters in lower case, all other ASCII as one space symbol, the most frequent
-bytes above 0x7F each, the rest as one symbol). Training counts every position of
-every training text in Spark; then the statistics are frozen. The probability of a
-symbol after a context uses escape method C: n / (N + d) if it was seen there, else
-the escape probability d / (N + d) times its probability after the next shorter
-context, down to a uniform one. As nothing adapts, the exact code length of every
-(context, symbol) is a table entry, and a text's code length under a language is a sum.
+Each language has a variable-order context tree of depth ORDER over all 256 byte
+values. Training counts every position of every training text in Spark, as sparse rows
+(language, context and byte, count); then the statistics are frozen. The probability of
+a byte after a context uses escape method C: n / (N + d) if it was seen there, else the
+escape probability d / (N + d) times its probability after the next shorter context,
+down to a uniform one. As nothing adapts, the code lengths of all (context, byte) that
+were really seen are rows of hashed tables, one column a language, and a text's code
+length under a language is a sum.
 """
 
 from __future__ import annotations
@@ -15,6 +15,7 @@ from __future__ import annotations
 import re
 import uuid
 from dataclasses import dataclass
+from typing import ClassVar
 
 import numpy as np
 import pyarrow as pa
@@ -25,82 +26,149 @@ from pyspark.sql import types as T
 from furrow.llm.text import annotate, rewrite, slices, texts, tidy
 
 ORDER = 3
-#: Symbols: 0 the space, 1-26 letters, 27 rare high bytes, then the frequent high bytes.
-ALPHABET = 40
-_PAD = b"\n" * ORDER
+#: Every byte is a symbol; a code of (context, symbol) fills 32 bits.
+ALPHABET = 256
+#: Before its first byte a text counts as NULs.
+_PAD = b"\0" * ORDER
+#: (context, symbol) counts that a task holds before it sends them on.
+HELD = 4 << 20
 _LETTER = re.compile(rb"[A-Za-z]")
 
 
 def symbol_table(high_bytes: list[int]) -> np.ndarray:
-    """Byte to symbol; high_bytes: the bytes above 0x7F that have a symbol of their own."""
-    table = np.zeros(256, np.int32)
-    for i in range(26):
-        table[ord("a") + i] = table[ord("A") + i] = 1 + i
-    table[128:] = 27
-    for i, b in enumerate(high_bytes[: ALPHABET - 28]):
-        table[b] = 28 + i
-    return table
+    """Byte to symbol: each byte is its own, whichever bytes above 0x7F there are."""
+    return np.arange(ALPHABET, dtype=np.int32)
 
 
-def gram_codes(data: list[bytes], table: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Codes of (context, symbol) at every byte of each text (none empty), and each text's range.
-
-    A text's first symbols see a context of spaces.
-    """
-    symbols = table[np.frombuffer(_PAD + b"".join(t + _PAD for t in data), np.uint8)]
+def gram_codes(data: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Codes (uint32) of (context, symbol) at every byte of each text (none empty), and each text's range."""
+    symbols = np.frombuffer(_PAD + b"".join(t + _PAD for t in data), np.uint8).astype(np.uint32)
     codes = symbols[ORDER:].copy()
     for k in range(1, ORDER + 1):
-        codes += symbols[ORDER - k : len(symbols) - k] * ALPHABET**k
+        codes |= symbols[ORDER - k : len(symbols) - k] << np.uint32(8 * k)
     sizes = np.fromiter(map(len, data), np.int64, len(data))
     ends = np.cumsum(sizes + ORDER) - ORDER
     return codes, ends - sizes, ends
 
 
-def code_lengths(counts: np.ndarray) -> np.ndarray:
-    """Bits of every (context, symbol) from counts of shape (ALPHABET,) * (ORDER + 1)."""
-    levels = [counts]
-    for _ in range(ORDER):
-        levels.append(levels[-1].sum(axis=0))
-    p = np.full(ALPHABET, 1 / ALPHABET)
-    for c in reversed(levels):
-        total, kinds = c.sum(axis=-1, keepdims=True), (c > 0).sum(axis=-1, keepdims=True)
-        base = np.maximum(total + kinds, 1)
-        p = np.where(total == 0, p, np.where(c > 0, c / base, kinds / base * p))
-    return -np.log2(p)
+def summed(codes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct codes and their summed counts."""
+    order = np.argsort(codes, kind="stable")
+    codes, counts = codes[order], counts[order]
+    first = np.flatnonzero(np.concatenate(([True], codes[1:] != codes[:-1]))) if len(codes) else np.zeros(0, np.int64)
+    return codes[first], np.add.reduceat(counts, first) if len(first) else counts
+
+
+class CodeTable:
+    """Row numbers of distinct uint32 codes by a hash into sorted buckets; rows are in the order of `keys`."""
+
+    def __init__(self, codes: np.ndarray):
+        bits = max(4, (2 * len(codes)).bit_length())
+        self.shift = np.uint32(32 - min(bits, 31))
+        at = self.slot(codes)
+        self.order = np.argsort(at, kind="stable")
+        self.keys = np.append(codes[self.order], np.uint32(0))
+        self.n = len(codes)
+        self.starts = np.searchsorted(at[self.order], np.arange((1 << min(bits, 31)) + 1)).astype(np.int32)
+
+    def slot(self, codes: np.ndarray) -> np.ndarray:
+        return ((codes ^ (codes >> np.uint32(15))) * np.uint32(0x9E3779B1)) >> self.shift
+
+    def find(self, codes: np.ndarray) -> np.ndarray:
+        """Row of each code, or the number of rows if it has none."""
+        slot = self.slot(codes)
+        at = self.starts[slot]
+        out = np.where((self.keys[at] == codes) & (at < self.n), at, np.int32(self.n))
+        open_ = np.flatnonzero(out == self.n)
+        at, end, codes = at[open_] + np.int32(1), self.starts[slot[open_] + np.uint32(1)], codes[open_]
+        while len(open_):
+            more = at < end
+            open_, at, end, codes = open_[more], at[more], end[more], codes[more]
+            hit = self.keys[at] == codes
+            out[open_[hit]] = at[hit]
+            open_, at, end, codes = open_[~hit], at[~hit] + np.int32(1), end[~hit], codes[~hit]
+        return out
+
+
+def code_lengths(grams: list[np.ndarray], counts: list[np.ndarray]) -> list[tuple]:
+    """Per depth 0..ORDER: table and bits of every (context, symbol) seen, table and escape bits of every context seen.
+
+    Bits have one column a language and, at the end, a row of zeros for what wasn't seen.
+    A symbol that a language has not seen after a context has its escapes added up.
+    """
+    levels, n = [], len(grams)
+    for k in range(ORDER + 1):
+        mask = np.uint32((1 << 8 * (k + 1)) - 1)
+        own = [summed(g & mask, c) for g, c in zip(grams, counts, strict=True)]
+        seen = np.unique(np.concatenate([g for g, _ in own]))
+        table, contexts = CodeTable(seen), CodeTable(np.unique(seen >> np.uint32(8)))
+        seen = table.keys[:-1]
+        bits, escape = np.zeros((len(seen) + 1, n), np.float32), np.zeros((contexts.n + 1, n), np.float32)
+        if k:
+            below, lower = levels[-1][0], levels[-1][1]
+            bits[:-1] = lower[below.find(seen & np.uint32((1 << 8 * k) - 1))]
+        else:
+            bits[:-1] = np.log2(ALPHABET)
+        of = contexts.find(seen >> np.uint32(8))
+        for i, (g, c) in enumerate(own):
+            at, ctx = table.find(g), contexts.find(g >> np.uint32(8))
+            total, kinds = np.bincount(ctx, c, contexts.n + 1), np.bincount(ctx, minlength=contexts.n + 1)
+            known = kinds > 0
+            escape[known, i] = np.log2((total + kinds)[known] / kinds[known])
+            bits[:-1, i] += escape[of, i]
+            bits[at, i] = np.log2((total + kinds)[ctx] / c)
+        levels.append((table, bits, contexts, escape))
+    return levels
 
 
 @dataclass(frozen=True)
 class LanguageModel:
-    """Frozen statistics: sparse (context, symbol) counts of each language; at most ALPHABET ** (ORDER + 1) each."""
+    """Frozen statistics: sorted sparse (context, symbol) counts of each language, only of what was seen."""
 
     key: str
-    high_bytes: tuple[int, ...]
     langs: tuple[str, ...]
     docs: tuple[int, ...]
     grams: tuple[bytes, ...]
     counts: tuple[bytes, ...]
+    #: Bytes above 0x7F with a symbol of their own: all.
+    high_bytes: ClassVar[tuple[int, ...]] = tuple(range(128, 256))
 
 
 class Scorer:
     def __init__(self, model: LanguageModel):
         self.key, self.langs = model.key, model.langs
-        self.table = symbol_table(list(model.high_bytes))
-        self.bits = np.zeros((ALPHABET ** (ORDER + 1), len(model.langs)), np.float32)
-        for i, (grams, counts) in enumerate(zip(model.grams, model.counts, strict=True)):
-            dense = np.zeros(ALPHABET ** (ORDER + 1))
-            dense[np.frombuffer(grams, np.int32)] = np.frombuffer(counts, np.int64)
-            self.bits[:, i] = code_lengths(dense.reshape((ALPHABET,) * (ORDER + 1))).ravel()
+        if self.langs:
+            self.levels = code_lengths([np.frombuffer(g, np.uint32) for g in model.grams], [np.frombuffer(c, np.int64) for c in model.counts])
         docs = np.array(model.docs, float)
         self.prior = -np.log2(docs / docs.sum()) if len(docs) else docs
 
+    def rare(self, codes: np.ndarray) -> np.ndarray:
+        """Bits (one column a language) of codes that no language has seen."""
+        out = np.zeros((len(codes), len(self.langs)))
+        left = np.arange(len(codes))
+        for k in range(ORDER, -1, -1):
+            table, bits, contexts, escape = self.levels[k]
+            now = codes[left] & np.uint32((1 << 8 * (k + 1)) - 1)
+            rows = table.find(now)
+            out[left] += bits[rows]
+            left, now = left[rows == table.n], now[rows == table.n]
+            out[left] += escape[contexts.find(now >> np.uint32(8))]
+        out[left] += np.log2(ALPHABET)
+        return out
+
     def __call__(self, batch: list[bytes | None]) -> list[tuple[str, float]]:
         out = [("und", 0.0)] * len(batch)
         known = [i for i, t in enumerate(batch) if t and (_LETTER.search(t) or any(map(str.isalpha, t.decode())))]
         if not known or not self.langs:
             return out
-        codes, starts, ends = gram_codes([batch[i] for i in known], self.table)
+        codes, starts, ends = gram_codes([batch[i] for i in known])
+        table, seen = self.levels[ORDER][:2]
+        rows = np.concatenate([table.find(codes[at : at + (1 << 18)]) for at in range(0, len(codes), 1 << 18)])
+        new = np.flatnonzero(rows == table.n)
+        more = self.rare(codes[new])
+        cuts = np.searchsorted(new, np.stack((starts, ends)))
         for k, i in enumerate(known):
-            bits = self.bits[codes[starts[k] : ends[k]]].sum(axis=0, dtype=np.float64) + self.prior
+            bits = seen[rows[starts[k] : ends[k]]].sum(axis=0, dtype=np.float64) + more[cuts[0, k] : cuts[1, k]].sum(axis=0) + self.prior
             odds = np.exp2(bits.min() - bits)
             best = int(bits.argmin())
             out[i] = (self.langs[best], float(odds[best] / odds.sum()))
@@ -120,31 +188,29 @@ def scorer(model: LanguageModel) -> Scorer:
 def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang") -> LanguageModel:
     """Learn from every row whose text and language are not null.
 
-    One pass finds the frequent high bytes, a second counts contexts; both combine
-    counts inside each task first. No rows: a model without languages.
+    Counts are combined inside each task first. No rows: a model without languages.
+    A text that is empty counts as a document only.
     """
     rows = labelled.select(labelled[text_col].cast("string").alias("text"), labelled[lang_col].cast("string").alias("lang")).filter("text IS NOT NULL AND lang IS NOT NULL")
 
-    def count_bytes(batches):
-        total = np.zeros(256, np.int64)
-        for batch in batches:
-            for part in slices(batch, "text"):
-                total += np.bincount(np.frombuffer(b"".join(texts(part.column("text"))), np.uint8), minlength=256)
-        yield pa.RecordBatch.from_pydict({"byte": np.arange(128, 256, dtype=np.int32), "n": total[128:]})
-
-    found = rows.select("text").mapInArrow(tidy(count_bytes), "byte int, n long").groupBy("byte").agg(F.sum("n").alias("n")).collect()
-    high = [r["byte"] for r in sorted(found, key=lambda r: (-r["n"], r["byte"])) if r["n"]][: ALPHABET - 28]
-    table = symbol_table(high)
-    size = ALPHABET ** (ORDER + 1)
-
     def count_grams(batches):
-        held: dict[str, np.ndarray] = {}
+        held: dict[str, list[tuple[np.ndarray, np.ndarray]]] = {}
         docs: dict[str, int] = {}
 
+        def compact():
+            for lang, parts in held.items():
+                if len(parts) > 1:
+                    held[lang] = [summed(*(np.concatenate(x) for x in zip(*parts)))]
+            return sum(len(parts[0][0]) for parts in held.values() if parts)
+
         def flush():
-            for lang, counts in held.items():
-                grams = np.flatnonzero(counts).astype(np.int32)
-                yield pa.RecordBatch.from_pydict({"lang": [lang] * (len(grams) + 1), "gram": np.append(grams, np.int32(-1)), "n": np.append(counts[grams].astype(np.int64), docs[lang])})
+            compact()
+            for lang, n in docs.items():
+                grams, counts = held[lang][0] if held.get(lang) else (np.zeros(0, np.uint32), np.zeros(0, np.int64))
+                yield pa.RecordBatch.from_pydict({"lang": pa.array([lang]), "gram": pa.array([-1], pa.int64()), "n": pa.array([n], pa.int64())})
+                for at in range(0, len(grams), 1 << 18):
+                    some = grams[at : at + (1 << 18)]
+                    yield pa.RecordBatch.from_pydict({"lang": pa.array([lang] * len(some), pa.string()), "gram": pa.array(some.astype(np.int64)), "n": pa.array(counts[at : at + (1 << 18)])})
             held.clear()
             docs.clear()
 
@@ -154,15 +220,14 @@ def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang") ->
                 for lang, t in zip(part.column("lang").to_pylist(), texts(part.column("text")), strict=True):
                     by.setdefault(lang, []).append(t)
                 for lang, data in by.items():
-                    if lang not in held and len(held) >= 8:
-                        yield from flush()
-                    counts = held.setdefault(lang, np.zeros(size, np.uint32))
                     docs[lang] = docs.get(lang, 0) + len(data)
                     if data := [t for t in data if t]:
-                        codes, _, ends = gram_codes(data, table)
-                        counts += np.bincount(codes, minlength=size).astype(np.uint32)
-                        pads = (ends[:, None] + np.arange(ORDER)).ravel()  # the spaces after each text aren't part of it
-                        counts -= np.bincount(codes[pads], minlength=size).astype(np.uint32)
+                        codes, _, ends = gram_codes(data)
+                        real = np.ones(len(codes), bool)
+                        real[(ends[:, None] + np.arange(ORDER)).ravel()] = False  # the padding after each text isn't part of it
+                        held.setdefault(lang, []).append(np.unique(codes[real], return_counts=True))
+                if sum(len(g) for parts in held.values() for g, _ in parts) > HELD and compact() > HELD // 2:
+                    yield from flush()
         yield from flush()
 
     def pack(frame):
@@ -170,12 +235,17 @@ def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang") ->
 
         frame = frame.sort_values("gram")
         docs, grams = frame[frame.gram < 0], frame[frame.gram >= 0]
-        return pd.DataFrame({"lang": frame.lang[:1], "docs": [int(docs.n.sum())], "grams": [grams.gram.to_numpy(np.int32).tobytes()], "counts": [grams.n.to_numpy(np.int64).tobytes()]})
-
-    counted = rows.mapInArrow(tidy(count_grams), "lang string, gram int, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    # at most ALPHABET ** (ORDER + 1) rows a language, whatever the corpus
-    packed = sorted(counted.groupBy("lang").applyInPandas(pack, "lang string, docs long, grams binary, counts binary").collect())
-    return LanguageModel(uuid.uuid4().hex, tuple(high), tuple(r[0] for r in packed), tuple(r[1] for r in packed), tuple(bytes(r[2]) for r in packed), tuple(bytes(r[3]) for r in packed))
+        return pd.DataFrame({"lang": frame.lang[:1], "docs": [int(docs.n.sum())], "grams": [grams.gram.to_numpy(np.uint32).tobytes()], "counts": [grams.n.to_numpy(np.int64).tobytes()]})
+
+    counted = rows.mapInArrow(tidy(count_grams), "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    # parts by the code's upper bits, so that no task packs a whole language; in order they join to a sorted table
+    part = F.shiftright(F.col("gram"), 24).cast("int")
+    packed = counted.groupBy("lang", part.alias("part")).applyInPandas(lambda key, frame: pack(frame).assign(part=key[1]), "lang string, part int, docs long, grams binary, counts binary").collect()
+    by_lang: dict[str, list] = {}
+    for r in sorted(packed, key=lambda r: (r["lang"], r["part"])):
+        by_lang.setdefault(r["lang"], []).append(r)
+    joined = [(lang, sum(r["docs"] for r in parts), b"".join(r["grams"] for r in parts), b"".join(r["counts"] for r in parts)) for lang, parts in by_lang.items()]
+    return LanguageModel(uuid.uuid4().hex, *(tuple(r[i] for r in joined) for i in range(4)))
 
 
 def held_out(docs: DataFrame, id_col: str = "doc_id"):

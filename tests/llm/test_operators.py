@@ -246,6 +246,42 @@ def test_language_brute_force(spark):
         assert p == pytest.approx(1 / np.exp2(e.min() - e).sum(), rel=1e-4)
 
 
+SCRIPTS = {
+    "ru": "который ещё этот больше после время если только может быть первый объект здесь нашей съезд эти была мы вы они сыр рынок",
+    "uk": "який ще цей більше після час якщо тільки може бути перший об'єкт тут нашої з'їзд ці була ми ви вони сир ринок їжа є",
+    "el": "και είναι που για από αυτό μια δεν στο όμως μετά χρόνος πρώτος μπορεί εδώ αγορά νερό ημέρα",
+    "he": "של את על לא הוא היא זה אני אתה אבל אחרי זמן ראשון יכול כאן שוק מים יום",
+    "ar": "من في على هذا التي كان بعد وقت أول يمكن هنا سوق ماء يوم كل بين حتى",
+    "fa": "از در که این را است برای بعد وقت اول می‌تواند اینجا بازار آب روز همه بین تا پنج گفت چه",
+    "hi": "और है के लिए यह वह नहीं में पर समय पहला यहाँ बाजार पानी दिन सब बीच तक",
+    "mr": "आणि आहे साठी हा तो नाही मध्ये वर वेळ पहिला येथे बाजार पाणी दिवस सर्व पर्यंत",
+}
+LATIN = "über größe füße naïve déjà façade ångström øre señor ação coração été œuvre çà là où hôtel île août žena čas říz šest łódź ćma ńa ś ż ğ ş ı ő ű đ þ æ"
+
+
+def test_language_minority_scripts(spark):
+    """Languages of other scripts keep their bytes where a Latin-script source holds most text."""
+    rng = random.Random(5)
+    rows = [(i, " ".join(rng.choices(LATIN.split(), k=60)), "la") for i in range(600)]
+    for lang, words in SCRIPTS.items():
+        rows += [(len(rows) + i, " ".join(rng.choices(words.split(), k=4)), lang) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    got = langid.identify(docs).join(docs.select("doc_id", "lang"), "doc_id").filter("held_out AND lang <> 'la'").collect()
+    right = sum(r.lang == r.lang_pred for r in got) / len(got)
+    print(f"held-out accuracy, {len(got)} documents: {right:.4f}")
+    assert right >= 0.97
+
+
+def test_language_tables_have_all_that_was_seen():
+    rng = np.random.default_rng(3)
+    codes = np.unique(rng.integers(0, 2**32, 5000, np.uint32))
+    table = langid.CodeTable(codes[::2])
+    assert (table.keys[table.find(codes[::2])] == codes[::2]).all() and (table.find(codes[1::2]) == table.n).all()
+    model = langid.LanguageModel("k", ("a", "b"), (1, 3), *((x.tobytes(), y.tobytes()) for x, y in ((codes[:9], codes[4:20]), (np.arange(1, 10), np.arange(1, 17)))))
+    bits = langid.Scorer(model).rare(np.concatenate((codes[:30], np.array([0], np.uint32))))
+    assert bits.shape == (31, 2) and (bits > 0).all()
+
+
 def test_language_edges(spark, docs):
     got = {r.doc_id: (r.lang_pred, r.score) for r in langid.identify(docs).collect()}
     assert got[0] == got[1] == got[2] == got[3] == ("und", 0.0)
