@@ -1,4 +1,4 @@
-"""Column-set queries over station and pixel rows; each has the same chain as SQL."""
+"""Column-set queries over station and pixel rows; their SQL twins are written apart from them."""
 
 from __future__ import annotations
 
@@ -8,6 +8,7 @@ from furrow.functions import canopy
 from furrow.functions import formulas as f
 from furrow.operators import masks
 from furrow.plans.registry.base import Source, query, rounded
+from furrow.plans.registry.physics_sql import TWINS
 
 _STATION = (
     "SELECT CAST(id AS BIGINT) AS id, CAST(year AS DOUBLE) AS year, CAST(doy AS DOUBLE) AS doy, CAST(round(hr * 60) AS DOUBLE) / 60e0 AS hr, CAST(t_r1 AS DOUBLE) AS t_r, CAST(t_a1 AS DOUBLE) AS t_a, CAST(u AS DOUBLE) AS u, CAST(ea AS DOUBLE) AS ea, "
@@ -17,17 +18,18 @@ _STATION = (
 )
 
 
+def _rows(s: Source):
+    """Station rows as doubles."""
+    return s.spark.sql(_STATION.replace("FROM station", "FROM {station}"), station=s.view("station"))
+
+
 def _register(name: str, chain: f.FormulaSet, extra: dict[str, str], out: list[str], digits: int = 6, where: str = "TRUE") -> None:
     """A query that applies a chain to station rows and rounds the named columns."""
     first = f.FormulaSet(extra)
-    source = (first | chain).as_sql(f"SELECT * FROM ({_STATION}) s0 WHERE {where}")
-    shown = ", ".join(f"round(CAST({c} AS DOUBLE), {digits}) AS {c}" for c in out)
 
-    @query(name, f"SELECT id, {shown} FROM ({source}) q", "station")
+    @query(name, f"WITH s AS ({_STATION}), {TWINS[name]}" if not TWINS[name].startswith("SELECT") else f"WITH s AS ({_STATION}) {TWINS[name]}", "station")
     def _(s: Source):
-        s.view("station").createOrReplaceTempView("station")
-        rows = s.spark.sql(_STATION).filter(where)
-        return chain.apply(first.apply(rows)).select("id", *(rounded(F.col(c).cast("double"), digits).alias(c) for c in out))
+        return chain.apply(first.apply(_rows(s).filter(where))).select("id", *(rounded(F.col(c).cast("double"), digits).alias(c) for c in out))
 
 
 _P = f.PRESSURE.columns
@@ -40,7 +42,7 @@ _register("c5_wind", f.WIND | f.LOG_WIND, {"u100": "u - 3.0", "v100": "u / 2.0",
 _register("c6_vegetation", f.LAI_FROM_NDVI | f.LEAF_CONTENT, {"ndvi": "lai / 5.0 - 0.1", "ccc": "lai * 40.0 + 1.0", "cwc": "lai * 0.01"}, ["lai_ndvi", "cab", "cw"])
 _register("c8_leaf_optics", f.LEAF_OPTICS, {"cab": "CASE WHEN lai > 0.1 THEN 250.0 - 60.0 * lai END", "cw": "CASE WHEN lai > 0.1 THEN lai / 30.0 END"}, ["rho_vis", "tau_vis", "rho_nir", "tau_nir"])
 _register("c9_longwave", f.AIR | f.HUMIDITY | f.LONGWAVE, _P, ["t_surface", "emis_sky", "l_dn"], 5)
-_register("c10_incidence", f.SUN | f.INCIDENCE, {"acquired": "CASE WHEN id % 9 = 0 THEN 0 ELSE id END"}, ["incidence"], 4, "hr BETWEEN 7 AND 16")
+_register("c10_incidence", f.SUN | f.INCIDENCE, {"acquired": "CASE WHEN id % 9 = 0 THEN 0 ELSE id END"}, ["incidence"], 4)
 _register("c11_diffuse", f.DIFFUSE, _P, ["dir_vis", "dif_vis", "dir_nir", "dif_nir", "f_vis", "skyl_vis", "skyl_nir", "skyl"])
 _SPLIT = {**_P, **f.DIFFUSE.columns, "s_dir": "s_dn * (1.0 - skyl)", "s_dif": "s_dn * skyl", "lai_eff": "lai * 0.9", "rho_vis": "0.07", "tau_vis": "0.08", "rho_nir": "0.32", "tau_nir": "0.33", "soil_vis": "0.15", "soil_nir": "0.25"}
 _register("c12_net_shortwave", f.NET_SHORTWAVE, _SPLIT, ["k_be", "tau_d", "sn_c", "sn_s"], 5, "lai > 0")
@@ -82,8 +84,7 @@ def _steps_sql(n: int) -> str:
 
 @query("c7_green_fraction", f"SELECT id, round(fg, 5) AS f_green, round(fipar, 5) AS fipar, round(pai, 5) AS pai FROM ({_steps_sql(20)}) q", "station")
 def _(s: Source):
-    s.view("station").createOrReplaceTempView("station")
-    rows = s.spark.sql(_STATION).filter("lai > 0").withColumns({"fapar": 0.05 + F.col("lai") / 5.0, "theta": F.radians("sza")})
+    rows = _rows(s).filter("lai > 0").withColumns({"fapar": 0.05 + F.col("lai") / 5.0, "theta": F.radians("sza")})
     out = canopy.with_green_fraction(rows, "lai", "fapar", "theta")
     return out.select("id", *(rounded(c, 5).alias(c) for c in ("f_green", "fipar", "pai")))
 
