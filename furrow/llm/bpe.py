@@ -1,9 +1,17 @@
 """Byte-level BPE encoding and decoding with the tiktoken library and a local rank file.
 
-Long texts are cut before a space that follows an ASCII letter, digit or sentence
-mark and precedes no white space. No alternative of the split pattern continues
-over such a place (a space can only open a match there), so the parts encode to the
-same ids as the whole, and the library never holds one huge text.
+Long texts are cut where the split pattern always begins a new match, so that the parts
+encode to the same ids as the whole and the library never holds one huge text:
+
+- before white space that follows anything else (only a match of white space can go on
+  or begin there, and none looks back);
+- between an ASCII letter and a digit, or one of both and an ASCII mark (not after an
+  apostrophe, which may open a contraction), and between Han characters and full-width stops;
+- in a run of white space before its last character, as the pattern leaves that one to
+  what follows; a run that ends the text is one match.
+
+A long run of white space is then one match by itself. It goes to the library's encoder
+of single pieces, because the pattern's look-ahead overflows the stack of its regex.
 """
 
 from __future__ import annotations
@@ -16,11 +24,21 @@ import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from furrow.llm.text import annotate, sha256_hex
+from furrow.llm.text import annotate, held, sha256_hex
 
 PART_BYTES = 64 << 10
-_CUT = re.compile(rb"[A-Za-z0-9.,;:](?= [A-Za-z0-9])")
-_ENCODINGS: dict[tuple[str, str], "Codec"] = {}
+#: Bytes from which a run of white space is a part of its own.
+RUN_BYTES = 64 << 10
+_BLANK = rb"(?:[\x20\x09-\x0D]|\xC2[\x85\xA0]|\xE1\x9A\x80|\xE2\x80[\x80-\x8A\xA8\xA9\xAF]|\xE2\x81\x9F|\xE3\x80\x80)"
+_RUN = re.compile(_BLANK + rb"++")
+_LAST = re.compile(_BLANK + rb"\Z")
+_CUT = re.compile(
+    rb"[^\x09-\x0D\x1C-\x20\x80-\xFF](?=[\x20\x09-\x0D])"
+    rb"|[A-Za-z](?=[0-9])|[0-9](?=[A-Za-z])"
+    rb"|[A-Za-z0-9](?=[!-/:-@\[-`{-~])|[!-&(-/:-@\[-`{-~](?=[A-Za-z0-9])"
+    rb"|[\xE5-\xE8][\x80-\xBF]{2}(?=\x20|\xE3\x80[\x81\x82]|\xEF\xBC\x8C)"
+    rb"|[\xD0\xD1][\x90-\xBF](?=\x20)"
+)
 
 
 class Codec:
@@ -29,7 +47,22 @@ class Codec:
             ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, filter(bytes.strip, lines))}
         self.encoding = tiktoken.Encoding("local", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
-    def parts(self, data: bytes, size: int = PART_BYTES) -> list[bytes]:
+    def parts(self, data: bytes, size: int = PART_BYTES, run: int = RUN_BYTES) -> list[bytes]:
+        if len(data) <= size:
+            return [data]
+        out, start = [], 0
+        for m in _RUN.finditer(data):
+            if m.end() - m.start() > run:
+                end = m.end()
+                if end < len(data):  # the last character stays with what follows
+                    end = _LAST.search(data, max(m.start(), end - 3), end).start()
+                out += self._cut(data[start : m.start()], size)
+                out.append(data[m.start() : end])
+                start = end
+        return [p for p in [*out, *self._cut(data[start:], size)] if p]
+
+    @staticmethod
+    def _cut(data: bytes, size: int) -> list[bytes]:
         out, start = [], 0
         while len(data) - start > size and (cut := _CUT.search(data, start + size)):
             out.append(data[start : cut.end()])
@@ -40,7 +73,10 @@ class Codec:
     def encode(self, data: bytes) -> list[int]:
         ids: list[int] = []
         for part in self.parts(data):
-            ids += self.encoding.encode_ordinary(part.decode())
+            if len(part) > RUN_BYTES and _RUN.fullmatch(part):
+                ids += self.encoding._encode_single_piece(part)
+            else:
+                ids += self.encoding.encode_ordinary(part.decode())
         return ids
 
     def decode(self, ids: list[int]) -> bytes:
@@ -49,14 +85,11 @@ class Codec:
 
 def codec(rank_file: str, pattern: str) -> Codec:
     """One codec per worker process and rank file."""
-    key = (rank_file, pattern)
-    if key not in _ENCODINGS:
-        _ENCODINGS[key] = Codec(rank_file, pattern)
-    return _ENCODINGS[key]
+    return held(("bpe", rank_file, pattern), lambda: Codec(rank_file, pattern))
 
 
 def encode(docs: DataFrame, rank_file: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, token_ids array<int>) of every whole text; null and empty texts have no ids.
+    """(id, token_ids array<int>) of every whole text, however long; null and empty texts have no ids.
 
     rank_file must be readable at this path on every executor.
     """
@@ -89,7 +122,8 @@ def token_digests(docs: DataFrame, rank_file: str, pattern: str, id_col: str = "
     """(id, n_tokens, ids_sha256, decoded_sha256): encode and decode fused in one pass.
 
     ids_sha256 is over the ids as little-endian unsigned 32-bit integers. Null and
-    empty texts: no tokens, digests of nothing. Repeated rows give repeated rows.
+    empty texts: no tokens, digests of nothing. Very long texts, also without any white
+    space or of nothing else, are encoded whole. Repeated rows give repeated rows.
     """
 
     def make():

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from furrow.llm.merges import MergeMachine
-from furrow.llm.text import annotate
+from furrow.llm.text import annotate, held
 
 CHUNK_BYTES = 256 << 10
 MAX_TRANSITIONS = 1_200_000
@@ -155,14 +155,9 @@ class CountTransducer:
         return self.total(maps[0])
 
 
-_TRANSDUCERS: dict[str, CountTransducer] = {}
-
-
 def transducer(tokenizer_file: str) -> CountTransducer:
     """One per worker process: what earlier tasks compiled is used again."""
-    if tokenizer_file not in _TRANSDUCERS:
-        _TRANSDUCERS[tokenizer_file] = CountTransducer(tokenizer_file)
-    return _TRANSDUCERS[tokenizer_file]
+    return held(("counts", tokenizer_file), lambda: CountTransducer(tokenizer_file))
 
 
 def token_counts(docs: DataFrame, tokenizer_file: str, max_tokens: int = 2048, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -14,6 +14,7 @@ from collections.abc import Callable, Iterable, Iterator
 from functools import wraps
 
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -46,6 +47,21 @@ def tidy(run: Callable) -> Callable:
     return tidied
 
 
+_HELD: dict[object, object] = {}
+
+
+def held(key: object, make: Callable[[], object]) -> object:
+    """make()'s result, kept by the worker process for its next tasks.
+
+    One at a time: what another operator left there is let go first, so that a worker
+    that serves a chain of operators never holds the tables of more than one.
+    """
+    if key not in _HELD:
+        _HELD.clear()
+        _HELD[key] = make()
+    return _HELD[key]
+
+
 def alnum_words(data: bytes) -> list[bytes]:
     return data.translate(ALNUM).split()
 
