@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
+import numpy as np
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
@@ -39,6 +40,10 @@ NOTICES = [
 ]
 
 
+#: Bytes that a window reaches for a word end, and what marks a cut word: more letters than any notice has errors.
+WIDEN, PAD = 64, "x" * 16
+
+
 @dataclass
 class Notice:
     label: str
@@ -77,8 +82,11 @@ class Scanner:
                 at = line.find(phrase, at + 1)
         return found
 
-    def fuzzy(self, line: bytes) -> list[Span]:
-        """Best match around every seed; places that overlap are looked at once."""
+    def fuzzy(self, line: bytes, spaces: np.ndarray) -> list[Span]:
+        """Best match around every seed; places that overlap are looked at once.
+
+        Each place costs a window of bounded length, also inside a very long word.
+        """
         spans = []
         for notice in self.notices:
             places = set()
@@ -91,28 +99,34 @@ class Scanner:
             for start in sorted(places):
                 if start < done:
                     continue
-                # whole characters: the window is widened to word ends
-                a = max(0, line.rfind(b" ", 0, max(1, start - slack)))
-                b = line.find(b" ", min(len(line) - 1, start + len(notice.text) + slack))
-                window = line[a : b if b >= 0 else len(line)].decode()
-                if m := notice.pattern.search(window):
-                    first = line.count(b" ", 0, a) + window.count(" ", 0, m.start()) - 1
+                # the window is widened to word ends; a longer word is cut, and padded so that its cut is no word end
+                low, high = max(0, start - slack), min(len(line), start + 4 * len(notice.text) + slack)
+                a = line.rfind(b" ", max(0, low - WIDEN), max(1, low))
+                b = line.find(b" ", min(len(line) - 1, start + len(notice.text) + slack), high + WIDEN)
+                cut = max(0, low - WIDEN) if a < 0 else a
+                window = line[cut : high + WIDEN if b < 0 else b].decode(errors="ignore")
+                pad = PAD if a < 0 and cut > 0 else ""
+                text = pad + window + (PAD if b < 0 and high + WIDEN < len(line) else "")
+                if m := notice.pattern.search(text):
+                    at = cut + len(text[len(pad) : m.start()].encode())
+                    first = int(np.searchsorted(spaces, at)) - 1
                     edits = sum(m.fuzzy_counts)
                     n_words = m.group().strip().count(" ")
                     first += m.group()[:1] == " "
                     spans.append(Span(notice.label, first, first + n_words, edits, 1 - edits / len(notice.text)))
-                    done = a + len(window[: m.end()].encode())
+                    done = cut + len(text[len(pad) : m.end()].encode())
         return spans
 
     def scan(self, data: bytes | None) -> tuple:
         words = alnum_words(data or b"")
         line = b" " + b" ".join(words) + b" "
+        spaces = np.flatnonzero(np.frombuffer(line, np.uint8) == 0x20)
         base = self.exact(line)
-        spans = self.fuzzy(line)
+        spans = self.fuzzy(line, spaces)
         first = last = None
         if base:
             places = [p for p, _ in base]
-            first, last = line.count(b" ", 0, min(places)), line.count(b" ", 0, max(places))
+            first, last = (int(np.searchsorted(spaces, p)) for p in (min(places), max(places)))
         labels = {label for _, label in base}
         every = labels | {s.label for s in spans}
         score = 1.0 if base else max((s.score for s in spans), default=0.0)
@@ -141,7 +155,8 @@ def scan_licences(docs: DataFrame, phrases: dict[str, str] = PHRASES, notices: l
     n_base counts exact phrases; labels adds those of notices found within their
     error bound; spans lists the latter by word positions with their edits. score is 1
     with an exact phrase, else 1 - edits / length of the best notice, else 0. Null and
-    empty texts: no words, null positions, empty labels. Repeated rows repeat.
+    empty texts: no words, null positions, empty labels. Very long texts are scanned
+    whole, in time that grows with their length. Repeated rows repeat.
     """
 
     def make():
