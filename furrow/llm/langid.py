@@ -14,8 +14,8 @@ from __future__ import annotations
 
 import re
 import uuid
+from collections.abc import Iterator
 from dataclasses import dataclass
-from typing import ClassVar
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +23,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from furrow.llm.text import annotate, rewrite, slices, texts, tidy
+from furrow.llm.text import annotate, held, rewrite, slices, texts, tidy
+from furrow.session import materialise
 
 ORDER = 3
 #: Every byte is a symbol; a code of (context, symbol) fills 32 bits.
@@ -31,22 +32,39 @@ ALPHABET = 256
 #: Before its first byte a text counts as NULs.
 _PAD = b"\0" * ORDER
 #: (context, symbol) counts that a task holds before it sends them on.
-HELD = 4 << 20
+HELD = 1 << 20
+#: Bytes of text whose contexts are looked up at one time.
+PIECE = 512 << 10
+#: Most bytes of the packed statistics, which are broadcast: checked when they are collected.
+MAX_MODEL_BYTES = 512 << 20
 _LETTER = re.compile(rb"[A-Za-z]")
 
 
-def symbol_table(high_bytes: list[int]) -> np.ndarray:
-    """Byte to symbol: each byte is its own, whichever bytes above 0x7F there are."""
-    return np.arange(ALPHABET, dtype=np.int32)
-
-
-def gram_codes(data: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Codes (uint32) of (context, symbol) at every byte of each text (none empty), and each text's range."""
-    symbols = np.frombuffer(_PAD + b"".join(t + _PAD for t in data), np.uint8).astype(np.uint32)
+def pieces(data: list[bytes]) -> Iterator[tuple[list[int], list[bytes]]]:
+    """All texts in order, in groups of about PIECE bytes: text numbers, and parts that begin with the ORDER bytes before them."""
+    owners: list[int] = []
+    parts: list[bytes] = []
+    held = 0
+    for i, t in enumerate(data):
+        for at in range(0, len(t), PIECE):
+            part = t[max(0, at - ORDER) : at + PIECE] if at else _PAD + t[:PIECE]
+            owners.append(i)
+            parts.append(part)
+            held += len(part)
+            if held >= PIECE:
+                yield owners, parts
+                owners, parts, held = [], [], 0
+    if parts:
+        yield owners, parts
+
+
+def gram_codes(parts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Codes (uint32) of (context, symbol) at every byte of each part but its first ORDER, and each part's range; codes between ranges belong to no part."""
+    symbols = np.frombuffer(b"".join(parts), np.uint8).astype(np.uint32)
     codes = symbols[ORDER:].copy()
     for k in range(1, ORDER + 1):
         codes |= symbols[ORDER - k : len(symbols) - k] << np.uint32(8 * k)
-    sizes = np.fromiter(map(len, data), np.int64, len(data))
+    sizes = np.fromiter(map(len, parts), np.int64, len(parts)) - ORDER
     ends = np.cumsum(sizes + ORDER) - ORDER
     return codes, ends - sizes, ends
 
@@ -130,8 +148,6 @@ class LanguageModel:
     docs: tuple[int, ...]
     grams: tuple[bytes, ...]
     counts: tuple[bytes, ...]
-    #: Bytes above 0x7F with a symbol of their own: all.
-    high_bytes: ClassVar[tuple[int, ...]] = tuple(range(128, 256))
 
 
 class Scorer:
@@ -161,86 +177,92 @@ class Scorer:
         known = [i for i, t in enumerate(batch) if t and (_LETTER.search(t) or any(map(str.isalpha, t.decode())))]
         if not known or not self.langs:
             return out
-        codes, starts, ends = gram_codes([batch[i] for i in known])
         table, seen = self.levels[ORDER][:2]
-        rows = np.concatenate([table.find(codes[at : at + (1 << 18)]) for at in range(0, len(codes), 1 << 18)])
-        new = np.flatnonzero(rows == table.n)
-        more = self.rare(codes[new])
-        cuts = np.searchsorted(new, np.stack((starts, ends)))
-        for k, i in enumerate(known):
-            bits = seen[rows[starts[k] : ends[k]]].sum(axis=0, dtype=np.float64) + more[cuts[0, k] : cuts[1, k]].sum(axis=0) + self.prior
+        total = np.tile(self.prior, (len(known), 1))
+        for owners, parts in pieces([batch[i] for i in known]):
+            codes, starts, ends = gram_codes(parts)
+            rows = table.find(codes)
+            new = np.flatnonzero(rows == table.n)
+            more = self.rare(codes[new])
+            cuts = np.searchsorted(new, np.stack((starts, ends)))
+            for k, owner in enumerate(owners):
+                total[owner] += seen[rows[starts[k] : ends[k]]].sum(axis=0, dtype=np.float64) + more[cuts[0, k] : cuts[1, k]].sum(axis=0)
+        for i, bits in zip(known, total, strict=True):
             odds = np.exp2(bits.min() - bits)
             best = int(bits.argmin())
             out[i] = (self.langs[best], float(odds[best] / odds.sum()))
         return out
 
 
-_SCORER: list[Scorer] = []
-
-
 def scorer(model: LanguageModel) -> Scorer:
     """Tables are built once per worker process and model."""
-    if not _SCORER or _SCORER[0].key != model.key:
-        _SCORER[:] = [Scorer(model)]
-    return _SCORER[0]
+    return held(("language", model.key), lambda: Scorer(model))
 
 
 def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang") -> LanguageModel:
     """Learn from every row whose text and language are not null.
 
     Counts are combined inside each task first. No rows: a model without languages.
-    A text that is empty counts as a document only.
+    A text that is empty counts as a document only, very long ones are counted in
+    pieces. Statistics of more than MAX_MODEL_BYTES (ValueError) are not broadcast.
     """
     rows = labelled.select(labelled[text_col].cast("string").alias("text"), labelled[lang_col].cast("string").alias("lang")).filter("text IS NOT NULL AND lang IS NOT NULL")
 
     def count_grams(batches):
-        held: dict[str, list[tuple[np.ndarray, np.ndarray]]] = {}
+        seen: dict[str, list[tuple[np.ndarray, np.ndarray]]] = {}
         docs: dict[str, int] = {}
 
         def compact():
-            for lang, parts in held.items():
+            for lang, parts in seen.items():
                 if len(parts) > 1:
-                    held[lang] = [summed(*(np.concatenate(x) for x in zip(*parts)))]
-            return sum(len(parts[0][0]) for parts in held.values() if parts)
+                    seen[lang] = [summed(*(np.concatenate(x) for x in zip(*parts)))]
+            return sum(len(parts[0][0]) for parts in seen.values() if parts)
 
         def flush():
             compact()
             for lang, n in docs.items():
-                grams, counts = held[lang][0] if held.get(lang) else (np.zeros(0, np.uint32), np.zeros(0, np.int64))
+                grams, counts = seen[lang][0] if seen.get(lang) else (np.zeros(0, np.uint32), np.zeros(0, np.int64))
                 yield pa.RecordBatch.from_pydict({"lang": pa.array([lang]), "gram": pa.array([-1], pa.int64()), "n": pa.array([n], pa.int64())})
                 for at in range(0, len(grams), 1 << 18):
                     some = grams[at : at + (1 << 18)]
                     yield pa.RecordBatch.from_pydict({"lang": pa.array([lang] * len(some), pa.string()), "gram": pa.array(some.astype(np.int64)), "n": pa.array(counts[at : at + (1 << 18)])})
-            held.clear()
-            docs.clear()
+            seen.clear()
+            for lang in docs:
+                docs[lang] = 0
 
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", PIECE):
                 by: dict[str, list[bytes]] = {}
                 for lang, t in zip(part.column("lang").to_pylist(), texts(part.column("text")), strict=True):
                     by.setdefault(lang, []).append(t)
                 for lang, data in by.items():
                     docs[lang] = docs.get(lang, 0) + len(data)
-                    if data := [t for t in data if t]:
-                        codes, _, ends = gram_codes(data)
+                    for _, parts in pieces(data):
+                        codes, _, ends = gram_codes(parts)
                         real = np.ones(len(codes), bool)
-                        real[(ends[:, None] + np.arange(ORDER)).ravel()] = False  # the padding after each text isn't part of it
-                        held.setdefault(lang, []).append(np.unique(codes[real], return_counts=True))
-                if sum(len(g) for parts in held.values() for g, _ in parts) > HELD and compact() > HELD // 2:
-                    yield from flush()
+                        real[(ends[:-1, None] + np.arange(ORDER)).ravel()] = False  # the context that opens the next part isn't part of it
+                        seen.setdefault(lang, []).append(np.unique(codes[real], return_counts=True))
+                        if sum(len(g) for some in seen.values() for g, _ in some) > HELD and compact() > HELD // 2:
+                            yield from flush()
         yield from flush()
 
-    def pack(frame):
-        import pandas as pd
-
-        frame = frame.sort_values("gram")
-        docs, grams = frame[frame.gram < 0], frame[frame.gram >= 0]
-        return pd.DataFrame({"lang": frame.lang[:1], "docs": [int(docs.n.sum())], "grams": [grams.gram.to_numpy(np.uint32).tobytes()], "counts": [grams.n.to_numpy(np.int64).tobytes()]})
+    def pack(table: pa.Table) -> pa.Table:
+        gram, n = (table.column(c).to_numpy() for c in ("gram", "n"))
+        order = np.argsort(gram)
+        gram, n = gram[order], n[order]
+        real = gram >= 0
+        one = {"docs": int(n[~real].sum()), "grams": gram[real].astype(np.uint32).tobytes(), "counts": n[real].tobytes()}
+        return pa.table({"lang": table.column("lang")[:1], "part": table.column("part")[:1], **{k: pa.array([v]) for k, v in one.items()}})
 
     counted = rows.mapInArrow(tidy(count_grams), "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     # parts by the code's upper bits, so that no task packs a whole language; in order they join to a sorted table
     part = F.shiftright(F.col("gram"), 24).cast("int")
-    packed = counted.groupBy("lang", part.alias("part")).applyInPandas(lambda key, frame: pack(frame).assign(part=key[1]), "lang string, part int, docs long, grams binary, counts binary").collect()
+    packed = counted.withColumn("part", part).groupBy("lang", "part").applyInArrow(pack, "lang string, part int, docs long, grams binary, counts binary")
+    packed = materialise(packed, "statistics")
+    size = packed.agg(F.sum(F.length("grams") + F.length("counts"))).first()[0] or 0
+    if size > MAX_MODEL_BYTES:
+        raise ValueError(f"the statistics take {size} bytes, more than MAX_MODEL_BYTES")
+    packed = packed.collect()
     by_lang: dict[str, list] = {}
     for r in sorted(packed, key=lambda r: (r["lang"], r["part"])):
         by_lang.setdefault(r["lang"], []).append(r)
