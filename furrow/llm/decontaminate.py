@@ -2,8 +2,10 @@
 
 A window is 13 consecutive words of a benchmark item (a shorter item is one window).
 The distinct windows are a broadcast hash set if there are at most MAX_WINDOWS of
-them, which is checked; documents are then scanned in one pass without a shuffle. A
-larger benchmark goes by digests of windows through a shuffle join instead.
+them in MAX_BYTES, which is checked; documents are then scanned in one pass without a
+shuffle. The windows of a larger benchmark stay in shards, each slice of documents asks
+the shards for those of its own windows that they have (see probe), and the set of
+these few is scanned for in the same way. Both ways give the same rows.
 
 The scan codes each word by the set's vocabulary, drops places with a foreign word,
 compares rolling hashes with a hash table, and verifies every hit on the words.
@@ -12,19 +14,28 @@ compares rolling hashes with a hash table, and verifies every hit on the words.
 from __future__ import annotations
 
 import hashlib
+import pickle
 import re
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import xxhash
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
-from furrow.llm.text import ALNUM, alnum_words, annotate, rewrite, sha256_hex, slices, texts, tidy
+from furrow.llm.probe import probe
+from furrow.llm.text import ALNUM, alnum_words, sha256_hex, slices, texts, tidy
+from furrow.session import materialise
 
 WINDOW = 13
-MAX_WINDOWS = 500_000
+#: What is broadcast at most: windows, and bytes of windows and item ids.
+MAX_WINDOWS, MAX_BYTES = 500_000, 64 << 20
+#: Windows' bytes of a shard beyond that.
+SHARD_BYTES = 8 << 20
+SLICE_BYTES = 1 << 20
 _BASE = 0x9E3779B97F4A7C15
 _WORD = re.compile(rb"[^ ]+")
 
@@ -128,170 +139,140 @@ def without(t: bytes, hits: list[tuple], n: int) -> bytes:
     return b"".join([*kept, t[at:]])
 
 
-def _small_set(grams: DataFrame, limit: int) -> NgramSet | None:
-    """The windows on the driver, or None if there are more than `limit`."""
-    found = grams.limit(limit + 1).collect()
-    if len(found) > limit:
-        return None
+def _set_of(rows: list[tuple[bytes, str | None]]) -> NgramSet:
     by: dict[bytes, set] = {}
-    for r in found:
-        by.setdefault(bytes(r["gram"]), set()).add(r["item"])
+    for gram, item in rows:
+        by.setdefault(gram, set()).add(item)
     return NgramSet({g: tuple(sorted(i for i in items if i is not None)) for g, items in by.items()})
 
 
-_FIELDS = [
-    T.StructField("n_words", T.LongType()),
-    T.StructField("n_hit", T.LongType()),
-    T.StructField("n_items", T.LongType()),
-    T.StructField("items_sha256", T.StringType()),
-    T.StructField("contaminated", T.BooleanType()),
-]
+def _digests(grams: list[bytes]) -> np.ndarray:
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, grams), np.uint64, len(grams))
 
 
-def flag(docs: DataFrame, items: DataFrame, n: int = WINDOW, max_windows: int = MAX_WINDOWS, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
-    """(id, n_words, n_hit, n_items, items_sha256, contaminated) of every whole text.
+def _shards(grams: DataFrame, n: int) -> DataFrame:
+    """(shard, data): the windows with their items, by the windows' hashes."""
 
-    Words in any occurrence of a window are hit; n_items and items_sha256 (ids sorted
-    as strings, comma-joined) tell which items' windows occur. A document is
-    contaminated if at least one word in twenty is hit. Null texts have no words; a
-    benchmark without words hits nothing; an item with a null id hits but isn't
-    listed; repeated document rows give repeated rows, repeated items count once.
-    """
-    grams = windows(items, item_id_col, item_text_col, n)
-    small = _small_set(grams, max_windows)
-    if small is None:
-        return _flag_by_join(docs, grams, n, id_col, text_col)
-    shared = docs.sparkSession.sparkContext.broadcast(small)
+    def run(batches):
+        for batch in batches:
+            hashes = _digests(batch.column("gram").to_pylist())
+            yield pa.RecordBatch.from_arrays([pa.array((hashes % np.uint64(n)).astype(np.int64)), pa.array(hashes.view(np.int64)), batch.column("gram"), batch.column("item")], names=["shard", "hash", "gram", "item"])
 
-    def make():
-        index = shared.value
+    def pack(table: pa.Table) -> pa.Table:
+        data = pickle.dumps(tuple(table.column(c).to_pylist() for c in ("hash", "gram", "item")))
+        return pa.table({"shard": table.column("shard")[:1], "data": pa.array([data], pa.binary())})
 
-        def score(batch):
-            for t in batch:
-                words = alnum_words(t or b"")
-                hits = index.hits(words)
-                n_hit = int(covered(hits, len(words)).sum()) if hits else 0
-                found = sorted({x for h in hits for x in h[2]})
-                yield len(words), n_hit, len(found), sha256_hex(",".join(found).encode()), is_contaminated(n_hit, len(words))
+    hashed = grams.select("gram", "item").mapInArrow(tidy(run), "shard long, hash long, gram binary, item string")
+    return hashed.groupBy("shard").applyInArrow(pack, "shard long, data binary")
 
-        return score
 
-    return annotate(docs, id_col, text_col, _FIELDS, make)
+def _load(data: bytes) -> dict[int, list]:
+    by: dict[int, list] = {}
+    for h, gram, item in zip(*pickle.loads(data), strict=True):
+        by.setdefault(h, []).append((gram, item))
+    return by
 
 
-def _row_key(docs: DataFrame, id_col: str, text_col: str) -> Column:
-    """Id and text digest of a row; rows that have both alike have equal results."""
-    return F.concat_ws(":", F.coalesce(docs[id_col].cast("string"), F.lit("null")), F.md5(F.coalesce(docs[text_col].cast("string"), F.lit(""))))
+def _answer(windows_: dict[int, list], question: bytes) -> bytes | None:
+    found = [x for h in np.frombuffer(question, np.int64).tolist() for x in windows_.get(h, ())]
+    return pickle.dumps(found) if found else None
 
 
-def _hits_by_join(docs: DataFrame, grams: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
-    """(row, id, text) of all rows and (row, hits), for a benchmark of any size: documents' windows meet the set in a shuffle join on 128-bit digests."""
-    sizes = sorted(r["size"] for r in grams.select("size").distinct().collect())  # at most n values
+def _scanned(docs: DataFrame, items: DataFrame, n: int, max_windows: int, max_bytes: int, text_at: int, item_id_col: str, item_text_col: str, close, schema: T.StructType) -> DataFrame:
+    """Rows that close(batch, texts, set) makes of slices of docs, where the set has all windows that occur in the slice, at least."""
+    arrow = to_arrow_schema(schema)
+    grams = materialise(windows(items, item_id_col, item_text_col, n), "windows")
+    size = grams.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.length("gram") + F.coalesce(F.length("item"), F.lit(0))), F.lit(0)).alias("bytes")).first()
+    if size["n"] > max_windows or size["bytes"] > max_bytes:
+        sizes = sorted(r["size"] for r in grams.select("size").distinct().collect())  # at most n values
+        shards = 1 + size["bytes"] // SHARD_BYTES
 
-    def run(batches):
-        for batch in batches:
-            for part in slices(batch, "text", 256 << 10):
-                rows, keys, starts, spans = [], [], [], []
-                for row, t in zip(part.column("row").to_pylist(), texts(part.column("text")), strict=True):
-                    words = alnum_words(t or b"")
-                    for size in sizes:
-                        for i in range(len(words) - size + 1):
-                            rows.append(row)
-                            keys.append(hashlib.blake2b(b" ".join(words[i : i + size]), digest_size=16).digest())
-                            starts.append(i)
-                            spans.append(size)
-                yield pa.RecordBatch.from_pydict({"row": pa.array(rows, pa.string()), "key": pa.array(keys, pa.binary()), "start": pa.array(starts, pa.int32()), "size": pa.array(spans, pa.int32())})
-
-    def digests(batches):
-        for batch in batches:
-            keys = [hashlib.blake2b(g, digest_size=16).digest() for g in batch.column("gram").to_pylist()]
-            yield pa.RecordBatch.from_pydict({"key": pa.array(keys, pa.binary()), "item": batch.column("item")})
+        def ask(batch):
+            found: list[np.ndarray] = []
+            for t in batch:
+                words = alnum_words(t or b"")
+                for k in sizes:
+                    found.append(_digests([b" ".join(words[i : i + k]) for i in range(len(words) - k + 1)]))
+            hashes = np.unique(np.concatenate(found)) if found else np.zeros(0, np.uint64)
+            shard = (hashes % np.uint64(shards)).astype(np.int64)
+            order = np.argsort(shard, kind="stable")
+            cuts = np.flatnonzero(np.diff(shard[order], prepend=-1))
+            return [(int(shard[part[0]]), hashes[part].tobytes()) for part in np.split(order, cuts[1:]) if len(part)]
 
-    rows = docs.select(_row_key(docs, id_col, text_col).alias("row"), docs[id_col].alias("id"), docs[text_col].cast("string").alias("text"))
-    places = rows.dropDuplicates(["row"]).select("row", "text").mapInArrow(tidy(run), "row string, key binary, start int, size int")
-    keys = grams.select("gram", "item").mapInArrow(tidy(digests), "key binary, item string")
-    return rows, places.join(keys, "key").groupBy("row").agg(F.collect_set(F.struct("start", "size", "item")).alias("hits"))
+        def told(part, batch, said):
+            return close(part, batch, _set_of([x for data in said for x in pickle.loads(data)]))
 
+        return probe(docs, text_at, _shards(grams, shards), ask, _load, _answer, told, schema)
+    shared = docs.sparkSession.sparkContext.broadcast(_set_of([(bytes(r["gram"]), r["item"]) for r in grams.select("gram", "item").collect()]))
 
-def _flag_by_join(docs: DataFrame, grams: DataFrame, n: int, id_col: str, text_col: str) -> DataFrame:
-    """flag() for a benchmark of any size."""
+    def run(batches):
+        index = shared.value
+        for batch in batches:
+            plain = pa.RecordBatch.from_arrays(batch.columns, names=[f"c{i}" for i in range(batch.num_columns)])
+            for part in slices(plain, f"c{text_at}", SLICE_BYTES):
+                yield close(part, texts(part.column(text_at)), index).cast(arrow)
 
-    def close(frames):
-        import pandas as pd
+    return docs.mapInArrow(tidy(run), schema)
 
-        for frame in frames:
-            out = []
-            for ident, t, hits in frame.itertuples(index=False):
-                n_words = len(alnum_words((t or "").encode()))
-                spans = {(h["start"], h["size"]) for h in hits} if hits is not None else set()
-                found = sorted({h["item"] for h in hits if h["item"] is not None}) if hits is not None else []
-                n_hit = int(covered(list(spans), n_words).sum())
-                out.append((ident, n_words, n_hit, len(found), sha256_hex(",".join(found).encode()), is_contaminated(n_hit, n_words)))
-            yield pd.DataFrame(out, columns=[id_col, *(f.name for f in _FIELDS)])
 
-    rows, hits = _hits_by_join(docs, grams, id_col, text_col)
-    schema = T.StructType([T.StructField(id_col, docs.schema[id_col].dataType), *_FIELDS])
-    return rows.join(hits, "row", "left").select("id", "text", "hits").mapInPandas(close, schema)
+_FIELDS = [
+    T.StructField("n_words", T.LongType()),
+    T.StructField("n_hit", T.LongType()),
+    T.StructField("n_items", T.LongType()),
+    T.StructField("items_sha256", T.StringType()),
+    T.StructField("contaminated", T.BooleanType()),
+]
 
 
-def _clean_by_join(docs: DataFrame, grams: DataFrame, action: str, id_col: str, text_col: str) -> DataFrame:
-    """clean() for a benchmark of any size."""
+def flag(docs: DataFrame, items: DataFrame, n: int = WINDOW, max_windows: int = MAX_WINDOWS, max_bytes: int = MAX_BYTES, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+    """(id, n_words, n_hit, n_items, items_sha256, contaminated) of every whole text.
 
-    def judge(frames):
-        import pandas as pd
+    Words in any occurrence of a window are hit; n_items and items_sha256 (ids sorted
+    as strings, comma-joined) tell which items' windows occur. A document is
+    contaminated if at least one word in twenty is hit. Null texts have no words; a
+    benchmark without words hits nothing; an item with a null id hits but isn't
+    listed; repeated document rows give repeated rows, repeated items count once. Very
+    long texts are scanned whole. Only the id and the text are read.
+    """
+    schema = T.StructType([T.StructField(id_col, docs.schema[id_col].dataType), *_FIELDS])
+    kinds = [f.type for f in list(to_arrow_schema(schema))[1:]]
 
-        for frame in frames:
-            out = []
-            for row, t, hits in frame.itertuples(index=False):
-                data = t.encode()
-                n_words, spans = len(alnum_words(data)), list({(h["start"], h["size"]) for h in hits})
-                if action == "cut":
-                    out.append((row, without(data, spans, n_words).decode()))
-                elif is_contaminated(int(covered(spans, n_words).sum()), n_words):
-                    out.append((row, None))
-            yield pd.DataFrame(out, columns=["hit_row", "left"], dtype=object)
+    def close(part, batch, index):
+        rows = []
+        for t in batch:
+            words = alnum_words(t or b"")
+            hits = index.hits(words)
+            n_hit = int(covered(hits, len(words)).sum()) if hits else 0
+            found = sorted({x for h in hits for x in h[2]})
+            rows.append((len(words), n_hit, len(found), sha256_hex(",".join(found).encode()), is_contaminated(n_hit, len(words))))
+        return pa.RecordBatch.from_arrays([part.column(0), *(pa.array(c, k) for c, k in zip(zip(*rows), kinds, strict=True))], names=schema.names)
 
-    rows, hits = _hits_by_join(docs, grams, id_col, text_col)
-    judged = rows.select("row", "text").join(hits, "row").mapInPandas(judge, "hit_row string, left string").dropDuplicates(["hit_row"])
-    same = _row_key(docs, id_col, text_col) == judged["hit_row"]
-    if action == "drop":
-        return docs.join(judged, same, "left_anti")
-    text = F.when(judged["hit_row"].isNotNull(), judged["left"].cast(docs.schema[text_col].dataType)).otherwise(docs[text_col])
-    return docs.join(judged, same, "left").select(*(text.alias(c) if c == text_col else docs[c] for c in docs.columns))
+    chosen = docs.select(docs[id_col].alias("id"), docs[text_col].cast("string").alias("text"))
+    return _scanned(chosen, items, n, max_windows, max_bytes, 1, item_id_col, item_text_col, close, schema)
 
 
-def clean(docs: DataFrame, items: DataFrame, action: str = "drop", n: int = WINDOW, max_windows: int = MAX_WINDOWS, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+def clean(docs: DataFrame, items: DataFrame, action: str = "drop", n: int = WINDOW, max_windows: int = MAX_WINDOWS, max_bytes: int = MAX_BYTES, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """docs with all columns: contaminated documents dropped ("drop"), or hit spans cut from every text ("cut").
 
-    A cut runs from the first to the last byte of consecutive hit words. Other
-    documents are unchanged; a null text stays null.
+    Rows are judged one by one, by their own texts, also where ids are null or shared. A
+    cut runs from the first to the last byte of consecutive hit words. Other documents
+    are unchanged; a null text stays null; no other column's name can clash.
     """
-    grams = windows(items, item_id_col, item_text_col, n)
-    small = _small_set(grams, max_windows)
-    if small is None:
-        return _clean_by_join(docs, grams, action, id_col, text_col)
-    shared = docs.sparkSession.sparkContext.broadcast(small)
-
-    def make():
-        index = shared.value
-
-        def keep(batch):
-            out = []
-            for t in batch:
-                words = alnum_words(t or b"")
-                hits = index.hits(words)
+    names, where = docs.columns, docs.columns.index(text_col)
+
+    def close(part, batch, index):
+        columns, out = part.columns, []
+        for t in batch:
+            words = alnum_words(t or b"")
+            hits = index.hits(words)
+            if action == "cut":
+                out.append(without(t, hits, len(words)) if hits else t)
+            else:
                 out.append(not (hits and is_contaminated(int(covered(hits, len(words)).sum()), len(words))))
-            return out
-
-        def cut(batch):
-            out = []
-            for t in batch:
-                words = alnum_words(t or b"")
-                if hits := index.hits(words):
-                    t = without(t, hits, len(words))
-                out.append(t)
-            return out
-
-        return keep if action == "drop" else cut
+        if action == "cut":
+            columns[where] = pa.array(out, pa.binary()).cast(pa.string())
+        else:
+            columns = [c.filter(pa.array(out, pa.bool_())) for c in columns]
+        return pa.RecordBatch.from_arrays(columns, names=names)
 
-    return rewrite(docs, text_col, make, keep_rows=action == "drop")
+    return _scanned(docs, items, n, max_windows, max_bytes, where, item_id_col, item_text_col, close, docs.schema)

@@ -4,16 +4,19 @@ Every document gives its distinct line keys as 128-bit hashes; Spark counts the
 documents of each. Hashes found in at least `min_docs` documents are dealt to shards,
 and each shard becomes a minimal perfect hash (levels of bitmaps: a key takes the
 first level where no other key meets its bit) over an array of 64-bit fingerprints and
-one of counts. Documents probe the arrays in the task that holds them: a line's slot
-comes from its first 64 bits, the fingerprint is its other 64 bits, so a probe is
-decided by 128 bits and lines are never joined.
+one of counts. Documents probe the arrays: a line's slot comes from its first 64 bits,
+the fingerprint is its other 64 bits, so a probe is decided by 128 bits and lines are
+never joined.
 
 The arrays are broadcast if they are within MAX_INDEX_BYTES, which is checked on
-their real size. A larger set goes by a shuffle join on hashes instead.
+their number of lines first and which their real size follows. Beyond it the same
+arrays stay where they are and the lines' hashes come to their shards in packs, one a
+slice of documents (see probe). Both ways give the same rows.
 """
 
 from __future__ import annotations
 
+import pickle
 from dataclasses import dataclass
 
 import numpy as np
@@ -22,13 +25,17 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
-from furrow.llm.text import annotate, rewrite, sha256_hex, slices, texts, tidy
+from furrow.llm.probe import probe
+from furrow.llm.text import sha256_hex, slices, texts, tidy
 from furrow.session import materialise
 
 MIN_DOCS = 10
 MAX_INDEX_BYTES = 64 << 20
 KEYS_PER_SHARD = 1 << 17
+#: A fingerprint, a count, and the bits of the perfect hash.
+BYTES_PER_LINE = 18
 
 
 def line_key(line: bytes) -> bytes:
@@ -128,19 +135,18 @@ def _counted(docs: DataFrame, text_col: str, min_docs: int) -> DataFrame:
     return rows.groupBy("high", "low").agg(F.sum("n").alias("n")).filter(F.col("n") >= min_docs)
 
 
-def _pack(frame):
-    import pandas as pd
-
-    high, low = frame.high.to_numpy(np.int64).view(np.uint64), frame.low.to_numpy(np.int64).view(np.uint64)
+def _pack(table: pa.Table) -> pa.Table:
+    high, low = (table.column(c).to_numpy().view(np.uint64) for c in ("high", "low"))
     perfect = PerfectHash.build(high)
     slot = perfect.slots(high)
     prints, counts = np.zeros(len(high), np.uint64), np.zeros(len(high), np.int64)
-    prints[slot], counts[slot] = low, frame.n.to_numpy(np.int64)
-    bits = [b.tobytes() for b, _ in perfect.levels]
-    return pd.DataFrame({"shard": frame.shard[:1], "levels": [bits], "prints": [prints.tobytes()], "counts": [counts.tobytes()]})
+    prints[slot], counts[slot] = low, table.column("n").to_numpy()
+    data = pickle.dumps(([b.tobytes() for b, _ in perfect.levels], prints.tobytes(), counts.tobytes()))
+    return pa.table({"shard": table.column("shard")[:1], "data": pa.array([data], pa.binary())})
 
 
-def _unpack(levels: list[bytes], prints: bytes, counts: bytes) -> tuple[PerfectHash, np.ndarray, np.ndarray]:
+def _unpack(data: bytes) -> tuple[PerfectHash, np.ndarray, np.ndarray]:
+    levels, prints, counts = pickle.loads(data)
     out, seen = [], 0
     for raw in levels:
         bits = np.frombuffer(raw, np.uint64)
@@ -150,33 +156,85 @@ def _unpack(levels: list[bytes], prints: bytes, counts: bytes) -> tuple[PerfectH
     return PerfectHash(out), np.frombuffer(prints, np.uint64), np.frombuffer(counts, np.int64)
 
 
-def _index(frequent: DataFrame, limit: int) -> LineIndex | None:
-    """The sharded arrays of a materialised (high, low, n) table, or None if they exceed `limit` bytes."""
+def _shards(frequent: DataFrame) -> tuple[DataFrame, int, int]:
+    """One row (shard, data) a shard of a materialised (high, low, n) table; the number of shards, and of lines."""
     total = frequent.count()
-    if 18 * total > limit:
-        return None
     n = max(1, -(-total // KEYS_PER_SHARD))
     # the unsigned value of low, modulo n, as the probe has it
     half = F.shiftrightunsigned("low", 1)
-    shard = F.pmod(F.pmod(half, F.lit(n)) * 2 + F.col("low").bitwiseAND(F.lit(1)), F.lit(n)).cast("int")
-    packed = frequent.select(shard.alias("shard"), "high", "low", "n").groupBy("shard").applyInPandas(_pack, "shard int, levels array<binary>, prints binary, counts binary")
+    shard = F.pmod(F.pmod(half, F.lit(n)) * 2 + F.col("low").bitwiseAND(F.lit(1)), F.lit(n)).cast("long")
+    packed = frequent.select(shard.alias("shard"), "high", "low", "n").groupBy("shard").applyInArrow(_pack, "shard long, data binary")
+    return materialise(packed, "shards"), n, total
+
+
+def _rewritten(docs: DataFrame, min_docs: int, limit: int, text_col: str, close, schema: T.StructType) -> DataFrame:
+    """Rows that close(batch, text lines with what goes) makes of docs, by either way."""
+    arrow, where = to_arrow_schema(schema), docs.columns.index(text_col)
+    index, n, total = _shards(materialise(_counted(docs, text_col, min_docs), "lines"))
+    if BYTES_PER_LINE * total > limit:
+        return probe(docs, where, index, lambda batch: _questions(batch, n), _unpack, _answer, lambda part, batch, said: close(part, _told(batch, said)), schema)
     shards: list = [None] * n
-    for r in packed.collect():
-        shards[r["shard"]] = _unpack([bytes(x) for x in r["levels"]], bytes(r["prints"]), bytes(r["counts"]))
-    return LineIndex(shards)
+    for r in index.collect():
+        shards[r["shard"]] = _unpack(bytes(r["data"]))
+    shared = docs.sparkSession.sparkContext.broadcast(LineIndex(shards))
+
+    def run(batches):
+        found = shared.value
+        for batch in batches:
+            plain = pa.RecordBatch.from_arrays(batch.columns, names=[f"c{i}" for i in range(batch.num_columns)])
+            for part in slices(plain, f"c{where}"):
+                yield close(part, _drops(texts(part.column(where)), found)).cast(arrow)
+
+    return docs.mapInArrow(tidy(run), schema)
 
 
-def _drops(batch: list[bytes | None], index: LineIndex, min_docs: int) -> list[tuple[list[bytes], np.ndarray]]:
-    """Each text's lines and which of them go."""
+def _hashes(batch: list[bytes | None]) -> tuple[list[list[bytes]], np.ndarray, np.ndarray]:
+    """Each text's lines; the 128-bit hashes of all their keys, and which keys are not empty."""
     split = [(t or b"").split(b"\n") for t in batch]
     keys = [line_key(x) for lines in split for x in lines]
     both = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, keys)), ">u8").reshape(-1, 2).astype(np.uint64)
-    filled = np.fromiter(map(bool, keys), bool, len(keys))
-    gone = (index.counts(both[:, 0], both[:, 1]) >= min_docs) & filled
+    return split, both, np.fromiter(map(bool, keys), bool, len(keys))
+
+
+def _per_text(split: list[list[bytes]], gone: np.ndarray) -> list[tuple[list[bytes], np.ndarray]]:
     ends = np.cumsum([len(x) for x in split])
     return [(lines, gone[end - len(lines) : end]) for lines, end in zip(split, ends, strict=True)]
 
 
+def _questions(batch: list[bytes | None], n: int) -> list[tuple[int, bytes]]:
+    """Per shard the distinct line hashes of a slice."""
+    _, both, filled = _hashes(batch)
+    both = np.unique(both[filled], axis=0)
+    shard = (both[:, 1] % np.uint64(n)).astype(np.int64)
+    order = np.argsort(shard, kind="stable")
+    cuts = np.flatnonzero(np.diff(shard[order], prepend=-1))
+    return [(int(shard[part[0]]), both[part].tobytes()) for part in np.split(order, cuts[1:]) if len(part)]
+
+
+def _answer(shard: tuple, question: bytes) -> bytes | None:
+    """Those of the asked hashes that the shard has."""
+    both = np.frombuffer(question, np.uint64).reshape(-1, 2)
+    perfect, prints, _ = shard
+    slot = perfect.slots(both[:, 0])
+    good = (slot >= 0) & (prints[slot] == both[:, 1])
+    return both[good].tobytes() if good.any() else None
+
+
+def _told(batch: list[bytes | None], said: list[bytes]) -> list[tuple[list[bytes], np.ndarray]]:
+    """Each text's lines and which of them go, by the answers."""
+    split, both, filled = _hashes(batch)
+    frequent = {x[i : i + 16] for x in said for i in range(0, len(x), 16)}
+    data = both.tobytes()
+    gone = np.fromiter((data[i : i + 16] in frequent for i in range(0, len(data), 16)), bool, len(both)) & filled
+    return _per_text(split, gone)
+
+
+def _drops(batch: list[bytes | None], index: LineIndex) -> list[tuple[list[bytes], np.ndarray]]:
+    """Each text's lines and which of them go: the index has frequent lines only."""
+    split, both, filled = _hashes(batch)
+    return _per_text(split, (index.counts(both[:, 0], both[:, 1]) > 0) & filled)
+
+
 def _row(lines: list[bytes], gone: np.ndarray) -> tuple[int, int, bytes]:
     n = int(gone.sum())
     return len(lines), n, b"\n".join(x for x, g in zip(lines, gone.tolist()) if not g) if n else b"\n".join(lines)
@@ -190,83 +248,28 @@ def line_digests(docs: DataFrame, min_docs: int = MIN_DOCS, max_index_bytes: int
 
     A line whose key is not empty and occurs in at least min_docs documents (rows)
     goes, in every document. Null and empty texts are one empty line, which stays. A
-    repeated row counts as one more document.
+    repeated row counts as one more document. Very long texts and lines are handled
+    whole. Only the id and the text are read, so no other column's name can clash.
     """
-    frequent = materialise(_counted(docs, text_col, min_docs), "lines")
-    index = _index(frequent, max_index_bytes)
-    if index is None:
-        kept = _kept_by_join(docs, frequent, text_col)
-        digest = lambda c: F.sha2(F.col(c).cast("binary"), 256)
-        return kept.select(F.col(id_col), "n_lines", "n_dropped", digest("kept_text").alias("kept_sha256"))
-    shared = docs.sparkSession.sparkContext.broadcast(index)
-
-    def make():
-        found = shared.value
+    schema = T.StructType([T.StructField(id_col, docs.schema[id_col].dataType), *_FIELDS])
 
-        def score(batch):
-            for lines, gone in _drops(batch, found, min_docs):
-                n_lines, n, kept = _row(lines, gone)
-                yield n_lines, n, sha256_hex(kept)
+    def close(part: pa.RecordBatch, judged: list) -> pa.RecordBatch:
+        rows = [_row(lines, gone) for lines, gone in judged]
+        columns = [pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([sha256_hex(r[2]) for r in rows], pa.string())]
+        return pa.RecordBatch.from_arrays([part.column(0), *columns], names=schema.names)
 
-        return score
-
-    return annotate(docs, id_col, text_col, _FIELDS, make)
+    chosen = docs.select(docs[id_col].alias("id"), docs[text_col].cast("string").alias("text"))
+    return _rewritten(chosen, min_docs, max_index_bytes, "text", close, schema)
 
 
 def drop_lines(docs: DataFrame, min_docs: int = MIN_DOCS, max_index_bytes: int = MAX_INDEX_BYTES, text_col: str = "text") -> DataFrame:
-    """docs with all columns, frequent lines removed from the text; a null text stays null."""
-    frequent = materialise(_counted(docs, text_col, min_docs), "lines")
-    index = _index(frequent, max_index_bytes)
-    if index is None:
-        kept = _kept_by_join(docs, frequent, text_col)
-        return kept.select(*(F.when(F.col(c).isNotNull(), F.col("kept_text")).alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns))
-    shared = docs.sparkSession.sparkContext.broadcast(index)
-
-    def make():
-        found = shared.value
-
-        def change(batch):
-            return [None if t is None else _row(lines, gone)[2] for t, (lines, gone) in zip(batch, _drops(batch, found, min_docs), strict=True)]
-
-        return change
+    """docs with all columns, whatever their names, frequent lines removed from the text; a null text stays null."""
+    names, where = docs.columns, docs.columns.index(text_col)
 
-    return rewrite(docs, text_col, make, keep_rows=False)
+    def close(part: pa.RecordBatch, judged: list) -> pa.RecordBatch:
+        columns = part.columns
+        kept = [None if null else _row(lines, gone)[2] for null, (lines, gone) in zip(columns[where].is_null().to_pylist(), judged, strict=True)]
+        columns[where] = pa.array(kept, pa.binary()).cast(pa.string())
+        return pa.RecordBatch.from_arrays(columns, names=names)
 
-
-def _kept_by_join(docs: DataFrame, frequent: DataFrame, text_col: str) -> DataFrame:
-    """docs, n_lines, n_dropped, kept_text for a frequent set of any size.
-
-    Each text's distinct line hashes meet the set in a shuffle join; the matches come
-    back as one array per distinct text, bounded by its number of lines.
-    """
-
-    def run(batches):
-        for batch in batches:
-            for part in slices(batch, "text"):
-                rows, highs, lows = [], [], []
-                for row, t in zip(part.column("row").to_pylist(), texts(part.column("text")), strict=True):
-                    for key in {line_key(x) for x in (t or b"").split(b"\n")} - {b""}:
-                        high, low = line_hash(key)
-                        rows.append(row)
-                        highs.append(high)
-                        lows.append(low)
-                yield pa.RecordBatch.from_pydict({"row": pa.array(rows, pa.string()), "high": np.array(highs, np.uint64).view(np.int64), "low": np.array(lows, np.uint64).view(np.int64)})
-
-    def close(frames):
-        import pandas as pd
-
-        for frame in frames:
-            out = []
-            for t, hits in zip(frame.text, frame.hits, strict=True):
-                gone = {(h["high"], h["low"]) for h in hits} if hits is not None else set()
-                lines = (t or "").encode().split(b"\n")
-                signed = [tuple(np.array(line_hash(line_key(x)), np.uint64).view(np.int64).tolist()) for x in lines]
-                out.append(_row(lines, np.array([s in gone and bool(line_key(x)) for s, x in zip(signed, lines)], bool)))
-            yield pd.DataFrame({"row": frame.row, "n_lines": [x[0] for x in out], "n_dropped": [x[1] for x in out], "kept_text": [x[2].decode() for x in out]})
-
-    row = F.coalesce(F.sha2(docs[text_col].cast("string"), 256), F.lit(""))
-    distinct = docs.select(row.alias("row"), docs[text_col].cast("string").alias("text")).dropDuplicates(["row"])
-    pairs = distinct.mapInArrow(tidy(run), "row string, high long, low long")
-    hits = pairs.join(frequent, ["high", "low"], "left_semi").groupBy("row").agg(F.collect_list(F.struct("high", "low")).alias("hits"))
-    kept = distinct.join(hits, "row", "left").select("row", "text", "hits").mapInPandas(close, "row string, n_lines long, n_dropped long, kept_text string")
-    return docs.join(kept, row == kept["row"]).drop("row")
+    return _rewritten(docs, min_docs, max_index_bytes, text_col, close, docs.schema)
