@@ -1,27 +1,25 @@
-"""Vectorised 64-bit hashes of space-separated words and word windows of many texts at once."""
+"""128-bit hashes of space-separated words, as two 64-bit lanes, and of word windows of many texts at once."""
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
 import numpy as np
+import xxhash
 
-_MULT = 0xD6E8FEB86659FD93
-_INVERSE = pow(_MULT, -1, 1 << 64)
-_SPACE = np.zeros(256, bool)
-_SPACE[[0x20, *range(0x09, 0x0E)]] = True
-_POWERS: list[np.ndarray] = []
+_SPACE = re.compile(rb"[\x20\x09-\x0D]")
+#: Bytes whose words are held as Python objects at one time.
+BLOCK = 1 << 20
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """_MULT ** i and its inverse for i < n, kept per worker; grown by doubling."""
-    if not _POWERS or len(_POWERS[0]) < n:
-        size = max(1 << 16, 1 << (n - 1).bit_length())
-        out = []
-        for m in (_MULT, _INVERSE):
-            p = np.full(size, m, np.uint64)
-            p[0] = 1
-            out.append(np.cumprod(p))
-        _POWERS[:] = out
-    return _POWERS[0], _POWERS[1]
+def blocks(text: bytes, size: int = BLOCK) -> Iterator[bytes]:
+    """A text in parts of about `size` bytes, cut at white space only."""
+    at = 0
+    while len(text) - at > size and (cut := _SPACE.search(text, at + size)):
+        yield text[at : cut.start()]
+        at = cut.end()
+    yield text[at:] if at else text
 
 
 def finish(h: np.ndarray) -> np.ndarray:
@@ -31,27 +29,48 @@ def finish(h: np.ndarray) -> np.ndarray:
 
 
 class Words:
-    """The words of several texts: hashes, byte ranges in `data`, and each text's range of words."""
-
-    def __init__(self, texts: list[bytes]):
-        self.data = b"\n".join(texts)
-        raw = np.frombuffer(self.data, np.uint8)
-        space = np.ones(len(raw) + 2, bool)
-        space[1:-1] = _SPACE[raw]
-        self.starts = np.flatnonzero(space[:-1] & ~space[1:])
-        self.ends = np.flatnonzero(~space[:-1] & space[1:])
-        power, inverse = _powers(len(raw) + 1)
-        sums = np.zeros(len(raw) + 1, np.uint64)
-        np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * power[: len(raw)], out=sums[1:])
-        self.hashes = finish((sums[self.ends] - sums[self.starts]) * inverse[self.starts])
-        offsets = np.cumsum([0, *(len(t) + 1 for t in texts)])
-        self.bounds = np.searchsorted(self.starts, offsets)
-
-    def windows(self, n: int, hashes: np.ndarray | None = None) -> np.ndarray:
+    """The words of several texts: a 128-bit hash each and each text's range of words; with `spelled` also the words.
+
+    Words are objects for one block of text at a time only: a very long text costs 16
+    bytes a word.
+    """
+
+    def __init__(self, texts: list[bytes], spelled: bool = False):
+        counts = np.zeros(len(texts) + 1, np.int64)
+        flat: list[bytes] = []
+        lanes, data, sizes, held = [], [], [], 0
+
+        def flush():
+            lanes.append(np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, flat)), np.uint64).reshape(-1, 2).T.copy())
+            if spelled:
+                data.append(b" ".join(flat))
+                sizes.append(np.fromiter(map(len, flat), np.int64, len(flat)))
+            flat.clear()
+
+        for i, text in enumerate(texts):
+            for part in blocks(text):
+                words = part.split()
+                counts[i + 1] += len(words)
+                flat += words
+                held += len(part)
+                if held > BLOCK:
+                    flush()
+                    held = 0
+        flush()
+        self.lanes = np.concatenate(lanes, axis=1)
+        self.bounds = np.cumsum(counts)
+        if spelled:
+            self.data = b" ".join(x for x in data if x)
+            size = np.concatenate(sizes)
+            self.ends = np.cumsum(size + 1) - 1
+            self.starts = self.ends - size
+
+    def windows(self, n: int, lane: int = 0) -> np.ndarray:
         """Hash of the n words from each word on; those that run into the next text are meaningless."""
-        h = self.hashes if hashes is None else hashes
+        h = self.lanes[lane]
         m = max(0, len(h) - n + 1)
         total = np.zeros(m, np.uint64)
         for k in range(n):
-            total = total * np.uint64(0x9E3779B97F4A7C15) + h[k : k + m]
+            total *= np.uint64(0x9E3779B97F4A7C15)
+            total += h[k : k + m]
         return finish(total)

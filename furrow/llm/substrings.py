@@ -66,10 +66,9 @@ class Segments:
     """The segments of some texts: minimiser, text number, first word in its text, windows, content."""
 
     def __init__(self, batch: list[bytes], window: int, run: int):
-        clean = [b" ".join(t.split()) for t in batch]
-        words = Words(clean)
+        words = Words(batch, spelled=True)
         self.words, self.window = words, window
-        n = len(words.hashes)
+        n = words.lanes.shape[1]
         low, many = window_minima(words.windows(run), window - run + 1) if n >= window else (np.zeros(0, np.uint64), np.zeros(0, bool))
         valid = np.zeros(len(low) + 1, bool)
         text_of = np.repeat(np.arange(len(batch)), np.diff(words.bounds))

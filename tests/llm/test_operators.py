@@ -165,6 +165,26 @@ def test_fm_index_counts():
 
 # --- 4: lines -----------------------------------------------------------------
 
+@pytest.mark.parametrize("limit", [lines.MAX_INDEX_BYTES, 0])
+def test_lines_clash_with_no_column(spark, docs, limit):
+    """Columns may have the names of everything that is computed on the way."""
+    names = ["row", "n_lines", "n_dropped", "kept_text", "kept_sha256", "hits", "high", "low", "unit", "shard", "part", "data", "c0"]
+    wide = docs.select("*", *(F.lit(i).alias(c) for i, c in enumerate(names)))
+    assert plain(lines.line_digests(wide, max_index_bytes=limit), "doc_id", "n_lines", "n_dropped") == plain(lines.line_digests(docs), "doc_id", "n_lines", "n_dropped")
+    kept = lines.drop_lines(wide, max_index_bytes=limit)
+    assert kept.schema == wide.schema and plain(kept, "doc_id", "text") == plain(lines.drop_lines(docs), "doc_id", "text")
+    assert kept.filter("row = 0 AND data = 11").count() == docs.count()
+
+
+@pytest.mark.parametrize("limit", [lines.MAX_INDEX_BYTES, 0])
+def test_lines_over_many_shards(spark, monkeypatch, limit):
+    monkeypatch.setattr(lines, "KEYS_PER_SHARD", 8)
+    rng = random.Random(4)
+    some = [(i, "\n".join(f"line {rng.randrange(300)}" for _ in range(rng.randrange(30))), None, None, None) for i in range(200)]
+    got = lines.line_digests(X.table(spark, some).repartition(5), max_index_bytes=limit)
+    assert plain(got, "doc_id", "n_lines", "n_dropped", "kept_sha256") == X.ordered(X.lines([(r[0], r[1]) for r in some]))
+
+
 @pytest.mark.parametrize("limit", [lines.MAX_INDEX_BYTES, 0])
 def test_lines(spark, docs, pairs, limit):
     got = lines.line_digests(docs, max_index_bytes=limit)
@@ -208,6 +228,23 @@ def test_bpe_cuts_are_safe():
             assert [i for p in parts for i in codec.encoding.encode_ordinary(p.decode())] == whole
 
 
+def test_bpe_encodes_any_long_text():
+    """No cut changes the ids, and texts that overflow the library's regex are encoded as the pattern says."""
+    codec, rng = bpe.codec(RANKS, public_tokenizers.PATTERN), random.Random(1)
+    alphabet = ["a", "B", "7", " ", "  ", "\n", "\t", "'", "'s", "!", "-", "好", "。", "，", "ж", "\u3000", "\u00a0", "é", "'re", "\x1c", "ab12"]
+    for _ in range(1500):
+        text = "".join(rng.choice(alphabet) for _ in range(rng.randrange(1, 40)))
+        whole = codec.encoding.encode_ordinary(text)
+        for size, run in ((1, 1), (3, 2), (7, 5)):
+            parts = codec.parts(text.encode(), size, run)
+            assert b"".join(parts) == text.encode()
+            assert [i for p in parts for i in codec.encoding.encode_ordinary(p.decode())] == whole
+    for text in (" " * 300_000, "x" + " " * 300_000 + "y", "\n" * 200_000 + "a", "a " * 200_000, "\u3000" * 100_000 + " b"):
+        assert codec.encode(text.encode()) == codec.encoding.encode_ordinary(text)
+    for text in (" " * 2_000_000, "\n" * 2_000_000, "a" * 1_000_000, "好的" * 400_000, "aB3/+x9Q" * 200_000, "x" + "\u3000" * 1_000_000 + "y"):
+        assert codec.decode(codec.encode(text.encode())) == text.encode()
+
+
 # --- 6: language --------------------------------------------------------------
 
 def test_language_accuracy(spark):
@@ -223,11 +260,10 @@ def test_language_brute_force(spark):
     train = [(1, "the cat sat", "en"), (2, "der Hund saß über", "de"), (3, "the dog", "en"), (4, None, "en"), (5, "x", None)]
     model = langid.fit(spark.createDataFrame(train, "doc_id long, text string, lang string"))
     assert model.langs == ("de", "en")
-    table = langid.symbol_table(list(model.high_bytes))
 
     def bits(lang, text):
-        data = [[0, 0, 0, *(int(table[b]) for b in t.encode())] for _, t, x in train if x == lang and t]
-        total, s = 0.0, [0, 0, 0, *(int(table[b]) for b in text.encode())]
+        data = [[0, 0, 0, *t.encode()] for _, t, x in train if x == lang and t]
+        total, s = 0.0, [0, 0, 0, *text.encode()]
         for i in range(3, len(s)):
             p = 1 / langid.ALPHABET
             for k in range(0, 4):
@@ -382,15 +418,57 @@ def test_registers_estimate_similarity():
     rng = np.random.default_rng(4)
     both, a, b = (rng.integers(0, 2**64, n, np.uint64) for n in (800, 100, 100))
     x, y = (neardup.registers(np.unique(np.concatenate((both, s)))) for s in (a, b))
-    found = neardup.estimate(x[None], y[None], np.array([900]), np.array([900]))[0]
+    found = neardup.estimate((x == y).mean(), np.array([900]), np.array([900]))[0]
     assert abs(found - 0.8) < 0.15
     assert (neardup.registers(both) >> 10).max() < 64
 
 
 def test_word_hashes_depend_on_words_only():
-    one, two = hashing.Words([b"a bb  ccc", b"bb"]), hashing.Words([b"xx\tbb", b"", b"ccc a"])
-    assert one.hashes[1] == one.hashes[3] == two.hashes[1] and one.hashes[2] == two.hashes[2] and one.hashes[0] == two.hashes[3]
+    one, two = hashing.Words([b"a bb  ccc", b"bb"], spelled=True), hashing.Words([b"xx\tbb", b"", b"ccc a"])
+    for lane in (0, 1):
+        a, b = one.lanes[lane], two.lanes[lane]
+        assert a[1] == a[3] == b[1] and a[2] == b[2] and a[0] == b[3]
     assert two.bounds.tolist() == [0, 2, 2, 4]
+    assert [one.data[x:y] for x, y in zip(one.starts, one.ends)] == [b"a", b"bb", b"ccc", b"bb"]
+
+
+def test_long_texts_are_hashed_in_blocks(monkeypatch):
+    text = " ".join(f"w{i % 97}" for i in range(5000)).encode()
+    whole = hashing.Words([text, b"tail"], spelled=True)
+    assert b" ".join(hashing.blocks(text, 100)) == text
+    monkeypatch.setattr(hashing, "BLOCK", 64)
+    cut = hashing.Words([text, b"tail"], spelled=True)
+    assert (cut.lanes == whole.lanes).all() and cut.data == whole.data and (cut.starts == whole.starts).all() and cut.bounds.tolist() == [0, 5000, 5001]
+
+
+def test_words_of_one_polynomial_hash_are_told_apart(spark):
+    """A Thue-Morse word and its complement agree in every polynomial hash with an odd base modulo 2 ** 64; here they are different words."""
+    morse = "".join("ab"[bin(i).count("1") % 2] for i in range(2048))
+    other = morse.translate(str.maketrans("ab", "ba"))
+    some = [(1, morse, None, None, None), (2, other, None, None, None), (3, f"{morse} x y z", None, None, None), (4, f"{other} x y z", None, None, None), (5, morse, None, None, None)]
+    got = {r.doc_id: r.component_id for r in neardup.components(X.table(spark, some), n=4).collect()}
+    assert got == {1: 1, 2: 2, 3: 3, 4: 4, 5: 1}
+
+
+def test_string_ids_and_one_huge_group(spark):
+    """Ids need only an order; thousands of copies and a chain beside them give one component each."""
+    a, b = (" ".join(f"{x}{i}" for i in range(60)) for x in "ab")
+    rows = [(f"k{i:05}", a if i % 2 else a + f" t{i % 7}") for i in range(2000)] + [("zz", b), (None, b)]
+    got = neardup.components(spark.createDataFrame(rows, "doc_id string, text string").repartition(5), n=4).collect()
+    assert {r.component_id for r in got if r.doc_id not in ("zz", None)} == {"k00000"}
+    assert {r.component_id for r in got if r.doc_id in ("zz", None)} == {"zz"}
+
+
+def test_exact_sets_equal_sets_of_words():
+    rng = random.Random(9)
+    batch = [" ".join(rng.choice("a b c dd".split()) for _ in range(rng.randrange(0, 40))).encode() for _ in range(30)]
+    for n in (1, 4, 5):
+        real = [{tuple(w[i : i + n]) for i in range(len(w) - n + 1)} for w in (t.split() for t in batch)]
+        found = neardup.exact_sets(batch, n)
+        for i in range(30):
+            for j in range(i):
+                if real[i] and real[j]:
+                    assert len(np.intersect1d(found[i], found[j])) == len(real[i] & real[j])
 
 
 # --- 9: quality rules ---------------------------------------------------------
@@ -430,6 +508,16 @@ def test_licences(docs, pairs):
     assert by[0].labels == "" and by[0].score == 0.0
 
 
+def test_licences_in_long_texts():
+    """Many notices and very long words: positions are right, and a word cut for a window is no word end."""
+    scanner = licences.Scanner()
+    row, spans = scanner.scan(b"released under the mit license " * 2000)
+    assert row[:4] == (10_000, 2000, 3, 9998) and [s.first_word for s in spans] == list(range(0, 10_000, 5))
+    for text in (b"mozilla" * 20_000, b"x" * 500 + b"mozilla public license" + b"y" * 500, ("ü" * 3000 + " end").encode()):
+        assert scanner.scan(text)[0][4:] == ("", "", 0.0)
+    assert scanner.scan(b"x" * 5000 + b" mozila public license " + b"y" * 5000)[0][5] == "mpl"
+
+
 def test_seeds_lose_no_notice():
     """Every text within the error bound is found (pigeonhole), whatever the edits."""
     rng, text, k = random.Random(8), "mozilla public license", 2
