@@ -5,7 +5,10 @@ from __future__ import annotations
 import math
 from collections.abc import Iterable
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 FOUR = [(-1, 0), (1, 0), (0, -1), (0, 1)]
@@ -21,29 +24,36 @@ def spread(df: DataFrame, offsets: Iterable[tuple], cols: dict[str, str]) -> Dat
     return out.select((F.col("r") + F.col("o.i")).alias("r"), (F.col("c") + F.col("o.j")).alias("c"), *cols, *(F.col(f"o.w{k}").alias(f"w{k}") for k in range(extra)))
 
 
-def _weighted(df: DataFrame, value: str, kernel: list[tuple]) -> DataFrame:
-    """Weighted mean of the non-NULL neighbours of every non-NULL cell: neighbours are summed first, then meet the cell."""
+def _weighted(df: DataFrame, value: str, weights: dict[int, float]) -> DataFrame:
+    """Weighted mean of the non-NULL neighbours of every non-NULL cell; the weight of (i, j) is weights[i] * weights[j].
+
+    The kernel is a product, so sums go along rows first and then along columns: a
+    cell is copied twice the width of the kernel, not its square.
+    """
     filled = df.filter(F.col(value).isNotNull())
-    sums = spread(filled, kernel, {"v": value}).groupBy("r", "c").agg((F.sum(F.col("v") * F.col("w0")) / F.sum("w0")).alias("smooth"))
-    return df.join(sums, ["r", "c"], "left").withColumn("smooth", F.when(F.col(value).isNotNull(), F.col("smooth")))
+    total, share = F.col("v") * F.col("w0"), F.col("w") * F.col("w0")
+    sums = filled.select("r", "c", F.col(value).alias("v"), F.lit(1.0).alias("w"))
+    for kernel in ([(0, k, x) for k, x in weights.items()], [(k, 0, x) for k, x in weights.items()]):
+        sums = spread(sums, kernel, {"v": "v", "w": "w"}).groupBy("r", "c").agg(F.sum(total).alias("v"), F.sum(share).alias("w"))
+    smooth = sums.select("r", "c", (F.col("v") / F.col("w")).alias("smooth"))
+    return df.join(smooth, ["r", "c"], "left").withColumn("smooth", F.when(F.col(value).isNotNull(), F.col("smooth")))
 
 
 def smooth_binomial(df: DataFrame, value: str) -> DataFrame:
     """3x3 binomial mean of the neighbours that have a value; a NULL centre stays NULL."""
-    return _weighted(df, value, [(i, j, (2 - abs(i)) * (2 - abs(j))) for i in (-1, 0, 1) for j in (-1, 0, 1)])
+    return _weighted(df, value, {-1: 1, 0: 2, 1: 1})
 
 
 def smooth_mean(df: DataFrame, value: str, size: int) -> DataFrame:
     """Moving mean over size x size cells that have a value."""
-    k = size // 2
-    return _weighted(df, value, [(i, j, 1) for i in range(-k, k + 1) for j in range(-k, k + 1)])
+    return _weighted(df, value, {k: 1 for k in range(-(size // 2), size // 2 + 1)})
 
 
 def smooth_gauss(df: DataFrame, value: str, size: int) -> DataFrame:
     """NULL-aware Gaussian, standard deviation size / 4, cut at 4 of them."""
     sigma = size / 4
     k = int(4 * sigma + 0.5)
-    return _weighted(df, value, [(i, j, math.exp(-(i * i + j * j) / (2 * sigma * sigma))) for i in range(-k, k + 1) for j in range(-k, k + 1)])
+    return _weighted(df, value, {i: math.exp(-i * i / (2 * sigma * sigma)) for i in range(-k, k + 1)})
 
 
 def fill_edges(df: DataFrame, value: str) -> DataFrame:
@@ -94,32 +104,77 @@ def label_boundary(df: DataFrame, label: str) -> DataFrame:
     return own.join(same, ["r", "c"], "left").filter("n IS NULL OR n < 4").select("r", "c", F.col("l").alias(label))
 
 
-def fill_nearest(df: DataFrame, value: str, reach: int = 4) -> DataFrame:
-    """Gaps (NULL or not positive) take the value of the nearest filled cell, the least (row, col) of equally near ones.
+def column_nearest(df: DataFrame, keys: list[str], source: str, carry: list[str] = []) -> DataFrame:
+    """(keys, r, c, gap, from_r, carried): the nearest cell of its column, and of equally near ones the upper, where `source` holds.
 
-    Cells within `reach` come by an equi-join of gaps with the cells around them; gaps
-    that are farther from every value meet one candidate block of cells in rings of
-    doubled reach, so all gaps fill while the table has any value.
+    First of the two passes of a distance transform: each column is read downwards and
+    upwards once, whatever the distances are. NULLs where a column has none.
     """
-    filled = df.filter(F.col(value) > 0).select("r", "c", F.col(value).alias("v"))
-    gaps = df.filter(F.coalesce(F.col(value), F.lit(0)) <= 0).select("r", "c")
-    done, k = None, reach
-    span = df.agg(F.max("r") - F.min("r"), F.max("c") - F.min("c")).first()
-    most = max((x or 0) for x in span) + 1
-    while True:
-        # bins of k cells: everything within k of a gap lies in its bin or the eight around it
-        bins = lambda d: d.withColumns({"br": F.floor(F.col("r") / k).cast("long"), "bc": F.floor(F.col("c") / k).cast("long")})
-        near = bins(filled).select(F.col("r").alias("fr"), F.col("c").alias("fc"), "v", "br", "bc")
-        steps = F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)))
-        wide = bins(gaps).withColumn("o", F.explode(steps)).select("r", "c", (F.col("br") + F.col("o.i")).alias("br"), (F.col("bc") + F.col("o.j")).alias("bc"))
-        dist = (F.col("r") - F.col("fr")) * (F.col("r") - F.col("fr")) + (F.col("c") - F.col("fc")) * (F.col("c") - F.col("fc"))
-        found = wide.join(near, ["br", "bc"]).withColumn("d2", dist).filter(F.col("d2") <= k * k)
-        best = found.groupBy("r", "c").agg(F.min(F.struct("d2", "fr", "fc", "v")).alias("b")).select("r", "c", F.col("b.v").alias("_v"))
-        done = best if done is None else done.unionByName(best)
-        if k >= 2 * most:
-            break
-        gaps = gaps.join(best, ["r", "c"], "left_anti")
-        if not gaps.take(1):
+    here = F.when(F.col(source), F.struct("r", *carry))
+    column = W.partitionBy(*keys, "c").orderBy("r")
+    above = F.last(here, ignorenulls=True).over(column.rowsBetween(W.unboundedPreceding, 0))
+    below = F.first(here, ignorenulls=True).over(column.rowsBetween(0, W.unboundedFollowing))
+    both = df.select(*keys, "r", "c", above.alias("up"), below.alias("down"))
+    upper = F.col("down").isNull() | (F.col("r") - F.col("up.r") <= F.col("down.r") - F.col("r"))
+    near = both.withColumn("near", F.when(F.col("up").isNotNull() & upper, F.col("up")).otherwise(F.col("down")))
+    return near.select(*keys, "r", "c", F.abs(F.col("r") - F.col("near.r")).alias("gap"), F.col("near.r").alias("from_r"), *(F.col(f"near.{c}").alias(c) for c in carry))
+
+
+def row_nearest(row: np.ndarray, column: np.ndarray, gap: np.ndarray, from_r: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Squared distance to the nearest source of each cell of some rows, and which cell's column has it (-1: none).
+
+    Second pass: cells meet their neighbours in the row at growing offsets, all at once,
+    until no offset can be nearer. Ties go to the least (row, column).
+    """
+    low, far = int(column.min()), np.int64(1) << 62
+    width = int(column.max()) - low + 1
+    line = (row - row.min()) * width
+    at = np.full(int(line.max()) + width, -1, np.int32)
+    at[line + column - low] = np.arange(len(column), dtype=np.int32)
+    d2 = np.where(np.isnan(gap), far, np.nan_to_num(gap).astype(np.int64) ** 2)
+    rows = np.nan_to_num(from_r).astype(np.int64)
+    best, origin = d2.copy(), np.where(d2 < far, np.arange(len(column)), -1)
+    todo = np.flatnonzero(wanted)
+    for step in range(1, width):
+        todo = todo[best[todo] >= step * step]
+        if not len(todo):
             break
-        k *= 2
-    return df.join(done, ["r", "c"], "left").withColumn("filled", F.coalesce(F.when(F.col(value) > 0, F.col(value)), "_v")).drop("_v")
+        for side in (-step, step):
+            x = column[todo] - low + side
+            inside = (x >= 0) & (x < width)
+            me, other = todo[inside], at[line[todo[inside]] + x[inside]]
+            me, other = me[other >= 0], other[other >= 0]
+            new = np.minimum(d2[other], far - step * step) + step * step
+            mine = np.maximum(origin[me], 0)
+            # of equally near ones the upper, then the left
+            before = (rows[other] < rows[mine]) | ((rows[other] == rows[mine]) & (column[other] < column[mine]))
+            better = (d2[other] < far) & ((new < best[me]) | ((new == best[me]) & before))
+            best[me[better]], origin[me[better]] = new[better], other[better]
+    return best, origin
+
+
+def fill_nearest(df: DataFrame, value: str) -> DataFrame:
+    """Gaps (NULL or not positive) take the value of the nearest filled cell, the least (row, col) of equally near ones.
+
+    A distance transform in two passes, columns and then rows. Rows with gaps are completed to the
+    table's width, as the nearest value may stand above or below a cell that is missing.
+    """
+    kind = df.schema[value].dataType.simpleString()
+    cells = df.select(F.col("r").cast("long"), F.col("c").cast("long"), F.when(F.col(value) > 0, F.col(value)).alias("v"), F.lit(True).alias("real"))
+    span = df.agg(F.min("c").cast("long").alias("low"), F.max("c").cast("long").alias("high"))
+    rows = cells.filter("v IS NULL").select("r").distinct().crossJoin(F.broadcast(span))
+    places = rows.select("r", F.explode(F.sequence("low", "high")).alias("c"))
+    grid = cells.unionByName(places.withColumns({"v": F.lit(None).cast(kind), "real": F.lit(False)}))
+    grid = grid.groupBy("r", "c").agg(F.max("v").alias("v"), F.max("real").alias("real")).withColumn("filled", F.col("v").isNotNull())
+    near = column_nearest(grid, [], "filled", ["v"]).join(grid.select("r", "c", (F.col("real") & ~F.col("filled")).alias("gap_cell")), ["r", "c"])
+
+    def fill(table: pa.Table) -> pa.Table:
+        wanted = table.column("gap_cell").to_numpy()
+        r, c, gap, from_r = (table.column(x).to_numpy() for x in ("r", "c", "gap", "from_r"))
+        _, origin = row_nearest(r, c, gap.astype(float), from_r.astype(float), wanted)
+        keep = wanted & (origin >= 0)
+        values = table.column("v").take(pa.array(origin[keep]))
+        return pa.table({"r": table.column("r").filter(pa.array(keep)), "c": table.column("c").filter(pa.array(keep)), "_v": values})
+
+    found = near.groupBy("r").applyInArrow(fill, f"r long, c long, _v {kind}")
+    return df.join(found, ["r", "c"], "left").withColumn("filled", F.coalesce(F.when(F.col(value) > 0, F.col(value)), "_v")).drop("_v")

@@ -6,6 +6,8 @@ itself where a result must be reproducible in any engine.
 
 from __future__ import annotations
 
+from math import ceil
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -17,50 +19,68 @@ def draw_order(ident: str, seed: int | None) -> Column:
     return F.col(ident) if seed is None else F.xxhash64(F.col(ident), F.lit(seed))
 
 
-def quantiles(df: DataFrame, value: str, shares: list[float]) -> list[float | None]:
-    """Exact quantiles, interpolated linearly, of a column of any size; NULLs don't count, no values give None.
+class Counted:
+    """The distinct values of a column with their counts, in ranges and written once, for exact quantiles of any size.
 
-    Values are counted, range-partitioned and written once; sums per range place each
-    wanted rank, and at most two values a share come to the driver. The built-in
-    percentile would hold all distinct values in one task.
+    Sums per range place each wanted rank, and at most two values a share come to the
+    driver. The built-in percentile would hold all distinct values in one task.
     """
-    counted = df.filter(F.col(value).isNotNull()).groupBy(F.col(value).cast("double").alias("v")).agg(F.count(F.lit(1)).alias("n"))
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = materialise(counted.repartitionByRange(parts, "v").withColumn("part", F.spark_partition_id()), "quantiles")
-    sums = {r["part"]: r["n"] for r in dealt.groupBy("part").agg(F.sum("n").alias("n")).collect()}
-    total = sum(sums.values())
-    if not total:
-        return [None] * len(shares)
-    at = [q * (total - 1) for q in shares]
-    ranks = sorted({r for x in at for r in (int(x), min(int(x) + 1, total - 1))})
-    before, wanted = 0, []
-    for part in sorted(sums):  # parts are in the order of values
-        wanted += [(part, r - before, r) for r in ranks if before <= r < before + sums[part]]
-        before += sums[part]
-    inside = dealt.filter(F.col("part").isin(*{w[0] for w in wanted})).withColumn("upto", F.sum("n").over(W.partitionBy("part").orderBy("v").rowsBetween(W.unboundedPreceding, 0)))
-    ask = df.sparkSession.createDataFrame(wanted, "part int, place long, rank long")
-    hits = inside.join(F.broadcast(ask), "part").filter((F.col("place") < F.col("upto")) & (F.col("place") >= F.col("upto") - F.col("n")))
-    found = {r["rank"]: r["v"] for r in hits.select("rank", "v").collect()}
-    low = [found[int(x)] for x in at]
-    high = [found[min(int(x) + 1, total - 1)] for x in at]
-    return [a + (b - a) * (x - int(x)) for a, b, x in zip(low, high, at)]
+
+    def __init__(self, df: DataFrame, value: str):
+        counted = df.filter(F.col(value).isNotNull()).groupBy(F.col(value).cast("double").alias("v")).agg(F.count(F.lit(1)).alias("n"))
+        parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        self.dealt = materialise(counted.repartitionByRange(parts, "v").withColumn("part", F.spark_partition_id()), "quantiles")
+
+    def quantiles(self, shares: list[float], above: float | None = None) -> list[float | None]:
+        """Quantiles, interpolated linearly, of the values above a limit; None if there are none."""
+        dealt = self.dealt if above is None else self.dealt.filter(F.col("v") > above)
+        sums = {r["part"]: r["n"] for r in dealt.groupBy("part").agg(F.sum("n").alias("n")).collect()}
+        total = sum(sums.values())
+        if not total:
+            return [None] * len(shares)
+        at = [q * (total - 1) for q in shares]
+        ranks = sorted({r for x in at for r in (int(x), min(int(x) + 1, total - 1))})
+        before, wanted = 0, []
+        for part in sorted(sums):  # parts are in the order of values
+            wanted += [(part, r - before, r) for r in ranks if before <= r < before + sums[part]]
+            before += sums[part]
+        inside = dealt.filter(F.col("part").isin(*{w[0] for w in wanted})).withColumn("upto", F.sum("n").over(W.partitionBy("part").orderBy("v").rowsBetween(W.unboundedPreceding, 0)))
+        ask = dealt.sparkSession.createDataFrame(wanted, "part int, place long, rank long")
+        hits = inside.join(F.broadcast(ask), "part").filter((F.col("place") < F.col("upto")) & (F.col("place") >= F.col("upto") - F.col("n")))
+        found = {r["rank"]: r["v"] for r in hits.select("rank", "v").collect()}
+        low = [found[int(x)] for x in at]
+        high = [found[min(int(x) + 1, total - 1)] for x in at]
+        return [a + (b - a) * (x - int(x)) for a, b, x in zip(low, high, at)]
+
+
+def quantiles(df: DataFrame, value: str, shares: list[float]) -> list[float | None]:
+    """Exact quantiles, interpolated linearly, of a column of any size; NULLs don't count, no values give None."""
+    return Counted(df, value).quantiles(shares)
+
+
+def _edges(bins: int) -> list[float]:
+    return [i / bins for i in range(bins + 1)]
 
 
 def quantile_edges(df: DataFrame, size: str, bins: int) -> list[float]:
     """Interpolated quantiles of size at 0, 1/bins ... 1; a bounded row to the driver."""
-    return quantiles(df, size, [i / bins for i in range(bins + 1)])
+    return quantiles(df, size, _edges(bins))
 
 
 def distinct_edges(df: DataFrame, size: str, bins: int, start: float) -> list[float]:
-    """Edges after raising the least size by one until all are distinct."""
-    least = start
+    """Edges after raising the least size by ones until all are distinct.
+
+    The table is counted once. A raise that excludes no further value changes nothing,
+    so the minimum goes at once to the next whole step that does.
+    """
+    counted, least = Counted(df, size), start
     while True:
-        edges = quantile_edges(df.filter(F.col(size) > least), size, bins)
+        edges = counted.quantiles(_edges(bins), least)
         if edges[0] is None:
             raise ValueError("no minimum size gives distinct quantile edges")
         if len(set(edges)) == len(edges):
             return edges
-        least += 1
+        least += max(1, ceil(edges[0] - least))
 
 
 def bucket(size: str, edges: list[float], closed: str = "right") -> Column:
@@ -141,12 +161,35 @@ def sample_empty(df: DataFrame, keys: list[str], count: str, share: float) -> Da
     return empty.orderBy(*keys).limit(int(k))
 
 
+def ranked(df: DataFrame, keys: list[str], order: list[Column], name: str) -> DataFrame:
+    """Column `name`: the row's number within its group, from 1, for groups of any size.
+
+    Rows are dealt by ranges of group and order and numbered within each range and group; the
+    ranges' counts, a small table, place them. No group is in one task.
+    """
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    group = [F.col(k) for k in keys]
+    dealt = materialise(df.repartitionByRange(parts, *group, *order).withColumn("_part", F.spark_partition_id()), "ranked")
+    inner = W.partitionBy("_part", *keys)
+    counts = dealt.groupBy("_part", *keys).agg(F.count(F.lit(1)).alias("_n"))
+    before = counts.withColumn("_before", F.coalesce(F.sum("_n").over(W.partitionBy(*keys).orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
+    before = before.select(F.col("_part").alias("_p"), "_before", *(F.col(k).alias(f"_g{i}") for i, k in enumerate(keys)))
+    same = F.col("_part") == F.col("_p")
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"_g{i}"))
+    out = dealt.withColumn("_rank", F.row_number().over(inner.orderBy(*order))).join(before, same)
+    return out.withColumn(name, F.col("_rank") + F.col("_before")).select(*df.columns, name)
+
+
 def split(df: DataFrame, ratio: float, strata: list[str], order: list[Column]) -> DataFrame:
     """Column part: train for the first int(n * ratio) rows of each stratum, hold for the others."""
-    w = W.partitionBy(*strata)
-    n = F.count(F.lit(1)).over(w)
-    rank = F.row_number().over(w.orderBy(*order))
-    return df.withColumn("part", F.when(rank <= F.floor(n * ratio), "train").otherwise("hold"))
+    placed = ranked(df, strata, order, "_place")
+    sizes = df.groupBy(*strata).agg(F.count(F.lit(1)).alias("_size")).select("_size", *(F.col(k).alias(f"_s{i}") for i, k in enumerate(strata)))
+    same = F.lit(True)
+    for i, k in enumerate(strata):
+        same = same & F.col(k).eqNullSafe(F.col(f"_s{i}"))
+    joined = placed.join(sizes, same)
+    return joined.withColumn("part", F.when(F.col("_place") <= F.floor(F.col("_size") * ratio), "train").otherwise("hold")).select(*df.columns, "part")
 
 
 def drop_outer_chips(df: DataFrame, has_border: str, row: str = "chip_r", col: str = "chip_c") -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 import numpy as np
 import pandas as pd
@@ -10,8 +10,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from furrow.functions import formulas
-from furrow.operators import composite, grids, labels, masks, scoring, temporal, vectors
+from furrow.operators import composite, grids, labels, masks, sampling, scoring, temporal, vectors
 from furrow.plans.fluxes import run_fluxes
+from furrow.session import materialise
 
 
 def infer_chips(cells: DataFrame, channels: list[str], size: int, predict: Callable[[np.ndarray], np.ndarray], bands: list[str]) -> DataFrame:
@@ -46,29 +47,56 @@ def field_pipeline(cells: DataFrame, n_rows: int, n_cols: int, channels: list[st
     return shapes, labels.best_iou(pairs, "ref", "field", mode="dedup")
 
 
-def et_pipeline(obs: DataFrame, hourly: DataFrame, canopy: DataFrame, start: str, end: str) -> tuple[DataFrame, DataFrame]:
+def et_pipeline(obs: DataFrame, hourly: DataFrame, canopy: DataFrame, start: str, end: str, ground: DataFrame | None = None, window: int = 4) -> tuple[DataFrame, DataFrame]:
     """Daily ET per pixel, and its median over the dates, from thermal scenes, hourly weather and canopy rows (pixel, lai, h_c).
 
     hourly has hour, t2m, ssrd (J/m2), u100, v100, ea. Best clear scene of a day, weather
-    at its time, balance, and scaling by the day's mean radiation.
+    at its time, balance, and scaling by the day's mean radiation. Canopy rows with a
+    comp_date hold for the days within `window` of it, the nearest composite of a day
+    and then the earlier one. ground, if given, has pixel with water, landcover, dem and
+    geopot: water and unclassified pixels drop, air temperature and pressure are
+    corrected for terrain. Scenes are taken at the resolution they have; to sharpen
+    them, apply plans.sharpen to each day's scene first.
     """
     with_air = temporal.interp_hourly(masks.mask_lst_quality(obs), hourly, "ts", "hour", ["t2m"])
     best = composite.best_pixel(masks.mask_lst_air(with_air)).filter("lst IS NOT NULL")
     weather = formulas.WIND.apply(hourly).withColumn("s_dn", temporal.flux_from_accumulated(F.col("ssrd"))).select("hour", "t2m", "wind", "ea", "s_dn")
     at = temporal.interp_hourly(best, weather, "ts", "hour", ["t2m", "wind", "ea", "s_dn"])
     mean = temporal.daily_radiation(weather, "hour", "s_dn").select("day", F.col("mean_flux").alias("s_mean"))
-    rows = at.join(canopy, "pixel").join(mean, "day").withColumns({"t_r": F.col("lst"), "t_a": F.col("t2m"), "u": F.col("wind"), "doy": F.dayofyear("day"), "hr": F.hour("ts") + F.minute("ts") / 60.0})
+    if "comp_date" in canopy.columns:
+        days = temporal.window_join(canopy.select("comp_date").distinct(), at.select("day").distinct(), "comp_date", "day", window)
+        far = F.abs(F.datediff("comp_date", "day"))
+        nearest = days.groupBy("day").agg(F.min(F.struct(far.alias("far"), "comp_date")).alias("near")).select("day", "near.comp_date")
+        canopy = canopy.join(nearest, "comp_date").drop("comp_date")
+        rows = at.join(canopy, ["pixel", "day"])
+    else:
+        rows = at.join(canopy, "pixel")
+    rows = rows.join(mean, "day").withColumns({"t_a": F.col("t2m"), "p": F.lit(1013.25)})
+    if ground is not None:
+        kept = masks.mask_landcover(masks.mask_water(ground, "water"), "landcover", "zero").filter("mask = 1").drop("mask", "water")
+        terrain = {"sp": F.col("p"), "rate": F.lit(0.0065), "blend": F.lit(100.0)}
+        rows = formulas.TERRAIN.apply(rows.join(kept, "pixel").withColumns(terrain)).withColumns({"t_a": F.col("t_terrain"), "p": F.col("p_terrain")}).drop(*formulas.TERRAIN.columns, *terrain, "dem", "geopot")
+    rows = rows.withColumns({"t_r": F.col("lst"), "u": F.col("wind"), "doy": F.dayofyear("day"), "hr": F.hour("ts") + F.minute("ts") / 60.0})
     fluxes = run_fluxes(rows, ["pixel", "day"]).select("pixel", "day", "flag", "le")
-    scaled = rows.select("pixel", "day", "s_mean", F.col("s_dn").alias("s_inst"), "t_a", "ea", F.lit(1013.25).alias("p")).join(fluxes, ["pixel", "day"])
+    scaled = rows.select("pixel", "day", "s_mean", F.col("s_dn").alias("s_inst"), "t_a", "ea", "p").join(fluxes, ["pixel", "day"])
     daily = formulas.DAILY_ET.apply(formulas.AIR.apply(scaled)).select("pixel", "day", "flag", F.col("et_daily").alias("et"))
     return daily, composite.et_median(daily.filter("et IS NOT NULL"), start, end, day="day")
 
 
-def compare_maps(reference: DataFrame, maps: dict[str, DataFrame], cell: float, grid: DataFrame) -> DataFrame:
-    """IoU surfaces of several parcel maps (id, ring) against a reference (ref, ring), by map name."""
+def compare_maps(reference: DataFrame, maps: dict[str, DataFrame], cell: float, grid: DataFrame, exclude: Sequence[str] = (), per_decile: int | None = None, seed: int | None = None) -> DataFrame:
+    """IoU surfaces of several parcel maps (field_id, ring) against a reference (field_id, category, area_ha, ring), by map name.
+
+    The reference is cleaned first: excluded categories, repeated outlines and repeated
+    ids drop, and per_decile parcels of each size decile are drawn (all, if None). Each
+    parcel meets the parcel of a map that covers most of it, the least id on ties.
+    """
+    kept = masks.drop_repeated_ids(masks.clean_parcels(reference, "category", exclude, ["ring"]), "field_id")
+    if per_decile is not None:
+        kept = sampling.sample_per_decile(kept, "field_id", "area_ha", per_decile, seed=seed)
+    kept = materialise(kept.select(F.col("field_id").alias("ref"), "ring"), "reference")
     out = None
     for name, other in maps.items():
-        pairs = vectors.overlay_pairs(reference, other, "ref", "id", cell)
+        pairs = vectors.overlay_pairs(kept, other.select(F.col("field_id").alias("id"), "ring"), "ref", "id", cell)
         best = pairs.groupBy("ref").agg(F.max_by(F.struct("overlap_a", "overlap_b", "iou"), F.struct(F.col("overlap_a"), (-F.col("id")))).alias("b")).select("ref", "b.*")
         one = scoring.iou_surface(best, grid).withColumn("map", F.lit(name))
         out = one if out is None else out.unionByName(one)

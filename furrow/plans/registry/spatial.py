@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from furrow.operators import focal, grids, labels, sampling, scoring, vectors
+from furrow.plans import pipelines
 from furrow.plans.registry.base import Source, query, rounded
 
 R = lambda c, n=6: rounded(c, n).alias(c)
@@ -77,7 +78,7 @@ _FILL = "v AS (SELECT r, c, red FROM px WHERE red > 0), best AS (SELECT a.r, a.c
 
 @query("w20_fill_nearest", f"WITH {_HOLES}, {_FILL} SELECT px.r, px.c, round(coalesce(px.red, best.red), 6) AS filled FROM px LEFT JOIN best USING (r, c)", "pixels")
 def _(s: Source):
-    return focal.fill_nearest(_px(s), "red", 2).select("r", "c", R("filled"))
+    return focal.fill_nearest(_px(s), "red").select("r", "c", R("filled"))
 
 
 _CC = "WITH RECURSIVE n AS (SELECT r, c, r * 4294967296 + c AS k, {v} AS v FROM {t} WHERE {v} <> 0), e AS (SELECT a.k AS a, b.k AS b FROM n a JOIN n b ON {near} AND a.v = b.v), w(k, m) AS (SELECT k, k FROM n UNION SELECT e.b, w.m FROM w JOIN e ON w.k = e.a WHERE w.m < e.b), f AS (SELECT k, min(m) AS component FROM w GROUP BY k)"
@@ -135,7 +136,7 @@ SELECT r, c, ref, round(sqrt(d2) / max(sqrt(d2)) OVER (PARTITION BY ref), 6) AS
     "labels2",
 )
 def _(s: Source):
-    return labels.border_distance(s.view("labels2"), "ref", block=4).select("r", "c", "ref", R("dist"))
+    return labels.border_distance(s.view("labels2"), "ref").select("r", "c", "ref", R("dist"))
 
 
 @query("w11_proximity", f"WITH {_HOLES}, o AS (SELECT r, c FROM px WHERE m = 1 AND (r + c) % 5 = 0) SELECT a.r, a.c, round(20 * (SELECT CASE WHEN min((a.r - o.r) * (a.r - o.r) + (a.c - o.c) * (a.c - o.c)) <= 36 THEN sqrt(min((a.r - o.r) * (a.r - o.r) + (a.c - o.c) * (a.c - o.c))) END FROM o), 6) AS dist FROM px a", "pixels")
@@ -275,7 +276,31 @@ def _(s: Source):
     return _overlay(s).select("a", "b", "area", R("overlap_a"), R("overlap_b"), R("iou"))
 
 
-@query("m10_compare_maps", _overlay_sql(", best AS (SELECT * FROM p QUALIFY row_number() OVER (PARTITION BY a ORDER BY overlap_a DESC, b) = 1), g AS (SELECT x.i / 10.0 AS t_pred, y.i / 10.0 AS t_ref FROM range(6) x(i), range(6) y(i)) SELECT t_pred, t_ref, round(avg(iou), 6) AS mean_iou, round(median(iou), 6) AS median_iou, count(*) AS n FROM best, g WHERE overlap_b > t_pred AND overlap_a > t_ref GROUP BY 1, 2"), "parcels")
+_MAPS = {"east": 8, "far": 20}
+_CELLS = "SELECT field_id, r, CAST(c AS BIGINT) AS c FROM (SELECT field_id, CAST(unnest(range(CAST(ceil((y0 + d) / 4.0 - 0.5) AS BIGINT), CAST(ceil((y1 + d) / 4.0 - 0.5) AS BIGINT))) AS BIGINT) AS r, x0 + d AS x0, x1 + d AS x1 FROM {t}) t, unnest(range(CAST(ceil(x0 / 4.0 - 0.5) AS BIGINT), CAST(ceil(x1 / 4.0 - 0.5) AS BIGINT))) u(c)"
+
+
+def _surface_sql(name: str, shift: int) -> str:
+    """The surface of one map, from the sampled reference `ra`."""
+    return f"""SELECT '{name}' AS map, t_pred, t_ref, round(avg(iou), 6) AS mean_iou, round(median(iou), 6) AS median_iou, count(*) AS n FROM (
+SELECT * FROM (SELECT a, b, n / na AS overlap_a, n / nb AS overlap_b, n / (na + nb - n) AS iou FROM (SELECT ca.field_id AS a, cb.field_id AS b, count(*) AS n FROM ca JOIN ({_CELLS.format(t=f"(SELECT *, {shift} AS d FROM parcels)")}) cb USING (r, c) GROUP BY 1, 2)
+JOIN (SELECT field_id AS a, count(*) AS na FROM ca GROUP BY 1) USING (a) JOIN (SELECT field_id AS b, count(*) AS nb FROM ({_CELLS.format(t="(SELECT *, 0 AS d FROM parcels)")}) GROUP BY 1) USING (b)) QUALIFY row_number() OVER (PARTITION BY a ORDER BY overlap_a DESC, b) = 1) best, g
+WHERE overlap_b > t_pred AND overlap_a > t_ref GROUP BY t_pred, t_ref"""
+
+
+@query(
+    "m10_compare_maps",
+    f"""WITH k AS (SELECT * FROM parcels WHERE category IS NOT NULL AND category NOT LIKE 'ECONOMY%' QUALIFY row_number() OVER (PARTITION BY x0, y0, x1, y1 ORDER BY field_id) = 1),
+q AS (SELECT quantile_cont(area_ha, [0.0, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 1.0]) AS q FROM k),
+ra AS (SELECT k.*, 0 AS d FROM k, q, range(10) b(i) WHERE (area_ha > q[i + 1] OR i = 0) AND area_ha <= q[i + 2] QUALIFY row_number() OVER (PARTITION BY i ORDER BY field_id) <= 40),
+ca AS ({_CELLS.format(t="ra")}), g AS (SELECT x.i / 10.0 AS t_pred, y.i / 10.0 AS t_ref FROM range(6) x(i), range(6) y(i)) """
+    + " UNION ALL ".join(_surface_sql(*m) for m in _MAPS.items()),
+    "parcels",
+)
 def _(s: Source):
-    best = sampling.top1(_overlay(s), ["a"], [F.col("overlap_a").desc(), F.col("b")])
-    return scoring.iou_surface(best, scoring.threshold_grid(s.spark)).select("t_pred", "t_ref", R("mean_iou"), R("median_iou"), "n")
+    p = s.view("parcels").withColumns({k: F.col(k).cast("double") for k in ("x0", "y0", "x1", "y1", "area_ha")})
+    ring = vectors.box_ring("x0", "y0", "x1", "y1").alias("ring")
+    reference = p.select("field_id", F.when(F.col("category").startswith("ECONOMY"), "ECONOMY").otherwise(F.col("category")).alias("category"), "area_ha", ring)
+    moved = {name: p.withColumns({k: F.col(k) + shift for k in ("x0", "y0", "x1", "y1")}).select("field_id", ring) for name, shift in _MAPS.items()}
+    found = pipelines.compare_maps(reference, moved, 4.0, scoring.threshold_grid(s.spark), ["ECONOMY"], 40)
+    return found.select("map", "t_pred", "t_ref", R("mean_iou"), R("median_iou"), "n")

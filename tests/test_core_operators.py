@@ -67,7 +67,7 @@ def test_overlap_counts(spark):
 
 
 def test_border_distance(spark):
-    d = by_cell(labels.border_distance(cells(spark, "00000 01110 01110 01110 00000 00002"), "v", block=2), "dist")
+    d = by_cell(labels.border_distance(cells(spark, "00000 01110 01110 01110 00000 00002"), "v"), "dist")
     assert d[(2, 2)] == 1.0 and d[(1, 1)] == 0.5 and d[(5, 4)] == 1.0 and (0, 0) not in d
 
 
@@ -101,7 +101,7 @@ def test_slope_of_a_plane(spark):
 
 def test_fill_nearest(spark):
     df = spark.createDataFrame([(0, c, 5.0 if c == 0 else (9.0 if c == 30 else None)) for c in range(31)], "r long, c long, v double")
-    f = by_cell(focal.fill_nearest(df, "v", 2), "filled")
+    f = by_cell(focal.fill_nearest(df, "v"), "filled")
     assert f[(0, 14)] == 5.0 and f[(0, 15)] == 5.0 and f[(0, 16)] == 9.0
     assert focal.fill_nearest(df.withColumn("v", F.lit(None).cast("double")), "v").filter("filled IS NOT NULL").count() == 0
 
@@ -288,3 +288,37 @@ def test_sharpening_recovers_a_linear_scene(spark):
     got = by_cell(sharpen.sharpen(fine, coarse, 4, ["x"], "lst", window=6), "t_sharp")
     error = np.array([got[(r, c)] - t[r, c] for r in range(48) for c in range(48)])
     assert math.sqrt((error**2).mean()) < 0.4 * t.std()
+
+
+def test_distances_and_fills_equal_brute_force(spark):
+    """Sparse tables with missing cells, ties and far gaps."""
+    rng = random.Random(6)
+    for n, share in ((12, 0.5), (15, 0.06), (9, 0.9)):
+        rows = [(r, c, rng.choice([None, 0.0, 1.5, 2.5]) if rng.random() > share else None) for r in range(n) for c in range(n) if rng.random() < 0.8]
+        rows.append((n + 3, n + 5, None))
+        df = spark.createDataFrame(rows, "r long, c long, v double").repartition(3)
+        filled = [(r, c, v) for r, c, v in rows if v and v > 0]
+        got = {(x.r, x.c): x.filled for x in focal.fill_nearest(df, "v").collect()}
+        for r, c, v in rows:
+            want = v if v and v > 0 else min((((r - a) ** 2 + (c - b) ** 2, a, b, w) for a, b, w in filled), default=(None,) * 4)[3]
+            assert got[r, c] == want
+        marks = spark.createDataFrame([(r, c, rng.randrange(3)) for r, c, _ in rows], "r long, c long, v long").cache()
+        cells_ = {(x.r, x.c): x.v for x in marks.collect()}
+        near = {(x.r, x.c): x.dist for x in labels.proximity(marks, "v", 2.0, 3).collect()}
+        for r, c in cells_:
+            d2 = min(((r - a) ** 2 + (c - b) ** 2 for (a, b), v in cells_.items() if v == 1), default=99)
+            assert near[r, c] == (2.0 * d2**0.5 if d2 <= 9 else None)
+        wide = [(a, b) for a in range(-1, n + 6) for b in range(-1, n + 8)]
+        d = {(r, c): min((r - a) ** 2 + (c - b) ** 2 for a, b in wide if cells_.get((a, b), 0) != v) ** 0.5 for (r, c), v in cells_.items() if v}
+        top = {v: max(d[k] for k in d if cells_[k] == v) for v in {cells_[k] for k in d}}
+        found = {(x.r, x.c): x.dist for x in labels.border_distance(marks, "v").collect()}
+        assert found == {k: x / top[cells_[k]] for k, x in d.items()}
+
+
+def test_split_numbers_rows_of_any_stratum(spark):
+    rows = [(i, None if i % 5 == 0 else i % 2, i * 7919 % 101) for i in range(300)]
+    df = spark.createDataFrame(rows, "id long, s long, k long").repartition(7)
+    got = {r.id: r.part for r in sampling.split(df, 0.7, ["s"], [F.col("k"), F.col("id")]).collect()}
+    for s in (None, 0, 1):
+        group = sorted((k, i) for i, x, k in rows if x == s)
+        assert [got[i] for _, i in group] == ["train"] * int(len(group) * 0.7) + ["hold"] * (len(group) - int(len(group) * 0.7))
