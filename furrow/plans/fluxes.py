@@ -8,7 +8,7 @@ or partitioned.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -224,16 +224,26 @@ def two_source(row: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
     return out
 
 
-def solve(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def whole_surface(row: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+    """Vegetated rows as one surface that takes up what canopy and soil do; its fluxes are the soil's columns, flags 10 and 15."""
+    cover = row["f_theta"]
+    return one_source(row | {"sn_s": row["sn_c"] + row["sn_s"], "emis_s": cover * row["emis_c"] + (1 - cover) * row["emis_s"]})
+
+
+#: Balances of vegetated rows by name; a function of the same form may stand in for a name.
+MODELS: dict[str, Callable[[dict[str, np.ndarray]], dict[str, np.ndarray]]] = {"two_source": two_source, "one_source": whole_surface}
+
+
+def solve(frames: Iterator[pd.DataFrame], vegetated: Callable = two_source) -> Iterator[pd.DataFrame]:
     for frame in frames:
         keys = [c for c in frame.columns if c not in INPUTS]
         parts = []
         bare = frame["bare"].to_numpy(bool)
-        for chosen, model in ((bare, one_source), (~bare, two_source)):
+        for chosen, model in ((bare, one_source), (~bare, vegetated)):
             if chosen.any():
                 part = frame[chosen]
                 with np.errstate(all="ignore"):
-                    found = model({c: part[c].to_numpy(float).copy() for c in INPUTS if c != "bare"})
+                    found = {c: np.full(len(part), np.nan) for c in OUTPUTS} | model({c: part[c].to_numpy(float).copy() for c in INPUTS if c != "bare"})
                 found |= {k: part[k].to_numpy(float) for k in ("sn_c", "sn_s")}
                 got = pd.DataFrame(found, index=part.index).replace([np.inf, -np.inf], np.nan)
                 parts.append(pd.concat([part[keys], got], axis=1))
@@ -248,13 +258,17 @@ DEFAULTS: dict[str, float] = {
 }
 
 
-def run_fluxes(df: DataFrame, keys: list[str], defaults: dict[str, Column] | None = None) -> DataFrame:
+def run_fluxes(df: DataFrame, keys: list[str], defaults: dict[str, Column] | None = None, model: str | Callable = "two_source", extra: Sequence[str] = ()) -> DataFrame:
     """keys and the balance of rows with t_r, t_a, u, ea, s_dn, lai, h_c, vza, doy, hr; other inputs have defaults.
 
     Output: net radiation parts, fluxes, temperatures, resistances, flag (0-5 vegetated,
     10 and 15 bare, 255 no solution: fluxes NULL), totals rn, h, le. Rows with a NULL
-    required input have flag 255.
+    required input have flag 255. `model` is the balance of vegetated rows: a name in
+    MODELS, or a function from input arrays (INPUTS) to output arrays (those of OUTPUTS
+    that it has) of the same length. `extra` names inputs and intermediate columns (as
+    sza, l_dn, skyl, z_0m, d_0) that come along as doubles.
     """
+    vegetated = MODELS[model] if isinstance(model, str) else model
     # the steps below name columns freely: keys travel under names of their own
     kinds, named, keys = [df.schema[k].dataType.simpleString() for k in keys], keys, [f"_key{i}" for i in range(len(keys))]
     df = df.withColumns(dict(zip(keys, map(F.col, named))))
@@ -281,10 +295,26 @@ def run_fluxes(df: DataFrame, keys: list[str], defaults: dict[str, Column] | Non
     veg = f.CLUMPING.apply(f.ROUGHNESS.apply(full.filter(usable & ~F.col("bare")).drop("z_0m", "d_0")))
     beam = f.FormulaSet({"om_sun": "omega0 / (omega0 + (1.0 - omega0) * exp(-2.2 * pow(radians(least(sza, 89.0)), 3.8 - 0.46 / w_c)))", "lai_eff": "f_local * om_sun", "f_theta": "1.0 - exp(-k_view * omega * f_local)"})
     veg = f.NET_SHORTWAVE.apply(beam.apply(veg))
-    columns = [*keys, *(F.col(c).cast("boolean" if c == "bare" else "double").alias(c) for c in INPUTS)]
-    both = bare.select(*columns).unionByName(veg.select(*columns))
-    schema = ", ".join(f"{k} {kind}" for k, kind in zip(keys, kinds)) + ", " + ", ".join(f"{c} {'int' if c in ('flag', 'steps') else 'double'}" for c in OUTPUTS)
-    solved = both.mapInPandas(solve, schema)
-    left = full.filter(~usable).select(*keys, *((F.lit(FLAG_INVALID).cast("int") if c == "flag" else F.lit(None).cast("int" if c == "steps" else "double")).alias(c) for c in OUTPUTS))
-    out = solved.unionByName(left).withColumnsRenamed(dict(zip(keys, named)))
-    return out.withColumns({"h": F.col("hf_c") + F.col("hf_s"), "le": F.col("le_c") + F.col("le_s")})
+    along = lambda table: [(F.col(c) if c in table.columns else F.lit(None)).cast("double").alias(f"_extra{i}") for i, c in enumerate(extra)]
+    columns = [F.col(c).cast("boolean" if c == "bare" else "double").alias(c) for c in INPUTS]
+    both = bare.select(*keys, *along(bare), *columns).unionByName(veg.select(*keys, *along(veg), *columns))
+    schema = ", ".join([*(f"{k} {kind}" for k, kind in zip(keys, kinds)), *(f"_extra{i} double" for i in range(len(extra))), *(f"{c} {'int' if c in ('flag', 'steps') else 'double'}" for c in OUTPUTS)])
+    solved = both.mapInPandas(lambda frames: solve(frames, vegetated), schema)
+    left = full.filter(~usable).select(*keys, *along(full), *((F.lit(FLAG_INVALID).cast("int") if c == "flag" else F.lit(None).cast("int" if c == "steps" else "double")).alias(c) for c in OUTPUTS))
+    out = solved.unionByName(left).withColumns({"h": F.col("hf_c") + F.col("hf_s"), "le": F.col("le_c") + F.col("le_s")})
+    return out.withColumnsRenamed(dict(zip(keys, named)) | {f"_extra{i}": c for i, c in enumerate(extra)})
+
+
+def station_results(df: DataFrame, defaults: dict[str, Column] | None = None, model: str | Callable = "two_source") -> DataFrame:
+    """The balance of station rows (year, doy, hr and the inputs of run_fluxes) under the column names of a result table."""
+    shown = ["year", "doy", "hr", "lai", "f_g", "vza", "sza", "sun_azimuth", "l_dn", "skyl", "z_0m", "d_0"]
+    rows = df.withColumn("_row", F.monotonically_increasing_id())
+    out = run_fluxes(rows, ["_row"], defaults, model, shown).drop("_row")
+    names = {
+        "year": "Year", "doy": "DOY", "hr": "Time", "lai": "LAI", "f_g": "f_g", "vza": "VZA", "sza": "SZA", "sun_azimuth": "SAA", "l_dn": "L_dn",
+        "sn_c": "Rn_sw_veg", "sn_s": "Rn_sw_soil", "ln_c": "Rn_lw_veg", "ln_s": "Rn_lw_soil", "t_c": "T_C", "t_s": "T_S", "t_ac": "T_AC", "le": "LE_model", "h": "H_model",
+        "le_c": "LE_C", "hf_c": "H_C", "le_s": "LE_S", "hf_s": "H_S", "g": "G_model", "r_s": "R_S", "r_x": "R_x", "r_a": "R_A", "u_star": "u_friction", "obukhov": "L",
+        "skyl": "Skyl", "z_0m": "z_0M", "d_0": "d_0", "flag": "flag",
+    }
+    net = F.coalesce("sn_c", F.lit(0.0)) + F.coalesce("sn_s", F.lit(0.0)) + F.coalesce("ln_c", F.lit(0.0)) + F.col("ln_s")
+    return out.select(*(F.col(c).alias(n) for c, n in names.items()), net.alias("Rn_model"))

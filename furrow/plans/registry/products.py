@@ -107,10 +107,10 @@ def _(s: Source):
     return pipelines.field_pipeline(cells, 40, 40, ["extent", "boundary"], contrast, 14, 4, 0.45, 0.42, 10.0, ref)[1]
 
 
-@query("s10_read_station", "SELECT CAST(year AS DOUBLE) AS year, CAST(doy AS DOUBLE) AS doy, round(t_r1, 3) AS t_r1, count(*) AS n FROM (SELECT 2024 AS year, extract(doy FROM ts) AS doy, 285 + value / 20 AS t_r1 FROM events WHERE event_id % 5 = 0) GROUP BY 1, 2, 3")
+@query("s10_read_station", "SELECT CAST(year AS DOUBLE) AS year, CAST(doy AS DOUBLE) AS doy, round(t_r1, 3) AS t_r1, count(*) AS n FROM (SELECT 2024 AS year, extract(doy FROM ts) AS doy, 285 + value / 20 AS t_r1 FROM events) GROUP BY 1, 2, 3")
 def _(s: Source):
     """Write a station table as white-space separated text, read it back by its header."""
-    rows = s.view("station").filter("id % 5 = 0").select(
+    rows = s.view("station").select(
         F.col("year"), F.col("doy"), rounded("hr", 4).alias("time"), F.col("t_r1"), F.col("vza"), F.col("t_a1"), "u", "ea", "s_dn", "lai", "h_c"
     )
     path = fresh_path(s.spark, "station")
@@ -122,15 +122,13 @@ def _(s: Source):
     return table.groupBy("year", F.col("DOY").alias("doy"), rounded("T_R1", 3).alias("t_r1")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("s11_write_station", "SELECT CAST(id AS BIGINT) AS id, CAST(flag AS BIGINT) AS flag FROM (SELECT event_id AS id, 10 AS flag FROM events WHERE event_id % 50 = 0)")
+@query("s11_write_station")
 def _(s: Source):
-    """Result columns of bare rows through the tab-separated sink and back."""
-    found = fluxes.run_fluxes(_station(s).filter("id % 50 = 0").withColumns({"lai": F.lit(0.0), "u": F.lit(3.0)}), ["id"])
+    """All result columns of all station rows through the tab-separated sink and back."""
     path = fresh_path(s.spark, "results")
-    catalog.write_station(found.withColumnsRenamed({"id": "Year", "t_s": "T_S"}).withColumn("flag", F.when(F.col("flag").isin(10, 15), 10).otherwise(F.col("flag"))).select("Year", "T_S", "flag"), path)
-    back = s.spark.read.option("sep", "\t").option("header", "true").csv(path)
-    assert back.columns == catalog.STATION_RESULT
-    return back.select(F.col("Year").cast("long").alias("id"), F.col("flag").cast("long").alias("flag"))
+    catalog.write_station(fluxes.station_results(_station(s)), path)
+    schema = ", ".join(f"{c} {'int' if c == 'flag' else 'double'}" for c in catalog.STATION_RESULT)
+    return s.spark.read.schema(schema).option("sep", "\t").option("header", "true").csv(path)
 
 
 @query("s12_pixel_table", "SELECT tile, r, c, CASE WHEN CAST(floor(red) AS BIGINT) % 7 <> 0 THEN CAST(floor(red) AS BIGINT) END AS red FROM pixels", "pixels")

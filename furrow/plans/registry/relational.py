@@ -110,11 +110,11 @@ def _(s: Source):
 
 @query(
     "t1_window_join",
-    "WITH comp AS (SELECT DISTINCT CAST(o_orderdate AS DATE) AS comp_date FROM orders WHERE o_orderkey % 50 = 0 OR (extract(month FROM o_orderdate) = 4 AND extract(day FROM o_orderdate) = 6)), daily AS (SELECT CAST(o_orderdate AS DATE) AS day, count(*) AS n FROM orders GROUP BY 1) SELECT comp_date, day, n FROM comp JOIN daily ON day BETWEEN comp_date - (CASE WHEN extract(month FROM comp_date) = 4 AND extract(day FROM comp_date) = 6 THEN 5 ELSE 4 END) AND comp_date + 4 AND extract(year FROM day) = extract(year FROM comp_date)",
+    "WITH comp AS (SELECT DISTINCT CAST(o_orderdate AS DATE) AS comp_date FROM orders), daily AS (SELECT CAST(o_orderdate AS DATE) AS day, count(*) AS n FROM orders GROUP BY 1) SELECT comp_date, day, n FROM comp JOIN daily ON day BETWEEN comp_date - (CASE WHEN extract(month FROM comp_date) = 4 AND extract(day FROM comp_date) = 6 THEN 5 ELSE 4 END) AND comp_date + 4 AND extract(year FROM day) = extract(year FROM comp_date)",
 )
 def _(s: Source):
     o = s.table("orders").withColumn("day", F.to_date("o_orderdate"))
-    comp = o.filter("o_orderkey % 50 = 0 OR (month(o_orderdate) = 4 AND day(o_orderdate) = 6)").select(F.col("day").alias("comp_date")).distinct()
+    comp = o.select(F.col("day").alias("comp_date")).distinct()
     return temporal.window_join(comp, o.groupBy("day").agg(F.count(F.lit(1)).alias("n")), "comp_date", "day")
 
 
@@ -503,18 +503,18 @@ def _(s: Source):
 
 
 def _assets(s: Source):
-    o = s.table("orders").filter("o_orderkey % 4 < 3")
+    o = s.table("orders")
     link = lambda b: F.struct(F.concat(F.lit(f"https://host/{b}/"), F.col("o_orderkey").cast("string")).alias("href"), F.lit("image/tiff").alias("type"))
     empty = F.lit(None).cast("struct<href:string,type:string>")
     return o.select("o_orderkey", F.create_map(F.lit("lst"), link("lst"), F.lit("qa"), F.when(F.col("o_orderkey") % 5 == 0, empty).otherwise(link("qa"))).alias("assets"))
 
 
-@query("s2_sign_assets", "SELECT o_orderkey, 'https://host/lst/' || o_orderkey || '?tok=1' AS lst, CASE WHEN o_orderkey % 5 <> 0 THEN 'https://host/qa/' || o_orderkey || '?tok=1' END AS qa FROM orders WHERE o_orderkey % 4 < 3")
+@query("s2_sign_assets", "SELECT o_orderkey, 'https://host/lst/' || o_orderkey || '?tok=1' AS lst, CASE WHEN o_orderkey % 5 <> 0 THEN 'https://host/qa/' || o_orderkey || '?tok=1' END AS qa FROM orders")
 def _(s: Source):
     return catalog.sign_assets(_assets(s), "tok=1").select("o_orderkey", F.col("assets")["lst"]["href"].alias("lst"), F.col("assets")["qa"]["href"].alias("qa"))
 
 
-@query("s3_bad_assets", "SELECT o_orderkey, 'qa' AS bad FROM orders WHERE o_orderkey % 4 < 3 AND o_orderkey % 5 = 0")
+@query("s3_bad_assets", "SELECT o_orderkey, 'qa' AS bad FROM orders WHERE o_orderkey % 5 = 0")
 def _(s: Source):
     return catalog.bad_assets(_assets(s)).select("o_orderkey", F.array_join("bad", ",").alias("bad"))
 
