@@ -172,10 +172,18 @@ def field_iou(df: DataFrame, ref: str = "ref", pred: str = "pred", keys: list[st
 def border_distance(df: DataFrame, label: str) -> DataFrame:
     """(r, c, label, dist): distance of each field cell to the nearest cell of another label over the field's largest; a one-cell field has 1.
 
+    Label 0 is background and drops.
+    """
+    return field_distance(df.filter(F.col(label) != 0), label)
+
+
+def field_distance(df: DataFrame, label: str) -> DataFrame:
+    """border_distance of fields with any labels.
+
     A distance transform in two passes, columns and then rows, over each field with its
     outer ring: between a cell and its nearest foreign one lies nothing else.
     """
-    own = df.filter(F.col(label) != 0).select(F.col("r").cast("long"), F.col("c").cast("long"), F.col(label).alias("l"))
+    own = df.select(F.col("r").cast("long"), F.col("c").cast("long"), F.col(label).alias("l"))
     ring = spread(own, FOUR, {"l": "l"}).join(own.select("r", "c", F.col("l").alias("m")), ["r", "c"], "left").filter("m IS NULL OR m <> l").select("r", "c", "l").distinct()
     both = own.withColumn("foreign", F.lit(False)).unionByName(ring.withColumn("foreign", F.lit(True)))
     near = column_nearest(both, ["l"], "foreign")

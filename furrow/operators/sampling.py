@@ -228,4 +228,9 @@ def order_by_suffix(df: DataFrame, name: str) -> DataFrame:
 
 
 def shuffle_pairs(df: DataFrame, key: str, seed: int) -> DataFrame:
-    return df.orderBy(F.xxhash64(F.col(key), F.lit(seed)), key)
+    """Rows in an order that a seed fixes: by digests of seed and key."""
+    return df.orderBy(*shuffle_order(key, seed))
+
+
+def shuffle_order(key: str, seed: int) -> list[Column]:
+    return [F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string"))), F.col(key)]

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from furrow.operators.focal import FOUR, dilate
-from furrow.operators.labels import border_distance
+from furrow.operators.labels import field_distance
 
 
 def box_ring(x0: str, y0: str, x1: str, y1: str):
@@ -37,6 +38,8 @@ def rasterise_lines(edges: DataFrame, ident: str, cell: float, all_touched: bool
 
     at = F.array_sort(F.array_distinct(F.concat(F.array(F.lit(0.0), F.lit(1.0)), cuts(F.col("x0"), F.col("x1")), cuts(F.col("y0"), F.col("y1")))))
     pieces = edges.withColumn("t", at).withColumn("p", F.explode(F.arrays_zip(F.slice("t", 1, F.size("t") - 1).alias("a"), F.slice("t", 2, F.size("t") - 1).alias("b"))))
+    # 0.0 and -0.0 are different cuts, but nothing lies between them
+    pieces = pieces.filter(F.col("p.b") > F.col("p.a"))
     mid = (F.col("p.a") + F.col("p.b")) / 2
     size = (F.col("p.b") - F.col("p.a")) * F.sqrt(dx * dx + dy * dy)
     kept = pieces if all_touched else pieces.filter(size >= cell / 2)
@@ -67,7 +70,7 @@ def label_stack(df: DataFrame, ident: str, cell: float, ring: str = "ring") -> D
     grid = area.select("r", "c").union(lines.select("r", "c")).distinct()
     edge = dilate(grid.join(lines, ["r", "c"], "left").select("r", "c", F.coalesce("edge", F.lit(0)).alias("edge")), "edge", [(0, 0), (0, 1), (1, 0), (1, 1)])
     inner = area.join(edge.filter("edge = 1"), ["r", "c"], "left_anti")
-    dist = border_distance(inner, ident).select("r", "c", "dist")
+    dist = field_distance(inner, ident).select("r", "c", "dist")
     inside = inner.select("r", "c", F.lit(1).alias("extent"))
     out = edge.join(inside, ["r", "c"], "left").join(dist, ["r", "c"], "left")
     return out.select("r", "c", F.coalesce("extent", F.lit(0)).alias("extent"), "edge", F.coalesce("dist", F.lit(0.0)).alias("dist"))
@@ -95,8 +98,11 @@ def polygonise(df: DataFrame, label: str, cell: float) -> DataFrame:
 
 
 def label_rings(df: DataFrame, label: str, cell: float) -> DataFrame:
-    """(label, ring no, ring): closed outlines of every label but 0, stitched from boundary faces, one group a label."""
-    import pandas as pd
+    """(label, ring no, ring): closed outlines of every label but 0, stitched from boundary faces.
+
+    Faces between two cells of a label are dropped before labels are grouped, so a group
+    holds a label's outline, not its cells.
+    """
     from pyspark.sql import types as T
 
     schema = T.StructType(
@@ -108,13 +114,9 @@ def label_rings(df: DataFrame, label: str, cell: float) -> DataFrame:
     )
 
     def stitch(frame: pd.DataFrame) -> pd.DataFrame:
-        cells = set(zip(frame.r, frame.c))
         step: dict[tuple, list[tuple]] = {}
-        # the cell lies to the left of each directed face, so outlines close
-        for r, c in cells:
-            for (i, j), a, b in (((-1, 0), (c, r), (c + 1, r)), ((0, 1), (c + 1, r), (c + 1, r + 1)), ((1, 0), (c + 1, r + 1), (c, r + 1)), ((0, -1), (c, r + 1), (c, r))):
-                if (r + i, c + j) not in cells:
-                    step.setdefault(a, []).append(b)
+        for x0, y0, x1, y1 in zip(frame.x0, frame.y0, frame.x1, frame.y1):
+            step.setdefault((x0, y0), []).append((x1, y1))
         rings = []
         while step:
             start = min(step)
@@ -135,9 +137,16 @@ def label_rings(df: DataFrame, label: str, cell: float) -> DataFrame:
                 if at == start:
                     break
             rings.append([{"x": float(x * cell), "y": float(y * cell)} for x, y in ring])
-        return pd.DataFrame({label: frame[label].iloc[0], "ring_no": range(len(rings)), "ring": rings})
-
-    return df.filter(F.col(label) != 0).select(F.col(label).cast("long"), F.col("r").cast("long"), F.col("c").cast("long")).groupBy(label).applyInPandas(stitch, schema)
+        return pd.DataFrame({label: frame.l.iloc[0], "ring_no": range(len(rings)), "ring": rings})
+
+    own = df.filter(F.col(label) != 0).select(F.col(label).cast("long").alias("l"), F.col("r").cast("long"), F.col("c").cast("long"))
+    # the cell lies to the left of each directed face, so outlines close
+    faces = F.array(*(F.struct(*((F.col("c" if i % 2 == 0 else "r") + d).alias(n) for i, (n, d) in enumerate(zip(("x0", "y0", "x1", "y1"), ends)))) for ends in ((0, 0, 1, 0), (1, 0, 1, 1), (1, 1, 0, 1), (0, 1, 0, 0))))
+    every = own.select("l", F.inline(faces))
+    # both cells of an inner face name it by its doubled middle
+    key = [(F.col("x0") + F.col("x1")).alias("mx"), (F.col("y0") + F.col("y1")).alias("my")]
+    once = every.groupBy("l", *key).agg(F.count(F.lit(1)).alias("n"), F.first(F.struct("x0", "y0", "x1", "y1")).alias("f")).filter("n = 1")
+    return once.select("l", "f.*").groupBy("l").applyInPandas(stitch, schema)
 
 
 def overlay_pairs(a: DataFrame, b: DataFrame, id_a: str, id_b: str, cell: float, ring: str = "ring") -> DataFrame:

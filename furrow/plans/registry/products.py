@@ -69,7 +69,10 @@ def contrast(image: np.ndarray) -> np.ndarray:
     return np.nan_to_num(image[:2])
 
 
-@query("m7_infer_chips")
+_CHIPS = "SELECT i * 10 AS row_start, j * 10 AS col_start, r - i * 10 AS in_r, c - j * 10 AS in_c, extent, boundary FROM pixels, range(0, 4) a(i), range(0, 4) b(j) WHERE r >= i * 10 AND r < i * 10 + 14 AND c >= j * 10 AND c < j * 10 + 14"
+
+
+@query("m7_infer_chips", f"SELECT row_start, col_start, in_r, in_c, round(extent, 4) AS extent, round(boundary, 4) AS boundary FROM ({_CHIPS})", "pixels")
 def _(s: Source):
     chips = grids.explode_to_chips(s.view("pixels").select("r", "c", "extent", "boundary"), 40, 40, 14, 4)
     return pipelines.infer_chips(chips, ["extent", "boundary"], 14, contrast, ["extent", "boundary"]).select("row_start", "col_start", "in_r", "in_c", R("extent"), R("boundary"))

@@ -7,6 +7,7 @@ from pyspark.sql import types as T
 
 from furrow.operators import composite, focal, grids, labels, masks, sampling, scoring, sets, temporal
 from furrow.plans.registry.base import Source, query, rounded
+from furrow.session import fresh_path
 from furrow.sources import catalog
 
 R6 = lambda c, n=6: rounded(c, n).alias(c)
@@ -461,9 +462,11 @@ def _(s: Source):
     return sampling.drop_worst_duplicate(labels.pair_counts(s.view("labels2"), "ref", "pred"), "ref", "n", mode="dedup")
 
 
-@query("k5_shuffle_pairs")
+@query("k5_shuffle_pairs", "SELECT p_partkey, p_name, row_number() OVER (ORDER BY md5('42:' || p_partkey), p_partkey) AS place FROM part")
 def _(s: Source):
-    return sampling.shuffle_pairs(s.table("part").select("p_partkey", "p_name"), "p_partkey", 42)
+    """The shuffled rows with their places, which the order of a result alone would not show."""
+    shuffled = sampling.shuffle_pairs(s.table("part").select("p_partkey", "p_name"), "p_partkey", 42)
+    return sampling.ranked(shuffled, [], sampling.shuffle_order("p_partkey", 42), "place")
 
 
 # --- set operations ----------------------------------------------------------
@@ -533,9 +536,15 @@ def _(s: Source):
     return catalog.parse_scene_name(_paths(s), "path").drop("path")
 
 
-@query("s5_list_scenes")
+@query("s5_list_scenes", "SELECT CAST(o_orderkey % 40 AS BIGINT) AS scene, CAST(1 AS BIGINT) AS n_files, TRUE AS filled FROM orders GROUP BY 1")
 def _(s: Source):
-    return catalog.list_scenes(s.spark, s.sf_dir, ".parquet").select("path", "length")
+    """One file a scene, listed among others of another suffix in the same folders."""
+    path = fresh_path(s.spark, "scenes")
+    rows = s.table("orders").select((F.col("o_orderkey") % 40).alias("scene"), F.col("o_orderkey").cast("string").alias("line")).repartition(8, "scene")
+    rows.write.partitionBy("scene").text(path)
+    rows.write.partitionBy("scene").mode("append").csv(path)
+    files = catalog.list_scenes(s.spark, path, ".csv")
+    return files.groupBy(F.regexp_extract("path", r"scene=(\d+)/", 1).cast("long").alias("scene")).agg(F.count(F.lit(1)).alias("n_files"), F.bool_and(F.col("length") > 0).alias("filled"))
 
 
 @query("s6_scene_counts", "SELECT o_custkey % 50 AS tile, CAST(count(*) FILTER (extract(year FROM o_orderdate) = 1996) AS BIGINT) AS y1996, CAST(count(*) FILTER (extract(year FROM o_orderdate) = 1997) AS BIGINT) AS y1997 FROM orders GROUP BY 1")

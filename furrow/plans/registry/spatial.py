@@ -155,12 +155,17 @@ def _(s: Source):
     return vectors.polygon_edges(_parcels(s), "field_id")
 
 
-@query("w13_rasterise_lines")
-def _(s: Source):
-    return vectors.rasterise_lines(vectors.polygon_edges(_parcels(s), "field_id"), "field_id", 10.0)
+def _outline_sql(cell: int) -> str:
+    """Cells that the four sides of each parcel's box cross."""
+    across, down = (f"unnest(range(CAST(floor({k}0 / {cell}.0) AS BIGINT), CAST(ceil({k}1 / {cell}.0) AS BIGINT)))" for k in "xy")
+    sides = [f"SELECT field_id, CAST(floor({y} / {cell}.0) AS BIGINT) AS r, {across} AS c FROM parcels" for y in ("y0", "y1")]
+    sides += [f"SELECT field_id, {down} AS r, CAST(floor({x} / {cell}.0) AS BIGINT) AS c FROM parcels" for x in ("x0", "x1")]
+    return " UNION ".join(sides)
 
 
-_CELLS = "SELECT field_id, y.i AS r, x.i AS c FROM parcels, range(0, 400) x(i), range(0, 400) y(i) WHERE field_id < 500 AND (x.i + 0.5) * 5 >= x0 AND (x.i + 0.5) * 5 < x1 AND (y.i + 0.5) * 5 >= y0 AND (y.i + 0.5) * 5 < y1"
+@query("w13_rasterise_lines", _outline_sql(10), "parcels")
+def _(s: Source):
+    return vectors.rasterise_lines(vectors.polygon_edges(_parcels(s), "field_id"), "field_id", 10.0)
 
 
 @query("w14_rasterise_polygons", "SELECT CAST(r AS BIGINT) AS r, CAST(c AS BIGINT) AS c, max(field_id) AS field_id FROM (SELECT field_id, unnest(range(CAST(ceil(y0 / 5.0 - 0.5) AS BIGINT), CAST(ceil(y1 / 5.0 - 0.5) AS BIGINT))) AS r, x0, x1 FROM parcels) t, unnest(range(CAST(ceil(x0 / 5.0 - 0.5) AS BIGINT), CAST(ceil(x1 / 5.0 - 0.5) AS BIGINT))) u(c) GROUP BY 1, 2", "parcels")
@@ -179,7 +184,20 @@ def _(s: Source):
     return focal.label_boundary(s.view("labels2"), "ref")
 
 
-@query("w17_label_stack")
+_AREA = "SELECT CAST(r AS BIGINT) AS r, CAST(c AS BIGINT) AS c, max(field_id) AS field_id FROM (SELECT field_id, unnest(range(CAST(ceil(y0 / 5.0 - 0.5) AS BIGINT), CAST(ceil(y1 / 5.0 - 0.5) AS BIGINT))) AS r, x0, x1 FROM parcels) t, unnest(range(CAST(ceil(x0 / 5.0 - 0.5) AS BIGINT), CAST(ceil(x1 / 5.0 - 0.5) AS BIGINT))) u(c) GROUP BY 1, 2"
+
+
+@query(
+    "w17_label_stack",
+    # a parcel is seven cells wide at most, so its nearest foreign cell is within eight
+    f"""WITH a AS ({_AREA}), o AS (SELECT DISTINCT r, c FROM ({_outline_sql(5)})), g AS (SELECT r, c FROM a UNION SELECT r, c FROM o),
+e AS (SELECT g.r, g.c, CAST(count(o.r) > 0 AS INT) AS edge FROM g LEFT JOIN o ON o.r BETWEEN g.r - 1 AND g.r AND o.c BETWEEN g.c - 1 AND g.c GROUP BY 1, 2),
+i AS (SELECT a.* FROM a JOIN e USING (r, c) WHERE edge = 0), k AS (SELECT x.i AS dr, y.i AS dc FROM range(-8, 9) x(i), range(-8, 9) y(i)),
+d AS (SELECT i.r, i.c, i.field_id, min(dr * dr + dc * dc) AS d2 FROM i CROSS JOIN k LEFT JOIN i b ON b.r = i.r + dr AND b.c = i.c + dc AND b.field_id = i.field_id WHERE b.r IS NULL GROUP BY 1, 2, 3),
+n AS (SELECT r, c, sqrt(d2) / max(sqrt(d2)) OVER (PARTITION BY field_id) AS dist FROM d)
+SELECT e.r, e.c, CAST(i.r IS NOT NULL AS INT) AS extent, edge, round(coalesce(dist, 0), 6) AS dist FROM e LEFT JOIN i USING (r, c) LEFT JOIN n USING (r, c)""",
+    "parcels",
+)
 def _(s: Source):
     return vectors.label_stack(_parcels(s), "field_id", 5.0).select("r", "c", "extent", "edge", R("dist"))
 
@@ -192,9 +210,15 @@ def _(s: Source):
     return vectors.polygonise(s.view("labels2"), "ref", 10.0).withColumn("area_ha", rounded("area_ha", 6))
 
 
-@query("w18_label_rings")
+@query("w18_label_rings", f"SELECT ref, CAST(count(*) * 100.0 AS DOUBLE) AS area, CAST(any_value(faces) * 10.0 AS DOUBLE) AS outline, TRUE AS closed FROM labels2 JOIN ({_FACES}) f USING (ref) WHERE ref <> 0 GROUP BY ref", "labels2")
 def _(s: Source):
-    return vectors.label_rings(s.view("labels2"), "ref", 10.0)
+    """What the rings enclose and how long they are: holes run the other way round, so their area counts against it."""
+    rings = vectors.label_rings(s.view("labels2"), "ref", 10.0)
+    sides = F.transform(F.slice("ring", 1, F.size("ring") - 1), lambda a, i: F.struct(a.alias("a"), F.get("ring", i + 1).alias("b")))
+    total = lambda f: F.aggregate(sides, F.lit(0.0), lambda acc, e: acc + f(e["a"], e["b"]))
+    area = total(lambda a, b: (a["x"] * b["y"] - b["x"] * a["y"]) / 2)
+    length = total(lambda a, b: F.abs(a["x"] - b["x"]) + F.abs(a["y"] - b["y"]))
+    return rings.groupBy("ref").agg(F.abs(F.sum(area)).alias("area"), F.sum(length).alias("outline"), F.bool_and(F.element_at("ring", 1) == F.element_at("ring", -1)).alias("closed"))
 
 
 @query(
