@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from furrow.functions import formulas
 from furrow.operators import grids
 from furrow.plans import fluxes, pipelines, sharpen
+from furrow.plans.registry.balance_sql import LAST, SHOWN, SURE, balance_sql
 from furrow.plans.registry.base import Source, query, rounded
 from furrow.session import fresh_path
 from furrow.sources import catalog
@@ -19,22 +20,34 @@ R = lambda c, n=4: rounded(c, n).alias(c)
 def _station(s: Source):
     names = {"t_r1": "t_r", "t_a1": "t_a"}
     df = s.view("station").withColumnsRenamed(names)
-    return df.withColumns({c: F.col(c).cast("double") for c in df.columns if c != "id"})
+    # whole minutes, as engines divide decimals to different lengths
+    return df.withColumns({c: F.col(c).cast("double") for c in df.columns if c != "id"} | {"hr": F.round(F.col("hr") * 60).cast("double") / 60})
 
 
-@query("m1_station_fluxes")
+def _shown(out, columns=tuple(SHOWN)):
+    """Results at the digits that two engines share: of rows that settled; the length as its inverse, which has no pole."""
+    settled = (F.col("steps") < LAST) | F.col("steps").isNull()
+    out = out.withColumn("inv_obukhov", 1 / F.col("obukhov"))
+    digits = {c: F.col(c) if SHOWN[c] == 0 else rounded(c, SHOWN[c]) for c in columns}
+    return out.select("id", *((e if c in SURE else F.when(settled, e)).alias(c) for c, e in digits.items()))
+
+
+@query("m1_station_fluxes", balance_sql(f_c="least(0.2 + lai / 4, 0.95)"), "station")
 def _(s: Source):
-    return fluxes.run_fluxes(_station(s).withColumn("f_c", F.least(0.2 + F.col("lai") / 4, F.lit(0.95))), ["id"])
+    return _shown(fluxes.run_fluxes(_station(s).withColumn("f_c", F.least(0.2 + F.col("lai") / 4, F.lit(0.95))), ["id"]))
+
+
+_BARE_COLUMNS = ("flag", "t_s", "le_s", "hf_s", "g", "r_a", "u_star", "steps")
 
 
-@query("m2_bare_balance")
+@query("m2_bare_balance", balance_sql(lai="0", columns=_BARE_COLUMNS), "station")
 def _(s: Source):
-    return fluxes.run_fluxes(_station(s).withColumn("lai", F.lit(0.0)), ["id"]).select("id", "flag", "t_s", "le_s", "hf_s", "g", "steps")
+    return _shown(fluxes.run_fluxes(_station(s).withColumn("lai", F.lit(0.0)), ["id"]), _BARE_COLUMNS)
 
 
-@query("m3_two_source")
+@query("m3_two_source", balance_sql(where="lai > 0"), "station")
 def _(s: Source):
-    return fluxes.run_fluxes(_station(s).filter("lai > 0"), ["id"])
+    return _shown(fluxes.run_fluxes(_station(s).filter("lai > 0"), ["id"]))
 
 
 def _thermal(s: Source):
