@@ -11,8 +11,9 @@ reads from each run only the row groups that overlap it and merges them as strea
 url with a third of all captures is cut by timestamp like any other range. More runs
 than FAN_IN are first merged into fewer, in passes.
 
-Reading back: a task streams whole archives record by record and recomputes payload
-length and digest from the stored bytes.
+Reading back: the index gives record offsets at which an archive can be entered, every
+SPLIT_BYTES; a task streams the records of one such range and recomputes payload length
+and digest from the stored bytes.
 """
 
 from __future__ import annotations
@@ -31,14 +32,18 @@ import pyarrow.parquet as pq
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from furrow.llm.text import slices, tidy
 from furrow.session import fresh_path, materialise
 
 GROUP_ROWS = 4096
 RUN_ROWS = 100_000
 KEY_STEP = 128
 ARCHIVE_BYTES = 1 << 30
+#: Compressed bytes of an archive that a task reads back.
+SPLIT_BYTES = 32 << 20
 FAN_IN = 128
-SALTS = 16
+#: Rows of one payload that one task takes.
+HOT_ROWS = 50_000
 LEVEL = 3
 _NONE = -(2**63)
 
@@ -110,21 +115,21 @@ def parse(data: bytes) -> tuple[int | None, int, str, str, int | None]:
     return page, len(payload), digest, "response", None
 
 
-def members(stream, chunk: int = 1 << 20) -> Iterator[tuple[int, bytes]]:
-    """(offset, data) of every gzip member of a stream."""
-    at, pending = 0, b""
-    while True:
+def members(stream, start: int = 0, end: int | None = None, chunk: int = 1 << 20) -> Iterator[tuple[int, bytes]]:
+    """(offset, data) of every gzip member of a stream that stands at offset `start`, up to `end`."""
+    at, pending = start, b""
+    while end is None or at < end:
         pending = pending or stream.read(chunk)
         if not pending:
             return
-        inflate, out, start = zlib.decompressobj(31), [], at
+        inflate, out, first = zlib.decompressobj(31), [], at
         while not inflate.eof:
             if not pending:
                 raise EOFError("an archive ends inside a record")
             out.append(inflate.decompress(pending))
             at += len(pending) - len(inflate.unused_data)
             pending = inflate.unused_data or (b"" if inflate.eof else stream.read(chunk))
-        yield start, b"".join(out)
+        yield first, b"".join(out)
 
 
 class LoserTree:
@@ -200,30 +205,37 @@ def _write_run(folder: str, rows: Iterator[tuple]) -> tuple[str, int, list[tuple
     return uri, n, keys
 
 
-_MANIFEST = "archive string, run string, n long, keys array<struct<url_key:string,captured:long,page:long>>"
+_MANIFEST = "archive string, cuts array<long>, run string, n long, keys array<struct<url_key:string,captured:long,page:long>>"
 _MANIFEST_ARROW = pa.schema(
-    [("archive", pa.string()), ("run", pa.string()), ("n", pa.int64()), ("keys", pa.list_(pa.struct([("url_key", pa.string()), ("captured", pa.int64()), ("page", pa.int64())])))]
+    [("archive", pa.string()), ("cuts", pa.list_(pa.int64())), ("run", pa.string()), ("n", pa.int64()), ("keys", pa.list_(pa.struct([("url_key", pa.string()), ("captured", pa.int64()), ("page", pa.int64())])))]
 )
 
 
 def _manifest(rows: list[tuple]) -> pa.RecordBatch:
-    columns = list(zip(*rows, strict=True)) or [()] * 4
-    keys = [[dict(zip(("url_key", "captured", "page"), k)) for k in ks] for ks in columns[3]]
-    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip([*columns[:3], keys], _MANIFEST_ARROW, strict=True)], schema=_MANIFEST_ARROW)
+    columns = list(zip(*rows, strict=True)) or [()] * 5
+    keys = [[dict(zip(("url_key", "captured", "page"), k)) for k in ks] for ks in columns[4]]
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip([*columns[:4], keys], _MANIFEST_ARROW, strict=True)], schema=_MANIFEST_ARROW)
 
 
 def with_revisits(pages: DataFrame, id_col: str, html_col: str, min_bytes: int) -> DataFrame:
-    """(page, payload, sha1, refers_to, revisit): the largest id of equal payloads answers for all.
+    """pages with _page, _payload, _sha1, _refers, _revisit: the largest id of equal payloads answers for all.
 
-    Only digests that occur twice are joined, salted, so that no payload's group fills
-    a task. All rows with the largest id, if it repeats, are responses.
+    Only digests that occur twice are joined. A payload with more than HOT_ROWS rows is
+    salted by its count: such payloads are fewer than the rows divided by HOT_ROWS, and
+    rows learn their salt from that small table. All rows with the largest id, if it
+    repeats, are responses.
     """
     payload = F.encode(F.coalesce(pages[html_col].cast("string"), F.lit("")), "UTF-8")
     rows = pages.withColumns({"_page": pages[id_col].cast("long"), "_payload": payload}).withColumn("_sha1", F.sha1("_payload"))
     same = rows.groupBy("_sha1").agg(F.max("_page").alias("_answer"), F.count(F.lit(1)).alias("n"), F.max(F.length("_payload")).alias("size"))
-    same = same.filter((F.col("n") > 1) & (F.col("size") >= min_bytes)).select("_sha1", "_answer", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt"))
-    salted = rows.withColumn("_salt", F.pmod(F.xxhash64("_page"), F.lit(SALTS)).cast("int"))
-    joined = salted.join(same.withColumn("_known", F.lit(True)), ["_sha1", "_salt"], "left")
+    same = materialise(same.filter((F.col("n") > 1) & (F.col("size") >= min_bytes)).select("_sha1", "_answer", F.ceil(F.col("n") / HOT_ROWS).cast("int").alias("_salts")), "same")
+    hot = same.filter("_salts > 1").select("_sha1", F.col("_salts").alias("_of"))
+    if hot.take(1):
+        rows = rows.join(hot, "_sha1", "left").withColumn("_salt", F.coalesce(F.pmod(F.xxhash64("_page"), F.col("_of")).cast("int"), F.lit(0))).drop("_of")
+    else:
+        rows = rows.withColumn("_salt", F.lit(0))
+    answers = same.select("_sha1", "_answer", F.lit(True).alias("_known"), F.explode(F.sequence(F.lit(0), F.col("_salts") - 1)).alias("_salt"))
+    joined = rows.join(answers, ["_sha1", "_salt"], "left")
     revisit = F.coalesce(F.col("_known"), F.lit(False)) & ~F.col("_page").eqNullSafe(F.col("_answer"))
     return joined.withColumn("_revisit", revisit).withColumn("_refers", F.when(revisit, F.col("_answer")))
 
@@ -241,15 +253,18 @@ def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_c
 
     def work(batches):
         held: list[tuple] = []
+        cuts: list[int] = []
         sink = archive = None
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, "_payload")):
             for page, url, at, payload, refers, revisit, sha1 in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if sink is None:
                     archive = f"{folder}/archive-{uuid.uuid4().hex}.warc.gz"
                     fs, path = filesystem(archive)
                     fs.create_dir(filesystem(folder)[1], recursive=True)
                     sink = fs.open_output_stream(path, compression=None)
-                    offset = 0
+                    offset, cuts = 0, [0]
+                elif offset - cuts[-1] >= SPLIT_BYTES:
+                    cuts.append(offset)
                 digest = base64.b32encode(bytes.fromhex(sha1)).decode()
                 squeeze = zlib.compressobj(LEVEL, zlib.DEFLATED, 31)
                 data = squeeze.compress(record(page, url, at, payload, digest, refers, revisit)) + squeeze.flush()
@@ -259,13 +274,13 @@ def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_c
                 if len(held) >= RUN_ROWS or offset >= ARCHIVE_BYTES:
                     sink.close()
                     sink = None
-                    yield _manifest([(archive, *_write_run(folder, iter(sorted(held, key=lambda r: r[:3]))))])
+                    yield _manifest([(archive, [*cuts, offset], *_write_run(folder, iter(sorted(held, key=lambda r: r[:3]))))])
                     held = []
         if sink is not None:
             sink.close()
-            yield _manifest([(archive, *_write_run(folder, iter(sorted(held, key=lambda r: r[:3]))))])
+            yield _manifest([(archive, [*cuts, offset], *_write_run(folder, iter(sorted(held, key=lambda r: r[:3]))))])
 
-    return materialise(chosen.mapInArrow(work, _MANIFEST), "manifest")
+    return materialise(chosen.mapInArrow(tidy(work), _MANIFEST), "manifest")
 
 
 def merge_runs(spark: SparkSession, manifest: DataFrame, folder: str, ranges: int | None = None, fan_in: int = FAN_IN) -> DataFrame:
@@ -282,12 +297,12 @@ def merge_runs(spark: SparkSession, manifest: DataFrame, folder: str, ranges: in
                 out = []
                 for names in frame["names"]:
                     uri, n, keys = _write_run(folder, iter(LoserTree([run_rows(x, None, None) for x in names])))
-                    out.append((None, uri, n, keys))
-                yield _manifest(out).drop_columns(["archive"]).to_pandas()
+                    out.append((None, None, uri, n, keys))
+                yield _manifest(out).drop_columns(["archive", "cuts"]).to_pandas()
 
         # a group has about fan_in runs
         dealt = runs.groupBy(F.pmod(F.xxhash64("run"), F.lit(groups)).alias("g")).agg(F.collect_list("run").alias("names"))
-        fewer = materialise(dealt.repartition(groups, "g").mapInPandas(shrink, _MANIFEST.removeprefix("archive string, ")), "runs")
+        fewer = materialise(dealt.repartition(groups, "g").mapInPandas(shrink, _MANIFEST.removeprefix("archive string, cuts array<long>, ")), "runs")
         if fewer.count() >= k:
             break
         runs = fewer
@@ -308,32 +323,38 @@ def merge_runs(spark: SparkSession, manifest: DataFrame, folder: str, ranges: in
     ddl = "i int, k0 string, c0 long, p0 long, k1 string, c1 long, p1 long"
     # one task a range: the few plan rows are dealt by an RDD of as many slices, as a shuffle would pack them together
     table = spark.createDataFrame(spark.sparkContext.parallelize(plan, len(plan)), ddl)
-    return table.mapInArrow(merge, _INDEX_DDL)
+    return table.mapInArrow(tidy(merge), _INDEX_DDL)
 
 
 def read_archives(archives: DataFrame) -> DataFrame:
-    """(archive, offset, page_id, payload_bytes, payload_digest, record_type, refers_to) of every record of the named archives."""
+    """(archive, offset, page_id, payload_bytes, payload_digest, record_type, refers_to) of every record of the archives (archive, cuts).
+
+    cuts are record offsets from 0 to the archive's end; each range between two is a task's.
+    """
     schema = "archive string, offset long, page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long"
     kinds = [pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64()]
     names = [x.split()[0] for x in schema.split(", ")]
+    table = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds)], names=names)
 
     def work(batches):
         for batch in batches:
-            for uri in batch.column(0).to_pylist():
+            for uri, start, end in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 fs, path = filesystem(uri)
                 held = []
-                with fs.open_input_stream(path, compression=None) as stream:
-                    for offset, data in members(stream):
+                with fs.open_input_file(path) as stream:
+                    stream.seek(start)
+                    for offset, data in members(stream, start, end):
                         held.append((uri, offset, *parse(data)))
                         if len(held) == GROUP_ROWS:
-                            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*held, strict=True), kinds)], names=names)
+                            yield table(held)
                             held = []
                 if held:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*held, strict=True), kinds)], names=names)
+                    yield table(held)
 
-    spark = archives.sparkSession
-    spread = archives.select("archive").distinct().repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "archive")
-    return spread.mapInArrow(work, schema)
+    pair = F.transform(F.slice("cuts", 2, F.size("cuts") - 1), lambda end, i: F.struct(F.get("cuts", i).alias("start"), end.alias("end")))
+    ranges = archives.select("archive", F.inline(pair))
+    # a number of partitions that is asked for isn't merged again, as one of rows this small would be
+    return ranges.repartition(max(1, ranges.count())).mapInArrow(tidy(work), schema)
 
 
 def capture_records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", captured: str | None = None, min_bytes: int = 0) -> DataFrame:
@@ -341,7 +362,7 @@ def capture_records(pages: DataFrame, id_col: str = "page_id", url_col: str = "u
 
     Per page: page_id, payload_bytes, payload_digest, record_type, refers_to, url_key,
     captured. Every index row must meet its record, else the read fails. Repeated page
-    rows give repeated records.
+    rows give repeated records. A very long payload is one record like any other.
     """
     spark = pages.sparkSession
     folder = fresh_path(spark, "warc")

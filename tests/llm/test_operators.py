@@ -109,6 +109,23 @@ def test_history_is_globally_ordered(spark):
     assert text.startswith(b"WARC/1.1\r\nWARC-Type: ")
 
 
+@pytest.mark.parametrize("hot", [50_000, 3])
+def test_archives_are_entered_at_any_record(spark, monkeypatch, hot):
+    """Archives cut into many ranges are read back in as many tasks; hot payloads are salted by their counts."""
+    monkeypatch.setattr(warc, "SPLIT_BYTES", 2000)
+    monkeypatch.setattr(warc, "HOT_ROWS", hot)
+    rows = [(i, f"http://h{i % 7}.example/", None if i % 3 else f"body {i % 11} " * 40) for i in range(400)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(2)
+    manifest = warc.write_archives(pages, fresh_path(spark, "warc"))
+    found = warc.read_archives(manifest)
+    assert len({r[0] for r in found.select(F.spark_partition_id()).collect()}) > 5
+    same = {}
+    for i, _, html in rows:
+        same.setdefault(html or "", []).append(i)
+    got = {r.page_id: (r.payload_bytes, r.record_type, r.refers_to) for r in found.collect()}
+    assert got == {i: (len(h or ""), *(("response", None) if i == max(same[h or ""]) else ("revisit", max(same[h or ""])))) for i, _, h in rows}
+
+
 def test_loser_tree():
     rng = random.Random(3)
     for k in range(0, 12):
@@ -141,6 +158,19 @@ def test_substrings_random(spark):
     assert plain(got, "doc_id", "n_words", "n_removed", "kept_sha256") == X.ordered(X.substring([(r[0], r[0], r[1]) for r in some]))
 
 
+def test_substrings_of_long_texts_and_other_ids(spark):
+    """One text far longer than a block, short ids, and ids without an order of whole numbers."""
+    long = " ".join(f"u{i % 5003}" for i in range(200_000))
+    some = [(1, long, None, None, None), (2, "x" * 3_000_000 + " " + " ".join(long.split()[100:160]), None, None, None), (-(2**63), "a b", None, None, None), (None, "a b", None, None, None)]
+    df = X.table(spark, some)
+    got = {(r.doc_id, r.n_words): r.n_removed for r in substrings.substring_digests(df).collect()}
+    assert got == {(1, 200_000): 200_000 - 5003, (2, 61): 60, (-(2**63), 2): 0, (None, 2): 0}
+    kinds = substrings.deduplicated_texts(df.withColumn("doc_id", F.lit(3).cast("smallint")).limit(1)).schema
+    assert kinds["doc_id"].dataType.simpleString() == "smallint"
+    with pytest.raises(TypeError):
+        substrings.substring_digests(df.withColumn("doc_id", F.col("doc_id").cast("string")))
+
+
 def test_hot_minimisers_change_nothing(spark, monkeypatch):
     some = [(i, f"own{i} words{i} here{i} {X.PASSAGE} tail{i} of{i}", None, None, None) for i in range(80)]
     expected = X.ordered(X.substring([(r[0], r[0], r[1]) for r in some]))
