@@ -42,6 +42,8 @@ WINDOW = 20
 RUN = 5
 SLICE = 1 << 20
 PACK_BYTES = 12 << 20
+#: Bytes of documents for each shard: a shard's segments are at most a few times as much.
+SHARD_BYTES = 4 << 20
 HOT_PER_SHARD = 8
 SAMPLE = 32
 FILTER_BITS = 28
@@ -135,15 +137,13 @@ def _shared_cells(rows: DataFrame, window: int, run: int) -> bytes:
                 cell, n = np.unique((low >> np.uint64(64 - FILTER_BITS)).astype(np.int32), return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array(np.minimum(n, 2).astype(np.int32))], names=["cell", "n"])
 
-    def fold(frame):
-        import pandas as pd
-
+    def fold(table: pa.Table) -> pa.Table:
         bits = np.zeros(block, bool)
-        bits[frame.cell.to_numpy() % block] = True
-        return pd.DataFrame({"block": frame.block[:1], "bits": [np.packbits(bits, bitorder="little").tobytes()]})
+        bits[table.column("cell").to_numpy() % block] = True
+        return pa.table({"block": table.column("block")[:1], "bits": pa.array([np.packbits(bits, bitorder="little").tobytes()])})
 
     counted = rows.select("text").mapInArrow(tidy(work), "cell int, n int").groupBy("cell").agg(F.sum("n").alias("n")).filter("n > 1")
-    blocks = counted.select(F.shiftright("cell", 16).alias("block"), "cell").groupBy("block").applyInPandas(fold, "block int, bits binary")
+    blocks = counted.select(F.shiftright("cell", 16).alias("block"), "cell").groupBy("block").applyInArrow(fold, "block int, bits binary")
     out = np.zeros((1 << FILTER_BITS) // block * (block // 8), np.uint8).reshape(-1, block // 8)
     for r in blocks.collect():  # at most 2 ** (FILTER_BITS - 16) rows of 8 KB
         out[r["block"]] = np.frombuffer(r["bits"], np.uint8)
@@ -282,30 +282,35 @@ def _hot_minimisers(rows: DataFrame, window: int, run: int, shards: int) -> list
 
 
 def repeats(docs: DataFrame, window: int = WINDOW, run: int = RUN, shards: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
-    """(rows, runs): rows are (id, tie, text); runs are (id, tie, start, n), n windows from word `start` on that also start earlier.
+    """(rows, runs): rows are (id, tie, own, text); runs are (id, tie, start, n), n windows from word `start` on that also start earlier.
 
-    tie tells rows apart that share an id (a text digest; 0 while ids are unique).
+    id is own with nulls in first place; tie tells rows apart that share an id (a text
+    digest; 0 while ids are unique). There are as many shards as the documents' bytes
+    ask for, so that a shard's size does not grow with the corpus.
     """
     spark = docs.sparkSession
-    shards = shards or 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    if not isinstance(docs.schema[id_col].dataType, T.IntegralType):
+        raise TypeError(f"{id_col} must be of a whole number type, as its order is that of the documents")
+    if shards is None:
+        size = docs.agg(F.sum(F.octet_length(docs[text_col].cast("string")))).first()[0] or 0
+        shards = max(4, -(-size // SHARD_BYTES))
     ident = F.coalesce(docs[id_col].cast("long"), F.lit(_NULL_ID))
     shared_ids = docs.select(ident.alias("id")).groupBy("id").count().filter("count > 1").limit(1).count()
     tie = F.xxhash64(docs[text_col].cast("string")) if shared_ids else F.lit(0).cast("long")
-    rows = docs.select(ident.alias("id"), tie.alias("tie"), F.coalesce(docs[text_col].cast("string"), F.lit("")).alias("text"))
+    rows = docs.select(ident.alias("id"), tie.alias("tie"), docs[id_col].alias("own"), F.coalesce(docs[text_col].cast("string"), F.lit("")).alias("text"))
     hot = spark.sparkContext.broadcast(_hot_minimisers(rows, window, run, shards))
     cells = spark.sparkContext.broadcast(_shared_cells(rows, window, run))
 
-    def work(frame):
-        import pandas as pd
-
-        out = [_local_repeats(p) for p in frame["pack"][frame["kind"] == 1]]
-        packs = list(frame["pack"][frame["kind"] == 0])
+    def work(table: pa.Table) -> pa.Table:
+        kinds, blocks = table.column("kind").to_pylist(), table.column("pack").to_pylist()
+        out = [_local_repeats(p) for k, p in zip(kinds, blocks) if k == 1]
+        packs = [p for k, p in zip(kinds, blocks) if k == 0]
         if packs:
             out.append(shard_repeats(packs, window))
-        return pd.DataFrame({name: np.concatenate(c) for name, c in zip(("id", "tie", "start", "n"), zip(*out, strict=True))})
+        return pa.table({name: np.concatenate(c) for name, c in zip(("id", "tie", "start", "n"), zip(*out, strict=True))})
 
     emitted = _emit(rows, window, run, shards, hot, cells)
-    return rows, emitted.groupBy("shard").applyInPandas(work, "id long, tie long, start int, n int")
+    return rows, emitted.groupBy("shard").applyInArrow(work, "id long, tie long, start int, n int")
 
 
 def _local_repeats(block: bytes) -> list[np.ndarray]:
@@ -318,10 +323,10 @@ def _local_repeats(block: bytes) -> list[np.ndarray]:
 
 
 def _cut(docs: DataFrame, window: int, run: int, shards: int | None, id_col: str, text_col: str) -> DataFrame:
-    """(id, text, runs) of every row; runs null where nothing repeats."""
+    """(own, text, runs) of every row; runs null where nothing repeats."""
     rows, found = repeats(docs, window, run, shards, id_col, text_col)
     grouped = found.groupBy("id", "tie").agg(F.collect_set(F.struct("start", "n")).alias("runs"))
-    return rows.join(grouped, ["id", "tie"], "left").select("id", "text", "runs")
+    return rows.join(grouped, ["id", "tie"], "left").select("own", "text", "runs")
 
 
 def kept_words(data: bytes, runs: list[tuple[int, int]], window: int) -> tuple[int, int, list[bytes]]:
@@ -343,36 +348,34 @@ def substring_digests(docs: DataFrame, window: int = WINDOW, run: int = RUN, sha
     A word goes if a window over it, `window` words of one document, also starts
     earlier: in a row of smaller id, or earlier in the same row. Null ids come before
     all others; rows that share an id are ordered by a digest of their text, and rows
-    that agree in both are one document read twice, with one result. Null and empty
-    texts have no words.
+    that agree in both are one document read twice, with one result. Ids are whole
+    numbers (TypeError for others). Null and empty texts have no words; very long texts
+    are whole documents like others.
     """
     fields = [T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept_sha256", T.StringType())]
     schema = T.StructType([T.StructField(id_col, docs.schema[id_col].dataType), *fields])
-    kind = {"int": pa.int32(), "bigint": pa.int64(), "smallint": pa.int16(), "tinyint": pa.int8()}[docs.schema[id_col].dataType.simpleString()]
 
     def work(batches):
         for batch in batches:
             for part in slices(batch, "text"):
-                ids = [None if i == _NULL_ID else i for i in part.column("id").to_pylist()]
                 out = []
                 for data, runs in zip(texts(part.column("text")), part.column("runs").to_pylist(), strict=True):
                     n, gone, kept = kept_words(data, [(r["start"], r["n"]) for r in runs or ()], window)
                     out.append((n, gone, sha256_hex(b" ".join(kept))))
                 columns = list(zip(*out, strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array(ids, kind), pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2])], names=schema.names)
+                yield pa.RecordBatch.from_arrays([part.column("own"), pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2])], names=schema.names)
 
     return _cut(docs, window, run, shards, id_col, text_col).mapInArrow(tidy(work), schema)
 
 
 def deduplicated_texts(docs: DataFrame, window: int = WINDOW, run: int = RUN, shards: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, text): every row's kept words joined by one space."""
-    schema = T.StructType([T.StructField("id", T.LongType()), T.StructField("text", T.StringType())])
+    schema = T.StructType([T.StructField(id_col, docs.schema[id_col].dataType), T.StructField(text_col, T.StringType())])
 
     def work(batches):
         for batch in batches:
             for part in slices(batch, "text"):
                 out = [b" ".join(kept_words(d, [(r["start"], r["n"]) for r in runs or ()], window)[2]) for d, runs in zip(texts(part.column("text")), part.column("runs").to_pylist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(out, pa.binary()).cast(pa.string())], names=["id", "text"])
+                yield pa.RecordBatch.from_arrays([part.column("own"), pa.array(out, pa.binary()).cast(pa.string())], names=schema.names)
 
-    cut = _cut(docs, window, run, shards, id_col, text_col).mapInArrow(tidy(work), schema)
-    return cut.select(F.when(F.col("id") != _NULL_ID, F.col("id")).alias(id_col), F.col("text").alias(text_col))
+    return _cut(docs, window, run, shards, id_col, text_col).mapInArrow(tidy(work), schema)
