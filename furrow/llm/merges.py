@@ -1,97 +1,114 @@
-"""Token counts of many words at once: the merge transducer of a word BPE, run in lockstep.
+"""A word BPE as a finite-state transducer over the bytes of a word.
 
-All words are stepped together. In each step every word applies its lowest-ranked
-merge wherever it stands, left to right, until no word has one; what is left of a word
-is its tokens. A merge's product only takes part in later-ranked merges, so this is the
-order in which the library merges, too.
+The encoding of a prefix ends in exactly one token, and what comes before that token is the
+encoding of the shorter prefix. So a prefix needs no more than this of its past: the last
+bytes, as far as a token can still begin in them, and for each place among them the
+last token there and how many tokens were emitted by then. Two neighbours may stand
+side by side if merging their text gives these two tokens again, which their merge
+trees decide. The states are finitely many and shared by all words that end alike.
 """
 
 from __future__ import annotations
 
 import json
 
-import numpy as np
+#: Last bytes; last token before each of them and after all; tokens emitted there, relative to now.
+State = tuple[bytes, tuple[int, ...], tuple[int, ...]]
+START: State = (b"", (-1,), (0,))
 
-_NONE = np.int64(1) << 40
 
-
-def _byte_names() -> list[str]:
-    """The printable character that stands for each byte in a byte-level vocabulary."""
+def _bytes_of_names() -> dict[str, int]:
+    """The byte that each printable character stands for in a byte-level vocabulary."""
     plain = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
     others = iter(range(256, 512))
-    return [chr(b) if b in plain else chr(next(others)) for b in range(256)]
+    return {chr(b) if b in plain else chr(next(others)): b for b in range(256)}
 
 
 class MergeMachine:
     def __init__(self, tokenizer_file: str):
         with open(tokenizer_file, encoding="utf-8") as source:
             model = json.load(source)["model"]
-        vocabulary, suffix = model["vocab"], model["end_of_word_suffix"]
-        names = _byte_names()
-        self.inner = np.array([vocabulary[c] for c in names], np.int64)
-        self.final = np.array([vocabulary[c + suffix] for c in names], np.int64)
+        suffix = model["end_of_word_suffix"]
+        names = _bytes_of_names()
         pairs = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
-        keys = np.array([vocabulary[a] << 20 | vocabulary[b] for a, b in pairs], np.int64)
-        self.product = np.array([vocabulary[a + b] for a, b in pairs], np.int64)
-        self.bits = max(10, (4 * len(keys)).bit_length())
-        self.keys = np.full((1 << self.bits) + 64, -1, np.int64)
-        self.ranks = np.full((1 << self.bits) + 64, _NONE, np.int64)
-        for rank, (key, at) in enumerate(zip(keys.tolist(), self._slot(keys).tolist(), strict=True)):
-            while self.keys[at] not in (-1, key):
-                at += 1
-            if self.keys[at] == -1:
-                self.keys[at], self.ranks[at] = key, rank
+        # tokens are numbered in the order in which merges make them, single bytes first
+        number: dict[str, int] = {}
+        for name in names:
+            for token in (name, name + suffix):
+                number[token] = len(number)
+        self.left, self.right = list(range(len(number))), list(range(len(number)))
+        self.merged: dict[tuple[int, int], int] = {}
+        for a, b in pairs:
+            if a + b not in number:
+                number[a + b] = len(number)
+                self.left.append(number[a])
+                self.right.append(number[b])
+            self.merged.setdefault((number[a], number[b]), number[a + b])
+        self.inner: dict[bytes, int] = {}
+        self.final: dict[bytes, int] = {}
+        for token, k in number.items():
+            last = token.endswith(suffix)
+            text = bytes(names[c] for c in (token[: -len(suffix)] if last else token))
+            (self.final if last else self.inner)[text] = k
+        self.begun = {t[:n] for t in (*self.inner, *self.final) for n in range(1, len(t) + 1)}
+        self.known: dict[tuple[int, int], bool] = {}
+
+    def beside(self, a: int, b: int) -> bool:
+        """Whether the text of tokens a and b is encoded as a, b again (-1: nothing before b)."""
+        if a < 0:
+            return True
+        found = self.known.get((a, b))
+        if found is None:
+            found = self.known[a, b] = self._beside(a, b)
+        return found
+
+    def _beside(self, a: int, b: int) -> bool:
+        # no pair along the seam may merge before both of its sides are whole
+        limit = 1 << 60
+        while self.merged.get((a, b), limit) >= limit:
+            # undo the later token; a single byte can't be undone, then it is the other's turn
+            for side in (0, 1) if a > b else (1, 0):
+                whole, part = (a, self.right[a]) if side == 0 else (b, self.left[b])
+                if part != whole:
+                    limit = whole + side
+                    a, b = (part, b) if side == 0 else (a, part)
+                    break
+            else:
+                return True
+        return False
 
-    def _slot(self, keys: np.ndarray) -> np.ndarray:
-        return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
+    def step(self, state: State, byte: int) -> tuple[int, State]:
+        """Tokens emitted (fewer than before counts below 0) and the state after one more byte."""
+        past, tokens, counts = state
+        text = past + bytes((byte,))
+        for at in range(len(text)):
+            token = self.inner.get(text[at:])
+            if token is not None and self.beside(tokens[at], token):
+                break
+        else:
+            raise ValueError("a byte that the vocabulary lacks")
+        emitted = counts[at] + 1
+        tokens, counts = (*tokens, token), (*(n - emitted for n in counts), 0)
+        first = 0
+        while first < len(text) and text[first:] not in self.begun:
+            first += 1
+        return emitted, (text[first:], tokens[first:], counts[first:])
 
-    def rank(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        keys = a << 20 | b
-        at = self._slot(keys)
-        found = self.keys[at]
-        out = np.where(found == keys, self.ranks[at], _NONE)
-        left = np.flatnonzero((found != keys) & (found != -1))
-        at = at[left]
-        while len(left):
-            at = at + 1
-            found = self.keys[at]
-            hit = found == keys[left]
-            out[left[hit]] = self.ranks[at[hit]]
-            more = ~hit & (found != -1)
-            left, at = left[more], at[more]
-        return out
+    def finish(self, state: State) -> int:
+        """Tokens emitted when the word ends here: its last token is one for word ends."""
+        past, tokens, counts = state
+        for at in range(len(past)):
+            token = self.final.get(past[at:])
+            if token is not None and self.beside(tokens[at], token):
+                return counts[at] + 1
+        if past or len(tokens) > 1:
+            raise ValueError("a byte that the vocabulary lacks")
+        return 0
 
-    def counts(self, words: list[bytes]) -> np.ndarray:
-        """Tokens of each word (not empty; one pre-token each, already normalised)."""
-        out = np.zeros(len(words), np.int64)
-        sizes = np.fromiter(map(len, words), np.int64, len(words))
-        raw = np.frombuffer(b"".join(words), np.uint8)
-        ends = np.cumsum(sizes) - 1
-        symbols = self.inner[raw]
-        symbols[ends] = self.final[raw[ends]]
-        names = np.arange(len(words))  # the words still merging
-        while len(names):
-            starts = ends - sizes + 1
-            ranks = np.full(len(symbols), _NONE)
-            ranks[:-1] = self.rank(symbols[:-1], symbols[1:])
-            ranks[ends] = _NONE
-            least = np.minimum.reduceat(ranks, starts)
-            merge = (ranks == np.repeat(least, sizes)) & (ranks < _NONE)
-            # of touching places (a pair of equal symbols) every second one, from the left
-            at = np.flatnonzero(merge)
-            if len(at):
-                touching = np.concatenate(([False], np.diff(at) == 1))
-                if touching.any():
-                    run = np.arange(len(at)) - np.maximum.accumulate(np.where(touching, 0, np.arange(len(at))))
-                    at = at[run % 2 == 0]
-            active = least < _NONE
-            out[names[~active]] = sizes[~active]
-            symbols[at] = self.product[ranks[at]]
-            keep = np.repeat(active, sizes)
-            keep[at + 1] = False
-            lost = np.zeros(len(symbols) + 1, np.int64)
-            lost[1:] = np.cumsum(np.bincount(at, minlength=len(symbols)))
-            sizes = (sizes - (lost[ends + 1] - lost[starts]))[active]
-            symbols, names = symbols[keep], names[active]
-            ends = np.cumsum(sizes) - 1
-        return out
+    def count(self, word: bytes) -> int:
+        """Tokens of one word."""
+        n, state = 0, START
+        for byte in word:
+            emitted, state = self.step(state, byte)
+            n += emitted
+        return n + self.finish(state)

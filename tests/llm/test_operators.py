@@ -370,21 +370,32 @@ def test_token_counts(docs, pairs):
     assert plain(got, "doc_id", "n_bytes", "n_tokens", "over_limit") == X.ordered(expected)
 
 
-def test_chunks_compose():
+PIECES = ["a", "b", "the", "ing", "'", "'s", "'t", "'re", "'rx", "'ve", "'l", "'ll", "'m", "!", "..", "1", "23", " ", "  ", "\n", "É", "é", "ß", "ü", "A", "Re", "S", "-", "_", "日", "\x01", "<|endoftext|>", "<", "|", "×", "÷", "''", "'r", " '"]
+
+
+def test_transducer_equals_library():
+    """Any cut into chunks gives the library's counts: contractions, marks, digits, Latin-1 letters, foreign words."""
     from tokenizers import Tokenizer
 
-    library, machine = Tokenizer.from_file(WORDS), counts.transducer(WORDS)
-    for t in X.TEXTS:
-        data = (t or "").encode()[:2000].decode(errors="ignore").encode()
-        n = len(library.encode(data.decode(), add_special_tokens=False))
-        assert all(machine.count(data, chunk) == n for chunk in (1, 3, 64, 1 << 20))
-    a, b, c = (machine.chunk_map(x) for x in (b"ab cd", b"ef", b"gh ij"))
-    assert machine.compose(machine.compose(a, b), c) == machine.compose(a, machine.compose(b, c))
+    library, machine, rng = Tokenizer.from_file(WORDS), counts.transducer(WORDS), random.Random(1)
+    some = ["".join(rng.choice(PIECES) for _ in range(rng.randrange(0, 60))) for _ in range(1500)] + [(t or "")[:3000] for t in X.TEXTS]
+    want = [len(library.encode(t, add_special_tokens=False)) for t in some]
+    for chunk in (1, 3, 64, 1 << 20):
+        assert machine.count([t.encode() for t in some], chunk).tolist() == want
+
+
+def test_long_words_run_through_many_chunks():
+    from tokenizers import Tokenizer
+
+    library, machine, rng = Tokenizer.from_file(WORDS), counts.CountTransducer(WORDS), random.Random(2)
+    some = ["a" * 50_000, "".join(rng.choice("abc") for _ in range(20_000)), "!" * 30_000, "x" * 3000 + " y " + "z" * 3000, "日本" * 5000, " " * 10_000, ""]
+    assert machine.count([t.encode() for t in some]).tolist() == [len(library.encode(t, add_special_tokens=False)) for t in some]
 
 
 def test_small_tables_start_afresh():
-    small = counts.CountTransducer(WORDS, limit=3)
-    assert small.count(b"one two three four five one") == counts.transducer(WORDS).count(b"one two three four five one")
+    small, text = counts.CountTransducer(WORDS, limit=3), b"one two three four five one"
+    first = small.count([text])
+    assert small.n > 3 and (small.count([text]) == first).all() and (counts.transducer(WORDS).count([text]) == first).all()
 
 
 def test_merges_equal_library():
@@ -392,7 +403,8 @@ def test_merges_equal_library():
 
     library, machine, rng = Tokenizer.from_file(WORDS), merges.MergeMachine(WORDS), random.Random(1)
     words = ["".join(rng.choice("abcdeéß") for _ in range(rng.randrange(1, 30))) for _ in range(500)] + ["a" * n for n in range(1, 20)]
-    assert machine.counts([w.encode() for w in words]).tolist() == [len(library.encode(w, add_special_tokens=False)) for w in words]
+    words += ["".join(rng.choice("!?.-#*_=+/") for _ in range(rng.randrange(1, 12))) for _ in range(300)]
+    assert [machine.count(w.encode()) for w in words] == [len(library.encode(w, add_special_tokens=False)) for w in words]
 
 
 # --- 8: near duplicates -------------------------------------------------------
