@@ -56,7 +56,8 @@ def et_pipeline(obs: DataFrame, hourly: DataFrame, canopy: DataFrame, start: str
     and then the earlier one. ground, if given, has pixel with water, landcover, dem and
     geopot: water and unclassified pixels drop, air temperature and pressure are
     corrected for terrain. Scenes are taken at the resolution they have; to sharpen
-    them, apply plans.sharpen to each day's scene first.
+    them, apply plans.sharpen to each day's scene first. Daily rows carry the balance's
+    flag and its steps.
     """
     with_air = temporal.interp_hourly(masks.mask_lst_quality(obs), hourly, "ts", "hour", ["t2m"])
     best = composite.best_pixel(masks.mask_lst_air(with_air)).filter("lst IS NOT NULL")
@@ -77,9 +78,9 @@ def et_pipeline(obs: DataFrame, hourly: DataFrame, canopy: DataFrame, start: str
         terrain = {"sp": F.col("p"), "rate": F.lit(0.0065), "blend": F.lit(100.0)}
         rows = formulas.TERRAIN.apply(rows.join(kept, "pixel").withColumns(terrain)).withColumns({"t_a": F.col("t_terrain"), "p": F.col("p_terrain")}).drop(*formulas.TERRAIN.columns, *terrain, "dem", "geopot")
     rows = rows.withColumns({"t_r": F.col("lst"), "u": F.col("wind"), "doy": F.dayofyear("day"), "hr": F.hour("ts") + F.minute("ts") / 60.0})
-    fluxes = run_fluxes(rows, ["pixel", "day"]).select("pixel", "day", "flag", "le")
+    fluxes = run_fluxes(rows, ["pixel", "day"]).select("pixel", "day", "flag", "steps", "le")
     scaled = rows.select("pixel", "day", "s_mean", F.col("s_dn").alias("s_inst"), "t_a", "ea", "p").join(fluxes, ["pixel", "day"])
-    daily = formulas.DAILY_ET.apply(formulas.AIR.apply(scaled)).select("pixel", "day", "flag", F.col("et_daily").alias("et"))
+    daily = formulas.DAILY_ET.apply(formulas.AIR.apply(scaled)).select("pixel", "day", "flag", "steps", F.col("et_daily").alias("et"))
     return daily, composite.et_median(daily.filter("et IS NOT NULL"), start, end, day="day")
 
 

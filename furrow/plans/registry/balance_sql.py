@@ -19,9 +19,11 @@ SHOWN = {
 #: Rows that have not settled at their last step have no digits left that two engines share, but for these columns.
 LAST, SURE = 14, ("sn_c", "sn_s", "steps")
 
-_INPUT = """i0 AS (SELECT id, CAST(doy AS DOUBLE) AS doy, CAST(round(hr * 60) AS DOUBLE) / 60 AS hr, CAST(t_r1 AS DOUBLE) AS t_r, CAST(t_a1 AS DOUBLE) AS t_a, CAST(u AS DOUBLE) AS u, CAST(ea AS DOUBLE) AS ea, CAST(s_dn AS DOUBLE) AS s_dn,
-CAST({lai} AS DOUBLE) AS lai, CAST(h_c AS DOUBLE) AS h_c, CAST(vza AS DOUBLE) AS vza, CAST({f_c} AS DOUBLE) AS f_c FROM station WHERE {where}),
-i1 AS (SELECT *, 1013.25 * pow(1 - 2.225577e-3, 5.25588) AS p, t_a - 273.15 AS t, 0.409 * sin(2 * pi() / 365 * doy - 1.39) AS dec, coalesce(t_r + t_a + u + ea + s_dn + h_c + vza, NULL) IS NOT NULL AS usable, f_c <= 0.01 OR coalesce(lai, 0) <= 0 AS bare FROM i0),
+#: Rows of the station view with this leaf area, cover and filter.
+_STATION = """SELECT id, CAST(doy AS DOUBLE) AS doy, CAST(round(hr * 60) AS DOUBLE) / 60 AS hr, CAST(t_r1 AS DOUBLE) AS t_r, CAST(t_a1 AS DOUBLE) AS t_a, CAST(u AS DOUBLE) AS u, CAST(ea AS DOUBLE) AS ea, CAST(s_dn AS DOUBLE) AS s_dn,
+CAST({lai} AS DOUBLE) AS lai, CAST(h_c AS DOUBLE) AS h_c, CAST(vza AS DOUBLE) AS vza, CAST({f_c} AS DOUBLE) AS f_c, 1013.25 * pow(1 - 2.225577e-3, 5.25588) AS p FROM station WHERE {where}"""
+_INPUT = """i0 AS ({rows}),
+i1 AS (SELECT *, t_a - 273.15 AS t, 0.409 * sin(2 * pi() / 365 * doy - 1.39) AS dec, coalesce(t_r + t_a + u + ea + s_dn + h_c + vza, NULL) IS NOT NULL AS usable, f_c <= 0.01 OR coalesce(lai, 0) <= 0 AS bare FROM i0),
 i2 AS (SELECT *, 0.622 * ea / (p - 0.378 * ea) AS q, 2501000 - 2361 * t AS lv, 0.622 * ea / (p - ea) AS r,
  sin(radians(52)) * sin(dec) + cos(radians(52)) * cos(dec) * cos(radians(15 * (hr - 12) + (0.258 * cos(dec) - 7.416 * sin(dec) - 3.648 * cos(2 * dec) - 9.228 * sin(2 * dec)) / 4 - 2)) AS mu0 FROM i1),
 i3 AS (SELECT *, 1003.5 + 861.5 * q AS cp, 100 * (p - 0.378 * ea) / (287.04 * t_a) AS rho, 2503.0584 * exp(17.27 * t / (t + 237.3)) / pow(t + 237.3, 2) AS es_slope, degrees(acos(greatest(-1, least(1, mu0)))) AS sza FROM i2),
@@ -106,11 +108,30 @@ leaf_rows AS (SELECT id, CASE WHEN bad THEN 255 WHEN a <= 0 THEN 5 WHEN a < 1.26
  CASE WHEN NOT bad THEN us1 END AS u_star, CASE WHEN NOT bad THEN nullif(new, 0) END AS inv_obukhov, step AS steps FROM vo)"""
 
 
-def balance_sql(lai: str = "lai", f_c: str = "0.8", where: str = "TRUE", columns: tuple[str, ...] = tuple(SHOWN)) -> str:
-    """The balance of station rows with this leaf area, cover and filter."""
+def balance_ctes(rows: str) -> str:
+    """CTEs up to `results` (id and the columns of SHOWN, not rounded) of rows (id, doy, hr, t_r, t_a, u, ea, s_dn, lai, h_c, vza, f_c, p)."""
     lost = ", ".join(f"CAST(NULL AS {'INT' if c == 'steps' else 'DOUBLE'})" for c in list(SHOWN)[1:-2])
     every = f"SELECT * FROM bare_rows UNION ALL SELECT * FROM leaf_rows UNION ALL SELECT id, 255, {lost} FROM i9 WHERE NOT usable"
-    shown = {"h": "hf_c + hf_s", "le": "le_c + le_s"}
-    rounded = {c: f"CAST({c} AS INT)" if c in ("flag", "steps") else f"round({shown.get(c, c)}, {SHOWN[c]}) + 0e0" for c in columns}
+    return f"{_INPUT.format(rows=rows)}, {_BARE}, {_CANOPY}, {_LEAF}, results AS (SELECT *, hf_c + hf_s AS h, le_c + le_s AS le FROM ({every}) z)"
+
+
+def balance_sql(lai: str = "lai", f_c: str = "0.8", where: str = "TRUE", columns: tuple[str, ...] = tuple(SHOWN)) -> str:
+    """The balance of station rows."""
+    rounded = {c: f"CAST({c} AS INT)" if c in ("flag", "steps") else f"round({c}, {SHOWN[c]}) + 0e0" for c in columns}
     names = ", ".join(f"{e} AS {c}" if c in SURE else f"CASE WHEN steps < {LAST} OR steps IS NULL THEN {e} END AS {c}" for c, e in rounded.items())
-    return f"WITH RECURSIVE {_INPUT.format(lai=lai, f_c=f_c, where=where)}, {_BARE}, {_CANOPY}, {_LEAF} SELECT id, {names} FROM ({every}) z"
+    return f"WITH RECURSIVE {balance_ctes(_STATION.format(lai=lai, f_c=f_c, where=where))} SELECT id, {names} FROM results"
+
+
+#: Best clear scene of a pixel and day with the weather at its time, its canopy, and the day's mean radiation.
+_SCENES = """wx AS (SELECT hour, t2m, greatest(1, sqrt(u100 * u100 + v100 * v100)) AS wind, 8 + u100 AS ea, nullif(ssrd, 0) / 3600 AS s_dn FROM met_hourly),
+mixed AS (SELECT o.pixel, o.seq, o.ts, o.lst, o.vza, o.bayes, o.confidence, extract(minute FROM o.ts) / 60e0 AS part, a.t2m AS t0, b.t2m AS t1, a.wind AS w0, b.wind AS w1, a.ea AS e0, b.ea AS e1, a.s_dn AS s0, b.s_dn AS s1
+ FROM lst_obs o JOIN wx a ON a.hour = date_trunc('hour', o.ts) JOIN wx b ON b.hour = date_trunc('hour', o.ts) + INTERVAL 1 HOUR),
+scenes AS (SELECT *, CAST(ts AS DATE) AS day, t0 - (t0 - t1) * part AS air FROM mixed WHERE vza < 45 AND bayes <> 2 AND (confidence < 16384 OR confidence >= 32678) AND lst >= 273.15 AND lst - (t0 - (t0 - t1) * part) >= -2
+ QUALIFY row_number() OVER (PARTITION BY pixel, CAST(ts AS DATE) ORDER BY lst DESC, seq) = 1),
+means AS (SELECT CAST(hour AS DATE) AS day, sum(s_dn) / 24 AS s_mean FROM wx WHERE s_dn <> 0 GROUP BY 1),
+lines AS (SELECT pixel * 100000 + extract(year FROM day) % 100 * 1000 + extract(doy FROM day) AS id, pixel, day, s_mean, CAST(extract(doy FROM day) AS DOUBLE) AS doy, extract(hour FROM ts) + part AS hr, lst AS t_r, air AS t_a, w0 - (w0 - w1) * part AS u, e0 - (e0 - e1) * part AS ea, s0 - (s0 - s1) * part AS s_dn,
+ 0.5 + (pixel % 30) / 10e0 AS lai, 0.2 + (pixel % 10) / 20e0 AS h_c, CAST(vza AS DOUBLE) AS vza, 0.8e0 AS f_c, 1013.25e0 AS p FROM scenes JOIN means USING (day))"""
+_DAILY = f"""WITH RECURSIVE {_SCENES}, {balance_ctes("SELECT id, doy, hr, t_r, t_a, u, ea, s_dn, lai, h_c, vza, f_c, p FROM lines")},
+daily AS (SELECT lines.pixel, lines.day, flag, steps, 86400000 * lines.s_mean * le / nullif(lines.s_dn, 0) / (lv * (999.83952 + t * (16.945176 + t * (-7.9870401e-3 + t * (-46.170461e-6 + t * (105.56302e-9 - 280.54253e-12 * t))))) / (1 + 16.897850e-3 * t)) AS et FROM lines JOIN results USING (id) JOIN i9 USING (id))"""
+DAILY_ET = f"{_DAILY} SELECT pixel, day, CAST(flag AS INT) AS flag, CAST(steps AS INT) AS steps, CASE WHEN steps < {LAST} THEN round(et, 2) + 0e0 END AS et FROM daily"
+ET_MEDIAN = f"{_DAILY} SELECT pixel, round(median(CASE WHEN et <= 0 OR et > 12 THEN 0 ELSE et END), 1) AS et_median, count(*) AS n_days FROM daily WHERE et IS NOT NULL GROUP BY pixel"

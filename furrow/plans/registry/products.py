@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from furrow.functions import formulas
 from furrow.operators import grids
 from furrow.plans import fluxes, pipelines, sharpen
-from furrow.plans.registry.balance_sql import LAST, SHOWN, SURE, balance_sql
+from furrow.plans.registry.balance_sql import DAILY_ET, ET_MEDIAN, LAST, SHOWN, SURE, balance_sql
 from furrow.plans.registry.base import Source, query, rounded
 from furrow.session import fresh_path
 from furrow.sources import catalog
@@ -99,28 +99,54 @@ def _canopy(s: Source):
     return s.view("lst_obs").select("pixel").distinct().withColumns({"lai": 0.5 + (F.col("pixel") % 30) / 10.0, "h_c": 0.2 + (F.col("pixel") % 10) / 20.0}).withColumns({c: F.col(c).cast("double") for c in ("lai", "h_c")})
 
 
-@query("m8_daily_et")
+@query("m8_daily_et", DAILY_ET, "lst_obs met_hourly")
 def _(s: Source):
-    daily, _ = pipelines.et_pipeline(s.view("lst_obs"), _weather(s), _canopy(s), "2024-01-01", "2024-01-31")
-    return daily.select("pixel", "day", "flag", R("et"))
+    daily, _ = pipelines.et_pipeline(s.view("lst_obs"), _weather(s), _canopy(s), "2000-01-01", "2099-12-31")
+    return daily.select("pixel", "day", "flag", "steps", F.when(F.col("steps") < LAST, rounded("et", 2)).alias("et"))
 
 
-@query("m8_et_median")
+@query("m8_et_median", ET_MEDIAN, "lst_obs met_hourly")
 def _(s: Source):
-    return pipelines.et_pipeline(s.view("lst_obs"), _weather(s), _canopy(s), "2024-01-01", "2024-01-31")[1].select("pixel", R("et_median"), "n_days")
+    return pipelines.et_pipeline(s.view("lst_obs"), _weather(s), _canopy(s), "2000-01-01", "2099-12-31")[1].select("pixel", R("et_median", 1), "n_days")
 
 
-@query("m9_fields")
+def _stitched(band: str) -> str:
+    """The band over the inner parts of all chips that are not empty there."""
+    inner = "in_r BETWEEN 2 AND 11 AND in_c BETWEEN 2 AND 11"
+    return f"SELECT r, c, max({band}) AS {band} FROM (SELECT *, row_start + in_r AS r, col_start + in_c AS c, sum({band}) OVER (PARTITION BY row_start, col_start) AS chip FROM ({_CHIPS}) z WHERE {inner}) WHERE chip > 0 GROUP BY 1, 2"
+
+
+#: Cells with their fields: 0, or one more than the least cell key of a component.
+_FIELDS = f"""WITH RECURSIVE stack AS (SELECT r, c, extent, boundary FROM ({_stitched("extent")}) JOIN ({_stitched("boundary")}) USING (r, c)),
+n AS (SELECT r, c, r * 4294967296 + c AS k FROM stack WHERE extent >= 0.45 AND boundary < 0.42), e AS (SELECT a.k AS a, b.k AS b FROM n a JOIN n b ON abs(a.r - b.r) + abs(a.c - b.c) = 1),
+w(k, m) AS (SELECT k, k FROM n UNION SELECT e.b, w.m FROM w JOIN e ON w.k = e.a WHERE w.m < e.b), f AS (SELECT k, min(m) + 1 AS field FROM w GROUP BY k),
+fields AS (SELECT r, c, coalesce(field, 0) AS field FROM stack LEFT JOIN f ON f.k = r * 4294967296 + c)"""
+_SIDES = " UNION ALL ".join(f"SELECT field, 2 * r + {i} AS fr, 2 * c + {j} AS fc FROM fields" for i, j in ((-1, 0), (1, 0), (0, -1), (0, 1)))
+
+
+@query(
+    "m9_fields",
+    f"""{_FIELDS}, sides AS (SELECT field, count(*) AS faces FROM (SELECT field, fr, fc FROM ({_SIDES}) GROUP BY 1, 2, 3 HAVING count(*) = 1) GROUP BY field)
+SELECT field, count(*) AS n_cells, round(count(*) * 0.01e0, 6) AS area_ha, CAST(min(c) * 10.0 AS DOUBLE) AS x0, CAST(min(r) * 10.0 AS DOUBLE) AS y0, CAST((max(c) + 1) * 10.0 AS DOUBLE) AS x1, CAST((max(r) + 1) * 10.0 AS DOUBLE) AS y1, CAST(any_value(faces) * 10.0 AS DOUBLE) AS perimeter, any_value(faces) AS n_faces FROM fields JOIN sides USING (field) WHERE field <> 0 GROUP BY field""",
+    "pixels",
+)
 def _(s: Source):
     cells = s.view("pixels").select("r", "c", "extent", "boundary")
-    return pipelines.field_pipeline(cells, 40, 40, ["extent", "boundary"], contrast, 14, 4, 0.45, 0.42, 10.0)[0]
+    return pipelines.field_pipeline(cells, 40, 40, ["extent", "boundary"], contrast, 14, 4, 0.45, 0.42, 10.0)[0].withColumn("area_ha", rounded("area_ha", 6))
 
 
-@query("m9_field_scores")
+@query(
+    "m9_field_scores",
+    f"""{_FIELDS}, p AS (SELECT CAST(ref AS BIGINT) AS ref, field, count(*) AS n FROM labels2 JOIN fields USING (r, c) GROUP BY 1, 2), a AS (SELECT ref, CAST(sum(n) AS BIGINT) AS size_a FROM p GROUP BY 1), b AS (SELECT field, CAST(sum(n) AS BIGINT) AS size_b FROM p GROUP BY 1),
+t AS (SELECT * FROM p WHERE ref <> 0 AND field <> 0 QUALIFY row_number() OVER (PARTITION BY ref ORDER BY n DESC, field) = 1)
+SELECT ref, field, n, size_a, size_b, round(n / (size_a + size_b - n), 6) AS iou, round(n / size_a, 6) AS overlap_a, round(n / size_b, 6) AS overlap_b FROM t JOIN a USING (ref) JOIN b USING (field) WHERE size_a > 5 AND size_b > 5""",
+    "pixels labels2",
+)
 def _(s: Source):
     cells = s.view("pixels").select("r", "c", "extent", "boundary")
     ref = s.view("labels2").select("r", "c", "ref")
-    return pipelines.field_pipeline(cells, 40, 40, ["extent", "boundary"], contrast, 14, 4, 0.45, 0.42, 10.0, ref)[1]
+    found = pipelines.field_pipeline(cells, 40, 40, ["extent", "boundary"], contrast, 14, 4, 0.45, 0.42, 10.0, ref)[1]
+    return found.withColumns({c: rounded(c, 6) for c in ("iou", "overlap_a", "overlap_b")})
 
 
 @query("s10_read_station", "SELECT CAST(year AS DOUBLE) AS year, CAST(doy AS DOUBLE) AS doy, round(t_r1, 3) AS t_r1, count(*) AS n FROM (SELECT 2024 AS year, extract(doy FROM ts) AS doy, 285 + value / 20 AS t_r1 FROM events) GROUP BY 1, 2, 3")
