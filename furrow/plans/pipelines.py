@@ -53,9 +53,9 @@ def et_pipeline(obs: DataFrame, hourly: DataFrame, canopy: DataFrame, start: str
     hourly has hour, t2m, ssrd (J/m2), u100, v100, ea. Best clear scene of a day, weather
     at its time, balance, and scaling by the day's mean radiation. Canopy rows with a
     comp_date hold for the days within `window` of it, the nearest composite of a day
-    and then the earlier one. ground, if given, has pixel with water, landcover, dem and
-    geopot: water and unclassified pixels drop, air temperature and pressure are
-    corrected for terrain. Scenes are taken at the resolution they have; to sharpen
+    and then the earlier one. ground, if given, has pixel with bnr (near infrared),
+    landcover, dem and geopot: water and unclassified pixels drop, air temperature and
+    pressure are corrected for terrain. Scenes are taken at the resolution they have; to sharpen
     them, apply plans.sharpen to each day's scene first. Daily rows carry the balance's
     flag and its steps.
     """
@@ -74,7 +74,8 @@ def et_pipeline(obs: DataFrame, hourly: DataFrame, canopy: DataFrame, start: str
         rows = at.join(canopy, "pixel")
     rows = rows.join(mean, "day").withColumns({"t_a": F.col("t2m"), "p": F.lit(1013.25)})
     if ground is not None:
-        kept = masks.mask_landcover(masks.mask_water(ground, "water"), "landcover", "zero").filter("mask = 1").drop("mask", "water")
+        dry = masks.mask_water(ground, ["landcover"]).filter("landcover IS NOT NULL")
+        kept = masks.mask_landcover(dry, "landcover", "zero").filter("mask = 1").select("pixel", "dem", "geopot")
         terrain = {"sp": F.col("p"), "rate": F.lit(0.0065), "blend": F.lit(100.0)}
         rows = formulas.TERRAIN.apply(rows.join(kept, "pixel").withColumns(terrain)).withColumns({"t_a": F.col("t_terrain"), "p": F.col("p_terrain")}).drop(*formulas.TERRAIN.columns, *terrain, "dem", "geopot")
     rows = rows.withColumns({"t_r": F.col("lst"), "u": F.col("wind"), "doy": F.dayofyear("day"), "hr": F.hour("ts") + F.minute("ts") / 60.0})

@@ -6,18 +6,24 @@ every training window to one row of sums, and only those rows are solved in Pyth
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Callable
+from typing import Protocol
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from furrow.operators.grids import CELL, aggregate_to_grid, assign_windows, resample_bilinear, with_cv
 from furrow.operators.sampling import quantiles
 from furrow.session import materialise
 
 GLOBAL = -1
+#: Training cells that a window needs for a model of its own.
+LEAST_CELLS = 10
 
 
 def training_rows(fine: DataFrame, coarse: DataFrame, factor: int, predictors: list[str], temperature: str, quantile: float = 0.8) -> DataFrame:
@@ -55,7 +61,7 @@ def _solve(predictors: list[str], ridge: float) -> Callable:
     return run
 
 
-def fit_linear(rows: DataFrame, predictors: list[str], least: int = 10, ridge: float = 1e-3) -> DataFrame:
+def fit_linear(rows: DataFrame, predictors: list[str], least: int = LEAST_CELLS, ridge: float = 1e-3) -> DataFrame:
     """(win_r, win_c, beta, lo, hi): weighted ridge models of windows with at least `least` cells."""
     x = [F.lit(1.0), *(F.col(f"mean_{p}") for p in predictors)]
     xx = F.array(*(F.sum(F.col("w") * a * b) for a in x for b in x))
@@ -64,36 +70,108 @@ def fit_linear(rows: DataFrame, predictors: list[str], least: int = 10, ridge: f
     return sums.filter(F.col("n") >= least).drop("n").mapInPandas(_solve(predictors, ridge), "win_r int, win_c int, beta array<double>, lo double, hi double")
 
 
-def sharpen(fine: DataFrame, coarse: DataFrame, factor: int, predictors: list[str], temperature: str, window: int = 15, margin: float = 0.25, fit: Callable[[DataFrame, list[str]], DataFrame] = fit_linear) -> DataFrame:
+class Regressor(Protocol):
+    """A model of temperature over predictors; it travels pickled, so its parts must be importable by executors."""
+
+    def fit(self, x: np.ndarray, y: np.ndarray, w: np.ndarray) -> object: ...
+
+    def predict(self, model: object, x: np.ndarray) -> np.ndarray: ...
+
+
+def _linear_predictions(cells: DataFrame, windows: DataFrame, rows: DataFrame, predictors: list[str], fit: Callable) -> DataFrame:
+    """cells with t_local and t_global of linear models, in generated code."""
+    local = fit(windows, predictors)
+    everywhere = fit(rows.withColumns({"win_r": F.lit(GLOBAL), "win_c": F.lit(GLOBAL)}), predictors)
+    x = F.array(F.lit(1.0), *(F.col(p) for p in predictors))
+    value = F.aggregate(F.zip_with(x, "beta", lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v)
+    clipped = F.greatest(F.least(value, F.col("hi")), F.col("lo"))
+    # one row a window: a small side by its definition, but it grows with the area, so no hint
+    both = cells.join(local, ["win_r", "win_c"], "left").withColumn("t_local", clipped).drop("beta", "lo", "hi")
+    return both.crossJoin(F.broadcast(everywhere.drop("win_r", "win_c"))).withColumn("t_global", clipped)
+
+
+def _model_predictions(cells: DataFrame, windows: DataFrame, rows: DataFrame, predictors: list[str], regressor: Regressor, least: int, most_rows: int) -> DataFrame:
+    """cells with t_local and t_global of a user's models: fitted a window a group, applied to a window's fine cells at once.
+
+    A window's coarse and fine cells are bounded by its size. The global model learns
+    from at most most_rows coarse cells, those of the least hashes of their places.
+    """
+    means = [f"mean_{p}" for p in predictors]
+
+    def learn(table: pa.Table) -> tuple[bytes, float, float]:
+        y = table.column("y").to_numpy().astype(float)
+        x = np.column_stack([table.column(m).to_numpy().astype(float) for m in means])
+        return pickle.dumps(regressor.fit(x, y, table.column("w").to_numpy().astype(float))), float(y.min()), float(y.max())
+
+    def train(table: pa.Table) -> pa.Table:
+        if table.num_rows < least:
+            return pa.table({"win_r": pa.array([], pa.int32()), "win_c": pa.array([], pa.int32()), "model": pa.array([], pa.binary()), "lo": pa.array([], pa.float64()), "hi": pa.array([], pa.float64())})
+        model, lo, hi = learn(table)
+        return pa.table({"win_r": table.column("win_r")[:1], "win_c": table.column("win_c")[:1], "model": pa.array([model], pa.binary()), "lo": [lo], "hi": [hi]})
+
+    def values(model: bytes, lo: float, hi: float, table: pa.Table | pa.RecordBatch) -> np.ndarray:
+        x = np.column_stack([table.column(p).to_numpy().astype(float) for p in predictors])
+        return np.clip(regressor.predict(pickle.loads(model), x), lo, hi).astype(float)
+
+    def apply(fine: pa.Table, models: pa.Table) -> pa.Table:
+        found = pa.array([None] * fine.num_rows, pa.float64())
+        if models.num_rows and fine.num_rows:
+            found = pa.array(values(*(models.column(c)[0].as_py() for c in ("model", "lo", "hi")), fine))
+        return fine.append_column("t_local", found)
+
+    local = windows.select("win_r", "win_c", *means, "y", "w").groupBy("win_r", "win_c").applyInArrow(train, "win_r int, win_c int, model binary, lo double, hi double")
+    one = rows.select(*means, "y", "w", F.xxhash64("r", "c").alias("h"), F.lit(0).alias("g")).orderBy("h").limit(most_rows)
+    whole = one.groupBy("g").applyInArrow(lambda t: pa.table({k: [v] for k, v in zip(("model", "lo", "hi"), learn(t))}), "model binary, lo double, hi double").collect()
+    shared = cells.sparkSession.sparkContext.broadcast(tuple(whole[0]))
+    by = ["win_r", "win_c"]
+    schema = T.StructType([*cells.schema.fields, T.StructField("t_local", T.DoubleType())])
+    both = cells.groupBy(*by).cogroup(local.groupBy(*by)).applyInArrow(apply, schema)
+
+    def everywhere(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(values(bytes(shared.value[0]), *shared.value[1:], batch))], names=[*batch.schema.names, "t_global"])
+
+    return both.mapInArrow(everywhere, T.StructType([*schema.fields, T.StructField("t_global", T.DoubleType())]))
+
+
+def sharpen(
+    fine: DataFrame,
+    coarse: DataFrame,
+    factor: int,
+    predictors: list[str],
+    temperature: str,
+    window: int = 15,
+    margin: float = 0.25,
+    fit: Callable[[DataFrame, list[str]], DataFrame] = fit_linear,
+    regressor: Regressor | None = None,
+    most_rows: int = 200_000,
+) -> DataFrame:
     """(r, c, t_sharp) of every fine cell with all predictors.
 
     Windows are of `window` coarse cells. Local and global predictions, each clipped
     to its training range, are blended in fourth powers by the inverse squares of their
-    coarse residuals; the blend's own coarse residual is added back bilinearly.
-    `fit` may be replaced by any function from training rows to models.
+    coarse residuals; the blend's own coarse residual is added back bilinearly. Models
+    are linear (`fit` gives their betas from training rows), or any `regressor` with fit
+    and predict over arrays: trees, rules, networks. Its global model is fitted on
+    at most most_rows training rows.
     """
     rows = training_rows(fine, coarse, factor, predictors, temperature)
-    local = fit(assign_windows(rows, window, margin), predictors)
-    everywhere = fit(rows.withColumns({"win_r": F.lit(GLOBAL), "win_c": F.lit(GLOBAL)}), predictors)
-    x = F.array(F.lit(1.0), *(F.col(p) for p in predictors))
-    value = F.aggregate(F.zip_with(x, "beta", lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v)
-    clipped = F.greatest(F.least(value, F.col("hi")), F.col("lo"))
     ready = fine
     for p in predictors:
         ready = ready.filter(F.col(p).isNotNull())
     step = factor * window
-    at = ready.withColumns({"win_r": F.floor(F.col("r") / step).cast("int"), "win_c": F.floor(F.col("c") / step).cast("int")})
-    # one row a window: a small side by its definition, but it grows with the area, so no hint
-    both = at.join(local, ["win_r", "win_c"], "left").withColumn("t_local", clipped).drop("beta", "lo", "hi")
-    both = both.crossJoin(F.broadcast(everywhere.drop("win_r", "win_c"))).withColumn("t_global", clipped)
-    cells = both.select("r", "c", "t_local", "t_global", *((F.floor(F.col(k) / factor)).cast("long").alias(f"b{k}") for k in CELL))
+    at = ready.select("r", "c", *predictors).withColumns({"win_r": F.floor(F.col("r") / step).cast("int"), "win_c": F.floor(F.col("c") / step).cast("int")})
+    windows = assign_windows(rows, window, margin)
+    both = _linear_predictions(at, windows, rows, predictors, fit) if regressor is None else _model_predictions(at, windows, rows, predictors, regressor, LEAST_CELLS, most_rows)
+    # written once: means, blend and residual all read the predictions
+    cells = materialise(both.select("r", "c", "t_local", "t_global", *((F.floor(F.col(k) / factor)).cast("long").alias(f"b{k}") for k in CELL)), "predicted")
     fourth = lambda c: F.col(c) * F.col(c) * F.col(c) * F.col(c)
     low = coarse.select(F.col("r").alias("br"), F.col("c").alias("bc"), F.col(temperature).alias("y"))
     means = cells.groupBy("br", "bc").agg(F.avg(fourth("t_local")).alias("ml"), F.avg(fourth("t_global")).alias("mg")).join(low, ["br", "bc"])
     inverse = lambda m: 1 / F.greatest(F.pow(F.col("y") - F.pow(m, F.lit(0.25)), F.lit(2.0)), F.lit(1e-6))
     weights = means.select("br", "bc", "y", F.when(F.col("ml").isNotNull(), inverse("ml")).otherwise(0.0).alias("wl"), inverse("mg").alias("wg"))
     blend = F.pow((F.coalesce(F.col("wl") * fourth("t_local"), F.lit(0.0)) + F.col("wg") * fourth("t_global")) / (F.col("wl") + F.col("wg")), F.lit(0.25))
-    mixed = cells.join(weights, ["br", "bc"]).select("r", "c", "br", "bc", "y", blend.alias("t"))
+    mixed = materialise(cells.join(weights, ["br", "bc"]).select("r", "c", "br", "bc", "y", blend.alias("t")), "blend")
     left = mixed.groupBy("br", "bc").agg((F.first("y") - F.pow(F.avg(fourth("t")), F.lit(0.25))).alias("residual")).select(F.col("br").alias("r"), F.col("bc").alias("c"), "residual")
     centres = mixed.select(F.col("r").alias("fr"), F.col("c").alias("fc"), ((F.col("r") + 0.5) / factor).alias("y"), ((F.col("c") + 0.5) / factor).alias("x"))
     back = resample_bilinear(left, centres, 0, 0, 1, 1, "residual", ["fr", "fc"])

@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 from conftest import DATA
 from furrow.functions import formulas
 from furrow.operators import composite, focal, graph, grids, labels, masks, sampling, sets, temporal, vectors
-from furrow.plans import fluxes, registry, sharpen
+from furrow.plans import fluxes, pipelines, registry, sharpen
 from furrow.sources import catalog
 
 
@@ -290,6 +290,68 @@ def test_sharpening_recovers_a_linear_scene(spark):
     assert math.sqrt((error**2).mean()) < 0.4 * t.std()
 
 
+def test_sharpening_with_any_regressor(spark):
+    class Step:
+        """A regressor that is no linear form: the mean on either side of one half of the first predictor."""
+
+        def fit(self, x, y, w):
+            low = x[:, 0] <= 0.5
+            return 0.5, *(float(y[side].mean()) if side.any() else float(y.mean()) for side in (low, ~low))
+
+        def predict(self, model, x):
+            return np.where(x[:, 0] <= model[0], model[1], model[2])
+
+    rng = np.random.default_rng(3)
+    x = (rng.uniform(0, 1, (12, 12)) > 0.5).repeat(2, 0).repeat(2, 1).astype(float) + rng.uniform(0, 0.1, (24, 24))
+    t = np.where(x > 0.5, 300.0, 290.0)
+    fine = spark.createDataFrame([(r, c, float(x[r, c])) for r in range(24) for c in range(24)], "r long, c long, x double")
+    low = (t**4).reshape(12, 2, 12, 2).mean(axis=(1, 3)) ** 0.25
+    coarse = spark.createDataFrame([(r, c, float(low[r, c])) for r in range(12) for c in range(12)], "r long, c long, lst double")
+    got = by_cell(sharpen.sharpen(fine, coarse, 2, ["x"], "lst", window=6, regressor=Step()), "t_sharp")
+    assert len(got) == 24 * 24 and max(abs(got[r, c] - t[r, c]) for r in range(24) for c in range(24)) < 1e-6
+
+
+def test_any_model_of_vegetated_rows(spark):
+    def still(row):
+        return {"flag": np.full(len(row["t_r"]), 7), "steps": np.zeros(len(row["t_r"])), "le_c": row["lai"] * 10}
+
+    df = station(spark, 5)
+    out = fluxes.run_fluxes(df, ["id"], model=still, extra=["lai", "skyl"]).toPandas()
+    veg = out[out.flag == 7]
+    assert len(veg) and np.allclose(veg.le_c, veg.lai * 10) and veg.hf_c.isna().all() and out.skyl.notna().any()
+    one = fluxes.run_fluxes(df, ["id"], model="one_source").toPandas()
+    good = one[one.flag.isin([10, 15])]
+    assert len(good) > 0.9 * len(one) and np.allclose(good.sn_c + good.sn_s + good.ln_s, good["h"] + good["le"] + good["g"], atol=1e-6)
+
+
+def test_station_results_are_what_the_balance_gives(spark, tmp_path):
+    df = station(spark, 5)
+    catalog.write_station(fluxes.station_results(df), str(tmp_path / "out"))
+    back = spark.read.option("sep", "\t").option("header", "true").option("inferSchema", "true").csv(str(tmp_path / "out"))
+    assert back.columns == catalog.STATION_RESULT and back.count() == df.count()
+    want = fluxes.run_fluxes(df, ["year", "doy", "hr"]).toPandas().sort_values(["doy", "hr", "le", "h"]).reset_index()
+    got = back.toPandas().sort_values(["DOY", "Time", "LE_model", "H_model"]).reset_index()
+    for a, b in (("T_S", "t_s"), ("LE_C", "le_c"), ("H_S", "hf_s"), ("G_model", "g"), ("R_A", "r_a"), ("flag", "flag"), ("L", "obukhov"), ("Rn_lw_soil", "ln_s")):
+        assert np.allclose(got[a].astype(float), want[b].astype(float), equal_nan=True)
+    closed = got[got.flag != 255]
+    assert np.allclose(closed.Rn_model, closed.LE_model + closed.H_model + closed.G_model, atol=1e-6)
+
+
+def test_daily_et_takes_composites_and_ground(spark):
+    source = registry.base.Source(spark, DATA)
+    weather = source.view("met_hourly").withColumn("ea", 8 + F.col("u100"))
+    canopy = source.view("lst_obs").select("pixel").distinct().withColumns({"lai": F.lit(2.0), "h_c": F.lit(0.5)})
+    plain, _ = pipelines.et_pipeline(source.view("lst_obs"), weather, canopy, "2000-01-01", "2099-12-31")
+    days = [r.day for r in plain.select("day").distinct().orderBy("day").collect()]
+    dated = canopy.crossJoin(spark.createDataFrame([(days[0],), (days[-1],)], "comp_date date"))
+    some, _ = pipelines.et_pipeline(source.view("lst_obs"), weather, dated, "2000-01-01", "2099-12-31")
+    near = {d for d in days if min(abs((d - days[0]).days), abs((d - days[-1]).days)) <= 4}
+    assert {r.day for r in some.select("day").distinct().collect()} == near
+    flat = canopy.select("pixel", F.when(F.col("pixel") % 3 == 0, 100.0).otherwise(900.0).alias("bnr"), F.lit(1).alias("landcover"), F.lit(200.0).alias("dem"), F.lit(980.0).alias("geopot"))
+    wet, _ = pipelines.et_pipeline(source.view("lst_obs"), weather, canopy, "2000-01-01", "2099-12-31", ground=flat)
+    assert wet.filter("pixel % 3 = 0").count() == 0 and wet.filter("et IS NOT NULL").count() > 0
+
+
 def test_distances_and_fills_equal_brute_force(spark):
     """Sparse tables with missing cells, ties and far gaps."""
     rng = random.Random(6)
