@@ -384,3 +384,15 @@ def test_split_numbers_rows_of_any_stratum(spark):
     for s in (None, 0, 1):
         group = sorted((k, i) for i, x, k in rows if x == s)
         assert [got[i] for _, i in group] == ["train"] * int(len(group) * 0.7) + ["hold"] * (len(group) - int(len(group) * 0.7))
+
+
+def test_scratch_is_cleared(spark):
+    from pathlib import Path
+
+    from furrow import session
+
+    folder = Path(session.scratch_dir(spark).removeprefix("file://"))
+    assert session.materialise(spark.range(3), "numbers").count() == 3
+    assert any(folder.rglob("*.parquet"))
+    session.clear_scratch(spark)
+    assert not folder.exists()
