@@ -1,4 +1,4 @@
-"""128-bit hashes of space-separated words, as two 64-bit lanes, and of word windows of many texts at once."""
+"""Hashes of space-separated words, 128 bits as two lanes or 64 as one, and of word windows of many texts at once."""
 
 from __future__ import annotations
 
@@ -29,19 +29,22 @@ def finish(h: np.ndarray) -> np.ndarray:
 
 
 class Words:
-    """The words of several texts: a 128-bit hash each and each text's range of words; with `spelled` also the words.
+    """The words of several texts: a hash each and each text's range of words; with `spelled` also the words.
 
-    Words are objects for one block of text at a time only: a very long text costs 16
-    bytes a word.
+    Words are objects for one block of text at a time only: a very long text costs 8
+    bytes a word and lane.
     """
 
-    def __init__(self, texts: list[bytes], spelled: bool = False):
+    def __init__(self, texts: list[bytes], spelled: bool = False, n_lanes: int = 2):
         counts = np.zeros(len(texts) + 1, np.int64)
         flat: list[bytes] = []
         lanes, data, sizes, held = [], [], [], 0
 
         def flush():
-            lanes.append(np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, flat)), np.uint64).reshape(-1, 2).T.copy())
+            if n_lanes == 2:
+                lanes.append(np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, flat)), np.uint64).reshape(-1, 2).T.copy())
+            else:
+                lanes.append(np.fromiter(map(xxhash.xxh3_64_intdigest, flat), np.uint64, len(flat))[None])
             if spelled:
                 data.append(b" ".join(flat))
                 sizes.append(np.fromiter(map(len, flat), np.int64, len(flat)))

@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from furrow.llm import bpe, counts, decontaminate, langid, licences, lines, neardup, rules, substrings, warc
 
@@ -54,6 +55,32 @@ def op10_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licences.scan_licences(_docs(spark, sf_dir)).drop("spans")
 
 
+def quality_rule_ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each rule of the strict policy removes, alone and together with the others."""
+    return rules.ablate(rules.ledger(_docs(spark, sf_dir)), "strict-1")
+
+
+def licence_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What of the licence scan is exact: the phrases."""
+    return licences.scan_licences(_docs(spark, sf_dir)).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels")
+
+
+def licence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every notice found with errors: its place by words and its edits."""
+    return licences.scan_licences(_docs(spark, sf_dir)).select("doc_id", F.inline("spans"))
+
+
+def benchmark_cut_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents with the benchmark's spans cut out of their texts."""
+    cut = decontaminate.clean(_docs(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), action="cut")
+    return cut.select("doc_id", F.sha2(F.coalesce(F.col("text"), F.lit("")), 256).alias("text_sha256"))
+
+
+def substring_kept_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without the windows that also start earlier."""
+    return substrings.deduplicated_texts(_docs(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": op1_decontaminate,
     "op2_warc": op2_warc,
@@ -65,6 +92,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_near_dedup": op8_near_dedup,
     "op9_quality_rules": op9_quality_rules,
     "op10_licence_scan": op10_licence_scan,
+    "quality_rule_ablation": quality_rule_ablation,
+    "licence_phrases": licence_phrases,
+    "licence_spans": licence_spans,
+    "benchmark_cut_texts": benchmark_cut_texts,
+    "substring_kept_texts": substring_kept_texts,
 }
 
 ORACLES: dict[str, str] = {
@@ -123,3 +155,19 @@ b AS (SELECT *, CAST((CASE WHEN n_words < 50 THEN 1 ELSE 0 END) + (CASE WHEN 100
              + (CASE WHEN n_lines >= 4 AND 2 * n_dup_lines > n_lines THEN 8 ELSE 0 END) + (CASE WHEN word_chars > 20 * n_words OR word_chars < 2 * n_words THEN 16 ELSE 0 END) AS BIGINT) AS fail_bits FROM m)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, fail_bits, (fail_bits & 3) <> 0 AS base_failed, fail_bits = 0 AS kept FROM b""",
 }
+
+_RULES = " UNION ALL ".join(f"SELECT {i} AS i, '{rule}' AS rule" for i, rule in enumerate(rules.RULES))
+ORACLES |= {
+    "quality_rule_ablation": f"""
+WITH q AS ({ORACLES["op9_quality_rules"].strip()}), r AS ({_RULES})
+SELECT 'strict-1' AS policy, count(*) AS n_docs, count(*) FILTER (fail_bits = 0) AS n_kept, bit_or(fail_bits) AS any_bits, bit_and(fail_bits) AS all_bits, rule,
+       count(*) FILTER ((fail_bits >> i) & 1 = 1) AS n_failing, count(*) FILTER (fail_bits = 1 << i) AS n_failing_alone, count(*) FILTER (fail_bits = 0 OR fail_bits = 1 << i) AS n_kept_without
+FROM q, r GROUP BY rule""",
+    "licence_phrases": r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+p(phrase, label, n) AS (VALUES ('gnu general public license', 'gpl', 4), ('apache license', 'apache', 2), ('cc by', 'cc-by', 2), ('mit license', 'mit', 2)),
+h AS (SELECT doc_id, label, i - 1 AS place FROM (SELECT doc_id, w, phrase, label, n, unnest(range(1, len(w) - n + 2)) AS i FROM d, p WHERE len(w) >= n) WHERE array_to_string(w[i:i + n - 1], ' ') = phrase),
+t AS (SELECT doc_id, count(*) AS n_base, min(place) AS first_word, max(place) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels FROM h GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels FROM d LEFT JOIN t USING (doc_id)""",
+    "substring_kept_texts": ORACLES["op3_substring_dedup"].split("SELECT d.doc_id")[0] + "SELECT d.doc_id, coalesce(kept, '') AS text FROM d LEFT JOIN t USING (doc_id)",
+}

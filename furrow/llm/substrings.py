@@ -68,7 +68,7 @@ class Segments:
     """The segments of some texts: minimiser, text number, first word in its text, windows, content."""
 
     def __init__(self, batch: list[bytes], window: int, run: int):
-        words = Words(batch, spelled=True)
+        words = Words(batch, spelled=True, n_lanes=1)
         self.words, self.window = words, window
         n = words.lanes.shape[1]
         low, many = window_minima(words.windows(run), window - run + 1) if n >= window else (np.zeros(0, np.uint64), np.zeros(0, bool))

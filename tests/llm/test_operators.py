@@ -572,6 +572,27 @@ def test_seeds_lose_no_notice():
         assert scanner.scan(f"some words before {''.join(s)} and after".encode())[0][5] == "mpl"
 
 
+# --- very long texts ----------------------------------------------------------
+
+def test_very_long_texts(spark):
+    """One huge word, nothing but white space, and very many words, through every operator that reads documents."""
+    word, blank, many = "a" * 1_500_000, " \n" * 400_000, "The quick, brown fox! " * 60_000
+    some = [(1, word, "en", None, None), (2, blank, "en", None, None), (3, many, "en", None, None), (4, many + "end", "de", None, None), (5, word, None, None, None)]
+    df = X.table(spark, some).repartition(2)
+    items = spark.createDataFrame([(1, "quick brown fox the quick brown fox the quick brown fox the quick")], "item_id long, text string")
+    by = lambda out, *cols: {r.doc_id: tuple(r[c] for c in cols) for r in out.collect()}
+    assert by(decontaminate.flag(df, items), "n_words", "contaminated") == {1: (1, False), 2: (0, False), 3: (240_000, True), 4: (240_001, True), 5: (1, False)}
+    assert by(substrings.substring_digests(df), "n_words", "n_removed") == {1: (1, 0), 2: (0, 0), 3: (240_000, 239_996), 4: (240_001, 240_000), 5: (1, 0)}
+    assert by(lines.line_digests(df), "n_lines", "n_dropped") == {1: (1, 0), 2: (400_001, 0), 3: (1, 0), 4: (1, 0), 5: (1, 0)}
+    assert {k: v[1] for k, v in by(bpe.token_digests(df, RANKS, public_tokenizers.PATTERN), "n_tokens", "decoded_sha256").items()} == {r[0]: X.sha(r[1]) for r in some}
+    langs = by(langid.identify(df), "lang_pred")
+    assert langs[2] == ("und",) and set(langs) == {1, 2, 3, 4, 5}
+    assert by(counts.token_counts(df, WORDS), "n_bytes", "over_limit") == {r[0]: (len(r[1]), r[0] != 2) for r in some}
+    assert by(neardup.components(df, n=4), "n_shingles", "component_id") == {1: (1, 1), 2: (0, 2), 3: (4, 3), 4: (5, 3), 5: (1, 1)}
+    assert by(rules.ledger(df), "n_words", "n_repeat_words") == {1: (1, 0), 2: (0, 0), 3: (240_000, 240_000), 4: (240_001, 240_000), 5: (1, 0)}
+    assert by(licences.scan_licences(df), "n_words", "labels") == {1: (1, ""), 2: (0, ""), 3: (240_000, ""), 4: (240_001, ""), 5: (1, "")}
+
+
 # --- pipeline -----------------------------------------------------------------
 
 def test_pipeline_brute_force(spark, tmp_path):
