@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from furrow.session import materialise
@@ -26,6 +26,13 @@ def _toward_least(edges: DataFrame, both_ways: bool) -> DataFrame:
     return moved.filter(F.col("a") != F.col("b")).distinct()
 
 
+def _written(edges: DataFrame) -> tuple[DataFrame, dict]:
+    """Edges in the shared folder, and their count and checksum, taken while they are written."""
+    seen = Observation()
+    table = materialise(edges.observe(seen, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("sum")), "edges")
+    return table, seen.get
+
+
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component) for every node of an edge; the component is its least node.
 
@@ -35,14 +42,11 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     longest path. Null ends and loops are dropped; no edges give no rows.
     """
     ends = edges.select(F.col(a).alias("a"), F.col(b).alias("b")).filter("a IS NOT NULL AND b IS NOT NULL AND a <> b")
-    now = materialise(ends.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
-    print_of = lambda e: e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-    seen = print_of(now)
+    now, seen = _written(ends.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     for _ in range(MAX_ROUNDS):
-        if not seen[0]:
+        if not seen["n"]:
             break
-        now = materialise(_toward_least(_toward_least(now, True), False), "edges")
-        found = print_of(now)
+        now, found = _written(_toward_least(_toward_least(now, True), False))
         if found == seen:
             break
         seen = found

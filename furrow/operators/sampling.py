@@ -118,25 +118,37 @@ def allocate(df: DataFrame, region: str, total: int) -> DataFrame:
     return counts.crossJoin(F.broadcast(all_rows)).select(region, "n", F.ceil(F.col("n") * total / F.col("all_n")).cast("long").alias("quota"))
 
 
+def group_edges(df: DataFrame, group: str, value: str, bins: int) -> DataFrame:
+    """(group, e): interpolated quantiles of value at 0, 1/bins ... 1 of each group, whatever its size."""
+    kept = df.filter(F.col(value).isNotNull()).select(group, F.col(value).cast("double").alias("_v"))
+    sizes = kept.groupBy(group).agg(F.count(F.lit(1)).alias("_n"))
+    places = sizes.select(group, F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(bins)), lambda i: i / F.lit(float(bins)) * (F.col("_n") - 1))).alias("_i", "_at"))
+    asked = places.select(group, "_i", "_at", F.explode(F.array_distinct(F.array(F.floor("_at"), F.ceil("_at")))).alias("_rank"))
+    at = ranked(kept, [group], [F.col("_v")], "_place").withColumn("_rank", F.col("_place") - 1).select(group, "_rank", "_v")
+    ends = asked.join(at, [group, "_rank"]).groupBy(group, "_i", "_at").agg(F.min_by("_v", "_rank").alias("_low"), F.max_by("_v", "_rank").alias("_high"))
+    edge = F.struct("_i", (F.col("_low") + (F.col("_high") - F.col("_low")) * (F.col("_at") - F.floor("_at"))).alias("e"))
+    return ends.groupBy(group).agg(F.transform(F.array_sort(F.collect_list(edge)), lambda x: x["e"]).alias("e"))
+
+
 def sample_chips(df: DataFrame, region: str, ident: list[str], classes: list[str], total: int, bins: int = 5, close_last: bool = False) -> DataFrame:
     """Chips per region in proportion to its size, spread over quintiles of each class in turn.
 
     Each class takes quota / bins / len(classes) chips per quintile [lo, hi); what one
     class has drawn is no longer in the pool of the next. The last quintile leaves the
-    maximum out unless close_last.
+    maximum out unless close_last. Quantiles and draws are ranks dealt by ranges, so a
+    region may hold any share of the chips.
     """
-    quota = allocate(df, region, total).select(region, "quota")
-    pool, drawn = df.join(F.broadcast(quota), region), None
+    pool, drawn = df.join(allocate(df, region, total).select(region, "quota"), region), None
     for cls in classes:
-        edges = pool.groupBy(region).agg(F.percentile(cls, F.array(*(F.lit(i / bins) for i in range(bins + 1)))).alias("e"))
-        with_edges = pool.join(F.broadcast(edges), region)
+        with_edges = pool.join(group_edges(pool, region, cls, bins), region)
         inside = F.filter(
             F.sequence(F.lit(0), F.lit(bins - 1)),
             lambda i: (F.col(cls) >= F.get("e", i)) & ((F.col(cls) < F.get("e", i + 1)) | (F.lit(close_last) & (i == bins - 1) & (F.col(cls) == F.get("e", i + 1)))),  # noqa: B023
         )
         binned = with_edges.withColumn("bin", F.get(inside, F.lit(0))).filter("bin IS NOT NULL").drop("e")
         share = F.floor(F.col("quota") / bins / len(classes))
-        took = _first_per(binned, [region, "bin"], [F.col(i) for i in ident], share).withColumn("drawn_for", F.lit(cls))
+        placed = ranked(binned, [region, "bin"], [F.col(i) for i in ident], "_place")
+        took = materialise(placed.filter(F.col("_place") <= share).drop("_place").withColumn("drawn_for", F.lit(cls)), "drawn")
         drawn = took if drawn is None else drawn.unionByName(took)
         pool = pool.join(took.select(region, *ident), [region, *ident], "left_anti")
     return drawn.drop("quota")
