@@ -610,3 +610,35 @@ def test_pipeline_brute_force(spark, tmp_path):
     docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
     for _, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, docs, str(tmp_path)).columns == docs.columns
+
+
+def test_pipeline_on_awkward_rows(spark, tmp_path):
+    """Nulls, empty texts, shared ids and repeated rows through all stages, against brute force by rows; empty tables give no rows."""
+    import corpus_pipeline
+
+    awkward = [(r[0], (r[1] or "") + " and words of its own " + str(i) if i % 4 == 0 and r[1] else r[1], r[2], r[3], r[4]) for i, r in enumerate(X.rows())]
+    rng = random.Random(3)
+    awkward += [(200 + i, " ".join(rng.choice(["shared", "words", "row", "of", f"only{i}", "text"]) for _ in range(30)), "en", None, None) for i in range(20)]
+    awkward += [awkward[-1], (None, awkward[-2][1], "en", None, None)]
+    X.table(spark, awkward).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(ITEMS, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    left = [(r.doc_id, r.text) for r in langid.keep_identified(docs).collect()]
+    seen = {}
+    for _, t in left:
+        for k in {X.lower(x.strip(" \t\n\x0b\x0c\r")) for x in t.split("\n")}:
+            seen[k] = seen.get(k, 0) + 1
+    cut = [(d, "\n".join(x for x in t.split("\n") if not (k := X.lower(x.strip(" \t\n\x0b\x0c\r"))) or seen[k] < 10)) for d, t in left]
+    groups = {}
+    for i, (_, n, comp, _) in enumerate(X.near([(i, t) for i, (_, t) in enumerate(cut)], 5, 80)):
+        groups.setdefault(comp if n else ("none", i), []).append(cut[i])
+    unique = [min(g, key=lambda r: (r[0] is None, r[0] or 0, hashlib.md5(r[1].encode()).digest())) for g in groups.values()]
+    clean = [u for u, r in zip(unique, X.decontaminate(unique, ITEMS), strict=True) if not r[5]]
+    got = corpus_pipeline.run(spark, str(tmp_path))
+    assert plain(got, "doc_id", "decoded_sha256") == X.ordered((d, X.sha(t)) for d, t in clean)
+    for i, gone in enumerate(("documents", "benchmark")):
+        other = tmp_path / f"empty{i}"
+        for name in ("documents", "benchmark"):
+            table = spark.read.parquet(f"{tmp_path}/{name}.parquet")
+            (table.limit(0) if name == gone else table).write.parquet(f"{other}/{name}.parquet")
+        assert (corpus_pipeline.run(spark, str(other)).count() == 0) == (gone == "documents")
