@@ -44,9 +44,13 @@ class FormulaSet:
     columns: dict[str, str]
 
     def apply(self, df: DataFrame) -> DataFrame:
+        """df with all columns; those that don't use one another come in one projection, as each costs an analysis."""
+        group: dict[str, str] = {}
         for name, expr in self.columns.items():
-            df = df.withColumn(name, F.expr(double(expr)))
-        return df
+            if group.keys() & {name, *re.findall(r"[A-Za-z_]\w*", expr)}:
+                df, group = df.withColumns({n: F.expr(double(e)) for n, e in group.items()}), {}
+            group[name] = expr
+        return df.withColumns({n: F.expr(double(e)) for n, e in group.items()})
 
     def as_sql(self, source: str) -> str:
         for name, expr in self.columns.items():
