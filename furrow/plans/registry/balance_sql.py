@@ -135,3 +135,20 @@ _DAILY = f"""WITH RECURSIVE {_SCENES}, {balance_ctes("SELECT id, doy, hr, t_r, t
 daily AS (SELECT lines.pixel, lines.day, flag, steps, 86400000 * lines.s_mean * le / nullif(lines.s_dn, 0) / (lv * (999.83952 + t * (16.945176 + t * (-7.9870401e-3 + t * (-46.170461e-6 + t * (105.56302e-9 - 280.54253e-12 * t))))) / (1 + 16.897850e-3 * t)) AS et FROM lines JOIN results USING (id) JOIN i9 USING (id))"""
 DAILY_ET = f"{_DAILY} SELECT pixel, day, CAST(flag AS INT) AS flag, CAST(steps AS INT) AS steps, CASE WHEN steps < {LAST} THEN round(et, 2) + 0e0 END AS et FROM daily"
 ET_MEDIAN = f"{_DAILY} SELECT pixel, round(median(CASE WHEN et <= 0 OR et > 12 THEN 0 ELSE et END), 1) AS et_median, count(*) AS n_days FROM daily WHERE et IS NOT NULL GROUP BY pixel"
+
+#: Digits of the columns of a result table; those not named are exact.
+TABLE_DIGITS = {
+    "Time": 6, "LAI": 3, "f_g": 3, "VZA": 3, "SZA": 4, "SAA": 4, "L_dn": 3, "Rn_model": 1, "Rn_sw_veg": 2, "Rn_sw_soil": 2, "Rn_lw_veg": 1, "Rn_lw_soil": 1, "T_C": 2, "T_S": 2, "T_AC": 2,
+    "LE_model": 1, "H_model": 1, "LE_C": 1, "H_C": 1, "LE_S": 1, "H_S": 1, "G_model": 1, "R_S": 1, "R_x": 1, "R_A": 1, "u_friction": 3, "L": 0, "Skyl": 5, "z_0M": 4, "d_0": 4,
+}
+_TABLE = {
+    "Year": "2024e0", "DOY": "doy", "Time": "hr", "LAI": "lai", "f_g": "1e0", "VZA": "vza", "SZA": "sza", "SAA": "CASE WHEN w > 0 THEN 360 - degrees(half) ELSE degrees(half) END", "L_dn": "sky_lw",
+    "Rn_model": "sn_c + sn_s + ln_c + ln_s", "Rn_sw_veg": "sn_c", "Rn_sw_soil": "sn_s", "Rn_lw_veg": "ln_c", "Rn_lw_soil": "ln_s", "T_C": "t_c", "T_S": "t_s", "T_AC": "t_ac", "LE_model": "le", "H_model": "h",
+    "LE_C": "le_c", "H_C": "hf_c", "LE_S": "le_s", "H_S": "hf_s", "G_model": "g", "R_S": "r_s", "R_x": "r_x", "R_A": "r_a", "u_friction": "u_star", "L": "1000 * inv_obukhov", "Skyl": "shade",
+    "z_0M": "CASE WHEN bare THEN 1e-2 ELSE h_c / 8 END", "d_0": "CASE WHEN bare THEN 0 ELSE 0.65 * h_c END",
+}
+_ANGLES = """n0 AS (SELECT *, radians(15 * (hr - 12) + (0.258 * cos(dec) - 7.416 * sin(dec) - 3.648 * cos(2 * dec) - 9.228 * sin(2 * dec)) / 4 - 2) AS w FROM i9),
+n1 AS (SELECT *, acos(greatest(-1, least(1, (sin(dec) * cos(radians(52)) - cos(w) * cos(dec) * sin(radians(52))) / nullif(sin(radians(sza)), 0)))) AS half FROM n0)"""
+_WINDY = _STATION.replace("CAST(u AS DOUBLE) AS u", "CAST(u + 6 AS DOUBLE) AS u")
+RESULT_TABLE = f"""WITH RECURSIVE {balance_ctes(_WINDY.format(lai="lai", f_c="0.8", where="TRUE"))}, {_ANGLES}
+SELECT {", ".join(f"round({e}, {TABLE_DIGITS[c]}) + 0e0 AS {c}" if c in TABLE_DIGITS else f"{e} AS {c}" for c, e in _TABLE.items())}, CAST(flag AS INT) AS flag FROM n1 JOIN results USING (id)"""

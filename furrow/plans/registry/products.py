@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from furrow.functions import formulas
 from furrow.operators import grids
 from furrow.plans import fluxes, pipelines, sharpen
-from furrow.plans.registry.balance_sql import DAILY_ET, ET_MEDIAN, LAST, SHOWN, SURE, balance_sql
+from furrow.plans.registry.balance_sql import DAILY_ET, ET_MEDIAN, LAST, RESULT_TABLE, SHOWN, SURE, TABLE_DIGITS, balance_sql
 from furrow.plans.registry.base import Source, query, rounded
 from furrow.session import fresh_path
 from furrow.sources import catalog
@@ -184,13 +184,14 @@ def _(s: Source):
     return table.groupBy("year", F.col("DOY").alias("doy"), rounded("T_R1", 3).alias("t_r1")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("s11_write_station")
+@query("s11_write_station", RESULT_TABLE, "station")
 def _(s: Source):
-    """All result columns of all station rows through the tab-separated sink and back."""
+    """All result columns of all station rows, six metres a second windier so that every balance settles, through the tab-separated sink and back."""
     path = fresh_path(s.spark, "results")
-    catalog.write_station(fluxes.station_results(_station(s)), path)
+    catalog.write_station(fluxes.station_results(_station(s).withColumn("u", F.col("u") + 6)), path)
     schema = ", ".join(f"{c} {'int' if c == 'flag' else 'double'}" for c in catalog.STATION_RESULT)
-    return s.spark.read.schema(schema).option("sep", "\t").option("header", "true").csv(path)
+    back = s.spark.read.schema(schema).option("sep", "\t").option("header", "true").csv(path).withColumn("L", 1000 / F.col("L"))
+    return back.select(*(rounded(c, TABLE_DIGITS[c]).alias(c) if c in TABLE_DIGITS else c for c in catalog.STATION_RESULT))
 
 
 @query("s12_pixel_table", "SELECT tile, r, c, CASE WHEN CAST(floor(red) AS BIGINT) % 7 <> 0 THEN CAST(floor(red) AS BIGINT) END AS red FROM pixels", "pixels")
