@@ -43,11 +43,6 @@ def line_key(line: bytes) -> bytes:
     return line.strip().lower()
 
 
-def line_hash(key: bytes) -> tuple[int, int]:
-    h = xxhash.xxh3_128_intdigest(key)
-    return h >> 64, h & 0xFFFFFFFFFFFFFFFF
-
-
 def mix(h: np.ndarray, seed: int) -> np.ndarray:
     """A 64-bit finaliser, different for each seed."""
     h = h ^ np.uint64((seed * 0x9E3779B97F4A7C15 + 0x2545F4914F6CDD1D) & 0xFFFFFFFFFFFFFFFF)
