@@ -42,9 +42,9 @@ ROWS, BANDS = 4, 32
 REGISTERS = ROWS * BANDS
 MANTISSA = 10
 SLICE = 1 << 20
-#: Bytes of a task's share of small tiles, and rows of a tile's side by registers and by texts.
-TASK_BYTES = 8 << 20
-SIDE, TEXTS_SIDE, TEXTS_BYTES = 1024, 256, 2 << 20
+#: Rows and bytes of a tile's side, by registers and by texts; small tiles are bundled to as many bytes.
+SIDE, SIDE_BYTES = 1024, 512 << 10
+TEXTS_SIDE, TEXTS_BYTES = 256, 2 << 20
 
 _rng = np.random.default_rng(20240501)
 _XOR = _rng.integers(0, 2**64, REGISTERS, np.uint64)
@@ -272,7 +272,7 @@ def _tiles(rows: DataFrame, side: int, side_bytes: int, linked) -> DataFrame:
     plan = materialise(plan.withColumnRenamed("comp", "core"), "plan")
     small = (F.col("n_in") == 1) & (F.col("n_all") == 1)
     room = plan.filter(small).agg(F.sum("bytes")).first()[0] or 0
-    bundles = 1 + 2 * room // TASK_BYTES
+    bundles = 1 + 2 * room // side_bytes
     h = F.xxhash64("num")
     i, j = F.pmod(h, F.col("n_in")).cast("int"), F.pmod(h, F.col("n_all")).cast("int")
     inner = F.col("comp") != F.col("core")
@@ -350,7 +350,7 @@ def _linked(docs: DataFrame, n: int, share: int, id_col: str, text_col: str) ->
 
     # buckets whose classes aren't all connected yet: first by registers, then what is likely by words
     open_ = _open(members.drop("pivot"), found, classes, share)
-    near = materialise(_tiles(open_, SIDE, TASK_BYTES, lambda x, y: register_links(_regs(x[0]), _regs(y[0]), x[1], y[1], share)), "near")
+    near = materialise(_tiles(open_, SIDE, SIDE_BYTES, lambda x, y: register_links(_regs(x[0]), _regs(y[0]), x[1], y[1], share)), "near")
     if near.take(1):
         comp = classes.select("num").join(found.withColumnRenamed("node", "num"), "num", "left").select("num", F.coalesce("component", "num").alias("comp"))
         ends_of = near.join(comp.select(F.col("num").alias("a"), F.col("comp").alias("ca")), "a").join(comp.select(F.col("num").alias("b"), F.col("comp").alias("cb")), "b")
