@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from furrow.llm import bpe, counts, decontaminate, langid, licences, lines, neardup, rules, substrings, warc
+from furrow.llm import bpe, counts, decontaminate, langid, licences, lines, neardup, rules, substrings, tries, warc
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -55,6 +55,11 @@ def op10_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licences.scan_licences(_docs(spark, sf_dir)).drop("spans")
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    strings = tries.turn_strings(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+    return tries.trie(tries.rebuilt(strings)).drop("node", "parent")
+
+
 def quality_rule_ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What each rule of the strict policy removes, alone and together with the others."""
     return rules.ablate(rules.ledger(_docs(spark, sf_dir)), "strict-1")
@@ -92,6 +97,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_near_dedup": op8_near_dedup,
     "op9_quality_rules": op9_quality_rules,
     "op10_licence_scan": op10_licence_scan,
+    "op11_prefix_trie": op11_prefix_trie,
     "quality_rule_ablation": quality_rule_ablation,
     "licence_phrases": licence_phrases,
     "licence_spans": licence_spans,
@@ -171,3 +177,19 @@ t AS (SELECT doc_id, count(*) AS n_base, min(place) AS first_word, max(place) AS
 SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels FROM d LEFT JOIN t USING (doc_id)""",
     "substring_kept_texts": ORACLES["op3_substring_dedup"].split("SELECT d.doc_id")[0] + "SELECT d.doc_id, coalesce(kept, '') AS text FROM d LEFT JOIN t USING (doc_id)",
 }
+
+#: CRC-32 of the decimal id: the reflected polynomial, bit by bit.
+_CRC = "xor(list_reduce(list_prepend(4294967295, list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda ch: CAST(ord(ch) AS BIGINT))), lambda acc, b: list_reduce(list_prepend(xor(acc, b), [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]), lambda v, z: xor(v >> 1, (v & 1) * 3988292384 + z))), 4294967295)"
+ORACLES["op11_prefix_trie"] = f"""
+WITH t AS (SELECT CAST(conv_id AS BIGINT) AS conv_id, turn, sha256(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS id, length(coalesce(text, '')) AS chars FROM conversations WHERE conv_id IS NOT NULL),
+s AS (SELECT conv_id, list(id || ':' || chars ORDER BY turn NULLS FIRST, substr(id, 1, 32)) AS own FROM t GROUP BY conv_id),
+h AS (SELECT conv_id, own, conv_id - conv_id % 100 AS base, {_CRC} % 6 AS h FROM s),
+b AS (SELECT h.conv_id, list_concat(coalesce(g.own, [])[1:h], h.own[h + 1:]) AS w FROM h LEFT JOIN s g ON g.conv_id = h.base),
+p AS (SELECT conv_id, len(w) AS size, d, array_to_string(w[1:d], '/') || '/' AS node, array_to_string(w[1:d - 1], '/') || '/' AS up, CASE WHEN d = 0 THEN 0 ELSE CAST(string_split(w[d], ':')[2] AS BIGINT) END AS chars FROM b, unnest(range(0, len(w) + 1)) AS u(d)),
+n AS (SELECT CASE WHEN d = 0 THEN '' ELSE node END AS node, CASE WHEN d <= 1 THEN '' ELSE up END AS up, d AS depth, any_value(chars) AS chars, min(conv_id) AS conv_id, count(*) AS n_convs,
+             sha256(coalesce(string_agg(CASE WHEN size = d THEN CAST(conv_id AS VARCHAR) END, ',' ORDER BY conv_id), '')) AS ends_sha256 FROM p GROUP BY 1, 2, 3),
+k AS (SELECT up, count(*) AS n_children FROM n WHERE depth > 0 GROUP BY up),
+m AS (SELECT n.*, coalesce(n_children, 0) AS n_children FROM n LEFT JOIN k ON n.node = k.up),
+a AS (SELECT x.node, count(*) FILTER (y.n_children = 0) AS n_leaves, CAST(sum((y.n_convs - 1) * y.chars) AS BIGINT) AS saved_tokens FROM m x JOIN m y ON starts_with(y.node, x.node) GROUP BY x.node)
+SELECT m.conv_id, m.depth, q.conv_id AS parent_conv_id, m.n_convs, m.n_children, a.n_leaves, a.saved_tokens, m.ends_sha256
+FROM m JOIN a ON m.node = a.node LEFT JOIN m q ON m.depth > 0 AND q.node = m.up"""
