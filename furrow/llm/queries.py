@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from furrow.llm import bpe, counts, decontaminate, langid, licences, lines, neardup, rules, substrings, tries, warc
+from furrow.llm import alignment, bpe, counts, decontaminate, langid, licences, lines, neardup, rules, substrings, tries, warc
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -60,6 +60,19 @@ def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tries.trie(tries.rebuilt(strings)).drop("node", "parent")
 
 
+def _alignment(spark: SparkSession, sf_dir: str) -> alignment.Alignment:
+    return alignment.align(_docs(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _alignment(spark, sf_dir).scores()
+
+
+def aligned_token_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every pair of linked ids: documents that hold it, links, whether it is the commonest of its first id."""
+    return _alignment(spark, sf_dir).pairs
+
+
 def quality_rule_ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What each rule of the strict policy removes, alone and together with the others."""
     return rules.ablate(rules.ledger(_docs(spark, sf_dir)), "strict-1")
@@ -98,6 +111,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_quality_rules": op9_quality_rules,
     "op10_licence_scan": op10_licence_scan,
     "op11_prefix_trie": op11_prefix_trie,
+    "op12_token_alignment": op12_token_alignment,
+    "aligned_token_pairs": aligned_token_pairs,
     "quality_rule_ablation": quality_rule_ablation,
     "licence_phrases": licence_phrases,
     "licence_spans": licence_spans,
