@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from furrow.llm import alignment, bpe, counts, decontaminate, langid, licences, lines, neardup, rules, substrings, tries, warc
+from furrow.llm import alignment, bpe, counts, decontaminate, langid, licences, lines, neardup, private, rules, substrings, tries, warc
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -68,6 +68,21 @@ def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _alignment(spark, sf_dir).scores()
 
 
+def op13_private_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return private.find_private(_docs(spark, sf_dir), private.train(private.labelled_table(spark)))
+
+
+def private_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What of the search for personal data is exact: the patterns."""
+    return op13_private_data(spark, sf_dir).drop("spans")
+
+
+def redacted_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents with the kinds of their personal data in its place."""
+    texts = private.redact(_docs(spark, sf_dir), private.train(private.labelled_table(spark)))
+    return texts.select("doc_id", F.sha2(F.coalesce(F.col("text"), F.lit("")), 256).alias("text_sha256"))
+
+
 def aligned_token_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every pair of linked ids: documents that hold it, links, whether it is the commonest of its first id."""
     return _alignment(spark, sf_dir).pairs
@@ -112,7 +127,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_licence_scan": op10_licence_scan,
     "op11_prefix_trie": op11_prefix_trie,
     "op12_token_alignment": op12_token_alignment,
+    "op13_private_data": op13_private_data,
     "aligned_token_pairs": aligned_token_pairs,
+    "private_patterns": private_patterns,
+    "redacted_texts": redacted_texts,
     "quality_rule_ablation": quality_rule_ablation,
     "licence_phrases": licence_phrases,
     "licence_spans": licence_spans,
@@ -208,3 +226,21 @@ m AS (SELECT n.*, coalesce(n_children, 0) AS n_children FROM n LEFT JOIN k ON n.
 a AS (SELECT x.node, count(*) FILTER (y.n_children = 0) AS n_leaves, CAST(sum((y.n_convs - 1) * y.chars) AS BIGINT) AS saved_tokens FROM m x JOIN m y ON starts_with(y.node, x.node) GROUP BY x.node)
 SELECT m.conv_id, m.depth, q.conv_id AS parent_conv_id, m.n_convs, m.n_children, a.n_leaves, a.saved_tokens, m.ends_sha256
 FROM m JOIN a ON m.node = a.node LEFT JOIN m q ON m.depth > 0 AND q.node = m.up"""
+
+_EMAIL, _IP = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)"
+_CARD, _PHONE = r"[0-9](?:[\x20-]?[0-9])+", r"\+[0-9][\x20().0-9-]+[0-9]"
+_PATTERNS = [("email", _EMAIL, "true"), ("ip", _IP, "list_max(list_transform(string_split(m, '.'), lambda x: coalesce(TRY_CAST(x AS BIGINT), 256))) <= 255"), ("card", _CARD, "length(g) BETWEEN 14 AND 19 AND luhn % 10 = 0"), ("phone", _PHONE, "length(g) BETWEEN 10 AND 15")]
+#: Matches and the texts between them give the places.
+_FOUND = " UNION ALL ".join(
+    f"SELECT doc_id, '{kind}' AS kind, {i} AS rank, regexp_extract_all(text, '{pattern}') AS m, regexp_split_to_array(text, '{pattern}') AS gap FROM d" for i, (kind, pattern, _) in enumerate(_PATTERNS)
+)
+_DOUBLED = "list_sum(list_transform(range(1, length(g) + 1), lambda i: CASE WHEN (length(g) - i) % 2 = 0 THEN CAST(g[i] AS INTEGER) ELSE (2 * CAST(g[i] AS INTEGER)) // 10 + (2 * CAST(g[i] AS INTEGER)) % 10 END))"
+ORACLES["private_patterns"] = f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+f AS ({_FOUND}),
+u AS (SELECT doc_id, kind, rank, m[i] AS m, CAST(list_sum(list_transform(gap[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0) AS BIGINT) AS place FROM (SELECT *, unnest(range(1, len(m) + 1)) AS i FROM f)),
+c AS (SELECT *, regexp_replace(m, '[^0-9]', '', 'g') AS g FROM u),
+l AS (SELECT *, CASE WHEN kind = 'card' AND length(g) <= 19 THEN {_DOUBLED} END AS luhn FROM c),
+k AS (SELECT * FROM l WHERE CASE kind {" ".join(f"WHEN '{kind}' THEN {test}" for kind, _, test in _PATTERNS)} END),
+t AS (SELECT doc_id, {", ".join(f"count(*) FILTER (kind = '{kind}') AS n_{kind}" for kind, *_ in _PATTERNS)}, string_agg(kind || ':' || place || ':' || (place + length(m)), ',' ORDER BY place, rank) AS spans FROM k GROUP BY doc_id)
+SELECT d.doc_id, {", ".join(f"coalesce(n_{kind}, 0) AS n_{kind}" for kind, *_ in _PATTERNS)}, sha256(coalesce(spans, '')) AS base_sha256 FROM d LEFT JOIN t USING (doc_id)"""
