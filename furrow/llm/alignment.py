@@ -24,6 +24,7 @@ from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cached_property
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -54,14 +55,16 @@ def byte_values() -> dict[str, int]:
 
 
 def matched(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Ends of two rows of tokens over the same bytes: indices of overlapping pairs, and the groups' last tokens of either row."""
+    """Ends of two rows of tokens over the same bytes: indices of overlapping pairs, and the group of each token of either row."""
     starts = np.concatenate([[0], a[:-1]])
     low, high = np.searchsorted(b, starts, "right"), np.searchsorted(b, a, "left") + 1
     n = high - low
     of_a = np.repeat(np.arange(len(a)), n)
     of_b = np.arange(len(of_a)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(low, n)
-    both = np.intersect1d(a, b)
-    return of_a, of_b, np.searchsorted(a, both), np.searchsorted(b, both)
+    closes_a = b[high - 1] == a
+    closes_b = np.zeros(len(b), bool)
+    closes_b[high[closes_a] - 1] = True
+    return of_a, of_b, np.cumsum(closes_a) - closes_a, np.cumsum(closes_b) - closes_b
 
 
 class Aligner:
@@ -83,6 +86,11 @@ class Aligner:
         self.b_bytes = [bytes([int(p[1:-1], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
         self.mark = self.b.piece_to_id("▁")
         self.n_b = len(pieces)
+        self.a_len = np.zeros(max(self.a_bytes) + 1, np.int64)
+        self.a_len[list(self.a_bytes)] = [len(x) for x in self.a_bytes.values()]
+        self.b_len = np.array([len(x) for x in self.b_bytes])
+        self.n_ids = max(len(self.a_len), self.n_b)
+        self.spelled = [b"%d%c" % (i, end) for end in b",|;\n" for i in range(self.n_ids)]
         self.clear()
 
     def clear(self) -> None:
@@ -97,37 +105,50 @@ class Aligner:
         a_ids = [e.ids for e in self.a.encode_batch(strings, add_special_tokens=False)] if segments else []
         # the library puts a space before each text: it stands for the one that was cut, or goes away before a line end
         b_ids = self.b.encode([s[1:] if s[0] == " " else s for s in strings], num_threads=1) if segments else []
-        for segment, a, b in zip(segments, a_ids, b_ids, strict=True):
+        for i, (segment, b) in enumerate(zip(segments, b_ids, strict=True)):
             if segment == b" ":  # nothing was left for the library
-                b = [self.mark]
+                b_ids[i] = [self.mark]
             elif segment[0] != 0x20:
-                b = b[1:] if b and b[0] == self.mark else [*b, self.mark]
-            self.add(segment, a, b)
-
-    def add(self, segment: bytes, a: list[int], b: list[int]) -> None:
-        a_bytes, b_bytes = [self.a_bytes[i] for i in a], [self.b_bytes[i] for i in b]
-        good = b"".join(a_bytes) == segment == b"".join(b_bytes)
-        self.at[segment] = len(self.wrong)
-        self.wrong.append(not good)
-        if not good:
-            a, b, links, groups = [], [], [], []
-        elif len(a) == 1 or len(b) == 1:
-            links = [x * self.n_b + y for x in a for y in b]
-            groups = [f"{','.join(map(str, a))}|{','.join(map(str, b))}"]
-        else:
-            of_a, of_b, last_a, last_b = matched(np.cumsum([len(x) for x in a_bytes]), np.cumsum([len(x) for x in b_bytes]))
-            links = (np.array(a)[of_a] * self.n_b + np.array(b)[of_b]).tolist()
-            groups, i, j = [], 0, 0
-            for k, m in zip((last_a + 1).tolist(), (last_b + 1).tolist()):
-                groups.append(f"{','.join(map(str, a[i:k]))}|{','.join(map(str, b[j:m]))}")
-                i, j = k, m
-        text = ";".join(groups).encode()
-        for column, n in ((self.n_a, len(a)), (self.n_b_tokens, len(b)), (self.n_groups, len(groups)), (self.n_links, len(links))):
-            column.append(n)
-        self.pairs.extend(links)
-        self.offset.append(len(self.pairs))
-        self.groups.append(text)
-        self.size += 300 + len(segment) + len(text) + 8 * len(links)
+                b_ids[i] = b[1:] if b and b[0] == self.mark else [*b, self.mark]
+        self.add(segments, a_ids, b_ids)
+
+    def _spell_alike(self, segments: list[bytes], a_ids: list[list[int]], b_ids: list[list[int]]) -> list[bool]:
+        """Whether the tokens of either side spell the segment."""
+        return [b"".join(map(self.a_bytes.__getitem__, a)) == s == b"".join(map(self.b_bytes.__getitem__, b)) for s, a, b in zip(segments, a_ids, b_ids, strict=True)]
+
+    def add(self, segments: list[bytes], a_ids: list[list[int]], b_ids: list[list[int]]) -> None:
+        """Align new segments, all in one row of bytes."""
+        good = self._spell_alike(segments, a_ids, b_ids)
+        if not all(good):
+            a_ids, b_ids = ([x if ok else [] for x, ok in zip(ids, good, strict=True)] for ids in (a_ids, b_ids))
+        n_a, n_b = (np.fromiter(map(len, ids), np.int64, len(ids)) for ids in (a_ids, b_ids))
+        a, b = (np.fromiter(chain.from_iterable(ids), np.int64, int(n.sum())) for ids, n in ((a_ids, n_a), (b_ids, n_b)))
+        of_a, of_b, group_a, group_b = matched(np.cumsum(self.a_len[a]), np.cumsum(self.b_len[b])) if len(a) else (a, a, a, b)
+        segment_a, segment_b = (np.repeat(np.arange(len(segments)), n) for n in (n_a, n_b))
+        n_links = np.bincount(segment_a[of_a], minlength=len(segments))
+        last_a, last_b = (np.flatnonzero(np.diff(g, append=-1)) for g in (group_a, group_b))
+        n_groups = np.bincount(segment_a[last_a], minlength=len(segments))
+        # ids in the order in which groups are written, and the mark behind each
+        first = np.searchsorted(group_b, group_a, "left") if len(a) else a
+        after = np.searchsorted(group_a, group_b, "right") if len(a) else b
+        ids, mark = np.zeros(len(a) + len(b), np.int64), np.zeros(len(a) + len(b), np.int64)
+        at_a, at_b = np.arange(len(a)) + first, np.arange(len(b)) + after
+        ids[at_a], ids[at_b] = a, b
+        mark[at_a[last_a]] = 1
+        mark[at_b[last_b]] = 2
+        mark[at_b[np.flatnonzero(np.diff(segment_b, append=-1))]] = 3
+        lines = iter(b"".join(map(self.spelled.__getitem__, (ids + mark * self.n_ids).tolist())).split(b"\n"))
+        texts = [next(lines) if n else b"" for n in n_a.tolist()]
+
+        start = len(self.wrong)
+        self.at.update(zip(segments, range(start, start + len(segments)), strict=True))
+        self.wrong.extend(not ok for ok in good)
+        for column, n in ((self.n_a, n_a), (self.n_b_tokens, n_b), (self.n_groups, n_groups), (self.n_links, n_links)):
+            column.frombytes(n.astype(np.int64).tobytes())
+        self.offset.frombytes((len(self.pairs) + np.cumsum(n_links)).astype(np.int64).tobytes())
+        self.pairs.frombytes((a[of_a] * self.n_b + b[of_b]).tobytes())
+        self.groups += texts
+        self.size += 300 * len(segments) + sum(map(len, segments)) + sum(map(len, texts)) + 8 * len(of_a)
 
     def look_up(self, segments: list[bytes]) -> np.ndarray:
         if self.size > TABLE_BYTES:
