@@ -28,8 +28,8 @@ def resample_nearest(src: DataFrame, targets: DataFrame, x0: float, y0: float, d
     return at.join(src.select("r", "c", value), CELL)
 
 
-def resample_bilinear(src: DataFrame, targets: DataFrame, x0: float, y0: float, dx: float, dy: float, value: str, keys: list[str]) -> DataFrame:
-    """Bilinear value at each target's (x, y) from the four cell centres around it.
+def resample_bilinear(src: DataFrame, targets: DataFrame, x0: float, y0: float, dx: float, dy: float, value: str, keys: list[str], by: list[str] = []) -> DataFrame:
+    """Bilinear value at each target's (x, y) from the four cell centres around it, of source cells with the target's `by` columns.
 
     Weights are renormalised over the centres that have a value; none: the row drops.
     """
@@ -43,15 +43,15 @@ def resample_bilinear(src: DataFrame, targets: DataFrame, x0: float, y0: float,
             for j in (0, 1)
         )
     )
-    spread = targets.select(*keys, F.inline(corners)).filter("w > 0")
-    near = spread.join(src.select("r", "c", value).filter(F.col(value).isNotNull()), CELL)
-    return near.groupBy(*keys).agg((F.sum(F.col("w") * F.col(value)) / F.sum("w")).alias(value))
+    spread = targets.select(*by, *keys, F.inline(corners)).filter("w > 0")
+    near = spread.join(src.select(*by, "r", "c", value).filter(F.col(value).isNotNull()), [*by, *CELL])
+    return near.groupBy(*by, *keys).agg((F.sum(F.col("w") * F.col(value)) / F.sum("w")).alias(value))
 
 
-def aggregate_to_grid(df: DataFrame, factor: int, values: list[str]) -> DataFrame:
-    """Mean and population standard deviation per block of factor x factor cells, NULLs skipped."""
+def aggregate_to_grid(df: DataFrame, factor: int, values: list[str], keys: list[str] = []) -> DataFrame:
+    """Mean and population standard deviation per block of factor x factor cells (of each key), NULLs skipped."""
     aggs = [f(v).alias(f"{n}_{v}") for v in values for n, f in (("mean", F.avg), ("std", F.stddev_pop))]
-    return df.groupBy(*(F.floor(F.col(k) / factor).cast("long").alias(k) for k in CELL)).agg(*aggs, F.count(F.lit(1)).alias("n"))
+    return df.groupBy(*keys, *(F.floor(F.col(k) / factor).cast("long").alias(k) for k in CELL)).agg(*aggs, F.count(F.lit(1)).alias("n"))
 
 
 def with_cv(df: DataFrame, values: list[str]) -> DataFrame:

@@ -97,18 +97,23 @@ def _first_per(df: DataFrame, keys: list[str], order: list[Column], k: Column |
     return df.withColumn("_rank", F.row_number().over(W.partitionBy(*keys).orderBy(*order))).filter(F.col("_rank") <= k).drop("_rank")
 
 
+def _drawn(binned: DataFrame, order: list[Column], k: int) -> DataFrame:
+    """The first k rows of each bin: a bin is a tenth of all rows, so ranks are dealt by ranges."""
+    return ranked(binned, ["bin"], order, "_place").filter(F.col("_place") <= k).drop("_place")
+
+
 def sample_by_decile(df: DataFrame, ident: str, size: str, n: int, bins: int = 10, start: float = 0, seed: int | None = None) -> DataFrame:
     """n / bins rows of every size decile (fewer if a decile is smaller), with their bin."""
     edges = distinct_edges(df, size, bins, start)
     binned = df.withColumn("bin", bucket(size, edges)).filter("bin IS NOT NULL")
-    return _first_per(binned, ["bin"], [draw_order(ident, seed), F.col(ident)], n // bins)
+    return _drawn(binned, [draw_order(ident, seed), F.col(ident)], n // bins)
 
 
 def sample_per_decile(df: DataFrame, ident: str, size: str, n: int, bins: int = 10, seed: int | None = None) -> DataFrame:
     """n rows of each equal-frequency bin; the least size belongs to the first."""
     edges = quantile_edges(df, size, bins)
     binned = df.withColumn("bin", F.coalesce(bucket(size, edges), F.when(F.col(size) == edges[0], 0)))
-    return _first_per(binned, ["bin"], [draw_order(ident, seed), F.col(ident)], n)
+    return _drawn(binned, [draw_order(ident, seed), F.col(ident)], n)
 
 
 def allocate(df: DataFrame, region: str, total: int) -> DataFrame:
@@ -118,16 +123,24 @@ def allocate(df: DataFrame, region: str, total: int) -> DataFrame:
     return counts.crossJoin(F.broadcast(all_rows)).select(region, "n", F.ceil(F.col("n") * total / F.col("all_n")).cast("long").alias("quota"))
 
 
+def group_quantiles(df: DataFrame, keys: list[str], value: str, shares: list[float]) -> DataFrame:
+    """(keys, e): quantiles of value at the shares, interpolated linearly, of each group, whatever its size. NULL keys are a group."""
+    kept = df.filter(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("_v"))
+    sizes = kept.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    places = sizes.select(*keys, F.posexplode(F.transform(F.array(*(F.lit(float(q)) for q in shares)), lambda q: q * (F.col("_n") - 1))).alias("_i", "_at"))
+    asked = places.select(*(F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)), "_i", "_at", F.explode(F.array_distinct(F.array(F.floor("_at"), F.ceil("_at")))).alias("_rank"))
+    at = ranked(kept, keys, [F.col("_v")], "_place").withColumn("_place", F.col("_place") - 1)
+    same = F.col("_rank") == F.col("_place")
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"_k{i}"))
+    ends = at.join(asked, same).groupBy(*keys, "_i", "_at").agg(F.min_by("_v", "_rank").alias("_low"), F.max_by("_v", "_rank").alias("_high"))
+    edge = F.struct("_i", (F.col("_low") + (F.col("_high") - F.col("_low")) * (F.col("_at") - F.floor("_at"))).alias("e"))
+    return ends.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(edge)), lambda x: x["e"]).alias("e"))
+
+
 def group_edges(df: DataFrame, group: str, value: str, bins: int) -> DataFrame:
     """(group, e): interpolated quantiles of value at 0, 1/bins ... 1 of each group, whatever its size."""
-    kept = df.filter(F.col(value).isNotNull()).select(group, F.col(value).cast("double").alias("_v"))
-    sizes = kept.groupBy(group).agg(F.count(F.lit(1)).alias("_n"))
-    places = sizes.select(group, F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(bins)), lambda i: i / F.lit(float(bins)) * (F.col("_n") - 1))).alias("_i", "_at"))
-    asked = places.select(group, "_i", "_at", F.explode(F.array_distinct(F.array(F.floor("_at"), F.ceil("_at")))).alias("_rank"))
-    at = ranked(kept, [group], [F.col("_v")], "_place").withColumn("_rank", F.col("_place") - 1).select(group, "_rank", "_v")
-    ends = asked.join(at, [group, "_rank"]).groupBy(group, "_i", "_at").agg(F.min_by("_v", "_rank").alias("_low"), F.max_by("_v", "_rank").alias("_high"))
-    edge = F.struct("_i", (F.col("_low") + (F.col("_high") - F.col("_low")) * (F.col("_at") - F.floor("_at"))).alias("e"))
-    return ends.groupBy(group).agg(F.transform(F.array_sort(F.collect_list(edge)), lambda x: x["e"]).alias("e"))
+    return group_quantiles(df, [group], value, [i / bins for i in range(bins + 1)])
 
 
 def sample_chips(df: DataFrame, region: str, ident: list[str], classes: list[str], total: int, bins: int = 5, close_last: bool = False) -> DataFrame:

@@ -50,9 +50,14 @@ def _(s: Source):
     return _shown(fluxes.run_fluxes(_station(s).filter("lai > 0"), ["id"]))
 
 
-def _thermal(s: Source):
+def _thermal(s: Source, scenes: int = 0):
+    """Fine predictors and coarse temperatures; with `scenes` so many of them, each with predictors and temperatures of its own."""
     fine = s.view("pixels").select("r", "c", "red", "bnr", (270 + F.col("red") / 40 + F.col("bnr") / 200).alias("t"))
-    coarse = fine.groupBy(*(F.floor(F.col(k) / 2).cast("long").alias(k) for k in ("r", "c"))).agg(F.pow(F.avg(F.pow("t", F.lit(4.0))), F.lit(0.25)).alias("lst"))
+    keys = ["scene"] if scenes else []
+    if scenes:
+        fine = fine.withColumn("scene", F.explode(F.sequence(F.lit(0), F.lit(scenes - 1)).cast("array<bigint>")))
+        fine = fine.withColumns({"red": F.col("red") + F.col("scene") * ((F.col("r") + F.col("c")) % 3), "t": F.col("t") + F.col("scene") * ((3 * F.col("r") + 7 * F.col("c")) % 11) / 10})
+    coarse = fine.groupBy(*keys, *(F.floor(F.col(k) / 2).cast("long").alias(k) for k in ("r", "c"))).agg(F.pow(F.avg(F.pow("t", F.lit(4.0))), F.lit(0.25)).alias("lst"))
     return fine, coarse
 
 
@@ -72,31 +77,46 @@ def _(s: Source):
 
 
 #: Windows of five coarse cells and one around them; -1 is the window of all cells. Three weights a model by Cramer's rule on the scaled normal equations.
-_SHARP = f"""WITH f AS (SELECT r, c, red, bnr, 270 + red / 40 + bnr / 200 AS t FROM pixels), a AS (SELECT CAST(floor(r / 2) AS BIGINT) AS r, CAST(floor(c / 2) AS BIGINT) AS c, avg(red) AS mr, avg(bnr) AS mb, stddev_pop(red) AS sr, stddev_pop(bnr) AS sb, pow(avg(pow(t, 4)), 25e-2) AS y FROM f GROUP BY 1, 2),
-v AS (SELECT *, (sr / mr + sb / mb) / 2 AS cv FROM a WHERE (sr / mr + sb / mb) / 2 > 0 AND (sr / mr + sb / mb) / 2 < 1000), {_WEIGHT},
-tr AS (SELECT r, c, mr, mb, y, (1 / cv - lo) / (hi - lo) * CASE WHEN cv > cut THEN 5e-1 ELSE 1 END AS w FROM v, b),
+def _sharp(key: str = "", cells: str = "f AS (SELECT r, c, red, bnr, 270 + red / 40 + bnr / 200 AS t FROM pixels)") -> str:
+    k, fk, ck = (f"{t}{key}, " if key else "" for t in ("", "f.", "cells."))
+    gk, lk, ak = (f" AND {x}.{key} = {y}.{key}" if key else "" for x, y in (("g", "f"), ("l", "f"), ("a", "cells")))
+    on = f" USING ({key})" if key else " ON TRUE"
+    weight = f"b AS (SELECT {k}quantile_cont(cv, 0.8) AS cut, min(1 / cv) AS lo, max(1 / cv) AS hi FROM v GROUP BY ALL)" if key else _WEIGHT
+    return f"""WITH {cells}, a AS (SELECT {k}CAST(floor(r / 2) AS BIGINT) AS r, CAST(floor(c / 2) AS BIGINT) AS c, avg(red) AS mr, avg(bnr) AS mb, stddev_pop(red) AS sr, stddev_pop(bnr) AS sb, pow(avg(pow(t, 4)), 25e-2) AS y FROM f GROUP BY ALL),
+v AS (SELECT *, (sr / mr + sb / mb) / 2 AS cv FROM a WHERE (sr / mr + sb / mb) / 2 > 0 AND (sr / mr + sb / mb) / 2 < 1000), {weight},
+tr AS (SELECT {k}r, c, mr, mb, y, (1 / cv - lo) / (hi - lo) * CASE WHEN cv > cut THEN 5e-1 ELSE 1 END AS w FROM v JOIN b{on}),
 rows_ AS (SELECT *, unnest(range(CAST(greatest(0, floor((r - 1) / 5)) AS BIGINT), CAST(floor((r + 1) / 5) AS BIGINT) + 1)) AS wr FROM tr), both_ AS (SELECT *, unnest(range(CAST(greatest(0, floor((c - 1) / 5)) AS BIGINT), CAST(floor((c + 1) / 5) AS BIGINT) + 1)) AS wc FROM rows_),
-dealt AS (SELECT wr, wc, mr, mb, y, w FROM both_ UNION ALL SELECT -1, -1, mr, mb, y, w FROM tr),
-sums AS (SELECT wr, wc, sum(w) AS s1, sum(w * mr * mr) AS s2, sum(w * mb * mb) AS s3, sum(w * mr) AS s12, sum(w * mb) AS s13, sum(w * mr * mb) AS s23, sum(w * y) AS p1, sum(w * mr * y) AS p2, sum(w * mb * y) AS p3, min(y) AS lo, max(y) AS hi FROM dealt GROUP BY 1, 2 HAVING count(*) >= 10),
-norm AS (SELECT wr, wc, lo, hi, sqrt(s1) AS k1, sqrt(s2) AS k2, sqrt(s3) AS k3, s12 / sqrt(s1 * s2) AS a, s13 / sqrt(s1 * s3) AS b, s23 / sqrt(s2 * s3) AS c, p1 / sqrt(s1) AS q1, p2 / sqrt(s2) AS q2, p3 / sqrt(s3) AS q3, 1001e-3 AS d FROM sums),
+dealt AS (SELECT {k}wr, wc, mr, mb, y, w FROM both_ UNION ALL SELECT {k}-1, -1, mr, mb, y, w FROM tr),
+sums AS (SELECT {k}wr, wc, sum(w) AS s1, sum(w * mr * mr) AS s2, sum(w * mb * mb) AS s3, sum(w * mr) AS s12, sum(w * mb) AS s13, sum(w * mr * mb) AS s23, sum(w * y) AS p1, sum(w * mr * y) AS p2, sum(w * mb * y) AS p3, min(y) AS lo, max(y) AS hi FROM dealt GROUP BY {k}wr, wc HAVING count(*) >= 10),
+norm AS (SELECT {k}wr, wc, lo, hi, sqrt(s1) AS k1, sqrt(s2) AS k2, sqrt(s3) AS k3, s12 / sqrt(s1 * s2) AS a, s13 / sqrt(s1 * s3) AS b, s23 / sqrt(s2 * s3) AS c, p1 / sqrt(s1) AS q1, p2 / sqrt(s2) AS q2, p3 / sqrt(s3) AS q3, 1001e-3 AS d FROM sums),
 dets AS (SELECT *, d * d - c * c - a * (a * d - b * c) + b * (a * c - b * d) AS det FROM norm),
-models AS (SELECT wr, wc, lo, hi, (q1 * (d * d - c * c) - a * (q2 * d - c * q3) + b * (q2 * c - d * q3)) / det / k1 AS b0, ((q2 * d - c * q3) - q1 * (a * d - b * c) + b * (a * q3 - q2 * b)) / det / k2 AS b1, ((d * q3 - q2 * c) - a * (a * q3 - q2 * b) + q1 * (a * c - d * b)) / det / k3 AS b2 FROM dets),
-cells AS (SELECT f.r, f.c, CAST(floor(f.r / 2) AS BIGINT) AS br, CAST(floor(f.c / 2) AS BIGINT) AS bc, CASE WHEN l.wr IS NOT NULL THEN greatest(l.lo, least(l.hi, l.b0 + l.b1 * red + l.b2 * bnr)) END AS tl, greatest(g.lo, least(g.hi, g.b0 + g.b1 * red + g.b2 * bnr)) AS tg
- FROM f JOIN models g ON g.wr = -1 LEFT JOIN models l ON l.wr = CAST(floor(f.r / 10) AS BIGINT) AND l.wc = CAST(floor(f.c / 10) AS BIGINT)),
-share AS (SELECT br, bc, any_value(y) AS y, CASE WHEN count(tl) > 0 THEN 1 / greatest(1e-6, pow(any_value(y) - pow(avg(pow(tl, 4)), 25e-2), 2)) ELSE 0 END AS wl, 1 / greatest(1e-6, pow(any_value(y) - pow(avg(pow(tg, 4)), 25e-2), 2)) AS wg FROM cells JOIN a ON a.r = br AND a.c = bc GROUP BY br, bc),
-mixed AS (SELECT cells.r, cells.c, br, bc, y, pow((coalesce(wl * pow(tl, 4), 0) + wg * pow(tg, 4)) / (wl + wg), 25e-2) AS t FROM cells JOIN share USING (br, bc)),
-rest AS (SELECT br, bc, any_value(y) - pow(avg(pow(t, 4)), 25e-2) AS e FROM mixed GROUP BY 1, 2),
-near AS (SELECT m.r, m.c, sum(wt * e) / sum(wt) AS e FROM (SELECT mixed.r, mixed.c, CAST(floor(y0) AS BIGINT) + i AS br, CAST(floor(x0) AS BIGINT) + j AS bc, (CASE WHEN i = 1 THEN y0 - floor(y0) ELSE 1 - y0 + floor(y0) END) * (CASE WHEN j = 1 THEN x0 - floor(x0) ELSE 1 - x0 + floor(x0) END) AS wt
- FROM (SELECT r, c, (r + 5e-1) / 2 - 5e-1 AS y0, (c + 5e-1) / 2 - 5e-1 AS x0 FROM mixed) mixed, range(2) u(i), range(2) z(j)) m JOIN rest USING (br, bc) WHERE wt > 0 GROUP BY 1, 2)
-SELECT mixed.r, mixed.c, round(t + coalesce(e, 0), 4) AS t_sharp FROM mixed LEFT JOIN near USING (r, c)"""
-
-
-@query("m6_sharpen", _SHARP, "pixels")
+models AS (SELECT {k}wr, wc, lo, hi, (q1 * (d * d - c * c) - a * (q2 * d - c * q3) + b * (q2 * c - d * q3)) / det / k1 AS b0, ((q2 * d - c * q3) - q1 * (a * d - b * c) + b * (a * q3 - q2 * b)) / det / k2 AS b1, ((d * q3 - q2 * c) - a * (a * q3 - q2 * b) + q1 * (a * c - d * b)) / det / k3 AS b2 FROM dets),
+cells AS (SELECT {fk}f.r, f.c, CAST(floor(f.r / 2) AS BIGINT) AS br, CAST(floor(f.c / 2) AS BIGINT) AS bc, CASE WHEN l.wr IS NOT NULL THEN greatest(l.lo, least(l.hi, l.b0 + l.b1 * red + l.b2 * bnr)) END AS tl, greatest(g.lo, least(g.hi, g.b0 + g.b1 * red + g.b2 * bnr)) AS tg
+ FROM f JOIN models g ON g.wr = -1{gk} LEFT JOIN models l ON l.wr = CAST(floor(f.r / 10) AS BIGINT) AND l.wc = CAST(floor(f.c / 10) AS BIGINT){lk}),
+share AS (SELECT {ck}br, bc, any_value(y) AS y, CASE WHEN count(tl) > 0 THEN 1 / greatest(1e-6, pow(any_value(y) - pow(avg(pow(tl, 4)), 25e-2), 2)) ELSE 0 END AS wl, 1 / greatest(1e-6, pow(any_value(y) - pow(avg(pow(tg, 4)), 25e-2), 2)) AS wg FROM cells JOIN a ON a.r = br AND a.c = bc{ak} GROUP BY {ck}br, bc),
+mixed AS (SELECT {k}cells.r, cells.c, br, bc, y, pow((coalesce(wl * pow(tl, 4), 0) + wg * pow(tg, 4)) / (wl + wg), 25e-2) AS t FROM cells JOIN share USING ({k}br, bc)),
+rest AS (SELECT {k}br, bc, any_value(y) - pow(avg(pow(t, 4)), 25e-2) AS e FROM mixed GROUP BY {k}br, bc),
+near AS (SELECT {k}m.r, m.c, sum(wt * e) / sum(wt) AS e FROM (SELECT {k}mixed.r, mixed.c, CAST(floor(y0) AS BIGINT) + i AS br, CAST(floor(x0) AS BIGINT) + j AS bc, (CASE WHEN i = 1 THEN y0 - floor(y0) ELSE 1 - y0 + floor(y0) END) * (CASE WHEN j = 1 THEN x0 - floor(x0) ELSE 1 - x0 + floor(x0) END) AS wt
+ FROM (SELECT {k}r, c, (r + 5e-1) / 2 - 5e-1 AS y0, (c + 5e-1) / 2 - 5e-1 AS x0 FROM mixed) mixed, range(2) u(i), range(2) z(j)) m JOIN rest USING ({k}br, bc) WHERE wt > 0 GROUP BY {k}m.r, m.c)
+SELECT {k}mixed.r, mixed.c, round(t + coalesce(e, 0), 4) AS t_sharp FROM mixed LEFT JOIN near USING ({k}r, c)"""
+
+
+@query("m6_sharpen", _sharp(), "pixels")
 def _(s: Source):
     fine, coarse = _thermal(s)
     return sharpen.sharpen(fine, coarse, 2, ["red", "bnr"], "lst", window=5).select("r", "c", R("t_sharp"))
 
 
+_SCENES = "f AS (SELECT scene, r, c, red + scene * ((r + c) % 3) AS red, bnr, 270 + red / 40 + bnr / 200 + scene * ((3 * r + 7 * c) % 11) / 10 AS t FROM pixels, range(5) s(scene))"
+
+
+@query("m6_sharpen_scenes", _sharp("scene", _SCENES), "pixels")
+def _(s: Source):
+    """Five scenes with predictors and temperatures of their own, sharpened in one plan."""
+    fine, coarse = _thermal(s, 5)
+    return sharpen.sharpen(fine, coarse, 2, ["red", "bnr"], "lst", window=5, keys=["scene"]).select("scene", "r", "c", R("t_sharp"))
+
+
 def contrast(image: np.ndarray) -> np.ndarray:
     """A stand-in predictor of two bands: the first channel as extent, the second as boundary."""
     return np.nan_to_num(image[:2])

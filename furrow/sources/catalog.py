@@ -118,9 +118,27 @@ def write_station(df: DataFrame, path: str, columns: list[str] = STATION_RESULT)
     df.select(*(F.col(c) if c in have else F.lit(None).cast("double").alias(c) for c in columns)).write.option("sep", "\t").option("header", "true").mode("overwrite").csv(path)
 
 
-def write_pixels(df: DataFrame, path: str, by: list[str] = ["tile", "date"]) -> None:
-    """Pixel table partitioned by tile and date, rows of a file in (r, c) order so that row groups prune."""
-    df.repartition(*by).sortWithinPartitions(*by, "r", "c").write.partitionBy(*by).mode("overwrite").parquet(path)
+def write_pixels(df: DataFrame, path: str, by: list[str] = ["tile", "date"], deal: int = 8) -> None:
+    """Pixel table partitioned by tile and date, rows of a file in (r, c) order so that row groups prune.
+
+    Only partitions that df has rows of are replaced, each as a whole; all others keep
+    their files, so a rerun writes what plan_backfill() asks for. A partition is written by up
+    to `deal` tasks, as a tile may hold any share of the rows.
+    """
+    dealt = df.repartition(*by, F.pmod(F.xxhash64(F.floor(F.col("r") / 64), F.floor(F.col("c") / 64)), F.lit(deal)))
+    dealt.sortWithinPartitions(*by, "r", "c").write.partitionBy(*by).option("partitionOverwriteMode", "dynamic").mode("overwrite").parquet(path)
+
+
+def written_partitions(spark: SparkSession, path: str, by: list[str] = ["tile", "date"]) -> DataFrame:
+    """The manifest of a pixel table: (by, n_files, n_bytes, written) of every partition, from its files' metadata alone; empty where nothing is written yet."""
+    schema = T.StructType([*(T.StructField(k, T.StringType()) for k in by), T.StructField("n_files", T.LongType()), T.StructField("n_bytes", T.LongType()), T.StructField("written", T.TimestampType())])
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place):
+        return spark.createDataFrame([], schema)
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").load(path).select("path", "length", "modificationTime")
+    keys = {k: F.url_decode(F.regexp_extract("path", f"/{k}=([^/]*)/", 1)) for k in by}
+    known = files.withColumns({k: F.when(v != "__HIVE_DEFAULT_PARTITION__", v) for k, v in keys.items()})
+    return known.groupBy(*by).agg(F.count(F.lit(1)).alias("n_files"), F.sum("length").alias("n_bytes"), F.max("modificationTime").alias("written"))
 
 
 def read_pixels(spark: SparkSession, path: str, nodata: float | None = None, bands: list[str] = []) -> DataFrame:

@@ -396,3 +396,68 @@ def test_scratch_is_cleared(spark):
     assert any(folder.rglob("*.parquet"))
     session.clear_scratch(spark)
     assert not folder.exists()
+
+
+def _thermal_scenes(spark, n=4, size=24):
+    rng = np.random.default_rng(8)
+    rows, low = [], []
+    for k in range(n):
+        x = rng.uniform(0, 1, (size, size))
+        t = 280.0 + 5 * k + (10 - 3 * k) * x + rng.normal(0, 0.3, (size, size))
+        rows += [(f"day{k}", r, c, float(x[r, c])) for r in range(size) for c in range(size)]
+        coarse = (t**4).reshape(size // 2, 2, size // 2, 2).mean(axis=(1, 3)) ** 0.25
+        low += [(f"day{k}", r, c, float(coarse[r, c])) for r in range(size // 2) for c in range(size // 2)]
+    return spark.createDataFrame(rows, "day string, r long, c long, x double"), spark.createDataFrame(low, "day string, r long, c long, lst double")
+
+
+@pytest.mark.parametrize("regressor", [None, "line"])
+def test_scenes_are_sharpened_as_each_alone(spark, regressor):
+    """Keyed sharpening: every scene as if it were the only one; scenes with a NULL key drop."""
+
+    class Line:
+        def fit(self, x, y, w):
+            return np.polyfit(x[:, 0], y, 1, w=np.sqrt(w + 1e-9)).tolist()
+
+        def predict(self, model, x):
+            return np.polyval(model, x[:, 0])
+
+    model = Line() if regressor else None
+    fine, coarse = _thermal_scenes(spark)
+    lost = fine.limit(5).withColumn("day", F.lit(None).cast("string"))
+    got = {(x.day, x.r, x.c): x.t_sharp for x in sharpen.sharpen(fine.unionByName(lost), coarse, 2, ["x"], "lst", window=6, keys=["day"], regressor=model).collect()}
+    assert len(got) == fine.count()
+    for day in ("day0", "day3"):
+        alone = sharpen.sharpen(*(d.filter(F.col("day") == day).drop("day") for d in (fine, coarse)), 2, ["x"], "lst", window=6, regressor=model)
+        assert all(abs(x.t_sharp - got[day, x.r, x.c]) < 1e-9 for x in alone.collect())
+
+
+def test_only_written_partitions_are_replaced(spark):
+    """A rerun of one tile and date leaves all other files as they are; the manifest tells what is left to run."""
+    from furrow.session import fresh_path
+    from furrow.sources import catalog
+
+    rows = [(t, d, r, c, float(r * c)) for t in ("X0_Y0", "X1 Y/1") for d in ("2024-01-01", "2024-01-02") for r in range(9) for c in range(9)]
+    df = spark.createDataFrame(rows, "tile string, date string, r long, c long, v double")
+    path = fresh_path(spark, "pixels")
+    assert catalog.written_partitions(spark, path).count() == 0
+    catalog.write_pixels(df, path, deal=2)
+    before = {(x.tile, x.date): x for x in catalog.written_partitions(spark, path).collect()}
+    assert set(before) == {(t, d) for t, d, *_ in rows}
+    again = df.filter("tile = 'X0_Y0' AND date = '2024-01-02'").withColumn("v", F.col("v") + 1)
+    catalog.write_pixels(again, path, deal=2)
+    after = {(x.tile, x.date): x for x in catalog.written_partitions(spark, path).collect()}
+    assert {k for k in after if after[k].written != before[k].written} == {("X0_Y0", "2024-01-02")}
+    assert catalog.read_pixels(spark, path).count() == len(rows)
+    requested = spark.createDataFrame([("X0_Y0", "2024-01-01"), ("X9_Y9", "2024-01-01")], "tile string, date string")
+    none = requested.limit(0)
+    left = catalog.plan_backfill(requested, catalog.written_partitions(spark, path).select("tile", "date"), none, none, ["tile", "date"])
+    assert [tuple(x) for x in left.collect()] == [("X9_Y9", "2024-01-01", "sharpen")]
+
+
+def test_decile_draws_are_not_in_ten_tasks(spark):
+    """Ranks of a bin come from ranges: no window over a whole bin is in the plan."""
+    df = spark.range(5000).select("id", (F.col("id") * 7919 % 4999).cast("double").alias("size"))
+    drawn = sampling.sample_per_decile(df, "id", "size", 200)
+    assert drawn.groupBy("bin").count().filter("count <> 200").count() == 0 and drawn.count() == 2000
+    plan = drawn._jdf.queryExecution().optimizedPlan().toString()
+    assert "row_number() windowspecdefinition(_part" in plan and "row_number() windowspecdefinition(bin" not in plan
