@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from furrow.functions import formulas
 from furrow.operators import composite, grids, labels, masks, sampling, scoring, temporal, vectors
 from furrow.plans.fluxes import run_fluxes
+from furrow.plans.sharpen import sharpen
 from furrow.session import materialise
 
 
@@ -55,34 +56,89 @@ def et_pipeline(obs: DataFrame, hourly: DataFrame, canopy: DataFrame, start: str
     comp_date hold for the days within `window` of it, the nearest composite of a day
     and then the earlier one. ground, if given, has pixel with bnr (near infrared),
     landcover, dem and geopot: water and unclassified pixels drop, air temperature and
-    pressure are corrected for terrain. Scenes are taken at the resolution they have; to sharpen
-    them, apply plans.sharpen to each day's scene first. Daily rows carry the balance's
+    pressure are corrected for terrain. Scenes are taken at the resolution they have;
+    sharpened_et() sharpens them first. Daily rows carry the balance's
     flag and its steps.
     """
+    best = _best_scenes(obs, hourly)
+    if "comp_date" in canopy.columns:
+        canopy = _on_days(canopy, best, window)
+    daily = _daily_et(best, hourly, canopy, None if ground is None else _dry_ground(ground, ["pixel"]))
+    return daily, composite.et_median(daily.filter("et IS NOT NULL"), start, end, day="day")
+
+
+def _best_scenes(obs: DataFrame, hourly: DataFrame) -> DataFrame:
+    """Best clear observation of a pixel and day that is not colder than the air."""
     with_air = temporal.interp_hourly(masks.mask_lst_quality(obs), hourly, "ts", "hour", ["t2m"])
-    best = composite.best_pixel(masks.mask_lst_air(with_air)).filter("lst IS NOT NULL")
+    return composite.best_pixel(masks.mask_lst_air(with_air)).filter("lst IS NOT NULL")
+
+
+def _on_days(composites: DataFrame, days: DataFrame, window: int) -> DataFrame:
+    """Rows of the nearest composite (the earlier of two) within `window` of each day."""
+    met = temporal.window_join(composites.select("comp_date").distinct(), days.select("day").distinct(), "comp_date", "day", window)
+    far = F.abs(F.datediff("comp_date", "day"))
+    nearest = met.groupBy("day").agg(F.min(F.struct(far.alias("far"), "comp_date")).alias("near")).select("day", "near.comp_date")
+    return composites.join(nearest, "comp_date").drop("comp_date")
+
+
+def _dry_ground(ground: DataFrame, keys: list[str]) -> DataFrame:
+    """Cells that are neither water nor unclassified, with their height and geopotential."""
+    dry = masks.mask_water(ground, ["landcover"]).filter("landcover IS NOT NULL")
+    return masks.mask_landcover(dry, "landcover", "zero").filter("mask = 1").select(*keys, "dem", "geopot")
+
+
+def _daily_et(best: DataFrame, hourly: DataFrame, canopy: DataFrame, ground: DataFrame | None) -> DataFrame:
+    """(pixel, day, flag, steps, et) of observations (pixel, day, ts, lst, vza), weather, canopy by pixel or by pixel and day, and dry ground."""
     weather = formulas.WIND.apply(hourly).withColumn("s_dn", temporal.flux_from_accumulated(F.col("ssrd"))).select("hour", "t2m", "wind", "ea", "s_dn")
     at = temporal.interp_hourly(best, weather, "ts", "hour", ["t2m", "wind", "ea", "s_dn"])
     mean = temporal.daily_radiation(weather, "hour", "s_dn").select("day", F.col("mean_flux").alias("s_mean"))
-    if "comp_date" in canopy.columns:
-        days = temporal.window_join(canopy.select("comp_date").distinct(), at.select("day").distinct(), "comp_date", "day", window)
-        far = F.abs(F.datediff("comp_date", "day"))
-        nearest = days.groupBy("day").agg(F.min(F.struct(far.alias("far"), "comp_date")).alias("near")).select("day", "near.comp_date")
-        canopy = canopy.join(nearest, "comp_date").drop("comp_date")
-        rows = at.join(canopy, ["pixel", "day"])
-    else:
-        rows = at.join(canopy, "pixel")
+    rows = at.join(canopy, ["pixel", "day"] if "day" in canopy.columns else ["pixel"])
     rows = rows.join(mean, "day").withColumns({"t_a": F.col("t2m"), "p": F.lit(1013.25)})
     if ground is not None:
-        dry = masks.mask_water(ground, ["landcover"]).filter("landcover IS NOT NULL")
-        kept = masks.mask_landcover(dry, "landcover", "zero").filter("mask = 1").select("pixel", "dem", "geopot")
         terrain = {"sp": F.col("p"), "rate": F.lit(0.0065), "blend": F.lit(100.0)}
-        rows = formulas.TERRAIN.apply(rows.join(kept, "pixel").withColumns(terrain)).withColumns({"t_a": F.col("t_terrain"), "p": F.col("p_terrain")}).drop(*formulas.TERRAIN.columns, *terrain, "dem", "geopot")
+        rows = formulas.TERRAIN.apply(rows.join(ground, "pixel").withColumns(terrain)).withColumns({"t_a": F.col("t_terrain"), "p": F.col("p_terrain")}).drop(*formulas.TERRAIN.columns, *terrain, "dem", "geopot")
     rows = rows.withColumns({"t_r": F.col("lst"), "u": F.col("wind"), "doy": F.dayofyear("day"), "hr": F.hour("ts") + F.minute("ts") / 60.0})
     fluxes = run_fluxes(rows, ["pixel", "day"]).select("pixel", "day", "flag", "steps", "le")
     scaled = rows.select("pixel", "day", "s_mean", F.col("s_dn").alias("s_inst"), "t_a", "ea", "p").join(fluxes, ["pixel", "day"])
-    daily = formulas.DAILY_ET.apply(formulas.AIR.apply(scaled)).select("pixel", "day", "flag", "steps", F.col("et_daily").alias("et"))
-    return daily, composite.et_median(daily.filter("et IS NOT NULL"), start, end, day="day")
+    return formulas.DAILY_ET.apply(formulas.AIR.apply(scaled)).select("pixel", "day", "flag", "steps", F.col("et_daily").alias("et"))
+
+
+def sharpened_et(
+    obs: DataFrame,
+    composites: DataFrame,
+    factor: int,
+    predictors: list[str],
+    hourly: DataFrame,
+    canopy: DataFrame,
+    ground: DataFrame,
+    window: int = 4,
+    block: int = 15,
+) -> DataFrame:
+    """(r, c, day, t_sharp, flag, steps, et): daily ET of fine cells from coarse thermal scenes, all days in one plan.
+
+    obs are coarse observations with r, c (and the columns that et_pipeline reads but
+    pixel); composites have comp_date, r, c and the predictors on the fine grid, `factor`
+    times finer; canopy has r, c, lai, h_c, and ground r, c, bnr, landcover, dem, geopot
+    there. Each day takes the nearest composite within `window` days; water and
+    unclassified cells drop before sharpening; windows are of `block` coarse cells. Fine
+    cells take time, angle and weather of their coarse cell's best scene, whose
+    temperature is sharpened day by day; air temperature and pressure follow the terrain.
+    Days without a composite, or with fewer clear cells than a model needs, have no rows.
+    """
+    coarse = materialise(_best_scenes(obs.withColumn("pixel", labels.cell_key(F.col("r").cast("long"), F.col("c").cast("long"))), hourly), "scenes")
+    place = {"r": F.shiftright("pixel", 32), "c": F.col("pixel").bitwiseAND((1 << 32) - 1)}
+    coarse = coarse.withColumns(place).select("day", "r", "c", "lst", "ts", "vza")
+    dry = _dry_ground(ground, ["r", "c"])
+    fine = _on_days(composites, coarse, window).join(dry.select("r", "c"), ["r", "c"])
+    sharp = sharpen(fine, coarse.select("day", "r", "c", "lst"), factor, predictors, "lst", window=block, keys=["day"])
+    parents = coarse.select("day", F.col("r").alias("br"), F.col("c").alias("bc"), "ts", "vza")
+    cells = sharp.withColumns({f"b{k}": F.floor(F.col(k) / factor).cast("long") for k in ("r", "c")}).join(parents, ["day", "br", "bc"])
+    pixel = labels.cell_key(F.col("r"), F.col("c"))
+    # written once: the balance and the result read the sharpened cells
+    best = materialise(cells.select(pixel.alias("pixel"), "day", F.col("t_sharp").alias("lst"), "ts", "vza"), "sharpened")
+    keyed = [d.withColumn("pixel", pixel).drop("r", "c") for d in (canopy, dry)]
+    daily = _daily_et(best, hourly, *keyed)
+    return daily.join(best.select("pixel", "day", F.col("lst").alias("t_sharp")), ["pixel", "day"]).withColumns(place).select("r", "c", "day", "t_sharp", "flag", "steps", "et")
 
 
 def compare_maps(reference: DataFrame, maps: dict[str, DataFrame], cell: float, grid: DataFrame, exclude: Sequence[str] = (), per_decile: int | None = None, seed: int | None = None) -> DataFrame:

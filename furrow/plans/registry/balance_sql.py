@@ -133,6 +133,9 @@ lines AS (SELECT pixel * 100000 + extract(year FROM day) % 100 * 1000 + extract(
  0.5 + (pixel % 30) / 10e0 AS lai, 0.2 + (pixel % 10) / 20e0 AS h_c, CAST(vza AS DOUBLE) AS vza, 0.8e0 AS f_c, 1013.25e0 AS p FROM scenes JOIN means USING (day))"""
 _DAILY = f"""WITH RECURSIVE {_SCENES}, {balance_ctes("SELECT id, doy, hr, t_r, t_a, u, ea, s_dn, lai, h_c, vza, f_c, p FROM lines")},
 daily AS (SELECT lines.pixel, lines.day, flag, steps, 86400000 * lines.s_mean * le / nullif(lines.s_dn, 0) / (lv * (999.83952 + t * (16.945176 + t * (-7.9870401e-3 + t * (-46.170461e-6 + t * (105.56302e-9 - 280.54253e-12 * t))))) / (1 + 16.897850e-3 * t)) AS et FROM lines JOIN results USING (id) JOIN i9 USING (id))"""
+#: Daily ET of `lines` and `results`.
+ET_OF_LINES = _DAILY[_DAILY.index("86400000 *") : _DAILY.index(" AS et FROM lines")]
+BEST_SCENES = _SCENES[: _SCENES.index(",\nlines AS")]
 DAILY_ET = f"{_DAILY} SELECT pixel, day, CAST(flag AS INT) AS flag, CAST(steps AS INT) AS steps, CASE WHEN steps < {LAST} THEN round(et, 2) + 0e0 END AS et FROM daily"
 ET_MEDIAN = f"{_DAILY} SELECT pixel, round(median(CASE WHEN et <= 0 OR et > 12 THEN 0 ELSE et END), 1) AS et_median, count(*) AS n_days FROM daily WHERE et IS NOT NULL GROUP BY pixel"
 

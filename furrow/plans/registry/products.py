@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from furrow.functions import formulas
 from furrow.operators import grids
 from furrow.plans import fluxes, pipelines, sharpen
-from furrow.plans.registry.balance_sql import DAILY_ET, ET_MEDIAN, LAST, RESULT_TABLE, SHOWN, SURE, TABLE_DIGITS, balance_sql
+from furrow.plans.registry.balance_sql import BEST_SCENES, DAILY_ET, ET_MEDIAN, ET_OF_LINES, LAST, RESULT_TABLE, SHOWN, SURE, TABLE_DIGITS, balance_ctes, balance_sql
 from furrow.plans.registry.base import Source, query, rounded
 from furrow.session import fresh_path
 from furrow.sources import catalog
@@ -77,12 +77,12 @@ def _(s: Source):
 
 
 #: Windows of five coarse cells and one around them; -1 is the window of all cells. Three weights a model by Cramer's rule on the scaled normal equations.
-def _sharp(key: str = "", cells: str = "f AS (SELECT r, c, red, bnr, 270 + red / 40 + bnr / 200 AS t FROM pixels)") -> str:
+def _sharp(key: str = "", cells: str = "f AS (SELECT r, c, red, bnr, 270 + red / 40 + bnr / 200 AS t FROM pixels)", y: str = "pow(avg(pow(t, 4)), 25e-2)") -> str:
     k, fk, ck = (f"{t}{key}, " if key else "" for t in ("", "f.", "cells."))
     gk, lk, ak = (f" AND {x}.{key} = {y}.{key}" if key else "" for x, y in (("g", "f"), ("l", "f"), ("a", "cells")))
     on = f" USING ({key})" if key else " ON TRUE"
     weight = f"b AS (SELECT {k}quantile_cont(cv, 0.8) AS cut, min(1 / cv) AS lo, max(1 / cv) AS hi FROM v GROUP BY ALL)" if key else _WEIGHT
-    return f"""WITH {cells}, a AS (SELECT {k}CAST(floor(r / 2) AS BIGINT) AS r, CAST(floor(c / 2) AS BIGINT) AS c, avg(red) AS mr, avg(bnr) AS mb, stddev_pop(red) AS sr, stddev_pop(bnr) AS sb, pow(avg(pow(t, 4)), 25e-2) AS y FROM f GROUP BY ALL),
+    return f"""WITH {cells}, a AS (SELECT {k}CAST(floor(r / 2) AS BIGINT) AS r, CAST(floor(c / 2) AS BIGINT) AS c, avg(red) AS mr, avg(bnr) AS mb, stddev_pop(red) AS sr, stddev_pop(bnr) AS sb, {y} AS y FROM f GROUP BY ALL HAVING y IS NOT NULL),
 v AS (SELECT *, (sr / mr + sb / mb) / 2 AS cv FROM a WHERE (sr / mr + sb / mb) / 2 > 0 AND (sr / mr + sb / mb) / 2 < 1000), {weight},
 tr AS (SELECT {k}r, c, mr, mb, y, (1 / cv - lo) / (hi - lo) * CASE WHEN cv > cut THEN 5e-1 ELSE 1 END AS w FROM v JOIN b{on}),
 rows_ AS (SELECT *, unnest(range(CAST(greatest(0, floor((r - 1) / 5)) AS BIGINT), CAST(floor((r + 1) / 5) AS BIGINT) + 1)) AS wr FROM tr), both_ AS (SELECT *, unnest(range(CAST(greatest(0, floor((c - 1) / 5)) AS BIGINT), CAST(floor((c + 1) / 5) AS BIGINT) + 1)) AS wc FROM rows_),
@@ -150,6 +150,40 @@ def _(s: Source):
     return pipelines.et_pipeline(s.view("lst_obs"), _weather(s), _canopy(s), "2000-01-01", "2099-12-31")[1].select("pixel", R("et_median", 1), "n_days")
 
 
+#: Coarse cells of twelve a row, four composites eight days apart, and the nearest one of a day.
+_FINE = """f AS (SELECT near_days.day, p.r, p.c, red + k * ((p.r + p.c) % 3) AS red, bnr, lst AS t FROM pixels p JOIN near_days ON p.bnr >= 500 AND (p.r + p.c) % 9 <> 0 LEFT JOIN coarse g ON g.day = near_days.day AND g.r = CAST(floor(p.r / 2) AS BIGINT) AND g.c = CAST(floor(p.c / 2) AS BIGINT))"""
+_SHARP_ET = f"""WITH RECURSIVE {BEST_SCENES},
+coarse AS (SELECT *, CAST(floor(pixel / 12) AS BIGINT) AS r, CAST(pixel % 12 AS BIGINT) AS c FROM scenes),
+near_days AS (SELECT d.day, k FROM (SELECT DISTINCT day FROM coarse) d, range(4) s(k) WHERE abs(date_diff('day', DATE '2024-01-06' + CAST(8 * k AS INTEGER), d.day)) <= 4 QUALIFY row_number() OVER (PARTITION BY d.day ORDER BY abs(date_diff('day', DATE '2024-01-06' + CAST(8 * k AS INTEGER), d.day)), k) = 1),
+sharp AS ({_sharp("day", _FINE, "any_value(t)").replace("round(t + coalesce(e, 0), 4)", "t + coalesce(e, 0)")}),
+high AS (SELECT s.*, g.ts, g.vza, g.part, g.w0 - (g.w0 - g.w1) * g.part AS u, g.e0 - (g.e0 - g.e1) * g.part AS ea, g.s0 - (g.s0 - g.s1) * g.part AS s_dn, s_mean, 198 + s.r - (900 + s.c) / 9.80665e0 AS up, air FROM sharp s JOIN coarse g ON g.day = s.day AND g.r = CAST(floor(s.r / 2) AS BIGINT) AND g.c = CAST(floor(s.c / 2) AS BIGINT) JOIN means ON means.day = s.day),
+lines AS (SELECT (r * 100 + c) * 100000 + extract(year FROM day) % 100 * 1000 + extract(doy FROM day) AS id, r, c, day, t_sharp, s_mean, CAST(extract(doy FROM day) AS DOUBLE) AS doy, extract(hour FROM ts) + part AS hr, t_sharp AS t_r, air - 65e-4 * up AS t_a, u, ea, s_dn,
+ 0.5 + (7 * r + c) % 30 / 10e0 AS lai, 0.2 + c % 10 / 20e0 AS h_c, CAST(vza AS DOUBLE) AS vza, 0.8e0 AS f_c, 1013.25e0 * exp(ln(1 - 65e-4 * up / (air - 65e-4 * up)) * (9.80665e0 * 0.0289644e0 / 8.3144598e0 / 65e-4)) AS p FROM high),
+{balance_ctes("SELECT id, doy, hr, t_r, t_a, u, ea, s_dn, lai, h_c, vza, f_c, p FROM lines")}
+SELECT lines.r, lines.c, lines.day, round(lines.t_sharp, 4) AS t_sharp, CAST(flag AS INT) AS flag, CAST(steps AS INT) AS steps, CASE WHEN steps < {LAST} THEN round({ET_OF_LINES}, 2) + 0e0 END AS et FROM lines JOIN results USING (id) JOIN i9 USING (id)"""
+
+
+def _sharpened(s: Source):
+    cell = {"r": F.floor(F.col("pixel") / 12).cast("long"), "c": F.col("pixel") % 12}
+    fine = s.view("pixels").select("r", "c", "red", "bnr")
+    k = F.explode(F.sequence(F.lit(0), F.lit(3)))
+    composites = fine.withColumn("k", k).withColumns({"comp_date": F.date_add(F.lit("2024-01-06").cast("date"), 8 * F.col("k")), "red": F.col("red") + F.col("k") * ((F.col("r") + F.col("c")) % 3)})
+    canopy = fine.select("r", "c", (0.5 + (7 * F.col("r") + F.col("c")) % 30 / 10.0).alias("lai"), (0.2 + F.col("c") % 10 / 20.0).alias("h_c"))
+    ground = fine.select("r", "c", "bnr", ((F.col("r") + F.col("c")) % 9).alias("landcover"), (100.0 + F.col("r")).alias("dem"), (900.0 + F.col("c")).alias("geopot"))
+    obs = s.view("lst_obs").withColumns(cell).drop("pixel")
+    return pipelines.sharpened_et(obs, composites.drop("k"), 2, ["red", "bnr"], _weather(s), canopy, ground, block=5)
+
+
+@query("m8_sharpened_et", _SHARP_ET, "lst_obs met_hourly pixels")
+def _(s: Source):
+    """The whole chain: composites by day, water and land cover, sharpening of all days, terrain, balance; written by tile and day, and read back."""
+    et = _sharpened(s).withColumns({"tile": F.concat(F.lit("R"), F.floor(F.col("r") / 16), F.lit("C"), F.floor(F.col("c") / 16)), "date": F.col("day")})
+    path = fresh_path(s.spark, "et")
+    catalog.write_pixels(et, path)
+    back = s.spark.read.schema(et.schema).parquet(path)
+    return back.select("r", "c", "day", R("t_sharp"), "flag", "steps", F.when(F.col("steps") < LAST, rounded("et", 2)).alias("et"))
+
+
 def _stitched(band: str) -> str:
     """The band over the inner parts of all chips that are not empty there."""
     inner = "in_r BETWEEN 2 AND 11 AND in_c BETWEEN 2 AND 11"
