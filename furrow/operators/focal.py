@@ -121,35 +121,38 @@ def column_nearest(df: DataFrame, keys: list[str], source: str, carry: list[str]
 
 
 def row_nearest(row: np.ndarray, column: np.ndarray, gap: np.ndarray, from_r: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Squared distance to the nearest source of each cell of some rows, and which cell's column has it (-1: none).
+    """Squared distance to the nearest source of each wanted cell of some rows, and which cell's column has it (-1: none).
 
-    Second pass: cells meet their neighbours in the row at growing offsets, all at once,
-    until no offset can be nearer. Ties go to the least (row, column).
+    Second pass: the least of one parabola a source cell. Nearest sources keep the order of
+    the cells along a row, so the middle cell of a run parts its sources for both halves:
+    all runs of all rows are halved at once, and the work is cells times the logarithm of
+    a row's width, whatever the distances are. Ties go to the least (row, column).
     """
-    low, far = int(column.min()), np.int64(1) << 62
-    width = int(column.max()) - low + 1
-    line = (row - row.min()) * width
-    at = np.full(int(line.max()) + width, -1, np.int32)
-    at[line + column - low] = np.arange(len(column), dtype=np.int32)
-    d2 = np.where(np.isnan(gap), far, np.nan_to_num(gap).astype(np.int64) ** 2)
-    rows = np.nan_to_num(from_r).astype(np.int64)
-    best, origin = d2.copy(), np.where(d2 < far, np.arange(len(column)), -1)
-    todo = np.flatnonzero(wanted)
-    for step in range(1, width):
-        todo = todo[best[todo] >= step * step]
-        if not len(todo):
-            break
-        for side in (-step, step):
-            x = column[todo] - low + side
-            inside = (x >= 0) & (x < width)
-            me, other = todo[inside], at[line[todo[inside]] + x[inside]]
-            me, other = me[other >= 0], other[other >= 0]
-            new = np.minimum(d2[other], far - step * step) + step * step
-            mine = np.maximum(origin[me], 0)
-            # of equally near ones the upper, then the left
-            before = (rows[other] < rows[mine]) | ((rows[other] == rows[mine]) & (column[other] < column[mine]))
-            better = (d2[other] < far) & ((new < best[me]) | ((new == best[me]) & before))
-            best[me[better]], origin[me[better]] = new[better], other[better]
+    none = np.isnan(gap)
+    squares = np.where(none, 0, np.nan_to_num(gap)).astype(np.int64) ** 2
+    best, origin = np.where(none, np.int64(1) << 62, squares), np.where(none, -1, np.arange(len(column)))
+    in_order = np.lexsort((column, row))
+    source, asked = in_order[~none[in_order]], in_order[wanted[in_order]]
+    x, y, heights = column[asked].astype(np.int64), column[source].astype(np.int64), squares[source]
+    first = np.lexsort((y, from_r[source]))
+    rank = np.empty(len(source), np.int64)
+    rank[first] = np.arange(len(source))
+    lines = np.unique(row[asked])
+    runs = np.stack([np.searchsorted(row[some], lines, side) for some in (asked, source) for side in ("left", "right")])
+    last = np.int64(len(source))
+    while (runs := runs[:, (runs[0] < runs[1]) & (runs[2] < runs[3])]).shape[1]:
+        q_low, q_high, s_low, s_high = runs
+        middle, n = (q_low + q_high) // 2, s_high - s_low
+        start = np.cumsum(n) - n
+        run = np.repeat(np.arange(len(n)), n)
+        at = np.arange(len(run)) + (s_low - start)[run]
+        d2 = (x[middle][run] - y[at]) ** 2 + heights[at]
+        least = np.minimum.reduceat(d2, start)
+        tie = d2 == least[run]
+        left, right = np.minimum.reduceat(np.where(tie, at, last), start), np.maximum.reduceat(np.where(tie, at, -1), start)
+        best[asked[middle]] = least
+        origin[asked[middle]] = source[first[np.minimum.reduceat(np.where(tie, rank[at], last), start)]]
+        runs = np.concatenate([[q_low, middle, s_low, left + 1], [middle + 1, q_high, right, s_high]], axis=1)
     return best, origin
 
 

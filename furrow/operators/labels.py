@@ -7,6 +7,8 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from furrow.operators.focal import EIGHT, FOUR, column_nearest, row_nearest, spread
 from furrow.operators.graph import connected_components
@@ -146,13 +148,22 @@ def zonal(df: DataFrame, label: str) -> DataFrame:
 def field_iou(df: DataFrame, ref: str = "ref", pred: str = "pred", keys: list[str] = []) -> DataFrame:
     """Per reference field: best IoU over intersecting predictions with its id and overlaps, and the IoU of the prediction at its centroid."""
     pairs = df.groupBy(*keys, ref, pred).agg(F.count(F.lit(1)).alias("n"))
+    at = field_centres(df, ref, keys).join(df.select(*keys, "r", "c", F.col(pred).alias("centre_pred")), [*keys, "r", "c"], "left")
+    return pair_iou(pairs, at, ref, pred, keys)
+
+
+def field_centres(df: DataFrame, ref: str, keys: list[str] = []) -> DataFrame:
+    """(keys, ref, r, c): the cell of each field's mean row and column, which may lie outside the field."""
+    return df.filter(F.col(ref) != 0).groupBy(*keys, ref).agg(F.floor(F.avg("r")).cast("long").alias("r"), F.floor(F.avg("c")).cast("long").alias("c"))
+
+
+def pair_iou(pairs: DataFrame, at: DataFrame, ref: str, pred: str, keys: list[str]) -> DataFrame:
+    """field_iou from cell counts of (ref, pred) pairs, background 0 included, and the prediction at each field's centre."""
     size_a = pairs.groupBy(*keys, ref).agg(F.sum("n").alias("size_a"))
     size_b = pairs.groupBy(*keys, pred).agg(F.sum("n").alias("size_b"))
     scored = pairs.filter((F.col(ref) != 0) & (F.col(pred) != 0)).join(size_a, [*keys, ref]).join(size_b, [*keys, pred])
     scored = scored.withColumn("iou", F.col("n") / (F.col("size_a") + F.col("size_b") - F.col("n")))
     best = scored.groupBy(*keys, ref).agg(F.max(F.struct("iou", (-F.col(pred)).alias("m"), "n", "size_b")).alias("b"))
-    centre = df.filter(F.col(ref) != 0).groupBy(*keys, ref).agg(F.floor(F.avg("r")).cast("long").alias("r"), F.floor(F.avg("c")).cast("long").alias("c"))
-    at = centre.join(df.select(*keys, "r", "c", F.col(pred).alias("centre_pred")), [*keys, "r", "c"], "left")
     centre_iou = scored.select(*keys, ref, F.col(pred).alias("centre_pred"), F.col("iou").alias("centre_iou"))
     out = size_a.filter(F.col(ref) != 0).join(best, [*keys, ref], "left").join(at, [*keys, ref], "left").join(centre_iou, [*keys, ref, "centre_pred"], "left")
     return out.select(
@@ -164,11 +175,129 @@ def field_iou(df: DataFrame, ref: str = "ref", pred: str = "pred", keys: list[st
         F.coalesce("centre_iou", F.lit(0.0)).alias("centre_iou"),
         F.col("r").alias("centre_r"),
         F.col("c").alias("centre_c"),
+        "centre_pred",
         (F.col("b.n") / F.col("b.size_b")).alias("ratio_pred"),
         (F.col("b.n") / F.col("size_a")).alias("ratio_true"),
     )
 
 
+def _steps_of(key: np.ndarray, steps: list[tuple[int, int]]) -> tuple[np.ndarray, np.ndarray]:
+    """Neighbours, as positions, among sorted cell keys."""
+    a, b = [], []
+    for i, j in steps:
+        want = key + i * _WIDTH + j
+        at = np.minimum(np.searchsorted(key, want), len(key) - 1)
+        hit = key[at] == want
+        a.append(np.flatnonzero(hit))
+        b.append(at[hit])
+    return np.concatenate(a), np.concatenate(b)
+
+
+def level_labels(key: np.ndarray, extent: np.ndarray, boundary: np.ndarray, t_ext: list[float], t_bound: list[float], steps: list[tuple[int, int]]) -> np.ndarray:
+    """(len(t_bound) * len(t_ext), cells): one more than the least key of each cell's component at each pair of thresholds, 0 outside.
+
+    A component tree a boundary threshold: extents are let in from the highest threshold
+    down, components only grow and merge, and each level starts from the one before.
+    Keys are sorted, t_ext ascends.
+    """
+    a, b = _steps_of(key, steps)
+    out = np.zeros((len(t_bound) * len(t_ext), len(key)), np.int64)
+    with np.errstate(invalid="ignore"):
+        for j, bound in enumerate(t_bound):
+            root = np.arange(len(key))
+            for i in range(len(t_ext) - 1, -1, -1):
+                inside = (extent >= t_ext[i]) & (boundary < bound)
+                live = inside[a] & inside[b]
+                x, y = root[a[live]], root[b[live]]
+                while len(differ := np.flatnonzero(x != y)):  # only what meets for the first time at this level
+                    x, y = x[differ], y[differ]
+                    low = np.minimum(x, y)
+                    np.minimum.at(root, x, low)
+                    np.minimum.at(root, y, low)
+                    while not np.array_equal(root, up := root[root]):
+                        root = up
+                    x, y = root[x], root[y]
+                out[j * len(t_ext) + i] = np.where(inside, key[root] + 1, 0)
+    return out
+
+
+_FOUND = T.StructType([T.StructField(n, T.LongType()) for n in ("tr", "tc", "br", "bc", "r", "c", "ref", "label", "n")] + [T.StructField("kind", T.IntegerType()), T.StructField("point", T.IntegerType()), T.StructField("labels", T.ArrayType(T.LongType()))])
+
+
+def grid_search_iou(df: DataFrame, t_ext: list[float], t_bound: list[float], tile: int, ref: str = "ref", extent: str = "extent", boundary: str = "boundary", connectivity: int = 4, block: int = BLOCK) -> DataFrame:
+    """field_iou of the segmentation at every pair of thresholds, tile by tile: 13 columns a reference field.
+
+    Fields are components (W8) inside tiles of tile x tile cells; their ids are one more than the
+    least cell key. Each block of cells is read once: its component trees give the labels of all
+    pairs of thresholds, of which only pair counts, the block's rim and the fields' centres
+    leave the task. Labels that touch along blocks of a tile are merged in one graph for all
+    thresholds. NULL references count as background, NULL values as outside.
+    """
+    low, bounds = sorted({float(t) for t in t_ext}), sorted({float(t) for t in t_bound})
+    block = max(k for k in range(1, min(tile, block) + 1) if tile % k == 0)
+    steps = [s for s in (FOUR if connectivity == 4 else EIGHT) if s > (0, 0)]
+    cells = df.select(F.col("r").cast("long"), F.col("c").cast("long"), F.coalesce(F.col(ref).cast("long"), F.lit(0)).alias("ref"), F.col(extent).cast("double").alias("extent"), F.col(boundary).cast("double").alias("boundary"))
+    places = {n: F.floor(F.col(k) / size).cast("long") for n, k, size in (("tr", "r", tile), ("tc", "c", tile), ("br", "r", block), ("bc", "c", block))}
+    cells = cells.withColumns(places)
+    centres = materialise(field_centres(cells, "ref", ["tr", "tc"]), "centres")
+    asked = centres.select("r", "c").distinct().withColumns(places).select("br", "bc", "r", "c")
+
+    schema = to_arrow_schema(_FOUND)
+
+    def run(frame: pa.Table, wanted: pa.Table) -> pa.Table:
+        def rows(size: int, **columns) -> pa.Table:
+            return pa.table([pa.array(columns[f.name], f.type) if f.name in columns else pa.nulls(size, f.type) for f in schema], schema=schema)
+
+        def there(table: pa.Table) -> np.ndarray:
+            return table.column("r").to_numpy() * _WIDTH + table.column("c").to_numpy()
+
+        if not frame.num_rows:
+            return rows(0)
+        order = np.argsort(there(frame))
+        frame = frame.take(order)
+        key = there(frame)
+        r, c, refs = (frame.column(k).to_numpy() for k in ("r", "c", "ref"))
+        extent_, boundary_ = (np.asarray(frame.column(k).to_numpy(), float) for k in ("extent", "boundary"))
+        labels = level_labels(key, extent_, boundary_, low, bounds, steps)
+        places = {k: frame.column(k)[0].as_py() for k in ("tr", "tc", "br", "bc")}
+        out = []
+        for point, row in enumerate(labels):
+            both, n = np.unique(np.stack([refs, row]), axis=1, return_counts=True)
+            kept = both.any(axis=0)
+            m = int(kept.sum())
+            out.append(rows(m, kind=[0] * m, point=[point] * m, ref=both[0, kept], label=both[1, kept], n=n[kept], **{k: [v] * m for k, v in places.items()}))
+        edge = np.flatnonzero(np.isin(r % block, (0, block - 1)) | np.isin(c % block, (0, block - 1))) if block < tile else np.zeros(0, int)
+        middle = np.flatnonzero(np.isin(key, there(wanted)))
+        for kind, at in ((1, edge), (2, middle)):
+            m = len(at)
+            out.append(rows(m, kind=[kind] * m, r=r[at], c=c[at], labels=list(labels[:, at].T), **{k: [v] * m for k, v in places.items()}))
+        return pa.concat_tables(out)
+
+    found = materialise(cells.groupBy("br", "bc").cogroup(asked.groupBy("br", "bc")).applyInArrow(run, _FOUND), "levels")
+    node = lambda label: F.struct(F.col("point"), F.col(label).alias("label"))
+    counts = found.filter("kind = 0").select("tr", "tc", "point", "ref", "label", "n")
+    centre = found.filter("kind = 2").select("tr", "tc", "r", "c", F.posexplode("labels").alias("point", "label"))
+    if block < tile:
+        rim = found.filter("kind = 1").select("tr", "tc", "br", "bc", "r", "c", "labels")
+        beside = spread(rim, steps, {"others": "labels", "fr": "br", "fc": "bc", "gr": "tr", "gc": "tc"})
+        touching = beside.join(rim, ["r", "c"]).filter("tr = gr AND tc = gc AND (br <> fr OR bc <> fc)").select(F.posexplode(F.arrays_zip("labels", "others")).alias("point", "x"))
+        pairs = touching.select("point", "x.labels", "x.others").filter("labels <> 0 AND others <> 0").select(node("labels").alias("a"), node("others").alias("b"))
+        merged = materialise(connected_components(pairs.distinct()).select("node.point", "node.label", F.col("component.label").alias("least")), "merged")
+        counts, centre = (d.join(merged, ["point", "label"], "left").withColumn("label", F.coalesce("least", "label")).drop("least") for d in (counts, centre))
+    keys = ["tr", "tc", "point"]
+    pairs = counts.groupBy(*keys, "ref", F.col("label").alias("pred")).agg(F.sum("n").alias("n"))
+    points = F.explode(F.sequence(F.lit(0), F.lit(len(low) * len(bounds) - 1)))
+    at = centres.withColumn("point", points).join(centre.withColumnRenamed("label", "centre_pred"), [*keys, "r", "c"], "left")
+    scored = pair_iou(pairs, at, "ref", "pred", keys)
+    value = lambda some, i: F.get(F.array(*(F.lit(t) for t in some)), i)
+    return scored.select(
+        F.concat_ws("_", F.col("tr") * tile, F.col("tc") * tile).alias("row_col_start"),
+        value(low, F.col("point") % len(low)).alias("t_ext"),
+        value(bounds, F.floor(F.col("point") / len(low)).cast("int")).alias("t_bound"),
+        *(c for c in scored.columns if c not in keys),
+    )
+
+
 def border_distance(df: DataFrame, label: str) -> DataFrame:
     """(r, c, label, dist): distance of each field cell to the nearest cell of another label over the field's largest; a one-cell field has 1.
 

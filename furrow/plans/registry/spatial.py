@@ -113,20 +113,31 @@ def _(s: Source):
     return labels.merge_tiles(s.view("labels2").select("r", "c", "ref"), "ref", 20)
 
 
+T_EXT, T_BOUND = [0.3 + 0.05 * i for i in range(9)], [0.25 + 0.05 * i for i in range(9)]
+_POINTS = ", ".join(f"({x!r}e0, {y!r}e0)" for x in T_EXT for y in T_BOUND)
+
+
 @query(
     "a11_grid_search",
-    """WITH g AS (SELECT * FROM (VALUES (0.4, 0.4), (0.45, 0.42)) g(t_ext, t_bound)),
-l AS (SELECT t_ext, t_bound, r, c, ref, CASE WHEN extent >= t_ext AND boundary < t_bound THEN pred ELSE 0 END AS pred FROM labels2 JOIN pixels USING (r, c), g),
-p AS (SELECT t_ext, t_bound, ref, pred, count(*) AS n FROM l GROUP BY ALL), a AS (SELECT t_ext, t_bound, ref, sum(n) AS sa FROM p GROUP BY ALL), b AS (SELECT t_ext, t_bound, pred, sum(n) AS sb FROM p GROUP BY ALL),
-s AS (SELECT t_ext, t_bound, ref, pred, n, sb, n / (sa + sb - n) AS iou FROM p JOIN a USING (t_ext, t_bound, ref) JOIN b USING (t_ext, t_bound, pred) WHERE ref <> 0 AND pred <> 0)
-SELECT CAST(a.t_ext AS DOUBLE) AS t_ext, CAST(a.t_bound AS DOUBLE) AS t_bound, a.ref, CAST(any_value(sa) AS BIGINT) AS field_size, round(coalesce(max(iou), 0), 6) AS max_iou FROM a LEFT JOIN s USING (t_ext, t_bound, ref) WHERE a.ref <> 0 GROUP BY 1, 2, 3""",
-    "labels2",
+    f"""WITH RECURSIVE g AS (SELECT * FROM (VALUES {_POINTS}) g(t_ext, t_bound)), z AS (SELECT r, c, CAST(floor(r / 20) AS BIGINT) AS tr, CAST(floor(c / 20) AS BIGINT) AS tc, ref, extent, boundary FROM labels2 JOIN pixels USING (r, c)),
+n AS (SELECT t_ext, t_bound, tr, tc, r, c, r * 4294967296 + c + 1 AS k FROM z, g WHERE extent >= t_ext AND boundary < t_bound),
+e AS (SELECT t_ext, t_bound, a.k AS a, b.k AS b FROM n a JOIN n b USING (t_ext, t_bound, tr, tc) WHERE abs(a.r - b.r) + abs(a.c - b.c) = 1),
+w(t_ext, t_bound, k, m) AS (SELECT t_ext, t_bound, k, k FROM n UNION SELECT e.t_ext, e.t_bound, e.b, w.m FROM w JOIN e ON w.t_ext = e.t_ext AND w.t_bound = e.t_bound AND w.k = e.a WHERE w.m < e.b),
+f AS (SELECT t_ext, t_bound, k, min(m) AS pred FROM w GROUP BY ALL), l AS (SELECT g.t_ext, g.t_bound, z.*, coalesce(pred, 0) AS pred FROM z CROSS JOIN g LEFT JOIN f ON f.t_ext = g.t_ext AND f.t_bound = g.t_bound AND f.k = r * 4294967296 + c + 1),
+p AS (SELECT t_ext, t_bound, tr, tc, ref, pred, count(*) AS n FROM l GROUP BY ALL), a AS (SELECT t_ext, t_bound, tr, tc, ref, CAST(sum(n) AS BIGINT) AS sa FROM p GROUP BY ALL), b AS (SELECT t_ext, t_bound, tr, tc, pred, CAST(sum(n) AS BIGINT) AS sb FROM p GROUP BY ALL),
+s AS (SELECT p.*, sa, sb, n / (sa + sb - n) AS iou FROM p JOIN a USING (t_ext, t_bound, tr, tc, ref) JOIN b USING (t_ext, t_bound, tr, tc, pred) WHERE ref <> 0 AND pred <> 0),
+best AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY t_ext, t_bound, tr, tc, ref ORDER BY iou DESC, pred) = 1),
+m AS (SELECT tr, tc, ref, CAST(floor(avg(r)) AS BIGINT) AS r, CAST(floor(avg(c)) AS BIGINT) AS c FROM z WHERE ref <> 0 GROUP BY ALL)
+SELECT (a.tr * 20) || '_' || (a.tc * 20) AS row_col_start, a.t_ext, a.t_bound, CAST(a.ref AS BIGINT) AS ref, a.sa AS field_size, round(coalesce(best.iou, 0), 6) AS max_iou, best.pred AS best_pred, round(coalesce(s.iou, 0), 6) AS centre_iou, m.r AS centre_r, m.c AS centre_c, l.pred AS centre_pred, round(best.n / best.sb, 6) AS ratio_pred, round(best.n / a.sa, 6) AS ratio_true
+FROM a JOIN m ON m.tr = a.tr AND m.tc = a.tc AND m.ref = a.ref LEFT JOIN best ON best.t_ext = a.t_ext AND best.t_bound = a.t_bound AND best.tr = a.tr AND best.tc = a.tc AND best.ref = a.ref
+LEFT JOIN l ON l.t_ext = a.t_ext AND l.t_bound = a.t_bound AND l.r = m.r AND l.c = m.c LEFT JOIN s ON s.t_ext = a.t_ext AND s.t_bound = a.t_bound AND s.tr = a.tr AND s.tc = a.tc AND s.ref = a.ref AND s.pred = l.pred""",
+    "labels2 pixels",
 )
 def _(s: Source):
-    grid = s.spark.createDataFrame([(0.4, 0.4), (0.45, 0.42)], "t_ext double, t_bound double")
-    cells = scoring.cross_grid(s.view("labels2").join(s.view("pixels"), ["r", "c"]), grid)
-    cut = cells.withColumn("pred", F.when((F.col("extent") >= F.col("t_ext")) & (F.col("boundary") < F.col("t_bound")), F.col("pred")).otherwise(0))
-    return labels.field_iou(cut, keys=["t_ext", "t_bound"]).select("t_ext", "t_bound", "ref", "field_size", R("max_iou"))
+    """Nine by nine thresholds in tiles of 20 cells, each of four blocks."""
+    cells = s.view("labels2").select("r", "c", "ref").join(s.view("pixels"), ["r", "c"])
+    found = labels.grid_search_iou(cells, T_EXT, T_BOUND, 20, block=10)
+    return found.withColumns({c: rounded(c, 6) for c in ("max_iou", "centre_iou", "ratio_pred", "ratio_true")})
 
 
 @query(

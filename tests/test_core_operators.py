@@ -461,3 +461,65 @@ def test_decile_draws_are_not_in_ten_tasks(spark):
     assert drawn.groupBy("bin").count().filter("count <> 200").count() == 0 and drawn.count() == 2000
     plan = drawn._jdf.queryExecution().optimizedPlan().toString()
     assert "row_number() windowspecdefinition(_part" in plan and "row_number() windowspecdefinition(bin" not in plan
+
+
+def test_nearest_sources_take_no_longer_when_far(spark):
+    """One source in a wide row costs what a full row costs; distances and ties are those of a full search."""
+    import time
+
+    rng = np.random.default_rng(2)
+    for n, share in ((60, 0.5), (60, 0.05), (1, 1.0), (90, 0.9)):
+        row, column = np.repeat([3, 5, 9], n), np.tile(rng.permutation(n * 2)[:n], 3)
+        gap = np.where(rng.random(3 * n) < share, rng.integers(0, 6, 3 * n).astype(float), np.nan)
+        from_r = row - gap * rng.choice([-1, 1], 3 * n)
+        d2, origin = focal.row_nearest(row, column, gap, from_r, np.ones(3 * n, bool))
+        for i in range(3 * n):
+            found = [((column[i] - column[j]) ** 2 + gap[j] ** 2, from_r[j], column[j], j) for j in range(3 * n) if row[j] == row[i] and not np.isnan(gap[j])]
+            assert (d2[i], origin[i]) == ((min(found)[0], min(found)[3]) if found else (1 << 62, -1))
+    width, took = 4000, {}
+    for name, filled in (("full", width), ("one", 1)):
+        row, column = np.repeat(np.arange(50), width), np.tile(np.arange(width), 50)
+        gap = np.where(column < filled, 2.0, np.nan)
+        began = time.perf_counter()
+        d2, _ = focal.row_nearest(row, column, gap, row - 2.0, np.ones(len(row), bool))
+        took[name] = time.perf_counter() - began
+    assert (d2 == column.astype(np.int64) ** 2 + 4).all() and took["one"] < 3 * took["full"]
+
+
+@pytest.mark.parametrize("tile, block, connectivity", [(8, 4, 8), (8, 8, 4), (6, 2, 4)])
+def test_grid_search_equals_labels_of_each_point(spark, tile, block, connectivity):
+    rng = random.Random(tile * block)
+    side = 16
+    values = {(r, c): (rng.choice([None, 0.2, 0.4, 0.4, 0.6, 0.8]), rng.choice([0.1, 0.3, 0.5]), rng.choice([None, 0, 1, 1, 2, 3])) for r in range(side) for c in range(side) if rng.random() < 0.9}
+    df = spark.createDataFrame([(r, c, *v) for (r, c), v in values.items()], "r int, c int, extent double, boundary double, ref int").repartition(3)
+    got = {(x.row_col_start, x.t_ext, x.t_bound, x.ref): x for x in labels.grid_search_iou(df, [0.4, 0.3, 0.8], [0.2, 0.6], tile, connectivity=connectivity, block=block).collect()}
+    steps = focal.FOUR if connectivity == 4 else focal.EIGHT
+    n = 0
+    for t_ext in (0.3, 0.4, 0.8):
+        for t_bound in (0.2, 0.6):
+            for tr in range(0, side, tile):
+                for tc in range(0, side, tile):
+                    here = {k: v for k, v in values.items() if tr <= k[0] < tr + tile and tc <= k[1] < tc + tile}
+                    inside = {k for k, (e, b, _) in here.items() if e is not None and e >= t_ext and b < t_bound}
+                    label = dict.fromkeys(here, 0)
+                    for seed in sorted(inside):
+                        todo = [seed] if not label[seed] else []
+                        while todo:
+                            r, c = todo.pop()
+                            if not label[r, c]:
+                                label[r, c] = seed[0] * (1 << 32) + seed[1] + 1
+                                todo += [(r + i, c + j) for i, j in steps if (r + i, c + j) in inside]
+                    for ref in {v[2] for v in here.values() if v[2]}:
+                        own = [k for k, v in here.items() if v[2] == ref]
+                        iou = {}
+                        for p in {label[k] for k in own} - {0}:
+                            both, size = sum(label[k] == p for k in own), sum(x == p for x in label.values())
+                            iou[p] = (both / (len(own) + size - both), both / size, both / len(own))
+                        best = max(iou, key=lambda p: (iou[p][0], -p), default=None)
+                        centre = (sum(k[0] for k in own) // len(own), sum(k[1] for k in own) // len(own))
+                        at = label.get(centre)
+                        x = got[f"{tr}_{tc}", t_ext, t_bound, ref]
+                        want = (len(own), iou[best][0] if best else 0.0, best, iou[at][0] if at in iou else 0.0, *centre, at, *(iou[best][1:] if best else (None, None)))
+                        assert (x.field_size, x.max_iou, x.best_pred, x.centre_iou, x.centre_r, x.centre_c, x.centre_pred, x.ratio_pred, x.ratio_true) == want
+                        n += 1
+    assert len(got) == n > 50
