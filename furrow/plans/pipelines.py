@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+from pyspark import Accumulator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from furrow.functions import formulas
 from furrow.operators import composite, grids, labels, masks, sampling, scoring, temporal, vectors
@@ -16,21 +20,75 @@ from furrow.plans.sharpen import sharpen
 from furrow.session import materialise
 
 
-def infer_chips(cells: DataFrame, channels: list[str], size: int, predict: Callable[[np.ndarray], np.ndarray], bands: list[str]) -> DataFrame:
-    """Apply `predict`, from (channel, size, size) to (band, size, size), to every chip of exploded cells.
+#: The predictor that a worker process holds, by the broadcast that its model came in.
+_OPENED: dict[object, Callable[[np.ndarray], np.ndarray]] = {}
 
-    One group a chip, so a task holds one chip; missing cells are NaN going in. Gives
-    row_start, col_start, in_r, in_c and the bands.
-    """
-    schema = "row_start long, col_start long, in_r long, in_c long, " + ", ".join(f"{b} double" for b in bands)
 
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        image = np.full((len(channels), size, size), np.nan)
-        image[:, frame.in_r, frame.in_c] = frame[channels].to_numpy(float).T
-        found = predict(image)[:, frame.in_r, frame.in_c]
-        return frame[["row_start", "col_start", "in_r", "in_c"]].assign(**dict(zip(bands, found)))
+def infer_chips(
+    cells: DataFrame,
+    channels: list[str],
+    size: int,
+    predict: Callable[[np.ndarray], np.ndarray] | None,
+    bands: list[str],
+    model: bytes | None = None,
+    load: Callable[[bytes], Callable[[np.ndarray], np.ndarray]] | None = None,
+    batch: int = 16,
+    loads: Accumulator | None = None,
+) -> DataFrame:
+    """Predicted bands of every chip of exploded cells: row_start, col_start, in_r, in_c and the bands.
 
-    return cells.select("row_start", "col_start", "in_r", "in_c", *channels).groupBy("row_start", "col_start").applyInPandas(run, schema)
+    Either `predict` maps a chip's (channel, size, size) to (band, size, size), or `load`
+    makes of the bytes of a model a predictor of batches, (chip, channel, size, size) to
+    (chip, band, size, size). The bytes are broadcast once and opened once a worker
+    process (counted in `loads`); a task holds `batch` chips at a time. Missing cells are
+    NaN going in, and have no row coming out.
+    """
+    sent = None if model is None else cells.sparkSession.sparkContext.broadcast(model)
+    chip, place = ["row_start", "col_start"], ["in_r", "in_c"]
+    schema = T.StructType([*(T.StructField(k, T.LongType()) for k in (*chip, *place)), *(T.StructField(b, T.DoubleType()) for b in bands)])
+
+    def opened() -> Callable[[np.ndarray], np.ndarray]:
+        if sent is None:
+            return lambda images: np.stack([predict(image) for image in images])
+        key = (sent._path, len(sent.value))
+        if key not in _OPENED:
+            _OPENED.clear()
+            _OPENED[key] = load(sent.value)
+            if loads is not None:
+                loads.add(1)
+        return _OPENED[key]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model_of, arrow = opened(), to_arrow_schema(schema)
+
+        def predicted(frame: pd.DataFrame) -> pa.RecordBatch:
+            number = frame["chip"].to_numpy()
+            number = number - number[0]
+            r, c = (frame[k].to_numpy() for k in place)
+            images = np.full((number[-1] + 1, len(channels), size, size), np.nan)
+            images[number, :, r, c] = frame[channels].to_numpy(float)
+            found = model_of(images)[number, :, r, c]
+            columns = [*(frame[k].to_numpy() for k in (*chip, *place)), *found.T.astype(float)]
+            return pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(columns, arrow, strict=True)], schema=arrow)
+
+        left = None
+        for some in batches:
+            frame = some.to_pandas()
+            if not len(frame):
+                continue
+            frame = frame if left is None else pd.concat([left, frame], ignore_index=True)
+            new = (frame[chip].diff().fillna(0) != 0).any(axis=1)
+            frame["chip"] = new.cumsum()
+            while int(frame["chip"].iloc[-1]) - int(frame["chip"].iloc[0]) >= batch:
+                stop = int(frame["chip"].iloc[0]) + batch
+                yield predicted(frame[frame["chip"] < stop])
+                frame = frame[frame["chip"] >= stop]
+            left = frame.drop(columns="chip")
+        if left is not None:
+            yield predicted(left.assign(chip=(left[chip].diff().fillna(0) != 0).any(axis=1).cumsum()))
+
+    dealt = cells.select(*(F.col(k).cast("long").alias(k) for k in (*chip, *place)), *channels).repartition(*chip).sortWithinPartitions(*chip)
+    return dealt.mapInArrow(run, schema)
 
 
 def field_pipeline(cells: DataFrame, n_rows: int, n_cols: int, channels: list[str], predict: Callable, size: int, overlap: int, t_ext: float, t_bound: float, cell: float, reference: DataFrame | None = None) -> tuple[DataFrame, DataFrame | None]:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 import numpy as np
 from pyspark.sql import functions as F
 
@@ -131,6 +133,21 @@ def _(s: Source):
     return pipelines.infer_chips(chips, ["extent", "boundary"], 14, contrast, ["extent", "boundary"]).select("row_start", "col_start", "in_r", "in_c", R("extent"), R("boundary"))
 
 
+def mixing(model: bytes):
+    """Opens a model of band weights a channel, written as JSON: a predictor of batches of chips."""
+    weights = np.array(json.loads(model), float)
+    return lambda images: np.einsum("bc,nchw->nbhw", weights, np.nan_to_num(images))
+
+
+@query("m7_infer_model", f"SELECT row_start, col_start, in_r, in_c, round(0.75e0 * extent + 0.25e0 * boundary, 4) AS extent, round(boundary, 4) AS boundary, round(extent - 0.5e0 * boundary, 4) AS distance FROM ({_CHIPS})", "pixels")
+def _(s: Source):
+    """Three bands of a model that travels as bytes, five chips at a time."""
+    chips = grids.explode_to_chips(s.view("pixels").select("r", "c", "extent", "boundary"), 40, 40, 14, 4)
+    model = json.dumps([[0.75, 0.25], [0.0, 1.0], [1.0, -0.5]]).encode()
+    found = pipelines.infer_chips(chips, ["extent", "boundary"], 14, None, ["extent", "boundary", "distance"], model=model, load=mixing, batch=5)
+    return found.select("row_start", "col_start", "in_r", "in_c", R("extent"), R("boundary"), R("distance"))
+
+
 def _weather(s: Source):
     return s.view("met_hourly").withColumn("ea", 8 + F.col("u100"))
 

@@ -523,3 +523,21 @@ def test_grid_search_equals_labels_of_each_point(spark, tile, block, connectivit
                         assert (x.field_size, x.max_iou, x.best_pred, x.centre_iou, x.centre_r, x.centre_c, x.centre_pred, x.ratio_pred, x.ratio_true) == want
                         n += 1
     assert len(got) == n > 50
+
+
+def test_models_are_opened_once_a_worker(spark):
+    """Chips in batches of any size give the same bands; the model's bytes are opened at most once a worker process."""
+    from furrow.operators import grids
+    from furrow.plans.registry.products import mixing
+
+    df = spark.createDataFrame([(r, c, float(r), float(c) if r % 3 else None) for r in range(30) for c in range(30) if (r + c) % 7], "r long, c long, a double, b double").repartition(8)
+    chips = grids.explode_to_chips(df, 30, 30, 8, 2)
+    results = []
+    for batch in (1, 3, 1000):
+        loads = spark.sparkContext.accumulator(0)
+        out = pipelines.infer_chips(chips, ["a", "b"], 8, None, ["x", "y", "z"], model=f"[[1, 0], [0, 1], [2, {batch / batch}]]".encode(), load=mixing, batch=batch, loads=loads)
+        results.append(sorted(tuple(r) for r in out.collect()))
+        assert 1 <= loads.value <= 4  # local[4]
+    assert results[0] == results[1] == results[2] and len(results[0]) == chips.count()
+    assert all(z == 2 * x + y for *_, x, y, z in results[0])
+    assert pipelines.infer_chips(chips.limit(0), ["a", "b"], 8, lambda image: image, ["x", "y"]).count() == 0
