@@ -19,6 +19,7 @@ from pyspark.sql import types as T
 
 from furrow.operators.grids import CELL, aggregate_to_grid, assign_windows, resample_bilinear, with_cv
 from furrow.operators.sampling import group_quantiles, ranked
+from furrow.plans.tree import fit_tree, leaf_of, leaf_value
 from furrow.session import materialise
 
 #: Training cells that a window needs for a model of its own.
@@ -106,17 +107,24 @@ def _models(cells: DataFrame, keys: list[str], local: DataFrame, whole: DataFram
     return windows.join(_named(whole, keys, "_global"), keys).join(_named(local, [*keys, "win_r", "win_c"], "_local"), [*keys, "win_r", "win_c"], "left")
 
 
-def _linear_predictions(cells: DataFrame, keys: list[str], windows: DataFrame, rows: DataFrame, predictors: list[str], fit: Callable) -> DataFrame:
+def _linear_predictions(cells: DataFrame, keys: list[str], windows: DataFrame, rows: DataFrame, predictors: list[str], fit: Callable, depth: int) -> DataFrame:
     """cells with t_local and t_global of linear models, in generated code; models and cells meet by scene and window."""
     place = [*keys, "win_r", "win_c"]
-    models = _models(cells, keys, fit(windows, predictors, place), fit(rows, predictors, keys))
+    if depth:
+        blocks = {f"_b{k}": F.floor(F.col(k) / _BLOCK) for k in CELL}
+        whole = fit_tree(rows, predictors, keys, lambda some, table: _attached(some, keys, blocks, table).drop(*blocks), fit, depth, least=LEAST_CELLS)
+    else:
+        whole = fit(rows, predictors, keys)
+    models = _models(cells, keys, fit(windows, predictors, place), whole)
     x = F.array(F.lit(1.0), *(F.col(p) for p in predictors))
 
     def clipped(tail: str) -> Column:
         value = F.aggregate(F.zip_with(x, "beta" + tail, lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v)
         return F.greatest(F.least(value, F.col("hi" + tail)), F.col("lo" + tail))
 
-    return cells.join(models, place).withColumns({"t_local": F.when(F.col("beta_local").isNotNull(), clipped("_local")), "t_global": clipped("_global")})
+    plain = F.array(*predictors)
+    everywhere = leaf_value("leaves_global", leaf_of("splits_global", plain, depth), plain) if depth else clipped("_global")
+    return cells.join(models, place).withColumns({"t_local": F.when(F.col("beta_local").isNotNull(), clipped("_local")), "t_global": everywhere})
 
 
 def _model_predictions(cells: DataFrame, keys: list[str], windows: DataFrame, rows: DataFrame, predictors: list[str], regressor: Regressor, least: int, most_rows: int) -> DataFrame:
@@ -176,6 +184,7 @@ def sharpen(
     regressor: Regressor | None = None,
     most_rows: int = 200_000,
     keys: list[str] = [],
+    depth: int = 0,
 ) -> DataFrame:
     """(keys, r, c, t_sharp) of every fine cell with all predictors.
 
@@ -188,7 +197,8 @@ def sharpen(
     coarse residuals; the blend's own coarse residual is added back bilinearly. Models
     are linear (`fit` gives their betas from training rows, grouped by the columns named), or
     any `regressor` with fit and predict over arrays: trees, rules, networks. Its global
-    model is fitted on at most most_rows training rows of a scene.
+    model is fitted on at most most_rows training rows of a scene. With a depth, the global
+    model of `fit` is a regression tree of that depth with linear leaves.
     """
     by = keys or ONE
     rows = _scene(training_rows(fine, coarse, factor, predictors, temperature, keys=keys), by)
@@ -198,7 +208,7 @@ def sharpen(
     step = factor * window
     at = ready.select(*by, "r", "c", *predictors).withColumns({"win_r": F.floor(F.col("r") / step).cast("int"), "win_c": F.floor(F.col("c") / step).cast("int")})
     windows = assign_windows(rows, window, margin)
-    both = _linear_predictions(at, by, windows, rows, predictors, fit) if regressor is None else _model_predictions(at, by, windows, rows, predictors, regressor, LEAST_CELLS, most_rows)
+    both = _linear_predictions(at, by, windows, rows, predictors, fit, depth) if regressor is None else _model_predictions(at, by, windows, rows, predictors, regressor, LEAST_CELLS, most_rows)
     # written once: means, blend and residual all read the predictions
     cells = materialise(both.select(*by, "r", "c", "t_local", "t_global", *((F.floor(F.col(k) / factor)).cast("long").alias(f"b{k}") for k in CELL)), "predicted")
     fourth = lambda c: F.col(c) * F.col(c) * F.col(c) * F.col(c)

@@ -541,3 +541,49 @@ def test_models_are_opened_once_a_worker(spark):
     assert results[0] == results[1] == results[2] and len(results[0]) == chips.count()
     assert all(z == 2 * x + y for *_, x, y, z in results[0])
     assert pipelines.infer_chips(chips.limit(0), ["a", "b"], 8, lambda image: image, ["x", "y"]).count() == 0
+
+
+def _stump(x, y, w, bins, least):
+    """Best first split by a full search: predictor and threshold."""
+    best = None
+    for f in range(x.shape[1]):
+        for t in np.quantile(x[:, f], np.arange(1, bins) / bins):
+            left = x[:, f] <= t
+            if left.sum() >= least and (~left).sum() >= least:
+                score = sum(np.sum(w[s] * y[s]) ** 2 / np.sum(w[s]) for s in (left, ~left))
+                if best is None or score > best[0] + 1e-9:
+                    best = score, f, t
+    return best[1:]
+
+
+def test_trees_find_pieces_that_a_line_misses(spark):
+    """Two scenes that are linear in pieces: the tree's first splits are those of a full search, and the sharpened cells are right where one ridge is far off."""
+    from furrow.plans import tree
+
+    rng = np.random.default_rng(4)
+    rows, low, truth = [], [], {}
+    for day in range(2):
+        x = rng.uniform(0, 1, (48, 48, 2)).repeat(2, 0).repeat(2, 1)
+        a, b = x[..., day], x[..., 1 - day]
+        t = np.where(a <= 0.5, 300 - 10 * b, 270 + 20 * b)
+        x, t = x + rng.normal(0, 1e-4, x.shape), t
+        rows += [(day, r, c, float(x[r, c, 0]), float(x[r, c, 1])) for r in range(96) for c in range(96)]
+        coarse = (t**4).reshape(48, 2, 48, 2).mean(axis=(1, 3)) ** 0.25
+        low += [(day, r, c, float(coarse[r, c])) for r in range(48) for c in range(48)]
+        truth[day] = t
+    fine, coarse = spark.createDataFrame(rows, "day int, r long, c long, p double, q double"), spark.createDataFrame(low, "day int, r long, c long, lst double")
+    train = sharpen.training_rows(fine, coarse, 2, ["p", "q"], "lst", keys=["day"]).cache()
+    attach = lambda some, table: some.join(table, "day")
+    grown = {m.day: m for m in tree.fit_tree(train, ["p", "q"], ["day"], attach, sharpen.fit_linear, depth=2, bins=16).collect()}
+    for day in truth:
+        some = train.filter(F.col("day") == day).toPandas()
+        feature, threshold = _stump(some[["mean_p", "mean_q"]].to_numpy(), some.y.to_numpy(), some.w.to_numpy(), 16, 10)
+        first = grown[day].splits[1]
+        assert first.feature == feature == day and abs(first.threshold - threshold) < 1e-9
+        assert set(grown[day].leaves) == {4, 5, 6, 7}
+    error = {}
+    for depth in (0, 3):
+        got = sharpen.sharpen(fine, coarse, 2, ["p", "q"], "lst", window=100, keys=["day"], depth=depth).collect()
+        assert len(got) == 2 * 96 * 96
+        error[depth] = float(np.mean([abs(g.t_sharp - truth[g.day][g.r, g.c]) for g in got]))
+    assert error[3] < 0.5 * error[0]
