@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from furrow.operators.focal import FOUR, dilate
@@ -171,6 +171,114 @@ def overlay_pairs(a: DataFrame, b: DataFrame, id_a: str, id_b: str, cell: float,
     )
 
 
+def _boxes(df: DataFrame, ident: str, ring: str) -> DataFrame:
+    """(id, ring, x0, y0, x1, y1, level): boxes with an inside; 2 ** level is the least power of two that the longer side does not exceed."""
+    x, y = F.transform(ring, lambda p: p["x"]), F.transform(ring, lambda p: p["y"])
+    box = df.filter(F.size(ring) > 3).select(F.col(ident).alias("id"), F.col(ring).alias("ring"), F.array_min(x).alias("x0"), F.array_min(y).alias("y0"), F.array_max(x).alias("x1"), F.array_max(y).alias("y1"))
+    return box.filter("x1 > x0 AND y1 > y0").withColumn("level", F.ceil(F.log2(F.greatest(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")))).cast("int"))
+
+
+def _placed(boxes: DataFrame, levels: Column, low: int, copies: bool) -> DataFrame:
+    """Boxes at grid cells of each of the levels; salted where large boxes are few and small ones meet them in crowds."""
+    at = boxes.drop("ring").withColumn("at", F.explode(levels))
+    size = F.pow(F.lit(2.0), F.col("at"))
+    for k in ("x", "y"):
+        at = at.withColumn(f"b{k}", F.explode(F.sequence(F.floor(F.col(f"{k}0") / size).cast("long"), F.floor(F.col(f"{k}1") / size).cast("long"))))
+    salts = F.pow(F.lit(4), F.least(F.col("at") - low, F.lit(3))).cast("int")
+    return at.withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1)) if copies else F.pmod(F.xxhash64("id"), salts).cast("int"))
+
+
+def box_pairs(a: DataFrame, b: DataFrame) -> DataFrame:
+    """(a, b): ids of boxes (of _boxes) that overlap, each pair once.
+
+    Boxes lie in the grid of their own size, at most nine cells each, and the smaller of two
+    looks the larger up in its coarser grid: rows grow with the boxes and the number of
+    sizes, not with areas. A pair counts in the cell of the least corner of its overlap.
+    """
+    ends = a.select("level").union(b.select("level")).agg(F.min("level"), F.max("level")).first()
+    if ends[0] is None:
+        return a.select(F.col("id").alias("a")).limit(0).join(b.select(F.col("id").alias("b")).limit(0))
+    low, high = ends
+    own = F.array("level")
+    above = F.when(F.col("level") < high, F.sequence(F.col("level") + 1, F.lit(high))).otherwise(F.array().cast("array<int>"))
+    upward = F.sequence(F.col("level"), F.lit(high))
+
+    def met(large: DataFrame, small: DataFrame, levels: Column, names: tuple[str, str]) -> DataFrame:
+        x = _placed(large, own, low, True)
+        y = _placed(small, levels, low, False)
+        y = y.select("at", "bx", "by", "salt", *(F.col(c).alias(f"o_{c}") for c in ("id", "x0", "y0", "x1", "y1")))
+        both = x.join(y, ["at", "bx", "by", "salt"]).filter("x0 < o_x1 AND o_x0 < x1 AND y0 < o_y1 AND o_y0 < y1")
+        size = F.pow(F.lit(2.0), F.col("at"))
+        corner = (F.floor(F.greatest("x0", "o_x0") / size) == F.col("bx")) & (F.floor(F.greatest("y0", "o_y0") / size) == F.col("by"))
+        return both.filter(corner).select(F.col("id").alias(names[0]), F.col("o_id").alias(names[1]))
+
+    return met(a, b, upward, ("a", "b")).unionByName(met(b, a, above, ("b", "a")))
+
+
+def _sides(ring: str) -> Column:
+    """Edges of a ring that are not vertical, from left to right; s tells those that were turned."""
+    n = F.size(ring)
+    edges = F.transform(F.sequence(F.lit(1), n - 1), lambda i: F.struct(F.element_at(ring, i).alias("p"), F.element_at(ring, i + 1).alias("q")))
+    turned = F.transform(
+        F.filter(edges, lambda e: e["p"]["x"] != e["q"]["x"]),
+        lambda e: F.when(e["p"]["x"] < e["q"]["x"], F.struct(e["p"]["x"].alias("x0"), e["p"]["y"].alias("y0"), e["q"]["x"].alias("x1"), e["q"]["y"].alias("y1"), F.lit(1.0).alias("s"))).otherwise(
+            F.struct(e["q"]["x"].alias("x0"), e["q"]["y"].alias("y0"), e["p"]["x"].alias("x1"), e["p"]["y"].alias("y1"), F.lit(-1.0).alias("s"))
+        ),
+    )
+    return turned
+
+
+def _below_both(e: Column, f: Column, base: Column) -> Column:
+    """Signed area over the common x of two edges, above base and below both of them."""
+    u, v = F.greatest(e["x0"], f["x0"]), F.least(e["x1"], f["x1"])
+    height = lambda g, x: g["y0"] + (g["y1"] - g["y0"]) * ((x - g["x0"]) / (g["x1"] - g["x0"]))
+    f_u, f_v = height(f, u), height(f, v)
+    d_u, d_v = height(e, u) - f_u, height(e, v) - f_v
+    n_u, n_v = F.least(d_u, F.lit(0.0)), F.least(d_v, F.lit(0.0))
+    crossing = ((d_u < 0) & (d_v > 0)) | ((d_u > 0) & (d_v < 0))
+    under = F.when(crossing, -(n_u + n_v) * (n_u + n_v) / (2 * F.abs(d_u - d_v))).otherwise((n_u + n_v) / 2)
+    return e["s"] * f["s"] * (v - u) * ((f_u + f_v) / 2 - base + under)
+
+
+def overlay_exact(a: DataFrame, b: DataFrame, id_a: str, id_b: str, ring: str = "ring") -> DataFrame:
+    """Intersections of two tables of simple polygons by their exact areas, and overlaps relative to either side.
+
+    What lies below one edge of either polygon adds up with the edges' signs to the common
+    area, so each pair of overlapping boxes is measured by itself, in native array
+    functions over its edges; the work of a pair is the product of its edges that share an
+    x. Pairs that only touch are left out. NULL rings, and rings without an inside, meet nothing.
+    """
+    boxes = [_boxes(d, i, ring) for d, i in ((a, id_a), (b, id_b))]
+    first, second = (x.select(F.col("id").alias(n), _sides("ring").alias(f"e_{n}"), F.col("x0").alias(f"x_{n}"), F.col("y0").alias(f"y_{n}"), _ring_area("ring").alias(f"size_{n}")) for x, n in zip(boxes, ("a", "b")))
+    both = box_pairs(*boxes).join(first, "a").join(second, "b")
+
+    def moved(edges: str) -> Column:
+        """Edges seen from the corner of the first box, which loses no digits."""
+        shift = lambda e: [(e[k] - F.col(f"{k[0]}_a")).alias(k) for k in ("x0", "y0", "x1", "y1")]
+        return F.transform(edges, lambda e: F.struct(*shift(e), e["s"].alias("s")))
+
+    both = both.withColumns({"e_a": moved("e_a"), "e_b": moved("e_b")})
+    base = F.least(F.lit(0.0), F.col("y_b") - F.col("y_a"))
+    near = lambda e: F.filter("e_b", lambda f: (f["x0"] < e["x1"]) & (f["x1"] > e["x0"]))
+    area = F.abs(F.aggregate("e_a", F.lit(0.0), lambda t, e: t + F.aggregate(near(e), F.lit(0.0), lambda u, f: u + _below_both(e, f, base))))
+    out = both.select("a", "b", "size_a", "size_b", area.alias("area")).filter(F.col("area") > 1e-9 * F.least("size_a", "size_b"))
+    return out.select(
+        F.col("a").alias(id_a),
+        F.col("b").alias(id_b),
+        "area",
+        F.least(F.col("area") / F.col("size_a"), F.lit(1.0)).alias("overlap_a"),
+        F.least(F.col("area") / F.col("size_b"), F.lit(1.0)).alias("overlap_b"),
+        (F.col("area") / (F.col("size_a") + F.col("size_b") - F.col("area"))).alias("iou"),
+    )
+
+
+def _ring_area(ring: str) -> Column:
+    """Area of a closed ring, from its first point on so that far-off coordinates lose no digits."""
+    o = F.element_at(ring, 1)
+    turn = lambda i: (F.element_at(ring, i)["x"] - o["x"]) * (F.element_at(ring, i + 1)["y"] - o["y"]) - (F.element_at(ring, i + 1)["x"] - o["x"]) * (F.element_at(ring, i)["y"] - o["y"])
+    return F.abs(F.aggregate(F.sequence(F.lit(1), F.size(ring) - 1), F.lit(0.0), lambda t, i: t + turn(i))) / 2
+
+
 def _every_cell(df: DataFrame, ident: str, cell: float, ring: str) -> DataFrame:
     """(id, r, c) of every polygon by itself."""
     edges = polygon_edges(df, ident, ring)

@@ -311,6 +311,20 @@ def _(s: Source):
     return _overlay(s).select("a", "b", "area", R("overlap_a"), R("overlap_b"), R("iou"))
 
 
+@query(
+    "j6_overlay_exact",
+    """WITH p AS (SELECT a.field_id AS a, b.field_id AS b, a.x1 - a.x0 AS wa, b.x1 - b.x0 AS wb, (least(a.x1, b.x1 + 13) - greatest(a.x0, b.x0 + 13)) * (least(a.y1, b.y1 - 5) - greatest(a.y0, b.y0 - 5)) AS area
+ FROM parcels a JOIN parcels b ON a.x0 < b.x1 + 13 AND b.x0 + 13 < a.x1 AND a.y0 < b.y1 - 5 AND b.y0 - 5 < a.y1)
+SELECT a, b, round(CAST(area AS DOUBLE), 6) AS area, round(area / (wa * wa), 6) AS overlap_a, round(area / (wb * wb), 6) AS overlap_b, round(area / (wa * wa + wb * wb - area), 6) AS iou FROM p""",
+    "parcels",
+)
+def _(s: Source):
+    """All parcels against all parcels moved 13 to the east and 5 to the south."""
+    parcels = _parcels(s).select("field_id", "ring")
+    moved = parcels.select(F.col("field_id").alias("b"), F.transform("ring", lambda p: F.struct((p["x"] + 13).alias("x"), (p["y"] - 5).alias("y"))).alias("ring"))
+    return vectors.overlay_exact(parcels.withColumnRenamed("field_id", "a"), moved, "a", "b").select("a", "b", *(R(c) for c in ("area", "overlap_a", "overlap_b", "iou")))
+
+
 _MAPS = {"east": 8, "far": 20}
 _CELLS = "SELECT field_id, r, CAST(c AS BIGINT) AS c FROM (SELECT field_id, CAST(unnest(range(CAST(ceil((y0 + d) / 4.0 - 0.5) AS BIGINT), CAST(ceil((y1 + d) / 4.0 - 0.5) AS BIGINT))) AS BIGINT) AS r, x0 + d AS x0, x1 + d AS x1 FROM {t}) t, unnest(range(CAST(ceil(x0 / 4.0 - 0.5) AS BIGINT), CAST(ceil(x1 / 4.0 - 0.5) AS BIGINT))) u(c)"
 

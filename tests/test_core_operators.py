@@ -587,3 +587,54 @@ def test_trees_find_pieces_that_a_line_misses(spark):
         assert len(got) == 2 * 96 * 96
         error[depth] = float(np.mean([abs(g.t_sharp - truth[g.day][g.r, g.c]) for g in got]))
     assert error[3] < 0.5 * error[0]
+
+
+def _clipped(subject, convex):
+    """Area of a polygon inside a convex one (counter-clockwise), clipped side by side."""
+    out = subject
+    for (x0, y0), (x1, y1) in zip(convex, convex[1:] + convex[:1]):
+        side = lambda p: (x1 - x0) * (p[1] - y0) - (y1 - y0) * (p[0] - x0)  # noqa: B023,E731
+        kept = []
+        for p, q in zip(out, out[1:] + out[:1]):
+            if side(p) >= 0:
+                kept.append(p)
+            if (side(p) > 0) != (side(q) > 0) and side(p) != side(q):
+                t = side(p) / (side(p) - side(q))
+                kept.append((p[0] + t * (q[0] - p[0]), p[1] + t * (q[1] - p[1])))
+        out = kept
+        if not out:
+            return 0.0
+    return abs(sum(p[0] * q[1] - q[0] * p[1] for p, q in zip(out, out[1:] + out[:1]))) / 2
+
+
+def test_overlay_areas_are_exact(spark):
+    """Any simple polygons against convex ones of very different sizes, far from the origin, in both directions of turning."""
+    rng = random.Random(12)
+
+    def star(x, y, size, n, convex):
+        turns = sorted(rng.uniform(0, 2 * math.pi) for _ in range(n))
+        return [(x + (size if convex else size * rng.uniform(0.3, 1)) * math.cos(t), y + (size if convex else size * rng.uniform(0.3, 1)) * math.sin(t)) for t in turns]
+
+    off = 4_500_000.0
+    left = {i: star(off + rng.uniform(0, 100), off + rng.uniform(0, 100), rng.choice([1, 4, 15, 60]), rng.randrange(5, 14), False) for i in range(60)}
+    right = {i: star(off + rng.uniform(0, 100), off + rng.uniform(0, 100), rng.choice([2, 7, 40]), rng.randrange(5, 9), True) for i in range(60)}
+    left[100] = [(off, off), (off + 10, off), (off + 10, off + 10), (off, off + 10)]
+    right[100] = [(off + 10, off), (off + 20, off), (off + 20, off + 10), (off + 10, off + 10)]  # only touches
+    right[101] = [(off + 2, off + 2), (off + 4, off + 2), (off + 4, off + 4), (off + 2, off + 4)]  # inside
+    rings = lambda some, turn: [(i, [{"x": float(x), "y": float(y)} for x, y in (p + p[:1])[:: -1 if turn and i % 2 else 1]]) for i, p in some.items()]
+    kind = "long, ring array<struct<x:double,y:double>>"
+    a = spark.createDataFrame([*rings(left, True), (900, None), (901, [{"x": off, "y": off}] * 4)], f"a {kind}").repartition(3)
+    b = spark.createDataFrame(rings(right, True), f"b {kind}").repartition(2)
+    got = {(r.a, r.b): r for r in vectors.overlay_exact(a, b, "a", "b").collect()}
+    inside = lambda p: abs(sum(u[0] * v[1] - v[0] * u[1] for u, v in zip(p, p[1:] + p[:1]))) / 2
+    near = lambda p: [(x - off, y - off) for x, y in p]
+    n = 0
+    for i, p in left.items():
+        for j, q in right.items():
+            want = _clipped(near(p), near(q))
+            if want > 1e-6:
+                n += 1
+                assert abs(got[i, j].area - want) < 1e-5 * max(1, want)
+                assert abs(got[i, j].iou - want / (inside(near(p)) + inside(near(q)) - want)) < 1e-5
+    assert n > 200 and all(_clipped(near(left[i]), near(right[j])) > 1e-9 for i, j in got) and (100, 100) not in got
+    assert vectors.overlay_exact(a.limit(0), b, "a", "b").count() == 0
