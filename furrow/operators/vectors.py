@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from furrow.operators.focal import FOUR, dilate
+from furrow.operators.graph import connected_components
 from furrow.operators.labels import field_distance
+from furrow.operators.sampling import ranked
+from furrow.session import materialise
 
 
 def box_ring(x0: str, y0: str, x1: str, y1: str):
@@ -97,56 +102,104 @@ def polygonise(df: DataFrame, label: str, cell: float) -> DataFrame:
     )
 
 
-def label_rings(df: DataFrame, label: str, cell: float) -> DataFrame:
-    """(label, ring no, ring): closed outlines of every label but 0, stitched from boundary faces.
+#: Side of a block whose faces one task strings together, in cells.
+RING_BLOCK = 512
+_SHIFT = 1 << 32
+_POINT = T.StructType([T.StructField("x", T.DoubleType()), T.StructField("y", T.DoubleType())])
+_PIECE = "l long, head long, to long, closed boolean, low long, xs array<long>, ys array<long>"
 
-    Faces between two cells of a label are dropped before labels are grouped, so a group
-    holds a label's outline, not its cells.
-    """
-    from pyspark.sql import types as T
-
-    schema = T.StructType(
-        [
-            T.StructField(label, T.LongType()),
-            T.StructField("ring_no", T.IntegerType()),
-            T.StructField("ring", T.ArrayType(T.StructType([T.StructField("x", T.DoubleType()), T.StructField("y", T.DoubleType())]))),
-        ]
-    )
 
-    def stitch(frame: pd.DataFrame) -> pd.DataFrame:
-        step: dict[tuple, list[tuple]] = {}
-        for x0, y0, x1, y1 in zip(frame.x0, frame.y0, frame.x1, frame.y1):
-            step.setdefault((x0, y0), []).append((x1, y1))
-        rings = []
-        while step:
-            start = min(step)
-            ring, at, heading = [start], start, None
-            while True:
-                options = step[at]
-                turn = lambda b: 0 if heading is None else (heading[0] * (b[1] - at[1]) - heading[1] * (b[0] - at[0]))  # noqa: E731,B023
-                to = max(options, key=turn)
-                options.remove(to)
-                if not options:
-                    del step[at]
-                now = (to[0] - at[0], to[1] - at[1])
-                if now == heading:
-                    ring[-1] = to
-                else:
-                    ring.append(to)
-                at, heading = to, now
-                if at == start:
-                    break
-            rings.append([{"x": float(x * cell), "y": float(y * cell)} for x, y in ring])
-        return pd.DataFrame({label: frame.l.iloc[0], "ring_no": range(len(rings)), "ring": rings})
+def _next_faces(own: DataFrame) -> DataFrame:
+    """(l, face, to, x0, y0): directed unit faces of each label's outline, and the face that follows each.
 
-    own = df.filter(F.col(label) != 0).select(F.col(label).cast("long").alias("l"), F.col("r").cast("long"), F.col("c").cast("long"))
-    # the cell lies to the left of each directed face, so outlines close
+    The cell lies to the left. Where two parts of a label touch at a corner, the face that
+    turns left most follows. A face is named by its start and its direction, which one label only has.
+    """
     faces = F.array(*(F.struct(*((F.col("c" if i % 2 == 0 else "r") + d).alias(n) for i, (n, d) in enumerate(zip(("x0", "y0", "x1", "y1"), ends)))) for ends in ((0, 0, 1, 0), (1, 0, 1, 1), (1, 1, 0, 1), (0, 1, 0, 0))))
     every = own.select("l", F.inline(faces))
     # both cells of an inner face name it by its doubled middle
     key = [(F.col("x0") + F.col("x1")).alias("mx"), (F.col("y0") + F.col("y1")).alias("my")]
-    once = every.groupBy("l", *key).agg(F.count(F.lit(1)).alias("n"), F.first(F.struct("x0", "y0", "x1", "y1")).alias("f")).filter("n = 1")
-    return once.select("l", "f.*").groupBy("l").applyInPandas(stitch, schema)
+    once = every.groupBy("l", *key).agg(F.count(F.lit(1)).alias("n"), F.first(F.struct("x0", "y0", "x1", "y1")).alias("f")).filter("n = 1").select("l", "f.*")
+    heading = F.when(F.col("x1") > F.col("x0"), 0).when(F.col("y1") > F.col("y0"), 1).when(F.col("x1") < F.col("x0"), 2).otherwise(3)
+    name = (F.col("y0") * _SHIFT + F.col("x0")) * 4 + heading
+    named = materialise(once.withColumn("face", name), "faces")
+    after = named.select("l", F.col("x0").alias("x1"), F.col("y0").alias("y1"), F.col("x1").alias("x2"), F.col("y1").alias("y2"), F.col("face").alias("to"))
+    turn = (F.col("x1") - F.col("x0")) * (F.col("y2") - F.col("y1")) - (F.col("y1") - F.col("y0")) * (F.col("x2") - F.col("x1"))
+    return named.join(after, ["l", "x1", "y1"]).groupBy("l", "face", "x0", "y0").agg(F.max_by("to", turn).alias("to"))
+
+
+def _strung(table: pa.Table) -> pa.Table:
+    """Pieces of outline inside one block: chains of faces, and whole rings; of their points only those where the heading changes."""
+    face, to, xs, ys = (table.column(k).to_pylist() for k in ("face", "to", "x0", "y0"))
+    at = {f: i for i, f in enumerate(face)}
+    after = [at.get(t, -1) for t in to]
+    led = set(after)
+    heads = [i for i in range(len(face)) if i not in led]
+    seen = bytearray(len(face))
+    out = []
+    for i in [*heads, *sorted(range(len(face)), key=lambda i: (xs[i], ys[i]))]:
+        if seen[i]:
+            continue
+        chain = []
+        while i >= 0 and not seen[i]:
+            seen[i] = 1
+            chain.append(i)
+            i = after[i]
+        bends = [k for n, k in enumerate(chain) if n == 0 or face[k] % 4 != face[chain[n - 1]] % 4]
+        low = min(xs[k] * _SHIFT + ys[k] for k in bends)
+        out.append((table.column("l")[0].as_py(), face[chain[0]], to[chain[-1]], i >= 0, low, [xs[k] for k in bends], [ys[k] for k in bends]))
+    return pa.table([pa.array(c, f.type) for c, f in zip(zip(*out), _PIECES, strict=True)], schema=_PIECES)
+
+
+_PIECES = pa.schema([("l", pa.int64()), ("head", pa.int64()), ("to", pa.int64()), ("closed", pa.bool_()), ("low", pa.int64()), ("xs", pa.list_(pa.int64())), ("ys", pa.list_(pa.int64()))])
+
+
+def _places(links: DataFrame) -> DataFrame:
+    """(head, left): pieces from each one to the end of its list, itself included, by pointer doubling over (head, to).
+
+    Each round writes a row a piece, and pointers jump twice as far as in the one before;
+    only one boolean a round comes to the driver.
+    """
+    now = materialise(links.withColumn("left", F.lit(1).cast("long")), "list")
+    while not now.filter("to IS NOT NULL").isEmpty():
+        jump = now.select(F.col("head").alias("to"), F.col("to").alias("further"), F.col("left").alias("more"))
+        now = materialise(now.join(jump, "to", "left").select("head", F.col("further").alias("to"), (F.col("left") + F.coalesce("more", F.lit(0))).alias("left")), "list")
+    return now.select("head", "left")
+
+
+def label_rings(df: DataFrame, label: str, cell: float, block: int = RING_BLOCK) -> DataFrame:
+    """(label, ring no, ring): closed outlines of every label but 0, from its least point (x, then y) on; rings count in the order of these.
+
+    Faces between two cells of a label drop, blocks string their faces together, and
+    pieces of blocks are put in order by list ranking: no task holds more than a
+    block's faces of a label, but for the row of a finished ring with its corners.
+    """
+    own = df.filter(F.col(label) != 0).select(F.col(label).cast("long").alias("l"), F.col("r").cast("long"), F.col("c").cast("long"))
+    dealt = _next_faces(own).groupBy("l", F.floor(F.col("y0") / block), F.floor(F.col("x0") / block))
+    pieces = materialise(dealt.applyInArrow(_strung, _PIECE), "pieces")
+    open_ = pieces.filter("NOT closed").select("head", "to")
+    rings = connected_components(open_, "head", "to").select(F.col("node").alias("head"), F.col("component").alias("ring"))
+    pieces = pieces.join(rings, "head", "left").withColumn("ring", F.coalesce("ring", "head"))
+    first = materialise(pieces.groupBy("l", "ring").agg(F.min(F.struct("low", "head")).alias("m")).select("l", "ring", F.col("m.low").alias("least"), F.col("m.head").alias("start")), "rings")
+    cut = pieces.filter("NOT closed").join(first.select("ring", "start"), "ring").select("head", F.when(F.col("to") != F.col("start"), F.col("to")).alias("to"))
+    placed = pieces.join(_places(cut), "head", "left").withColumn("place", -F.coalesce("left", F.lit(1)))
+    whole = placed.groupBy("l", "ring").agg(F.array_sort(F.collect_list(F.struct("place", "xs", "ys"))).alias("p"))
+    numbered = ranked(first, ["l"], [F.col("least")], "no").select("ring", "least", (F.col("no") - 1).cast("int").alias("ring_no"))
+    schema = T.StructType([T.StructField(label, T.LongType()), T.StructField("ring_no", T.IntegerType()), T.StructField("ring", T.ArrayType(_POINT))])
+
+    def close(batches):
+        for batch in batches:
+            rows = []
+            for l, no, least, xs, ys in zip(*(batch.column(k).to_pylist() for k in ("l", "ring_no", "least", "xs", "ys")), strict=True):
+                points = [*zip(xs, ys, strict=True)]
+                start = points.index(divmod(least, _SHIFT))
+                points = points[start:] + points[:start]
+                kept = [p for o, p, q in zip([points[-1], *points], points, [*points[1:], points[0]]) if (p[0] - o[0]) * (q[1] - p[1]) != (p[1] - o[1]) * (q[0] - p[0])]
+                rows.append({label: l, "ring_no": no, "ring": [{"x": float(x * cell), "y": float(y * cell)} for x, y in [*kept, kept[0]]]})
+            yield pa.RecordBatch.from_pylist(rows, schema=to_arrow_schema(schema))
+
+    flat = whole.join(numbered, "ring").select("l", "ring_no", "least", F.flatten(F.transform("p", lambda x: x["xs"])).alias("xs"), F.flatten(F.transform("p", lambda x: x["ys"])).alias("ys"))
+    return flat.mapInArrow(close, schema)
 
 
 def overlay_pairs(a: DataFrame, b: DataFrame, id_a: str, id_b: str, cell: float, ring: str = "ring") -> DataFrame:

@@ -638,3 +638,47 @@ def test_overlay_areas_are_exact(spark):
                 assert abs(got[i, j].iou - want / (inside(near(p)) + inside(near(q)) - want)) < 1e-5
     assert n > 200 and all(_clipped(near(left[i]), near(right[j])) > 1e-9 for i, j in got) and (100, 100) not in got
     assert vectors.overlay_exact(a.limit(0), b, "a", "b").count() == 0
+
+
+def _rings_of(cells_of):
+    """{label: rings} by walking each outline with the label to the left, the sharpest left turn first."""
+    out = {}
+    for label in set(cells_of.values()) - {0}:
+        own = {k for k, v in cells_of.items() if v == label}
+        step = {}
+        for r, c in own:
+            for (x0, y0, x1, y1), beside in (((c, r, c + 1, r), (r - 1, c)), ((c + 1, r, c + 1, r + 1), (r, c + 1)), ((c + 1, r + 1, c, r + 1), (r + 1, c)), ((c, r + 1, c, r), (r, c - 1))):
+                if beside not in own:
+                    step.setdefault((x0, y0), []).append((x1, y1))
+        rings = []
+        while step:
+            at = start = min(step)
+            ring, heading = [start], None
+            while True:
+                to = max(step[at], key=lambda b: 0 if heading is None else heading[0] * (b[1] - at[1]) - heading[1] * (b[0] - at[0]))  # noqa: B023
+                step[at].remove(to)
+                if not step[at]:
+                    del step[at]
+                now = (to[0] - at[0], to[1] - at[1])
+                ring = [*ring[:-1], to] if now == heading else [*ring, to]
+                at, heading = to, now
+                if at == start:
+                    break
+            rings.append(ring)
+        out[label] = rings
+    return out
+
+
+@pytest.mark.parametrize("block", [2, 5, vectors.RING_BLOCK])
+def test_rings_of_any_length_are_put_together(spark, block):
+    """Outlines over many blocks, with holes and parts that touch at corners, are those of one walk."""
+    rng = random.Random(block)
+    some = {(r, c): rng.choice([0, 1, 1, 1, 2]) for r in range(24) for c in range(24)}
+    some |= {(r + 30, c): 7 for r in range(20) for c in range(20) if r in (0, 19) or c in (0, 19) or (r + c) % 9 == 0}
+    df = spark.createDataFrame([(r, c, v) for (r, c), v in some.items()], "r int, c int, v int").repartition(4)
+    got = {}
+    for x in vectors.label_rings(df, "v", 1.0, block).collect():
+        got.setdefault(x.v, {})[x.ring_no] = [(int(p.x), int(p.y)) for p in x.ring]
+    want = _rings_of(some)
+    assert {k: [v[i] for i in range(len(v))] for k, v in got.items()} == want and max(map(len, want.values())) > 3
+    assert vectors.label_rings(df.filter("v = 0"), "v", 1.0).count() == 0
