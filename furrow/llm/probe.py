@@ -5,8 +5,10 @@ table, beside one question a shard: the distinct things of the slice that belong
 shard. Questions meet their shard's part of the index by a shuffle on the shard, which
 comes first in its group and answers them as they stream by; answers meet their slice
 by a shuffle on the slice and are there before it. What is frequent in the documents is asked
-once a slice, so no shard grows hot, and no task holds more than one part of the index
-or one slice with its answers.
+once a slice, so shards are asked alike; each part of the index is copied once for every
+DEAL_BYTES of questions to the most asked one, and questions are dealt over the copies, so
+tasks grow with the documents. No task holds more than one part of the index or one slice
+with its answers.
 """
 
 from __future__ import annotations
@@ -25,6 +27,8 @@ from furrow.llm.text import slices, texts, tidy
 from furrow.session import materialise
 
 SLICE_BYTES = 1 << 20
+#: Bytes of questions that one copy of a part of the index answers: parts are a tenth of it or so, and so is what the copies add.
+DEAL_BYTES = 128 << 20
 _ROW = "unit string, shard long, part int, data binary"
 _NAMES = ["unit", "shard", "part", "data"]
 _TYPES = [pa.string(), pa.int64(), pa.int32(), pa.binary()]
@@ -51,6 +55,7 @@ def probe(
     answer: Callable[[object, bytes], bytes | None],
     close: Callable[[pa.RecordBatch, list[bytes | None], list[bytes]], pa.RecordBatch],
     schema: T.StructType,
+    deal_bytes: int = DEAL_BYTES,
 ) -> DataFrame:
     """Rows that close() makes of each slice of docs and the answers to its questions.
 
@@ -93,8 +98,12 @@ def probe(
 
     # units have names of their own per attempt, so they are written before they are read twice
     asked = materialise(docs.mapInArrow(tidy(split), _ROW), "questions")
-    parts = index.select(F.lit(None).cast("string").alias("unit"), F.col("shard").cast("long").alias("shard"), F.lit(0).alias("part"), "data")
-    dealt = asked.filter("shard >= 0").unionByName(parts).repartition("shard").sortWithinPartitions("shard", "part")
+    questions = asked.filter("shard >= 0")
+    most = questions.groupBy("shard").agg(F.sum(F.length("data")).alias("n")).agg(F.max("n")).first()[0] or 0
+    copies = max(1, -(-most // deal_bytes))
+    parts = index.select(F.lit(None).cast("string").alias("unit"), F.col("shard").cast("long").alias("shard"), F.lit(0).alias("part"), "data", F.explode(F.sequence(F.lit(0), F.lit(copies - 1))).alias("copy"))
+    dealt = questions.withColumn("copy", F.pmod(F.xxhash64("unit"), F.lit(copies)).cast("int")).unionByName(parts)
+    dealt = dealt.repartition("shard", "copy").sortWithinPartitions("shard", "copy", "part").select(_NAMES)
     answers = dealt.mapInArrow(tidy(respond), _ROW)
     met = answers.unionByName(asked.filter("shard < 0")).repartition("unit").sortWithinPartitions("unit", "part")
     return met.mapInArrow(tidy(finish), schema)
