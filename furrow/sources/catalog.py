@@ -141,6 +141,21 @@ def written_partitions(spark: SparkSession, path: str, by: list[str] = ["tile",
     return known.groupBy(*by).agg(F.count(F.lit(1)).alias("n_files"), F.sum("length").alias("n_bytes"), F.max("modificationTime").alias("written"))
 
 
+def write_layer(df: DataFrame, table: str, buckets: int, keys: list[str] = ["r", "c"]) -> None:
+    """A layer as a table of the catalogue, dealt into buckets by its cell keys and sorted within them.
+
+    Layers with equal keys and buckets meet without a shuffle. Choose buckets by bytes
+    (about 128 MB each): they are the tasks of every join of these layers. Each bucket is
+    one file, as its rows are dealt by the same hash before they are written.
+    """
+    dealt = df.repartition(buckets, *keys)
+    dealt.write.bucketBy(buckets, *keys).sortBy(*keys).format("parquet").mode("overwrite").saveAsTable(table)
+
+
+def read_layer(spark: SparkSession, table: str) -> DataFrame:
+    return spark.table(table)
+
+
 def read_pixels(spark: SparkSession, path: str, nodata: float | None = None, bands: list[str] = []) -> DataFrame:
     df = spark.read.parquet(path)
     return df if nodata is None else df.withColumns({b: F.nullif(F.col(b), F.lit(nodata)) for b in bands})

@@ -682,3 +682,25 @@ def test_rings_of_any_length_are_put_together(spark, block):
     want = _rings_of(some)
     assert {k: [v[i] for i in range(len(v))] for k, v in got.items()} == want and max(map(len, want.values())) > 3
     assert vectors.label_rings(df.filter("v = 0"), "v", 1.0).count() == 0
+
+
+def test_bucketed_layers_are_stacked_without_a_shuffle(spark):
+    """Three written layers of one grid: no exchange in the plan, one file a bucket, the rows of plain tables."""
+    from furrow.operators import grids
+    from furrow.sources import catalog
+
+    layers = [spark.range(4000).select((F.col("id") % 83).alias("r"), F.floor(F.col("id") / 83).cast("long").alias("c"), (F.col("id") * k).alias(f"v{k}")).filter(F.col("id") % 11 != k) for k in (1, 2, 3)]
+    names = [f"layer_{k}" for k in range(3)]
+    try:
+        for layer, name in zip(layers, names, strict=True):
+            catalog.write_layer(layer, name, 8)
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        stacked = grids.stack_layers(*(catalog.read_layer(spark, n) for n in names))
+        plan = stacked._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" not in plan and "SortMergeJoin" in plan
+        assert sorted(map(tuple, stacked.collect())) == sorted(map(tuple, grids.stack_layers(*layers).collect()))
+        assert len(spark.table(names[0]).inputFiles()) == 8
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        for name in names:
+            spark.sql(f"DROP TABLE IF EXISTS {name}")
