@@ -15,6 +15,7 @@ from furrow.plans.registry.base import Source, query, rounded
 from furrow.session import fresh_path
 from furrow.sources import catalog
 from furrow.streaming.composite import stream_best_pixel
+from furrow.streaming.gaps import stream_fill_et
 
 R = lambda c, n=4: rounded(c, n).alias(c)
 
@@ -296,3 +297,23 @@ def _(s: Source):
     sink = stream_best_pixel(stream).writeStream.outputMode("append").format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
     sink.awaitTermination()
     return s.spark.read.parquet(f"{path}/out").select("pixel", "day", R("lst"), "vza", "vaa")
+
+
+@query(
+    "stream_fill_et",
+    "WITH e AS (SELECT pixel, d, CASE WHEN et > 8 OR et < 0 THEN NULL ELSE et END AS et, 1 + extract(day FROM d) / 5.0 AS et_ref FROM et_daily), k AS (SELECT *, last_value(CASE WHEN et IS NOT NULL THEN et / et_ref END IGNORE NULLS) OVER (PARTITION BY pixel ORDER BY d ROWS UNBOUNDED PRECEDING) AS kc FROM e) SELECT pixel, d, round(kc, 6) AS kc, round(coalesce(et, kc * et_ref), 6) AS et_filled FROM k WHERE d < (SELECT max(d) - 3 FROM et_daily)",
+    "et_daily",
+)
+def _(s: Source):
+    """t9_fill_et as a stream that comes in three instalments, pixels up to two days behind others, resumed from its checkpoint after each."""
+    df = s.view("et_daily").withColumns({"et": F.when((F.col("et") <= 8) & (F.col("et") >= 0), F.col("et")), "et_ref": 1 + F.dayofmonth("d") / 5.0})
+    df = df.withColumn("arrives", F.date_add("d", F.pmod("pixel", F.lit(3)).cast("int"))).withColumn("at", F.col("d").cast("timestamp")).drop("d")
+    path = fresh_path(s.spark, "stream")
+    first, last = df.agg(F.min("arrives"), F.max("arrives")).first()
+    third = F.floor(F.datediff("arrives", F.lit(first)) * 3 / F.lit((last - first).days + 1 if first else 1))
+    for k in range(3):
+        df.filter(third == k).write.mode("append").parquet(f"{path}/in")
+        filled = stream_fill_et(s.spark.readStream.schema(df.schema).parquet(f"{path}/in"), "pixel", "at", "et", "et_ref")
+        sink = filled.writeStream.outputMode("append").format("parquet")
+        sink.option("path", f"{path}/out").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start().awaitTermination()
+    return s.spark.read.schema(filled.schema).parquet(f"{path}/out").select("pixel", F.to_date("at").alias("d"), R("kc", 6), R("et_filled", 6))

@@ -13,6 +13,7 @@ from furrow.functions import formulas
 from furrow.operators import composite, focal, graph, grids, labels, masks, sampling, sets, temporal, vectors
 from furrow.plans import fluxes, pipelines, registry, sharpen
 from furrow.sources import catalog
+from furrow.streaming.gaps import stream_fill_et
 
 
 def cells(spark, picture):
@@ -704,3 +705,23 @@ def test_bucketed_layers_are_stacked_without_a_shuffle(spark):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
         for name in names:
             spark.sql(f"DROP TABLE IF EXISTS {name}")
+
+
+# --- streams ---------------------------------------------------------------------
+
+def test_gaps_filled_in_a_stream(spark, tmp_path):
+    """Days out of order, late days, gaps before any coefficient, null and zero references: what batch gives without the late ones."""
+    rng = random.Random(5)
+    rows = [(p, d, None if rng.random() < 0.4 else rng.uniform(0, 6), rng.choice([None, -1.0, 0.0, 2.0, 3.5])) for p in [None, 1, 2, 3] for d in range(12)]
+    days = lambda some: spark.createDataFrame([(p, d, e, r, 1.0) for p, d, e, r in some], "pixel long, d int, et double, et_ref double, us double").withColumn("day", F.timestamp_seconds((20000 + F.col("d").cast("long")) * 86400))
+    batches = [[r for r in rows if (r[1] + (r[0] or 0) % 3) // 5 == k] for k in range(3)]
+    late = (1, 0, 5.0, 1.0)
+    closing = (9, 30, None, None)
+    for batch in [*batches, [closing], [late, (9, 31, 1.0, 1.0)]]:
+        rng.shuffle(batch)
+        days(batch).write.mode("append").parquet(f"{tmp_path}/in")
+        stream = spark.readStream.schema(days([]).schema).parquet(f"{tmp_path}/in")
+        out = stream_fill_et(stream, "pixel", "day", "et", "et_ref")
+        out.writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/state").trigger(availableNow=True).start().awaitTermination()
+    shown = lambda df: sorted((str(r.pixel), r.day, r.kc, r.et_filled) for r in df.collect())
+    assert shown(spark.read.parquet(f"{tmp_path}/out")) == shown(temporal.fill_et(days(rows), "pixel", "day", "et", "et_ref"))
