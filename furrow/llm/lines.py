@@ -1,12 +1,13 @@
 """Line dedup through sharded minimal perfect hashes.
 
 Every document gives its distinct line keys as 128-bit hashes; Spark counts the
-documents of each. Hashes found in at least `min_docs` documents are dealt to shards,
-and each shard becomes a minimal perfect hash (levels of bitmaps: a key takes the
-first level where no other key meets its bit) over an array of 64-bit fingerprints and
-one of counts. Documents probe the arrays: a line's slot comes from its first 64 bits,
-the fingerprint is its other 64 bits, so a probe is decided by 128 bits and lines are
-never joined.
+documents of each. Hashes found in two documents or more are dealt to shards, and each
+shard becomes a minimal perfect hash (levels of bitmaps: a key takes the first level
+where no other key meets its bit) over an array of 64-bit fingerprints and one of
+counts. A line that is asked for and not there is in one document. Documents probe the
+arrays: a line's slot comes from its first 64 bits, the fingerprint is its other 64
+bits, so a probe is decided by 128 bits and lines are never joined. The count at the
+slot is compared with `min_docs` on probing: one index serves any threshold.
 
 The arrays are broadcast if they are within MAX_INDEX_BYTES, which is checked on
 their number of lines first and which their real size follows. Beyond it the same
@@ -35,7 +36,9 @@ MIN_DOCS = 10
 MAX_INDEX_BYTES = 64 << 20
 KEYS_PER_SHARD = 1 << 17
 #: A fingerprint, a count, and the bits of the perfect hash.
-BYTES_PER_LINE = 18
+BYTES_PER_LINE = 14
+#: Counts are held as 32-bit numbers; more documents than this count as this many.
+MOST = 2**31 - 1
 
 
 def line_key(line: bytes) -> bytes:
@@ -89,31 +92,70 @@ class PerfectHash:
         return out
 
 
+@dataclass
+class Shard:
+    """Perfect hash, fingerprints and counts; apart (high, low, n) the lines whose first half another line has."""
+
+    perfect: PerfectHash
+    prints: np.ndarray
+    numbers: np.ndarray
+    twins: list[tuple[int, int, int]]
+
+    @staticmethod
+    def build(high: np.ndarray, low: np.ndarray, n: np.ndarray) -> "Shard":
+        _, first = np.unique(high, return_index=True)
+        rest = np.setdiff1d(np.arange(len(high)), first)
+        perfect = PerfectHash.build(high[first])
+        slot = perfect.slots(high[first])
+        prints, numbers = np.zeros(len(first), np.uint64), np.zeros(len(first), np.int32)
+        prints[slot], numbers[slot] = low[first], np.minimum(n[first], MOST)
+        return Shard(perfect, prints, numbers, [(int(high[i]), int(low[i]), min(int(n[i]), MOST)) for i in rest])
+
+    def counts(self, high: np.ndarray, low: np.ndarray) -> np.ndarray:
+        """Documents of each line hash; 1 if it isn't indexed."""
+        out = np.ones(len(high), np.int64)
+        slot = self.perfect.slots(high)
+        good = np.flatnonzero(slot >= 0)
+        good = good[self.prints[slot[good]] == low[good]]
+        out[good] = self.numbers[slot[good]]
+        for a, b, n in self.twins:
+            out[(high == np.uint64(a)) & (low == np.uint64(b))] = n
+        return out
+
+    def dumps(self) -> bytes:
+        return pickle.dumps(([b.tobytes() for b, _ in self.perfect.levels], self.prints.tobytes(), self.numbers.tobytes(), self.twins))
+
+    @staticmethod
+    def loads(data: bytes) -> "Shard":
+        levels, prints, numbers, twins = pickle.loads(data)
+        out, seen = [], 0
+        for raw in levels:
+            bits = np.frombuffer(raw, np.uint64)
+            ones = np.bitwise_count(bits).astype(np.int64)
+            out.append((bits, seen + np.concatenate(([0], np.cumsum(ones)[:-1]))))
+            seen += int(ones.sum())
+        return Shard(PerfectHash(out), np.frombuffer(prints, np.uint64), np.frombuffer(numbers, np.int32), twins)
+
+
 @dataclass
 class LineIndex:
-    """Shards of (perfect hash, fingerprints, counts); a key's shard comes from its fingerprint half."""
+    """All shards; a key's shard comes from its fingerprint half."""
 
-    shards: list[tuple[PerfectHash, np.ndarray, np.ndarray] | None]
+    shards: list[Shard | None]
 
     def counts(self, high: np.ndarray, low: np.ndarray) -> np.ndarray:
-        """Documents of each line hash; 0 if it isn't indexed."""
-        out = np.zeros(len(high), np.int64)
-        if not self.shards:
-            return out
+        """Documents of each line hash; 1 if it isn't indexed."""
+        out = np.ones(len(high), np.int64)
         shard = (low % np.uint64(len(self.shards))).astype(np.int64)
         for k in np.unique(shard).tolist():
-            if self.shards[k] is None:
-                continue
-            at = np.flatnonzero(shard == k)
-            perfect, prints, counts = self.shards[k]
-            slot = perfect.slots(high[at])
-            good = (slot >= 0) & (prints[slot] == low[at])
-            out[at[good]] = counts[slot[good]]
+            if self.shards[k] is not None:
+                at = np.flatnonzero(shard == k)
+                out[at] = self.shards[k].counts(high[at], low[at])
         return out
 
 
-def _counted(docs: DataFrame, text_col: str, min_docs: int) -> DataFrame:
-    """(high, low, n): 128-bit hashes of line keys and the number of documents with each, at least min_docs."""
+def _counted(docs: DataFrame, text_col: str) -> DataFrame:
+    """(high, low, n): 128-bit hashes of line keys and the number of documents with each, where there are two or more."""
 
     def run(batches):
         for batch in batches:
@@ -127,50 +169,35 @@ def _counted(docs: DataFrame, text_col: str, min_docs: int) -> DataFrame:
                 yield pa.RecordBatch.from_pydict({"high": both[:, 0].view(np.int64), "low": both[:, 1].view(np.int64), "n": np.fromiter(found.values(), np.int64, len(found))})
 
     rows = docs.select(docs[text_col].cast("string").alias("text")).mapInArrow(tidy(run), "high long, low long, n long")
-    return rows.groupBy("high", "low").agg(F.sum("n").alias("n")).filter(F.col("n") >= min_docs)
+    return rows.groupBy("high", "low").agg(F.sum("n").alias("n")).filter(F.col("n") > 1)
 
 
 def _pack(table: pa.Table) -> pa.Table:
     high, low = (table.column(c).to_numpy().view(np.uint64) for c in ("high", "low"))
-    perfect = PerfectHash.build(high)
-    slot = perfect.slots(high)
-    prints, counts = np.zeros(len(high), np.uint64), np.zeros(len(high), np.int64)
-    prints[slot], counts[slot] = low, table.column("n").to_numpy()
-    data = pickle.dumps(([b.tobytes() for b, _ in perfect.levels], prints.tobytes(), counts.tobytes()))
+    data = Shard.build(high, low, table.column("n").to_numpy()).dumps()
     return pa.table({"shard": table.column("shard")[:1], "data": pa.array([data], pa.binary())})
 
 
-def _unpack(data: bytes) -> tuple[PerfectHash, np.ndarray, np.ndarray]:
-    levels, prints, counts = pickle.loads(data)
-    out, seen = [], 0
-    for raw in levels:
-        bits = np.frombuffer(raw, np.uint64)
-        ones = np.bitwise_count(bits).astype(np.int64)
-        out.append((bits, seen + np.concatenate(([0], np.cumsum(ones)[:-1]))))
-        seen += int(ones.sum())
-    return PerfectHash(out), np.frombuffer(prints, np.uint64), np.frombuffer(counts, np.int64)
-
-
-def _shards(frequent: DataFrame) -> tuple[DataFrame, int, int]:
+def _shards(counted: DataFrame) -> tuple[DataFrame, int, int]:
     """One row (shard, data) a shard of a materialised (high, low, n) table; the number of shards, and of lines."""
-    total = frequent.count()
+    total = counted.count()
     n = max(1, -(-total // KEYS_PER_SHARD))
     # the unsigned value of low, modulo n, as the probe has it
     half = F.shiftrightunsigned("low", 1)
     shard = F.pmod(F.pmod(half, F.lit(n)) * 2 + F.col("low").bitwiseAND(F.lit(1)), F.lit(n)).cast("long")
-    packed = frequent.select(shard.alias("shard"), "high", "low", "n").groupBy("shard").applyInArrow(_pack, "shard long, data binary")
+    packed = counted.select(shard.alias("shard"), "high", "low", "n").groupBy("shard").applyInArrow(_pack, "shard long, data binary")
     return materialise(packed, "shards"), n, total
 
 
 def _rewritten(docs: DataFrame, min_docs: int, limit: int, text_col: str, close, schema: T.StructType) -> DataFrame:
     """Rows that close(batch, text lines with what goes) makes of docs, by either way."""
     arrow, where = to_arrow_schema(schema), docs.columns.index(text_col)
-    index, n, total = _shards(materialise(_counted(docs, text_col, min_docs), "lines"))
+    index, n, total = _shards(materialise(_counted(docs, text_col), "lines"))
     if BYTES_PER_LINE * total > limit:
-        return probe(docs, where, index, lambda batch: _questions(batch, n), _unpack, _answer, lambda part, batch, said: close(part, _told(batch, said)), schema)
+        return probe(docs, where, index, lambda batch: _questions(batch, n), Shard.loads, lambda shard, question: _answer(shard, question, min_docs), lambda part, batch, said: close(part, _told(batch, said, min_docs)), schema)
     shards: list = [None] * n
     for r in index.collect():
-        shards[r["shard"]] = _unpack(bytes(r["data"]))
+        shards[r["shard"]] = Shard.loads(bytes(r["data"]))
     shared = docs.sparkSession.sparkContext.broadcast(LineIndex(shards))
 
     def run(batches):
@@ -178,7 +205,7 @@ def _rewritten(docs: DataFrame, min_docs: int, limit: int, text_col: str, close,
         for batch in batches:
             plain = pa.RecordBatch.from_arrays(batch.columns, names=[f"c{i}" for i in range(batch.num_columns)])
             for part in slices(plain, f"c{where}"):
-                yield close(part, _drops(texts(part.column(where)), found)).cast(arrow)
+                yield close(part, _drops(texts(part.column(where)), found, min_docs)).cast(arrow)
 
     return docs.mapInArrow(tidy(run), schema)
 
@@ -206,28 +233,26 @@ def _questions(batch: list[bytes | None], n: int) -> list[tuple[int, bytes]]:
     return [(int(shard[part[0]]), both[part].tobytes()) for part in np.split(order, cuts[1:]) if len(part)]
 
 
-def _answer(shard: tuple, question: bytes) -> bytes | None:
-    """Those of the asked hashes that the shard has."""
+def _answer(shard: Shard, question: bytes, min_docs: int) -> bytes | None:
+    """Those of the asked hashes that are in min_docs documents."""
     both = np.frombuffer(question, np.uint64).reshape(-1, 2)
-    perfect, prints, _ = shard
-    slot = perfect.slots(both[:, 0])
-    good = (slot >= 0) & (prints[slot] == both[:, 1])
-    return both[good].tobytes() if good.any() else None
+    frequent = shard.counts(both[:, 0], both[:, 1]) >= min_docs
+    return both[frequent].tobytes() if frequent.any() else None
 
 
-def _told(batch: list[bytes | None], said: list[bytes]) -> list[tuple[list[bytes], np.ndarray]]:
-    """Each text's lines and which of them go, by the answers."""
+def _told(batch: list[bytes | None], said: list[bytes], min_docs: int) -> list[tuple[list[bytes], np.ndarray]]:
+    """Each text's lines and which of them go, by the answers; a line that no shard was asked for is in one document."""
     split, both, filled = _hashes(batch)
     frequent = {x[i : i + 16] for x in said for i in range(0, len(x), 16)}
     data = both.tobytes()
     gone = np.fromiter((data[i : i + 16] in frequent for i in range(0, len(data), 16)), bool, len(both)) & filled
-    return _per_text(split, gone)
+    return _per_text(split, gone if min_docs > 1 else filled)
 
 
-def _drops(batch: list[bytes | None], index: LineIndex) -> list[tuple[list[bytes], np.ndarray]]:
-    """Each text's lines and which of them go: the index has frequent lines only."""
+def _drops(batch: list[bytes | None], index: LineIndex, min_docs: int) -> list[tuple[list[bytes], np.ndarray]]:
+    """Each text's lines and which of them go, by the count at their slot."""
     split, both, filled = _hashes(batch)
-    return _per_text(split, (index.counts(both[:, 0], both[:, 1]) > 0) & filled)
+    return _per_text(split, (index.counts(both[:, 0], both[:, 1]) >= min_docs) & filled)
 
 
 def _row(lines: list[bytes], gone: np.ndarray) -> tuple[int, int, bytes]:
@@ -242,7 +267,7 @@ def line_digests(docs: DataFrame, min_docs: int = MIN_DOCS, max_index_bytes: int
     """(id, n_lines, n_dropped, kept_sha256) of every whole text.
 
     A line whose key is not empty and occurs in at least min_docs documents (rows)
-    goes, in every document. Null and empty texts are one empty line, which stays. A
+    goes, in every document; with min_docs of 1 or less all such lines do. Null and empty texts are one empty line, which stays. A
     repeated row counts as one more document. Very long texts and lines are handled
     whole. Only the id and the text are read, so no other column's name can clash.
     """

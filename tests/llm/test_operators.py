@@ -226,6 +226,24 @@ def test_lines(spark, docs, pairs, limit):
     assert lines.line_digests(docs.limit(0), max_index_bytes=limit).count() == 0
 
 
+@pytest.mark.parametrize("limit", [lines.MAX_INDEX_BYTES, 0])
+def test_one_line_index_for_any_threshold(spark, monkeypatch, limit):
+    monkeypatch.setattr(lines, "KEYS_PER_SHARD", 16)
+    rng = random.Random(8)
+    some = [(i, "\n".join(f"line {min(rng.randrange(60), rng.randrange(60))}" for _ in range(rng.randrange(8))), None, None, None) for i in range(60)]
+    docs = X.table(spark, some)
+    for least in (1, 2, 3, 7, 30):
+        got = lines.line_digests(docs, min_docs=least, max_index_bytes=limit)
+        assert plain(got, "doc_id", "n_lines", "n_dropped", "kept_sha256") == X.ordered(X.lines([(r[0], r[1]) for r in some], least))
+
+
+def test_lines_that_share_half_a_hash():
+    high, low, n = np.array([5, 5, 9, 5], np.uint64), np.array([1, 2, 1, 3], np.uint64), np.array([4, 6, 2**40, 8])
+    shard = lines.Shard.loads(lines.Shard.build(high, low, n).dumps())
+    assert shard.counts(high, low).tolist() == [4, 6, lines.MOST, 8]
+    assert shard.counts(np.array([5, 9, 7], np.uint64), np.array([4, 2, 1], np.uint64)).tolist() == [1, 1, 1]
+
+
 def test_perfect_hash():
     keys = np.unique(np.random.default_rng(2).integers(0, 2**64, 5000, np.uint64))
     perfect = lines.PerfectHash.build(keys)
