@@ -8,20 +8,25 @@ rows commit, so a lost or repeated task leaves at worst files that nobody names.
 Merging: runs, sorted each by (url key, timestamp, page id), meet in k-way loser-tree
 merges. Sampled keys of all runs give ranges of about equal size; one task a range
 reads from each run only the row groups that overlap it and merges them as streams. A
-url with a third of all captures is cut by timestamp like any other range. More runs
-than FAN_IN are first merged into fewer, in passes.
+run's footer holds the whole first key of each row group, so a url with a third of all
+captures is cut by timestamp like any other range, and each of its rows is read by one
+or two tasks. More runs than FAN_IN are first merged into fewer, in passes. There is a
+range for each RANGE_ROWS captures.
 
 Reading back: the index gives record offsets at which an archive can be entered, every
-SPLIT_BYTES; a task streams the records of one such range and recomputes payload length
-and digest from the stored bytes.
+SPLIT_BYTES; a task streams the records of one such range, or of SPLITS_PER_TASK where
+there are more ranges than shuffle partitions, and recomputes payload length and digest
+from the stored bytes.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
+import json
 import uuid
 import zlib
+from bisect import bisect_left
 from collections.abc import Iterator
 from datetime import datetime, timezone
 from urllib.parse import urlsplit
@@ -41,6 +46,9 @@ KEY_STEP = 128
 ARCHIVE_BYTES = 1 << 30
 #: Compressed bytes of an archive that a task reads back.
 SPLIT_BYTES = 32 << 20
+SPLITS_PER_TASK = 8
+#: Captures of one range of the merged index.
+RANGE_ROWS = 250_000
 FAN_IN = 128
 #: Rows of one payload that one task takes.
 HOT_ROWS = 50_000
@@ -58,6 +66,8 @@ INDEX = pa.schema(
         ("length", pa.int64()),
     ]
 )
+#: In a run's footer: the first (url key, timestamp, page id) of each row group.
+FIRST_KEYS = b"first_keys"
 _INDEX_DDL = "url_key string, captured long, page long, url string, archive string, offset long, length long"
 
 
@@ -166,15 +176,19 @@ class LoserTree:
             self._replay(top)
 
 
+def overlapping(firsts: list[tuple], low: tuple | None, high: tuple | None) -> range:
+    """Row groups that may have keys with low <= key < high, by the first keys of all groups in order."""
+    start = max(0, bisect_left(firsts, low) - 1) if low is not None else 0
+    return range(start, bisect_left(firsts, high) if high is not None else len(firsts))
+
+
 def run_rows(uri: str, low: tuple | None, high: tuple | None) -> Iterator[tuple]:
     """Rows of a run with low <= key < high in order, reading only row groups that may have some."""
     fs, path = filesystem(uri)
     with fs.open_input_file(path) as source:
         run = pq.ParquetFile(source)
-        for g in range(run.num_row_groups):
-            stats = run.metadata.row_group(g).column(0).statistics
-            if stats is not None and stats.has_min_max and (low and stats.max < low[0] or high and stats.min > high[0]):
-                continue
+        firsts = [tuple(k) for k in json.loads(run.metadata.metadata[FIRST_KEYS])]
+        for g in overlapping(firsts, low, high):
             for row in zip(*(c.to_pylist() for c in run.read_row_group(g).columns), strict=True):
                 if (low is None or row[:3] >= low) and (high is None or row[:3] < high):
                     yield row
@@ -195,13 +209,15 @@ def _write_run(folder: str, rows: Iterator[tuple]) -> tuple[str, int, list[tuple
     """Write sorted rows; (uri, number of rows, every KEY_STEP-th key)."""
     uri = f"{folder}/run-{uuid.uuid4().hex}.parquet"
     fs, path = filesystem(uri)
-    n, keys = 0, []
+    n, keys, firsts = 0, [], []
     with fs.open_output_stream(path) as sink, pq.ParquetWriter(sink, INDEX) as writer:
         for batch in _batches(rows):
             n += batch.num_rows
             at = range(min(KEY_STEP // 2, batch.num_rows // 2), batch.num_rows, KEY_STEP)
             keys += zip(*(batch.column(i).take(pa.array(at)).to_pylist() for i in range(3)), strict=True)
+            firsts.append([batch.column(i)[0].as_py() for i in range(3)])
             writer.write_batch(batch, row_group_size=GROUP_ROWS)
+        writer.add_key_value_metadata({FIRST_KEYS: json.dumps(firsts).encode()})
     return uri, n, keys
 
 
@@ -306,7 +322,8 @@ def merge_runs(spark: SparkSession, manifest: DataFrame, folder: str, ranges: in
         if fewer.count() >= k:
             break
         runs = fewer
-    ranges = ranges or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows = runs.agg(F.sum("n")).first()[0] or 0
+    ranges = ranges or max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // RANGE_ROWS))
     keys = runs.select(F.explode("keys").alias("key")).select("key.*")
     firsts = keys.repartitionByRange(ranges, "url_key", "captured", "page").groupBy(F.spark_partition_id().alias("p")).agg(F.min(F.struct("url_key", "captured", "page")).alias("key"))
     bounds = [tuple(r["key"]) for r in sorted(firsts.collect(), key=lambda r: r["p"])]
@@ -353,8 +370,10 @@ def read_archives(archives: DataFrame) -> DataFrame:
 
     pair = F.transform(F.slice("cuts", 2, F.size("cuts") - 1), lambda end, i: F.struct(F.get("cuts", i).alias("start"), end.alias("end")))
     ranges = archives.select("archive", F.inline(pair))
+    n = ranges.count()
+    tasks = max(min(n, int(archives.sparkSession.conf.get("spark.sql.shuffle.partitions"))), -(-n // SPLITS_PER_TASK), 1)
     # a number of partitions that is asked for isn't merged again, as one of rows this small would be
-    return ranges.repartition(max(1, ranges.count())).mapInArrow(tidy(work), schema)
+    return ranges.repartition(tasks).mapInArrow(tidy(work), schema)
 
 
 def capture_records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", captured: str | None = None, min_bytes: int = 0) -> DataFrame:

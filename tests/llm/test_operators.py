@@ -126,6 +126,23 @@ def test_archives_are_entered_at_any_record(spark, monkeypatch, hot):
     assert got == {i: (len(h or ""), *(("response", None) if i == max(same[h or ""]) else ("revisit", max(same[h or ""])))) for i, _, h in rows}
 
 
+def test_hot_url_is_read_once(spark, tmp_path, monkeypatch):
+    """A url with a third of 200,000 captures: each range reads its own row groups and at most one at each end."""
+    rows = sorted(("com,hot)/" if i % 3 == 0 else f"com,h{i})/", i, i, "u", "a", i, 1) for i in range(200_000))
+    uri, n, keys = warc._write_run(str(tmp_path), iter(rows))
+    firsts = [r[:3] for r in rows[:: warc.GROUP_ROWS]]
+    bounds = [None, *(rows[i][:3] for i in range(5000, 200_000, 5000)), None]
+    read = [len(warc.overlapping(firsts, low, high)) for low, high in zip(bounds, bounds[1:])]
+    assert n == 200_000 and max(read) <= 3
+    opened = []
+    whole = warc.pq.ParquetFile.read_row_group
+    monkeypatch.setattr(warc.pq.ParquetFile, "read_row_group", lambda self, g: opened.append(g) or whole(self, g))
+    got = [row for low, high in zip(bounds, bounds[1:]) for row in warc.run_rows(uri, low, high)]
+    assert got == rows and len(opened) == sum(read)
+    repeated = [("k", 1, 1)] * 4
+    assert warc.overlapping(repeated, ("k", 1, 1), None) == range(4) and not warc.overlapping(repeated, None, ("k", 1, 1))
+
+
 def test_loser_tree():
     rng = random.Random(3)
     for k in range(0, 12):
