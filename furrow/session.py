@@ -4,10 +4,17 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: The folder of the innermost passing_tables() of this thread.
+_passing: ContextVar[str | None] = ContextVar("passing", default=None)
+
+
 def get_spark(app: str = "furrow", master: str | None = None, **conf: str) -> SparkSession:
     """A session with the settings the operators rely on (UTC, adaptive execution)."""
     builder = SparkSession.builder.appName(app)
@@ -47,21 +54,41 @@ def scratch_dir(spark: SparkSession) -> str:
 
 def fresh_path(spark: SparkSession, name: str) -> str:
     """A path under the shared folder that nothing else uses."""
-    return f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    return f"{_passing.get() or scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Delete a table or folder of the shared folder, if it is there."""
+    found = spark._jvm.org.apache.hadoop.fs.Path(path)
+    found.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(found, True)
+
+
+@contextmanager
+def passing_tables(spark: SparkSession) -> Iterator[None]:
+    """Tables that this thread writes to the shared folder inside the block are deleted at its end.
+
+    What is to last must be written inside the block, to a path from outside it.
+    """
+    folder = fresh_path(spark, "passing")
+    before = _passing.set(folder)
+    try:
+        yield
+    finally:
+        _passing.reset(before)
+        discard(spark, folder)
 
 
 def clear_scratch(spark: SparkSession) -> None:
     """Delete all intermediate tables of this application; results that have not been read out are lost with them."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(scratch_dir(spark))
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    discard(spark, scratch_dir(spark))
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write df as Parquet into the shared folder and read it back.
+def materialise(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
+    """Write df as Parquet into the shared folder (or to path) and read it back.
 
     The result has no lineage: a lost executor costs a re-read, not a re-run. The table
-    stays until clear_scratch().
+    stays until clear_scratch(), or the end of the passing_tables() that it is written in.
     """
-    path = fresh_path(df.sparkSession, name)
+    path = path or fresh_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

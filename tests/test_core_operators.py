@@ -707,6 +707,24 @@ def test_bucketed_layers_are_stacked_without_a_shuffle(spark):
             spark.sql(f"DROP TABLE IF EXISTS {name}")
 
 
+# --- shared folder ----------------------------------------------------------------
+
+def test_passing_tables_go_and_lasting_ones_stay(spark):
+    from furrow.session import fresh_path, materialise, passing_tables
+
+    lasting = fresh_path(spark, "lasting")
+    with passing_tables(spark):
+        inner = materialise(spark.range(5), "inner")
+        with passing_tables(spark):
+            nested = materialise(inner, "nested")
+            kept = materialise(nested, "kept", lasting)
+        assert inner.count() == 5
+    assert kept.count() == 5
+    with pytest.raises(Exception, match="FILE|exist"):
+        inner.collect()
+    assert "passing" not in fresh_path(spark, "after")
+
+
 # --- streams ---------------------------------------------------------------------
 
 def test_gaps_filled_in_a_stream(spark, tmp_path):
