@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from furrow.llm import bpe, decontaminate, langid, lines, neardup
-from furrow.session import materialise
+from furrow.session import discard, fresh_path, materialise, passing_tables
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,7 +51,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """Rows of the last stage; a stage's helper tables, and the documents it read, go once its result is written."""
+    docs, read = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES[:-1]:
-        docs = materialise(stage(spark, docs, sf_dir), name)
+        path = fresh_path(spark, name)
+        with passing_tables(spark):
+            docs = materialise(stage(spark, docs, sf_dir), name, path)
+        if read:
+            discard(spark, read)
+        read = path
     return STAGES[-1][1](spark, docs, sf_dir)
