@@ -23,13 +23,13 @@ def _rows(s: Source):
     return s.spark.sql(_STATION.replace("FROM station", "FROM {station}"), station=s.view("station"))
 
 
-def _register(name: str, chain: f.FormulaSet, extra: dict[str, str], out: list[str], digits: int = 6, where: str = "TRUE") -> None:
+def _register(name: str, chain: f.FormulaSet, extra: dict[str, str], out: list[str], digits: int = 6) -> None:
     """A query that applies a chain to station rows and rounds the named columns."""
     first = f.FormulaSet(extra)
 
     @query(name, f"WITH s AS ({_STATION}), {TWINS[name]}" if not TWINS[name].startswith("SELECT") else f"WITH s AS ({_STATION}) {TWINS[name]}", "station")
     def _(s: Source):
-        return chain.apply(first.apply(_rows(s).filter(where))).select("id", *(rounded(F.col(c).cast("double"), digits).alias(c) for c in out))
+        return chain.apply(first.apply(_rows(s))).select("id", *(rounded(F.col(c).cast("double"), digits).alias(c) for c in out))
 
 
 _P = f.PRESSURE.columns
@@ -45,19 +45,19 @@ _register("c9_longwave", f.AIR | f.HUMIDITY | f.LONGWAVE, _P, ["t_surface", "emi
 _register("c10_incidence", f.SUN | f.INCIDENCE, {"acquired": "CASE WHEN id % 9 = 0 THEN 0 ELSE id END"}, ["incidence"], 4)
 _register("c11_diffuse", f.DIFFUSE, _P, ["dir_vis", "dif_vis", "dir_nir", "dif_nir", "f_vis", "skyl_vis", "skyl_nir", "skyl"])
 _SPLIT = {**_P, **f.DIFFUSE.columns, "s_dir": "s_dn * (1.0 - skyl)", "s_dif": "s_dn * skyl", "lai_eff": "lai * 0.9", "rho_vis": "0.07", "tau_vis": "0.08", "rho_nir": "0.32", "tau_nir": "0.33", "soil_vis": "0.15", "soil_nir": "0.25"}
-_register("c12_net_shortwave", f.NET_SHORTWAVE, _SPLIT, ["k_be", "tau_d", "sn_c", "sn_s"], 5, "lai > 0")
-_register("c12_net_longwave", f.CANOPY_K | f.NET_LONGWAVE, {"l_dn": "330.0", "emis_c": "0.98", "emis_s": "0.95", "t_canopy": "t_a", "t_soil": "t_r"}, ["ln_c", "ln_s"], 5, "lai > 0")
-_register("c13_clumping", f.CLUMPING, {}, ["omega0", "omega", "omega_rows"], 6, "lai > 0")
+_register("c12_net_shortwave", f.NET_SHORTWAVE, _SPLIT, ["k_be", "tau_d", "sn_c", "sn_s"], 5)
+_register("c12_net_longwave", f.CANOPY_K | f.NET_LONGWAVE, {"l_dn": "330.0", "emis_c": "0.98", "emis_s": "0.95", "t_canopy": "t_a", "t_soil": "t_r"}, ["ln_c", "ln_s"], 5)
+_register("c13_clumping", f.CLUMPING, {}, ["omega0", "omega", "omega_rows"])
 _register("c14_roughness", f.ROUGHNESS, {}, ["z_0m", "d_0"])
 _NEUTRAL = {"d_0": "0.65 * h_c", "z_0m": "h_c / 8.0", "z_0h": "z_0m", "u_star": "greatest(u * KARMAN / ln((z_u - d_0) / z_0m), 0.01)", "l_mo": "CASE id % 3 WHEN 0 THEN -30.0 WHEN 1 THEN 50.0 END", "dt": "t_r - t_a"}
-_register("c15_resistances", f.RESISTANCES, _NEUTRAL, ["u_c", "u_s", "u_d", "r_a", "r_s_kn", "r_s_cm", "r_s_mv", "r_x_kn", "r_x_cm", "r_x_mv"], 5, "lai > 0")
+_register("c15_resistances", f.RESISTANCES, _NEUTRAL, ["u_c", "u_s", "u_d", "r_a", "r_s_kn", "r_s_cm", "r_s_mv", "r_x_kn", "r_x_cm", "r_x_mv"], 5)
 _register("c16_stability", f.STABILITY, {**_P, **f.AIR.columns, "d_0": "0.65 * h_c", "z_0m": "h_c / 8.0", "l_mo": "CASE id % 3 WHEN 0 THEN -30.0 WHEN 1 THEN 50.0 END", "h": "t_r - t_a", "le": "s_dn / 4.0", "t_r0": "t_r - 5.0", "t_r1": "t_r", "t_a0": "t_a - 2.0"}, ["psi_m_b", "psi_h_b", "psi_m_d", "psi_h_d", "u_star", "obukhov", "richardson"], 5)
 _register("c17_soil_heat", f.SOIL_HEAT, {"rn_s": "s_dn * 0.4"}, ["g_constant", "g_ratio", "g_cosine", "g_sigmoid"])
 _register("c18_daily_et", f.AIR | f.DAILY_ET, {**_P, "s_mean": "s_dn / 3.0", "le": "s_dn / 2.5", "s_inst": "s_dn"}, ["le_daily", "et_daily"])
 _register("c19_reference_et", f.AIR | f.HUMIDITY | f.REFERENCE_ET, _P, ["s_clear", "cloud", "ln_out", "le_fao", "le_tall", "le_short"], 5)
 _register("c20_tilted", f.TILTED, {}, ["kt", "dhi", "dni", "poa"], 5)
 _register("c21_component_t", f.COMPONENT_T, {"t_canopy": "t_a", "t_soil": "t_r + 6.0", "omega": "0.8"}, ["f_theta", "t_s", "t_cnp", "flag_t"], 5)
-_register("j13_component_temps", f.TWO_VIEWS, {"vza_near": "vza / 9.0", "vza_far": "40.0 + vza / 9.0", "t_near": "t_r", "t_far": "t_r - 1.0"}, ["t_soil2", "t_leaf2"], 3, "lai > 0.3")
+_register("j13_component_temps", f.TWO_VIEWS, {"vza_near": "vza / 9.0", "vza_far": "40.0 + vza / 9.0", "t_near": "t_r", "t_far": "t_r - 1.0"}, ["t_soil2", "t_leaf2"], 3)
 _register("a23_bowen", f.BOWEN, {"rn": "s_dn * 0.6", "g": "s_dn * 0.06", "h": "(t_r - t_a) * 15.0", "le": "s_dn / 4.0 - 40.0"}, ["le_closed", "h_closed"], 5)
 
 
@@ -74,7 +74,7 @@ def _(s: Source):
 
 
 def _steps_sql(n: int) -> str:
-    out = f"SELECT id, lai, fapar, theta, lai AS pai, 1e0 AS fg, 0e0 AS fipar FROM (SELECT id, lai, 5e-2 + lai / 5e0 AS fapar, radians(sza) AS theta FROM ({_STATION}) s0 WHERE lai > 0) z"
+    out = f"SELECT id, lai, fapar, theta, lai AS pai, 1e0 AS fg, 0e0 AS fipar FROM (SELECT id, lai, 5e-2 + lai / 5e0 AS fapar, radians(sza) AS theta FROM ({_STATION}) s0) z"
     cosine = "greatest(least(cos(theta), 1e0), 1e-2)"
     for _ in range(n):
         fip = f"greatest(least(1e0 - exp(-5e-1 * pai / {cosine}), 1e0), 1e-6)"
@@ -84,7 +84,7 @@ def _steps_sql(n: int) -> str:
 
 @query("c7_green_fraction", f"SELECT id, round(fg, 5) AS f_green, round(fipar, 5) AS fipar, round(pai, 5) AS pai FROM ({_steps_sql(20)}) q", "station")
 def _(s: Source):
-    rows = _rows(s).filter("lai > 0").withColumns({"fapar": 0.05 + F.col("lai") / 5.0, "theta": F.radians("sza")})
+    rows = _rows(s).withColumns({"fapar": 0.05 + F.col("lai") / 5.0, "theta": F.radians("sza")})
     out = canopy.with_green_fraction(rows, "lai", "fapar", "theta")
     return out.select("id", *(rounded(c, 5).alias(c) for c in ("f_green", "fipar", "pai")))
 

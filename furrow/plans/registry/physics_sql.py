@@ -93,16 +93,16 @@ z2 AS (SELECT *, asin(sin(radians(23.44)) * sin(radians(0.9856479 * k - 79.828)
     + _shown({"incidence": "CASE WHEN id % 9 <> 0 THEN degrees(acos(greatest(-1, least(1, sin(zen) * sin(az) * sin(sl) * sin(asp) + sin(zen) * cos(az) * sin(sl) * cos(asp) + cos(zen) * cos(sl))))) END"}, 4, "v"),
     "c11_diffuse": f"{_BEAMS} " + _shown({"dir_vis": "bv", "dif_vis": "dv", "dir_nir": "bn", "dif_nir": "dn", "f_vis": "fv", "skyl_vis": "kv", "skyl_nir": "kn", "skyl": "sky"}, 6, "beams"),
     # one row a band
-    "c12_net_shortwave": f"""{_BEAMS}, k AS (SELECT *, {_DIFFUSE_K} AS td, {_extinction("radians(least(sza, 89))")} AS kb FROM beams WHERE lai > 0),
-n AS (SELECT *, -ln(td) / lai AS kd FROM k),
+    "c12_net_shortwave": f"""{_BEAMS}, k AS (SELECT *, {_DIFFUSE_K} AS td, {_extinction("radians(least(sza, 89))")} AS kb FROM beams),
+n AS (SELECT *, -ln(td) / nullif(lai, 0) AS kd FROM k),
 bands AS (SELECT n.*, CASE WHEN name = 'vis' THEN fv ELSE 1 - fv END AS share, sqrt(1 - leaf) AS root, ground FROM n, (VALUES ('vis', 0.15, 0.15), ('nir', 0.65, 0.25)) AS b(name, leaf, ground)),
 layers AS (SELECT id, kb, td, share, ground, s_dn * (1 - sky) * share AS direct, s_dn * sky * share AS diffuse, {", ".join(f"{e} AS {c}" for c, e in zip(("tb", "ab", "tf", "af"), (*_layer("kb", "(0.9 * lai)", "root", "ground"), *_layer("kd", "lai", "root", "ground"))))} FROM bands),
 sums AS (SELECT id, min(kb) AS kb, min(td) AS td, sum((1 - tb) * (1 - ab) * direct + (1 - tf) * (1 - af) * diffuse) AS canopy, sum((1 - ground) * (tb * direct + tf * diffuse)) AS soil FROM layers GROUP BY id) """
     + _shown({"k_be": "kb", "tau_d": "td", "sn_c": "canopy", "sn_s": "soil"}, 5, "sums"),
-    "c12_net_longwave": f"""k AS (SELECT *, -ln({_DIFFUSE_K}) / lai AS kd, 0.98 * 5.670373e-8 * pow(t_a, 4) AS leaves, 0.95 * 5.670373e-8 * pow(t_r, 4) AS floor_ FROM s WHERE lai > 0),
+    "c12_net_longwave": f"""k AS (SELECT *, -ln({_DIFFUSE_K}) / nullif(lai, 0) AS kd, 0.98 * 5.670373e-8 * pow(t_a, 4) AS leaves, 0.95 * 5.670373e-8 * pow(t_r, 4) AS floor_ FROM s),
 l AS (SELECT *, {_layer("kd", "lai", "sqrt(0.98)", "0.05")[0]} AS through, {_layer("kd", "lai", "sqrt(0.98)", "0.05")[1]} AS albedo FROM k) """
     + _shown({"ln_c": "(1 - through) * ((1 - albedo) * (330 + floor_) - 2 * leaves)", "ln_s": "0.95 * (330 * through + leaves * (1 - through)) - floor_"}, 5, "l"),
-    "c13_clumping": f"""c0 AS (SELECT *, lai / f_c AS dense, 1 / {_SPHERE} AS k0, {_extinction("radians(vza)")} AS kv, least(1, f_c + f_c * tan(radians(vza)) * abs(sin(radians(psi)))) AS wide FROM s WHERE lai > 0),
+    "c13_clumping": f"""c0 AS (SELECT *, nullif(lai, 0) / f_c AS dense, 1 / {_SPHERE} AS k0, {_extinction("radians(vza)")} AS kv, least(1, f_c + f_c * tan(radians(vza)) * abs(sin(radians(psi)))) AS wide FROM s),
 c1 AS (SELECT *, -ln(greatest(1e-36, 1 - f_c * (1 - exp(-k0 * dense)))) / (dense * k0) AS zero FROM c0) """
     + _shown({"omega0": "zero", "omega": "1 / (1 + (1 / zero - 1) * exp(-2.2 * pow(radians(vza), 3.34)))", "omega_rows": "-ln(1 - wide * (1 - exp(-kv * dense))) / (dense * kv)"}, 6, "c1"),
     # classes as a table: their cover and frontal area per cover
@@ -111,7 +111,7 @@ r0 AS (SELECT s.*, fixed_z, fixed_d, front * w_c * (1 - exp(-rate * lai)) AS lam
 r1 AS (SELECT *, CASE WHEN lam > 0.152 THEN 0.00368 + 0.0537 * pow(lam, -0.51) * (1 - exp(-10.9 * pow(lam, 0.874))) ELSE 0.00086 + 5.86 * pow(lam, 1.33) * exp(-10.9 * pow(lam, 1.12)) END AS zf, CASE WHEN lam > 0 THEN 1 - (1 - exp(-sqrt(15 * lam))) / sqrt(15 * lam) ELSE 0.65 END AS df,
 CASE WHEN lai <= 0 THEN 1 WHEN lai < 0.8775 THEN 2.1713 + 0.3299 * lai * sqrt(lai) ELSE 1 + 1.6771 / exp(0.1717 * lai) END AS fz, CASE WHEN lai <= 0 THEN 1 ELSE 1 - 0.3991 / exp(0.1779 * lai) END AS fd FROM r0) """
     + _shown({"z_0m": "CASE WHEN fixed_z IS NOT NULL THEN fixed_z WHEN fixed_d IS NOT NULL THEN h_c / 8 ELSE h_c * zf * fz END", "d_0": "CASE WHEN fixed_z IS NOT NULL THEN 0 WHEN fixed_d IS NOT NULL THEN h_c * fixed_d ELSE h_c * df * fd END"}, 6, "r1"),
-    "c15_resistances": f"""v0 AS (SELECT *, h_c / 8 AS z0, CASE id % 3 WHEN 0 THEN -30 WHEN 1 THEN 50 END AS l FROM s WHERE lai > 0),
+    "c15_resistances": f"""v0 AS (SELECT *, h_c / 8 AS z0, CASE id % 3 WHEN 0 THEN -30 WHEN 1 THEN 50 END AS l FROM s),
 v1 AS (SELECT *, greatest(0.01, 0.41 * u / ln((z_u - 0.65 * h_c) / z0)) AS us, 0.28 * pow(lai * lai * h_c / leaf_w, 1.0 / 3) AS decay, (z_t - 0.65 * h_c) / l AS zt, z0 / l AS zh FROM v0),
 v2 AS (SELECT *, us / 0.41 * ln(2.8) AS top FROM v1),
 v3 AS (SELECT *, top * exp(decay * (0.05 / h_c - 1)) AS low, top * exp(-0.225 * decay) AS mid FROM v2) """
@@ -121,8 +121,8 @@ v3 AS (SELECT *, top * exp(decay * (0.05 / h_c - 1)) AS low, top * exp(-0.225 *
             "r_a": f"(ln((z_t - 0.65 * h_c) / z0) - ({_psi_heat('zt')}) + ({_psi_heat('zh')})) / us / 0.41",
             "r_s_kn": "1 / (0.012 * low + 0.0038 * pow(greatest(0, t_r - t_a), 1.0 / 3))",
             "r_s_cm": "(exp(2 - 0.02 / h_c) - exp(2 - 2 * 0.775)) / (0.82 * 0.35 * us)",
-            "r_s_mv": "10 / us", "r_x_kn": "90 * sqrt(leaf_w / mid) / lai",
-            "r_x_cm": "150 / (lai * (1 - exp(-1.5))) * sqrt(leaf_w / top)", "r_x_mv": "(130 * sqrt(leaf_w * us)) / lai + 0.36 / us",
+            "r_s_mv": "10 / us", "r_x_kn": "90 * sqrt(leaf_w / mid) / nullif(lai, 0)",
+            "r_x_cm": "150 / (nullif(lai, 0) * (1 - exp(-1.5))) * sqrt(leaf_w / top)", "r_x_mv": "(130 * sqrt(leaf_w * us)) / nullif(lai, 0) + 0.36 / us",
         },
         5,
         "v3",
@@ -173,7 +173,7 @@ q4 AS (SELECT *, CASE WHEN sza > 87 THEN 0 ELSE (s_dn - dif) / mu END AS beam FR
 w1 AS (SELECT *, r4 - f * t_a * t_a * t_a * t_a AS soil, r4 - (1 - f) * pow(t_r + 6, 4) AS leaf FROM w0) """
     + _shown({"f_theta": "f", "t_s": "CASE WHEN soil >= 0 AND f < 1 THEN sqrt(sqrt(soil / (1 - f))) ELSE 1e-6 END", "t_cnp": "CASE WHEN leaf >= 0 AND f > 0 THEN sqrt(sqrt(leaf / f)) ELSE 1e-6 END", "flag_t": "CASE WHEN soil < 0 OR leaf < 0 THEN 255 ELSE 0 END"}, 5, "w1"),
     # the two views as two linear equations in the fourth powers, by Cramer's rule
-    "j13_component_temps": f"""x0 AS (SELECT *, 1 - exp(-lai * {_extinction("radians(vza / 9)")}) AS a, 1 - exp(-lai * {_extinction("radians(40 + vza / 9)")}) AS b, pow(t_r, 4) AS n4, pow(t_r - 1, 4) AS f4 FROM s WHERE lai > 0.3),
+    "j13_component_temps": f"""x0 AS (SELECT *, 1 - exp(-lai * {_extinction("radians(vza / 9)")}) AS a, 1 - exp(-lai * {_extinction("radians(40 + vza / 9)")}) AS b, pow(t_r, 4) AS n4, pow(t_r - 1, 4) AS f4 FROM s),
 x1 AS (SELECT *, (a * f4 - b * n4) / nullif(a - b, 0) AS soil, ((1 - b) * n4 - (1 - a) * f4) / nullif(a - b, 0) AS leaf FROM x0) """
     + _shown({"t_soil2": "CASE WHEN soil > 0 AND leaf > 0 THEN sqrt(sqrt(soil)) END", "t_leaf2": "CASE WHEN soil > 0 AND leaf > 0 THEN sqrt(sqrt(leaf)) END"}, 3, "x1"),
     "a23_bowen": "z AS (SELECT id, 0.54 * s_dn AS have, 15 * (t_r - t_a) AS h, s_dn / 4 - 40 AS le FROM s), y AS (SELECT *, h / nullif(le, 0) AS ratio FROM z) "

@@ -368,7 +368,7 @@ def _(s: Source):
 
 @query(
     "a15_sample_chips",
-    """WITH c AS (SELECT state, chip_r, chip_c, CAST(sum(pixel_count) AS BIGINT) AS a, CAST(count(*) AS BIGINT) AS b FROM (SELECT * FROM chips WHERE band < 6) GROUP BY 1, 2, 3),
+    """WITH c AS (SELECT state, chip_r, chip_c, CAST(sum(pixel_count) AS BIGINT) AS a, CAST(count(*) FILTER (pixel_count > 1) AS BIGINT) AS b FROM chips GROUP BY 1, 2, 3),
 q AS (SELECT state, ceil(count(*) * 200.0 / (SELECT count(*) FROM c)) AS quota FROM c GROUP BY state),
 e1 AS (SELECT state, quantile_cont(a, [0.0, 0.2, 0.4, 0.6, 0.8, 1.0]) AS e FROM c GROUP BY state),
 s1 AS (SELECT c.*, i AS bin FROM c JOIN e1 USING (state) JOIN q USING (state), range(5) r(i) WHERE a >= e[i + 1] AND a < e[i + 2] QUALIFY row_number() OVER (PARTITION BY state, bin ORDER BY chip_r, chip_c) <= floor(any_value(quota) OVER (PARTITION BY state) / 5 / 2)),
@@ -379,7 +379,7 @@ SELECT state, chip_r, chip_c, CAST(bin AS INT) AS bin, 'a' AS drawn_for FROM s1
     "chips",
 )
 def _(s: Source):
-    c = s.view("chips").filter("band < 6").groupBy("state", "chip_r", "chip_c").agg(F.sum("pixel_count").cast("long").alias("a"), F.count(F.lit(1)).alias("b"))
+    c = s.view("chips").groupBy("state", "chip_r", "chip_c").agg(F.sum("pixel_count").cast("long").alias("a"), F.count_if(F.col("pixel_count") > 1).alias("b"))
     return sampling.sample_chips(c, "state", ["chip_r", "chip_c"], ["a", "b"], 200).select("state", "chip_r", "chip_c", "bin", "drawn_for")
 
 
@@ -394,9 +394,9 @@ def _(s: Source):
     return sampling.chip_stats(df, 8, ["ref", "pred"])
 
 
-@query("a18_sample_empty", "WITH m AS (SELECT state, chip_r, chip_c, max(pixel_count) AS most FROM chips WHERE band <= 2 GROUP BY 1, 2, 3) SELECT state, chip_r, chip_c FROM m WHERE most = 0 ORDER BY 1, 2, 3 LIMIT (SELECT greatest(CAST(floor(count(*) / 80.0) AS BIGINT), 1) FROM m)", "chips")
+@query("a18_sample_empty", "WITH m AS (SELECT state, band, chip_r, chip_c, max(pixel_count) AS most FROM chips GROUP BY 1, 2, 3, 4) SELECT state, band, chip_r, chip_c FROM m WHERE most = 0 ORDER BY 1, 2, 3, 4 LIMIT (SELECT greatest(CAST(floor(count(*) / 80.0) AS BIGINT), 1) FROM m)", "chips")
 def _(s: Source):
-    return sampling.sample_empty(s.view("chips").filter("band <= 2"), ["state", "chip_r", "chip_c"], "pixel_count", 1 / 80)
+    return sampling.sample_empty(s.view("chips"), ["state", "band", "chip_r", "chip_c"], "pixel_count", 1 / 80)
 
 
 @query("a19_split", "SELECT state, band, chip_r, chip_c, CASE WHEN row_number() OVER (PARTITION BY state ORDER BY band, chip_r, chip_c) <= floor(count(*) OVER (PARTITION BY state) * 0.85) THEN 'train' ELSE 'hold' END AS part FROM chips", "chips")

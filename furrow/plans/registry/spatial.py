@@ -234,14 +234,14 @@ def _(s: Source):
 
 @query(
     "w19_outer_chips",
-    """WITH k AS (SELECT chip_r, chip_c, max(pixel_count) >= 3 AS b FROM chips WHERE band = 1 GROUP BY 1, 2),
+    """WITH k AS (SELECT chip_r, chip_c, sum(pixel_count) % 7 = 0 AS b FROM chips GROUP BY 1, 2),
 f AS (SELECT *, coalesce(max(CAST(b AS INT)) OVER (PARTITION BY chip_r ORDER BY chip_c ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) = 0 AS f0, coalesce(max(CAST(b AS INT)) OVER (PARTITION BY chip_r ORDER BY chip_c DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) = 0 AS f1,
 coalesce(max(CAST(b AS INT)) OVER (PARTITION BY chip_c ORDER BY chip_r ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) = 0 AS f2, coalesce(max(CAST(b AS INT)) OVER (PARTITION BY chip_c ORDER BY chip_r DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) = 0 AS f3 FROM k)
 SELECT chip_r, chip_c, b FROM f WHERE NOT (f0 OR f1 OR f2 OR f3)""",
     "chips",
 )
 def _(s: Source):
-    k = s.view("chips").filter("band = 1").groupBy("chip_r", "chip_c").agg((F.max("pixel_count") >= 3).alias("b"))
+    k = s.view("chips").groupBy("chip_r", "chip_c").agg((F.sum("pixel_count") % 7 == 0).alias("b"))
     return sampling.drop_outer_chips(k, "b")
 
 
