@@ -7,15 +7,21 @@ run of marks, an apostrophe that may begin a contraction) and, inside a run, the
 the merges (see merges). Transitions are compiled when they are first met, from then
 on they are rows of one hash table, and white space leads from every state back to the first.
 
+The transducer reads bytes in the normal form of the tokenizer. ASCII and the letters of
+Latin-1 are brought to it by tables. Words with other bytes (any script, controls) go through
+the tokenizer's own normaliser, each different one once a slice, and run as texts of their own;
+whether a character is a letter, a number or a mark is asked of the tokenizer's splitter
+when it is first met. Only words with a special string's opening are left to the library.
+
 Texts are cut into chunks of equal size wherever the cut falls. All chunks of a slice run
 in lockstep, one byte of each a step. A chunk that begins inside a text starts behind its
 first white space, where its state is known whatever came before: its state map is
 constant there, and only the head before it depends on the state that the chunk is
 entered with. The entering states are a prefix scan over those maps, and the heads
-run in lockstep too. Chunks without white space are composed one after another.
-
-Words with bytes outside the machine's alphabet (other scripts, controls, special strings)
-are counted by the tokenizers library and left out of the run.
+run in lockstep too. A chunk without white space (a long word, a text in a script without
+spaces) has a map over its live states, those that the map of the chunk before may leave.
+Such maps are grown in lockstep too, from a guess behind a short run-up, until no state is
+new, and are composed pairwise, in as many steps as the logarithm of a chain's length.
 """
 
 from __future__ import annotations
@@ -30,8 +36,10 @@ from furrow.llm.merges import START, MergeMachine
 from furrow.llm.text import annotate, held
 
 CHUNK_BYTES = 512
-#: Transitions and counted foreign words that a worker keeps; beyond it starts afresh.
-MAX_TRANSITIONS, MAX_WORDS = 800_000, 200_000
+#: Transitions that a worker keeps; beyond it starts afresh.
+MAX_TRANSITIONS = 800_000
+#: Bytes before a chunk without white space from which its entering state is guessed.
+RUN_UP = 48
 
 _SPACE, _LETTER, _DIGIT, _MARK, _FOREIGN = range(5)
 _KIND = np.full(256, _FOREIGN, np.uint8)
@@ -50,7 +58,9 @@ _CLASS = np.arange(256, dtype=np.uint8)
 _CLASS[_KIND == _DIGIT], _CLASS[_KIND == _SPACE] = 0x30, 0x20
 #: Contractions: letters after an apostrophe that complete one, and those that may.
 _SHORT, _LONG = b"stmd", {ord("r"): ord("e"), ord("v"): ord("e"), ord("l"): ord("l")}
-_BITS = 8
+#: Above a byte: what it is part of, where that is no letter (0). The first byte of a number begins a word.
+_IN_MARK, _IN_NUMBER, _NUMBER = 1 << 8, 2 << 8, 3 << 8
+_BITS = 10
 
 
 class CountTransducer:
@@ -64,12 +74,14 @@ class CountTransducer:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.merges, self.limit = MergeMachine(tokenizer_file), limit
+        #: What a character is, by code point; -1: not asked yet.
+        self.kinds = np.full(0x110000, -1, np.int8)
+        self.kinds[:0x80] = np.where(_KIND[:0x80] == _FOREIGN, _MARK, _KIND[:0x80])
         self.restart()
 
     def restart(self) -> None:
         self.names: list[tuple] = [("none", START)]
         self.states: dict[tuple, int] = {self.names[0]: 0}
-        self.words: dict[bytes, int] = {}
         self.merges.known.clear()
         self.n = 0
         self._room(16)
@@ -91,10 +103,15 @@ class CountTransducer:
             return self.merges.count(b"'") + (self.merges.count(state) if state else 0)
         return self.merges.finish(state)
 
-    def target(self, name: tuple, byte: int) -> tuple[int, tuple]:
-        """Tokens emitted on a byte (of the machine's alphabet, in lower case), and the state it leads to."""
+    def target(self, name: tuple, symbol: int) -> tuple[int, tuple]:
+        """Tokens emitted on a byte in normal form, with what it is part of, and the state it leads to."""
         kind, state = name
-        what = _LETTER if byte >= 0x80 else int(_KIND[byte])
+        part, byte = symbol & ~0xFF, symbol & 0xFF
+        if part in (_NUMBER, _IN_NUMBER):
+            inside = part == _IN_NUMBER and kind == "number"
+            emitted, now = self.merges.step(state if inside else START, byte)
+            return emitted + (0 if inside else self._end(name)), ("number", now)
+        what = _MARK if part == _IN_MARK else _LETTER if byte >= 0x80 else int(_KIND[byte])
         if what == _SPACE:
             return self._end(name), self.names[0]
         if what == _DIGIT:  # each is a word
@@ -125,7 +142,7 @@ class CountTransducer:
 
     def _target(self, key: int) -> tuple[int, int]:
         """(state after, tokens emitted) of a (state, class) key, by numbers."""
-        emitted, name = self.target(self.names[key >> _BITS], key & 0xFF)
+        emitted, name = self.target(self.names[key >> _BITS], key & (1 << _BITS) - 1)
         number = self.states.setdefault(name, len(self.names))
         if number == len(self.names):
             self.names.append(name)
@@ -210,15 +227,31 @@ class CountTransducer:
         # the last byte of the data is white space
         return np.where(nth > 0, space[nth - 1] + 1, 0), space[nth]
 
-    def _library(self, words: list[bytes]) -> np.ndarray:
-        missing = list(set(words) - self.words.keys())
-        if len(self.words) + len(missing) > MAX_WORDS:
-            self.words, missing = {}, list(set(words))
-        for at in range(0, len(missing), 4096):
-            part = missing[at : at + 4096]
-            found = self.tokenizer.encode_batch_fast([x.decode() for x in part], add_special_tokens=False)
-            self.words |= zip(part, map(len, found), strict=True)
-        return np.fromiter(map(self.words.__getitem__, words), np.int64, len(words))
+    def _library(self, words: list[bytes]) -> list[int]:
+        return [len(x) for x in self.tokenizer.encode_batch_fast([x.decode() for x in words], add_special_tokens=False)]
+
+    def _symbols(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Symbols of the normal forms of words, each with a white space behind it, and their sizes."""
+        normal = [self.tokenizer.normalizer.normalize_str(w.decode()) for w in words]
+        joined = " ".join(normal) + " "
+        points = np.frombuffer(joined.encode("utf-32-le"), np.uint32)
+        kinds = self.kinds[points]
+        for point in np.unique(points[kinds < 0]).tolist():
+            # alone between the runs of its kind: one run with a letter, a run of its own, words of their own, or nothing
+            found = self.tokenizer.pre_tokenizer.pre_tokenize_str("a" + 2 * chr(point))
+            self.kinds[point] = {2: _MARK, 3: _DIGIT}.get(len(found), _LETTER if found[0][1][1] == 3 else _SPACE)
+        kinds = self.kinds[points]
+        data = np.frombuffer(joined.encode(), np.uint8)
+        widths = 1 + (points >= 0x80).astype(np.int64) + (points >= 0x800) + (points >= 0x10000)
+        kind, plain = np.repeat(kinds, widths), data < 0x80
+        lead = np.zeros(len(data), bool)
+        lead[np.cumsum(widths) - widths] = True
+        out = np.where(plain, _CLASS[data], data).astype(np.uint16)
+        out[(kind == _MARK) & ~(plain & (_KIND[data] == _MARK))] |= _IN_MARK
+        number = (kind == _DIGIT) & ~plain
+        out[number] |= np.where(lead[number], _NUMBER, _IN_NUMBER).astype(np.uint16)
+        out[kind == _SPACE] = 0x20
+        return out, np.fromiter((len(w.encode()) + 1 for w in normal), np.int64, len(normal))
 
     def count(self, texts: list[bytes], chunk: int = CHUNK_BYTES) -> np.ndarray:
         """Tokens of each text."""
@@ -233,10 +266,22 @@ class CountTransducer:
         lower = _LOWER[data]
         behind = np.flatnonzero((data[:-1] == 0xC3) & _CAPITAL[data[1:]]) + 1
         lower[behind] += 0x20
-        classes = _CLASS[lower]
+        classes = _CLASS[lower].astype(np.uint16)
         if len(first):
-            words = [raw[a:b] for a, b in zip(first.tolist(), last.tolist(), strict=True)]
-            np.add.at(total, np.searchsorted(offsets, first, side="right") - 1, self._library(words))
+            # by text and word, so that a word's tokens count as often as the text has it
+            of: dict[tuple[int, bytes], int] = {}
+            for text, a, b in zip((np.searchsorted(offsets, first, side="right") - 1).tolist(), first.tolist(), last.tolist(), strict=True):
+                word = raw[a:b]
+                of[text, word] = of.get((text, word), 0) + 1
+            words = sorted({w for _, w in of})
+            place = {w: i for i, w in enumerate(words)}
+            text, word, n = (np.fromiter(x, np.int64, len(of)) for x in ((t for t, _ in of), (place[w] for _, w in of), of.values()))
+            special = np.fromiter((b"<|" in w for w in words), bool, len(words))
+            tokens = np.zeros(len(words), np.int64)
+            tokens[special] = self._library([words[i] for i in np.flatnonzero(special).tolist()])
+            if not special.all():
+                tokens[~special] = self._words([words[i] for i in np.flatnonzero(~special).tolist()], chunk)
+            np.add.at(total, text, tokens[word] * n)
             edges = np.zeros(len(data) + 1, np.int8)
             np.add.at(edges, first, 1)
             np.add.at(edges, last, -1)
@@ -245,6 +290,14 @@ class CountTransducer:
         np.add.at(total, owner, emitted)
         return total
 
+    def _words(self, words: list[bytes], chunk: int) -> np.ndarray:
+        """Tokens of each word, by its normal form."""
+        symbols, sizes = self._symbols(words)
+        owner, emitted = self._chunks(symbols, np.cumsum(sizes) - sizes, sizes, chunk)
+        out = np.zeros(len(words), np.int64)
+        np.add.at(out, owner, emitted)
+        return out
+
     def _chunks(self, classes: np.ndarray, offsets: np.ndarray, sizes: np.ndarray, chunk: int) -> tuple[np.ndarray, np.ndarray]:
         """(text, tokens) of every chunk: inner parts in lockstep, entering states by a scan, then heads in lockstep."""
         n = -(-sizes // chunk)
@@ -259,27 +312,52 @@ class CountTransducer:
         known = sync >= 0
         left, emitted = np.full(len(owner), -1, np.int64), np.zeros(len(owner), np.int64)
         left[known], emitted[known] = self.run(classes, sync[known], end[known], np.zeros(int(known.sum()), np.int64))
-        # scan: a chunk is entered with what the chunk before leaves; a chain of unknown ones is composed in order
+        if not known.all():
+            unknown = np.flatnonzero(~known)
+            at, exits, sums = self._composed(classes, start, end, offsets[owner], unknown, left)
+            left[at] = exits
+            emitted[unknown] += sums
+        # scan: a chunk is entered with what the chunk before leaves
         entered = np.concatenate(([0], left[:-1]))
-        for k in np.flatnonzero(~known).tolist():
-            left[k], more = self._alone(classes[start[k] : end[k]], int(left[k - 1]))
-            emitted[k] += more
-            if k + 1 < len(left):
-                entered[k + 1] = left[k]
         heads = np.flatnonzero(known & (sync > start))
         emitted[heads] += self.run(classes, start[heads], sync[heads], entered[heads])[1]
         return owner, emitted
 
-    def _alone(self, classes: np.ndarray, state: int) -> tuple[int, int]:
-        """(state, tokens) of one range that can't run beside others; its transitions aren't kept."""
-        total, seen = 0, {}
-        for c in classes.tolist():
-            key = state << _BITS | c
-            if (found := seen.get(key)) is None:
-                found = seen[key] = self._target(key)
-            state, more = found
-            total += more
-        return state, total
+    def _composed(self, classes: np.ndarray, start: np.ndarray, end: np.ndarray, text: np.ndarray, unknown: np.ndarray, left: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(last chunk of each chain, state that it leaves) and the tokens of each chain, at its first chunk, of chunks without a reset."""
+        n = len(unknown)
+        start, end = start[unknown], end[unknown]
+        behind = np.zeros(n + 1, bool)  # whether the chunk before has no reset either; a first chunk of a text always has one
+        behind[1:n] = unknown[1:] == unknown[:-1] + 1
+        heads = np.flatnonzero(~behind[:n])
+        entry, _ = self.run(classes, np.maximum(start - RUN_UP, text[unknown]), start, np.zeros(n, np.int64))
+        entry = entry.astype(np.int64)
+        entry[heads] = left[unknown[heads] - 1]
+        # a map is its rows (chunk, entering state) -> (state left, tokens); it grows by what the map before may leave
+        of, rows = np.arange(n), []
+        keys, first = np.empty(0, np.int64), of << 32 | entry
+        while len(of):
+            exits, tokens = self.run(classes, start[of], end[of], entry)
+            rows.append((of << 32 | entry, exits.astype(np.int64), tokens))
+            keys = np.union1d(keys, rows[-1][0])
+            new = np.unique((of + 1 << 32 | exits.astype(np.int64))[behind[of + 1]])
+            new = new[~np.isin(new, keys)]
+            of, entry = new >> 32, new & 0xFFFFFFFF
+        keys, exits, tokens = (np.concatenate(x) for x in zip(*rows, strict=True))
+        order = np.argsort(keys)
+        keys, exits, tokens = keys[order], exits[order], np.append(tokens[order], 0)
+        # composition by doubling: each row with the row that it leads to, to the chain's end
+        of, stop = keys >> 32, len(keys)
+        to = np.where(behind[of + 1], np.searchsorted(keys, of + 1 << 32 | exits), stop)
+        to, final = np.append(to, stop), np.arange(stop + 1)
+        while (to < stop).any():
+            tokens = tokens + tokens[to]
+            final = np.where(to < stop, final[to], final)
+            to = to[to]
+        at = np.searchsorted(keys, first[heads])
+        sums = np.zeros(n, np.int64)
+        sums[heads] = tokens[at]
+        return unknown[of[final[at]]], exits[final[at]], sums
 
 
 def transducer(tokenizer_file: str) -> CountTransducer:

@@ -419,6 +419,48 @@ def test_transducer_equals_library():
         assert machine.count([t.encode() for t in some], chunk).tolist() == want
 
 
+SCRIPTS = ["привет", "ЖУК", "İ", "ſ", "Σ", "ς", "é", "\u0301", "٣", "½", "²", "\u00a0", "\u3000", "हिन्दी", "ไทย", "한국어", "ㄱ", "\u1100\u1161", "😀", "\ue000", "ﬁ", "żółw", "ğ", "—", "’s", "\x85", "\x1c", "ǅ", "𝒜", "Ⅷ", "\ufeff", "\u200b", "本語", "\x00"]
+
+
+def test_all_scripts_run_through_the_transducer():
+    """Words of any script and normal form equal the library's, which counts words with a special string only."""
+    from tokenizers import Tokenizer
+
+    library, machine, rng = Tokenizer.from_file(WORDS), counts.CountTransducer(WORDS), random.Random(3)
+    points = [c for c in range(0x20, 0x20000) if not 0xD800 <= c < 0xE000]
+    some = ["".join(rng.choice(PIECES + SCRIPTS) for _ in range(rng.randrange(0, 60))) for _ in range(800)]
+    some += ["".join(chr(rng.choice(points)) if rng.random() < 0.7 else rng.choice(" a1'") for _ in range(rng.randrange(0, 40))) for _ in range(800)]
+    want = [len(e) for e in library.encode_batch(some, add_special_tokens=False)]
+    asked: list[bytes] = []
+    real = machine._library
+    machine._library = lambda words: (asked.extend(words), real(words))[1]
+    for chunk in (1, 7, 512):
+        assert machine.count([t.encode() for t in some], chunk).tolist() == want
+    assert asked and all(b"<|" in w for w in asked)
+    asked.clear()
+    whole = ["żółw gęś łąka ćma", "съешь ещё этих мягких булок", "".join(chr(0x4E00 + rng.randrange(900)) for _ in range(5000)), "पानी 水 მთა ہے"]
+    assert machine.count([t.encode() for t in whole]).tolist() == [len(library.encode(t, add_special_tokens=False)) for t in whole]
+    assert not asked
+
+
+def test_maps_without_a_reset_are_composed(monkeypatch):
+    """Wrong guesses of entering states only add rows to the maps: counts are the same without any run-up."""
+    from tokenizers import Tokenizer
+
+    library, rng = Tokenizer.from_file(WORDS), random.Random(4)
+    some = ["".join(rng.choice("abcdeing") for _ in range(3000)), "a" * 4001, "!?" * 1500 + "x" * 900, "ab " + "水火木" * 700 + " c", "½" * 500, ""]
+    want = [len(library.encode(t, add_special_tokens=False)) for t in some]
+    for run_up in (0, 5, counts.RUN_UP):
+        monkeypatch.setattr(counts, "RUN_UP", run_up)
+        machine = counts.CountTransducer(WORDS)
+        for chunk in (2, 16, 100):
+            assert machine.count([t.encode() for t in some], chunk).tolist() == want
+
+
+def test_token_counts_of_an_empty_table(docs):
+    assert counts.token_counts(docs.limit(0), WORDS).collect() == []
+
+
 def test_long_words_run_through_many_chunks():
     from tokenizers import Tokenizer
 
