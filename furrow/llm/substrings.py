@@ -4,19 +4,19 @@ A window's minimiser is the least hash of the word runs inside it. Consecutive w
 with one minimiser form a segment, and a segment goes to the shard of its minimiser:
 equal windows have equal minimisers, so all occurrences of a window meet in one shard,
 and a shard's work grows with its own text only, not with the corpus times the shards.
-Tasks drop segments that repeat inside the task before the shuffle (their words are
-known repeats of an earlier place) and ship the rest in compressed packs.
+Tasks collapse segments that repeat inside the task before the shuffle, report what repeats
+among their places by an index of those segments, and ship each once in compressed packs.
 
 A first pass over the documents marks minimisers in a bitmap of 2 ** FILTER_BITS cells
 (32 MB whatever the corpus) that at least two segments share; a segment alone in its
 cell repeats nowhere and isn't shipped. The bitmap only saves shuffle: on a corpus that
 fills it, more segments travel, and the result is the same.
 
-In a shard, segments whose minimiser is unique are done. Equal segments collapse to
-their earliest place. What is left is indexed (BWT of the word sequence in a wavelet
-matrix) and streamed through backward search; matching statistics that reach the
-window length give the repeated windows, and equal intervals are equal windows, of
-which the earliest stays.
+In a shard, segments whose minimiser is unique are done. The others' different word
+sequences are indexed (BWT in a wavelet matrix) and streamed through backward search, each
+once whatever its number of places. Matching statistics that reach the window length give an
+interval for every window, and equal intervals are equal windows: of the places of an
+interval the earliest stays, all others are repeats. No repeat is reported in another way.
 
 A minimiser with a great share of all segments (a passage in a third of the documents)
 would fill one shard: such minimisers are found on a sample, at most HOT_PER_SHARD per
@@ -42,6 +42,8 @@ WINDOW = 20
 RUN = 5
 SLICE = 1 << 20
 PACK_BYTES = 12 << 20
+#: Repeated windows after which a task reports them.
+REPEATS = 1_000_000
 #: Bytes of documents for each shard: a shard's segments are at most a few times as much.
 SHARD_BYTES = 4 << 20
 HOT_PER_SHARD = 8
@@ -157,33 +159,37 @@ def _emit(rows: DataFrame, window: int, run: int, shards: int, hot, cells) -> Da
         hot_set = np.sort(np.array(hot.value, np.uint64))
         shared = np.frombuffer(cells.value, np.uint8)
         held: dict[bytes, tuple] = {}
-        size = 0
-        repeats: list[tuple] = []
+        others: dict[bytes, list[tuple]] = {}  # later places of a sequence that is held
+        size = again = 0
 
-        def add(key: tuple, count: int, low: int, loops: int, content: bytes) -> int:
+        def add(key: tuple, count: int, low: int, loops: int, content: bytes) -> tuple[int, int]:
+            """Bytes and repeated windows that a segment adds."""
             other = held.get(content)
             if other is None:
                 held[content] = (key, count, low, loops)
-                return len(content)
+                return len(content), 0
+            if key == other[0]:
+                return 0, 0
             if key < other[0]:
                 held[content] = (key, count, low, loops)
                 key = other[0]
-            if key != held[content][0]:
-                repeats.append((*key, count))
-            return 0
+            others.setdefault(content, []).append(key)
+            return 0, count
 
         def flush():
             by: dict[int, list] = {}
             for content, (key, count, low, loops) in held.items():
                 by.setdefault(low % shards, []).append((*key, count, low // shards, loops, content))
             out = [(s, 0, _pack(part)) for s, part in by.items()]
-            if repeats:
-                columns = [np.array(c, k).tobytes() for c, k in zip(zip(*repeats), (np.int64, np.int64, np.int32, np.int32))]
-                out.append((repeats[0][0] % shards, 1, zstandard.ZstdCompressor(level=3).compress(np.int64(len(repeats)).tobytes() + b"".join(columns))))
+            if others:
+                places = [(i, *key) for i, content in enumerate(others) for key in (held[content][0], *others[content])]
+                of, ids, ties, starts = (np.array(c, np.int64) for c in zip(*places, strict=True))
+                found = indexed_repeats(list(others), of, ids, ties, starts, window)
+                out.append((int(ids[0]) % shards, 1, zstandard.ZstdCompressor(level=3).compress(np.int64(len(found[0])).tobytes() + b"".join(c.tobytes() for c in found))))
             columns = list(zip(*out)) or [(), (), ()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int32(), pa.int32(), pa.binary()))], names=["shard", "kind", "pack"])
             held.clear()
-            repeats.clear()
+            others.clear()
 
         for batch in batches:
             for part in slices(batch, "text", SLICE):
@@ -197,13 +203,13 @@ def _emit(rows: DataFrame, window: int, run: int, shards: int, hot, cells) -> Da
                     found.text.tolist(), found.start.tolist(), found.count.tolist(), found.minimiser.tolist(), found.loops.tolist(), is_hot.tolist(), found.contents(), strict=True
                 ):
                     if hot_one:
-                        for k, content in enumerate(_windows_of(content, window)):
-                            size += add((ids[t], ties[t], start + k), 1, hash_of(content), 0, content)
+                        added = [add((ids[t], ties[t], start + k), 1, hash_of(one), 0, one) for k, one in enumerate(_windows_of(content, window))]
                     else:
-                        size += add((ids[t], ties[t], start), count, low, loops, content)
-                if size > PACK_BYTES or len(repeats) > 400_000:
+                        added = [add((ids[t], ties[t], start), count, low, loops, content)]
+                    size, again = (x + sum(y) for x, y in zip((size, again), zip(*added)))
+                if size > PACK_BYTES or again > REPEATS:
                     yield from flush()
-                    size = 0
+                    size = again = 0
         yield from flush()
 
     return rows.mapInArrow(tidy(work), "shard int, kind int, pack binary")
@@ -215,53 +221,57 @@ def hash_of(content: bytes) -> int:
     return xxhash.xxh3_64_intdigest(content)
 
 
+def indexed_repeats(contents: list[bytes], of: np.ndarray, ids: np.ndarray, ties: np.ndarray, starts: np.ndarray, window: int) -> list[np.ndarray]:
+    """Arrays id, tie, start, n: runs of n windows from a word on that also start earlier.
+
+    contents are different word sequences, `of` says which of them stands at each place (id, tie,
+    start). All are indexed, and each is searched once; a place repeats the windows
+    whose interval has an earlier place.
+    """
+    vocabulary: dict[bytes, int] = {}
+    code = lambda w: vocabulary.setdefault(w, len(vocabulary) + 1)
+    coded = [np.fromiter(map(code, c.split(b" ")), np.int64) for c in contents]
+    lengths = np.array([len(c) + 1 for c in coded])
+    text = np.concatenate([x for c in coded for x in (c, np.zeros(1, np.int64))])
+    begins = np.cumsum(lengths) - lengths
+    # the windows of every sequence, and the intervals that they are found in
+    n = lengths - window
+    base = np.cumsum(n) - n
+    ends = np.arange(int(n.sum())) + np.repeat(begins - base, n) + window - 1
+    _, interval = FMIndex(text, window).repeats(text, ends, window, least=1)
+    # each place has the windows of its sequence
+    held = n[of]
+    place = np.repeat(np.arange(len(of)), held)
+    offset = np.arange(len(place)) - np.repeat(np.cumsum(held) - held, held)
+    found = interval[base[of][place] + offset]
+    order = np.lexsort((starts[place] + offset, ties[place], ids[place], found))
+    place_o, offset_o, found_o = place[order], offset[order], found[order]
+    heads = np.concatenate(([True], found_o[1:] != found_o[:-1]))
+    first = np.flatnonzero(heads)[np.cumsum(heads) - 1]
+    where = (ids[place_o], ties[place_o], starts[place_o] + offset_o)
+    later = np.zeros(len(order), bool)
+    later[order] = np.logical_or.reduce([x != x[first] for x in where])
+    # neighbouring windows of one place become one run
+    hit = np.flatnonzero(later)
+    new = np.concatenate(([True], (np.diff(hit) != 1) | (np.diff(place[hit]) != 0)))[: len(hit)]
+    head = hit[new]
+    sizes = np.diff(np.append(np.flatnonzero(new), len(hit)))
+    at = place[head]
+    return [c.astype(kind) for c, kind in zip((ids[at], ties[at], starts[at] + offset[head], sizes), (np.int64, np.int64, np.int32, np.int32), strict=True)]
+
+
 def shard_repeats(packs: list[bytes], window: int) -> list[np.ndarray]:
     """Arrays id, tie, start, n: runs of n windows from a word on that also start earlier, in one shard."""
     parts = [_unpack(p) for p in packs]
-    ids, ties, starts, counts, lows, loops = (np.concatenate(c) for c in zip(*(p[0] for p in parts), strict=True))
+    ids, ties, starts, _, lows, loops = (np.concatenate(c) for c in zip(*(p[0] for p in parts), strict=True))
     contents = [c for p in parts for c in p[1]]
-    out: list[list[np.ndarray]] = []
-
     _, inverse, times = np.unique(lows, return_inverse=True, return_counts=True)
     chosen = np.flatnonzero((times[inverse] > 1) | (loops > 0))
-    order = chosen[np.lexsort((starts[chosen], ties[chosen], ids[chosen]))]
-    earliest: dict[bytes, int] = {}
-    again = []
-    for k in order.tolist():  # in order of place: the first of equal segments is the earliest
-        first = earliest.setdefault(contents[k], k)
-        if first != k and (ids[k], ties[k], starts[k]) != (ids[first], ties[first], starts[first]):
-            again.append(k)
-    again = np.array(again, np.int64)
-    out.append([ids[again], ties[again], starts[again], counts[again]])
-
-    kept = np.array(list(earliest.values()), np.int64)
-    if len(kept):
-        _, inverse, times = np.unique(lows[kept], return_inverse=True, return_counts=True)
-        kept = kept[(times[inverse] > 1) | (loops[kept] > 0)]
-    if len(kept):
-        vocabulary: dict[bytes, int] = {}
-        code = lambda w: vocabulary.setdefault(w, len(vocabulary) + 1)
-        coded = [np.fromiter(map(code, contents[k].split(b" ")), np.int64) for k in kept.tolist()]
-        lengths = np.array([len(c) + 1 for c in coded])
-        text = np.concatenate([x for c in coded for x in (c, np.zeros(1, np.int64))])
-        begins = np.cumsum(lengths) - lengths
-        n = counts[kept].astype(np.int64)
-        owner = np.repeat(np.arange(len(kept)), n)
-        offset = np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n)
-        _, interval = FMIndex(text, window).repeats(text, begins[owner] + offset + window - 1, window)
-        hit = np.flatnonzero(interval >= 0)
-        place = starts[kept][owner[hit]] + offset[hit]
-        rank = np.lexsort((place, ties[kept][owner[hit]], ids[kept][owner[hit]], interval[hit]))
-        later = np.zeros(len(hit), bool)
-        later[rank[1:]] = interval[hit][rank[1:]] == interval[hit][rank[:-1]]
-        # neighbouring windows of one segment become one run
-        hit = hit[later]
-        if len(hit):
-            new = np.concatenate(([True], (np.diff(hit) != 1) | (np.diff(owner[hit]) != 0)))
-            heads = hit[new]
-            sizes = np.diff(np.append(np.flatnonzero(new), len(hit)))
-            out.append([ids[kept][owner[heads]], ties[kept][owner[heads]], starts[kept][owner[heads]] + offset[heads], sizes])
-    return [np.concatenate(c).astype(kind) for c, kind in zip(zip(*out, strict=True), (np.int64, np.int64, np.int32, np.int32))]
+    if not len(chosen):
+        return [np.empty(0, kind) for kind in (np.int64, np.int64, np.int32, np.int32)]
+    number: dict[bytes, int] = {}
+    of = np.fromiter((number.setdefault(contents[k], len(number)) for k in chosen.tolist()), np.int64, len(chosen))
+    return indexed_repeats(list(number), of, ids[chosen], ties[chosen], starts[chosen].astype(np.int64), window)
 
 
 def _hot_minimisers(rows: DataFrame, window: int, run: int, shards: int) -> list[int]:
@@ -296,6 +306,7 @@ def repeats(docs: DataFrame, window: int = WINDOW, run: int = RUN, shards: int |
         shards = max(4, -(-size // SHARD_BYTES))
     ident = F.coalesce(docs[id_col].cast("long"), F.lit(_NULL_ID))
     shared_ids = docs.select(ident.alias("id")).groupBy("id").count().filter("count > 1").limit(1).count()
+    # the null id's number is a real id too; then both share an id, and the digest orders them
     tie = F.xxhash64(docs[text_col].cast("string")) if shared_ids else F.lit(0).cast("long")
     rows = docs.select(ident.alias("id"), tie.alias("tie"), docs[id_col].alias("own"), F.coalesce(docs[text_col].cast("string"), F.lit("")).alias("text"))
     hot = spark.sparkContext.broadcast(_hot_minimisers(rows, window, run, shards))

@@ -197,6 +197,33 @@ def test_hot_minimisers_change_nothing(spark, monkeypatch):
     assert plain(substrings.substring_digests(X.table(spark, some), shards=5), "doc_id", "n_words", "n_removed", "kept_sha256") == expected
 
 
+def test_all_repeats_come_from_intervals():
+    """Places of shared sequences, a place given twice, and windows shared by different sequences, against brute force."""
+    rng = random.Random(8)
+    for window in (1, 3, 5):
+        contents = sorted({" ".join(rng.choice("abc") for _ in range(rng.randrange(window, 12))).encode() for _ in range(30)})
+        places = [(i, rng.randrange(-3, 4), rng.randrange(2), 100 * rng.randrange(6)) for i in range(len(contents)) for _ in range(rng.randrange(1, 4))]
+        seen: dict[tuple, set] = {}
+        for i, doc, tie, start in places:
+            words = contents[i].split()
+            for k in range(len(words) - window + 1):
+                seen.setdefault(tuple(words[k : k + window]), set()).add((doc, tie, start + k))
+        want = {p for found in seen.values() for p in found if p != min(found)}
+        of, ids, ties, starts = (np.array(c, np.int64) for c in zip(*places))
+        runs = substrings.indexed_repeats(contents, of, ids, ties, starts, window)
+        assert {(d, t, s + k) for d, t, s, n in zip(*(c.tolist() for c in runs)) for k in range(n)} == want
+    alone = substrings.indexed_repeats([b"a b c"], *(np.zeros(1, np.int64) for _ in range(4)), 3)
+    assert [len(c) for c in alone] == [0, 0, 0, 0]
+
+
+def test_null_id_beside_the_least_id(spark):
+    """The least id shares the null id's number: the two are ordered by their texts, and one of two copies loses its words."""
+    text = " ".join(f"w{i}" for i in range(25))
+    got = substrings.substring_digests(spark.createDataFrame([(None, text + " a"), (-(2**63), text), (1, text + " b")], "doc_id long, text string"), shards=2).collect()
+    assert {r.doc_id: r.n_words for r in got} == {None: 26, -(2**63): 25, 1: 26}
+    assert sorted(r.n_removed for r in got) == [0, 25, 25] and {r.n_removed for r in got if r.doc_id == 1} == {25}
+
+
 def test_fm_index_counts():
     rng = np.random.default_rng(1)
     text = np.append(rng.integers(1, 5, 400), 0)
@@ -419,7 +446,7 @@ def test_transducer_equals_library():
         assert machine.count([t.encode() for t in some], chunk).tolist() == want
 
 
-SCRIPTS = ["привет", "ЖУК", "İ", "ſ", "Σ", "ς", "é", "\u0301", "٣", "½", "²", "\u00a0", "\u3000", "हिन्दी", "ไทย", "한국어", "ㄱ", "\u1100\u1161", "😀", "\ue000", "ﬁ", "żółw", "ğ", "—", "’s", "\x85", "\x1c", "ǅ", "𝒜", "Ⅷ", "\ufeff", "\u200b", "本語", "\x00"]
+FOREIGN = ["привет", "ЖУК", "İ", "ſ", "Σ", "ς", "é", "\u0301", "٣", "½", "²", "\u00a0", "\u3000", "हिन्दी", "ไทย", "한국어", "ㄱ", "\u1100\u1161", "😀", "\ue000", "ﬁ", "żółw", "ğ", "—", "’s", "\x85", "\x1c", "ǅ", "𝒜", "Ⅷ", "\ufeff", "\u200b", "本語", "\x00"]
 
 
 def test_all_scripts_run_through_the_transducer():
@@ -428,7 +455,7 @@ def test_all_scripts_run_through_the_transducer():
 
     library, machine, rng = Tokenizer.from_file(WORDS), counts.CountTransducer(WORDS), random.Random(3)
     points = [c for c in range(0x20, 0x20000) if not 0xD800 <= c < 0xE000]
-    some = ["".join(rng.choice(PIECES + SCRIPTS) for _ in range(rng.randrange(0, 60))) for _ in range(800)]
+    some = ["".join(rng.choice(PIECES + FOREIGN) for _ in range(rng.randrange(0, 60))) for _ in range(800)]
     some += ["".join(chr(rng.choice(points)) if rng.random() < 0.7 else rng.choice(" a1'") for _ in range(rng.randrange(0, 40))) for _ in range(800)]
     want = [len(e) for e in library.encode_batch(some, add_special_tokens=False)]
     asked: list[bytes] = []
