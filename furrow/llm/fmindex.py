@@ -75,20 +75,20 @@ class FMIndex:
         base = self.before[symbols]
         return base + self.bwt.rank(symbols, lo), base + self.bwt.rank(symbols, hi)
 
-    def repeats(self, text: np.ndarray, ends: np.ndarray, depth: int, least: int = 2) -> tuple[np.ndarray, np.ndarray]:
+    def repeats(self, text: np.ndarray, ends: np.ndarray, depth: int, least: int | np.ndarray = 2) -> tuple[np.ndarray, np.ndarray]:
         """Matching statistics of text ending at each of `ends`, cut at `depth`.
 
         Returns the length of the longest suffix of text[: end + 1], up to depth, that
-        occurs at least `least` times in the index, and the interval start of those that reach
+        occurs at least `least` times (a number, or one an end) in the index, and the interval start of those that reach
         depth (else -1): equal starts mean equal sequences.
         """
         length = np.zeros(len(ends), np.int64)
         start = np.full(len(ends), -1, np.int64)
-        live = np.arange(len(ends))
+        live, least = np.arange(len(ends)), np.broadcast_to(least, len(ends))
         lo, hi = np.zeros(len(ends), np.int64), np.full(len(ends), self.size, np.int64)
         for step in range(depth):
             lo, hi = self.extend(text[ends[live] - step], lo, hi)
-            more = hi - lo >= least
+            more = hi - lo >= least[live]
             live, lo, hi = live[more], lo[more], hi[more]
             if not len(live):
                 return length, start

@@ -238,12 +238,17 @@ def indexed_repeats(contents: list[bytes], of: np.ndarray, ids: np.ndarray, ties
     n = lengths - window
     base = np.cumsum(n) - n
     ends = np.arange(int(n.sum())) + np.repeat(begins - base, n) + window - 1
-    _, interval = FMIndex(text, window).repeats(text, ends, window, least=1)
+    # a sequence with one place repeats only what the index holds twice
+    least = np.where(np.bincount(of, minlength=len(contents)) > 1, 1, 2)
+    _, interval = FMIndex(text, window).repeats(text, ends, window, np.repeat(least, n))
     # each place has the windows of its sequence
     held = n[of]
     place = np.repeat(np.arange(len(of)), held)
     offset = np.arange(len(place)) - np.repeat(np.cumsum(held) - held, held)
     found = interval[base[of][place] + offset]
+    place, offset, found = (x[found >= 0] for x in (place, offset, found))
+    if not len(found):
+        return [np.empty(0, kind) for kind in (np.int64, np.int64, np.int32, np.int32)]
     order = np.lexsort((starts[place] + offset, ties[place], ids[place], found))
     place_o, offset_o, found_o = place[order], offset[order], found[order]
     heads = np.concatenate(([True], found_o[1:] != found_o[:-1]))
@@ -253,7 +258,7 @@ def indexed_repeats(contents: list[bytes], of: np.ndarray, ids: np.ndarray, ties
     later[order] = np.logical_or.reduce([x != x[first] for x in where])
     # neighbouring windows of one place become one run
     hit = np.flatnonzero(later)
-    new = np.concatenate(([True], (np.diff(hit) != 1) | (np.diff(place[hit]) != 0)))[: len(hit)]
+    new = np.concatenate(([True], (np.diff(offset[hit]) != 1) | (np.diff(place[hit]) != 0)))[: len(hit)]
     head = hit[new]
     sizes = np.diff(np.append(np.flatnonzero(new), len(hit)))
     at = place[head]

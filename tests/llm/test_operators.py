@@ -212,6 +212,9 @@ def test_all_repeats_come_from_intervals():
         of, ids, ties, starts = (np.array(c, np.int64) for c in zip(*places))
         runs = substrings.indexed_repeats(contents, of, ids, ties, starts, window)
         assert {(d, t, s + k) for d, t, s, n in zip(*(c.tolist() for c in runs)) for k in range(n)} == want
+    # a window that only one sequence has lies between two that others share
+    gap = substrings.indexed_repeats([b"p q", b"r s", b"x p q r s"], np.arange(3), np.arange(3), np.zeros(3, np.int64), np.zeros(3, np.int64), 2)
+    assert sorted(zip(*(c.tolist() for c in gap))) == [(2, 0, 1, 1), (2, 0, 3, 1)]
     alone = substrings.indexed_repeats([b"a b c"], *(np.zeros(1, np.int64) for _ in range(4)), 3)
     assert [len(c) for c in alone] == [0, 0, 0, 0]
 
