@@ -249,13 +249,15 @@ def indexed_repeats(contents: list[bytes], of: np.ndarray, ids: np.ndarray, ties
     place, offset, found = (x[found >= 0] for x in (place, offset, found))
     if not len(found):
         return [np.empty(0, kind) for kind in (np.int64, np.int64, np.int32, np.int32)]
-    order = np.lexsort((starts[place] + offset, ties[place], ids[place], found))
-    place_o, offset_o, found_o = place[order], offset[order], found[order]
-    heads = np.concatenate(([True], found_o[1:] != found_o[:-1]))
-    first = np.flatnonzero(heads)[np.cumsum(heads) - 1]
-    where = (ids[place_o], ties[place_o], starts[place_o] + offset_o)
-    later = np.zeros(len(order), bool)
-    later[order] = np.logical_or.reduce([x != x[first] for x in where])
+    # a window's place as one number: its document by (id, tie), then its word
+    order = np.lexsort((ties, ids))
+    other = np.concatenate(([0], (np.diff(ids[order]) != 0) | (np.diff(ties[order]) != 0)))
+    document = np.empty(len(of), np.int64)
+    document[order] = np.cumsum(other)
+    key = document[place] << 32 | starts[place] + offset
+    earliest = np.full(len(text), np.iinfo(np.int64).max)
+    np.minimum.at(earliest, found, key)
+    later = key != earliest[found]
     # neighbouring windows of one place become one run
     hit = np.flatnonzero(later)
     new = np.concatenate(([True], (np.diff(offset[hit]) != 1) | (np.diff(place[hit]) != 0)))[: len(hit)]
