@@ -33,7 +33,7 @@ from pyspark.sql import types as T
 
 from furrow.llm.hashing import Words, finish
 from furrow.llm.text import slices, texts, tidy
-from furrow.operators.graph import connected_components
+from furrow.operators.graph import hanging_nodes
 from furrow.session import materialise
 
 SHINGLE = 5
@@ -256,11 +256,11 @@ def register_links(left: np.ndarray, right: np.ndarray, n_left: np.ndarray, n_ri
 
 
 def _tiles(rows: DataFrame, side: int, side_bytes: int, linked) -> DataFrame:
-    """Links (a, b) between different components of each group, from rows (grp, num, comp, size, data, n).
+    """Pairs (a, b) of different components of each group that links connect, from rows (grp, num, comp, size, data, n).
 
     A group's rows outside its largest component are compared with all its rows, in
     tiles of bounded numbers and bytes, by linked(data and n of one side, and of the
-    other). A tile gives a spanning forest of its links: at most one row a class. Small
+    other). A tile gives a spanning forest of its links: at most one row a component. Small
     groups share tasks, of which there are as many as their bytes ask for.
     """
     rows = materialise(rows, "rows")
@@ -300,8 +300,8 @@ def _tiles(rows: DataFrame, side: int, side_bytes: int, linked) -> DataFrame:
 
 
 def _forest(sides: list[pa.Table], linked) -> list[tuple[int, int]]:
-    """Links of one tile that connect components not connected in it before."""
-    comps, names = ([s.column(c).to_numpy() for s in sides] for c in ("comp", "num"))
+    """Pairs of components that links of one tile connect and that weren't connected in it before."""
+    comps = [s.column("comp").to_numpy() for s in sides]
     matrix = linked(*((s.column("data"), s.column("n").to_numpy()) for s in sides))
     matrix &= comps[0][:, None] != comps[1][None, :]
     root: dict[int, int] = {}
@@ -313,16 +313,17 @@ def _forest(sides: list[pa.Table], linked) -> list[tuple[int, int]]:
         return x
 
     for p, q in zip(*(x.tolist() for x in np.nonzero(matrix)), strict=True):
-        x, y = find(int(comps[0][p])), find(int(comps[1][q]))
-        if x != y:
+        a, b = int(comps[0][p]), int(comps[1][q])
+        if (x := find(a)) != (y := find(b)):
             root[x] = y
-            out.append((int(names[0][p]), int(names[1][q])))
+            out.append((a, b))
     return out
 
 
 def _open(members: DataFrame, found: DataFrame, classes: DataFrame, share: int) -> DataFrame:
     """Rows (grp, num, comp, size, data, n) of buckets, cut by set size, that hold classes of several components."""
-    named = members.join(found.withColumnRenamed("node", "num"), "num", "left").select("bucket", "num", F.coalesce("component", "num").alias("comp"))
+    # dealt by bucket once, for the sums and for the join with them
+    named = members.join(found.withColumnRenamed("node", "num"), "num", "left").select("bucket", "num", F.coalesce("component", "num").alias("comp")).repartition("bucket")
     mixed = named.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("bucket")
     # sizes in steps of the threshold's ratio: linked sets are in one step or in neighbouring ones
     step = F.floor(F.log(F.col("n_shingles").cast("double")) / F.lit(log(100 / share) + 1e-9)).cast("long")
@@ -339,37 +340,41 @@ def _linked(docs: DataFrame, n: int, share: int, id_col: str, text_col: str) ->
     # a class's number stands for its digest from here on; it is written, so it stays
     classes = materialise(classes.withColumn("num", F.monotonically_increasing_id()), "classes")
 
-    bands = _buckets(classes)
+    bands = _buckets(classes).repartition("bucket")
     pivots = bands.groupBy("bucket").agg(F.min("num").alias("pivot"), F.count(F.lit(1)).alias("k")).filter("k > 1").drop("k")
     members = materialise(bands.join(pivots, "bucket"), "members")
-    star = members.filter(F.col("num") != F.col("pivot")).select(F.col("num").alias("a"), F.col("pivot").alias("b")).distinct()
+    star = members.filter(F.col("num") != F.col("pivot")).select(F.col("num").alias("a"), F.col("pivot").alias("b"))
+    # a pair's repeats are in different buckets, so they are dropped where the next join has them
+    star = star.repartition("a").distinct()
     likely = materialise(_likely(star, classes, share), "likely")
     ends = lambda pairs: pairs.select(F.explode(F.array("a", "b")).alias("num")).distinct()
     links = materialise(_verified(likely, _texts(ends(likely), classes, docs, id_col, text_col), n, share), "links")
-    found = materialise(connected_components(links), "components")
+    found = materialise(hanging_nodes(links), "components")
 
     # buckets whose classes aren't all connected yet: first by registers, then what is likely by words
     open_ = _open(members.drop("pivot"), found, classes, share)
     near = materialise(_tiles(open_, SIDE, SIDE_BYTES, lambda x, y: register_links(_regs(x[0]), _regs(y[0]), x[1], y[1], share)), "near")
-    if near.take(1):
-        comp = classes.select("num").join(found.withColumnRenamed("node", "num"), "num", "left").select("num", F.coalesce("component", "num").alias("comp"))
-        ends_of = near.join(comp.select(F.col("num").alias("a"), F.col("comp").alias("ca")), "a").join(comp.select(F.col("num").alias("b"), F.col("comp").alias("cb")), "b")
-        groups = materialise(connected_components(ends_of.select("ca", "cb"), "ca", "cb"), "groups")
-        nodes = materialise(members.select("num").distinct().join(comp, "num").join(groups.select(F.col("node").alias("comp"), F.col("component").alias("grp")), "comp"), "nodes")
-        held = nodes.join(_texts(nodes.select("num"), classes, docs, id_col, text_col), "num")
-        held = held.select("grp", "num", "comp", F.octet_length("body").alias("size"), F.col("body").alias("data"), F.lit(0).alias("n"))
-
-        def by_words(x, y):
-            left, right = (texts(s[0]) for s in (x, y))
-            sets = exact_sets([*left, *right], n)
-            return block_links(sets[: len(left)], sets[len(left) :], share)
-
-        more = materialise(_tiles(held, TEXTS_SIDE, TEXTS_BYTES, by_words), "links")
-        if more.take(1):
-            found = materialise(connected_components(links.union(more)), "components")
-
-    comp = F.coalesce("component", "num").alias("comp")
-    return rows, classes.select("node", F.col("of.id").alias("id"), "num").join(found.withColumnRenamed("node", "num"), "num", "left").select("node", "id", comp)
+    named = classes.select("node", F.col("of.id").alias("id"), "num").join(found.withColumnRenamed("node", "num"), "num", "left").select("node", "id", F.coalesce("component", "num").alias("comp"))
+    if not near.take(1):
+        return rows, named
+    hung = hanging_nodes(near)
+    groups = materialise(hung.select(F.col("node").alias("comp"), F.col("component").alias("grp")).union(hung.select("component", "component").distinct()), "groups")
+    # found leaves out the class that names a component
+    nodes = found.select(F.col("node").alias("num"), F.col("component").alias("comp")).join(groups, "comp").select("num", "comp", "grp").union(groups.select("comp", "comp", "grp"))
+    nodes = materialise(nodes, "nodes")
+    held = nodes.join(_texts(nodes.select("num"), classes, docs, id_col, text_col), "num")
+    held = held.select("grp", "num", "comp", F.octet_length("body").alias("size"), F.col("body").alias("data"), F.lit(0).alias("n"))
+
+    def by_words(x, y):
+        left, right = (texts(s[0]) for s in (x, y))
+        sets = exact_sets([*left, *right], n)
+        return block_links(sets[: len(left)], sets[len(left) :], share)
+
+    more = materialise(_tiles(held, TEXTS_SIDE, TEXTS_BYTES, by_words), "links")
+    if not more.take(1):
+        return rows, named
+    joint = materialise(hanging_nodes(more), "components").select(F.col("node").alias("comp"), F.col("component").alias("joint"))
+    return rows, named.join(joint, "comp", "left").select("node", "id", F.coalesce("joint", "comp").alias("comp"))
 
 
 def components(docs: DataFrame, n: int = SHINGLE, share: int = SHARE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -563,6 +563,28 @@ def test_near_duplicate_chains(spark):
     assert plain(got, "doc_id", "n_shingles", "component_id", "kept") == X.ordered(X.near([(r[0], r[1]) for r in some], 4, 80))
 
 
+def test_near_duplicates_take_few_stages(spark):
+    """Components of a family cost few shuffles: with many partitions, stages of small tasks were what took the time."""
+    rng = random.Random(11)
+    base = [f"t{i}" for i in range(120)]
+    some = []
+    for i in range(90):
+        w = list(base)
+        for _ in range(rng.randrange(0, 9)):
+            w[rng.randrange(len(w))] = f"e{rng.randrange(400)}"
+        some.append((i, " ".join(w), None, None, None))
+    spark.sparkContext.setJobGroup("few stages", "")
+    try:
+        got = neardup.components(X.table(spark, some).repartition(4), n=4).collect()
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert len(got) == 90
+    seen = spark.sparkContext.statusTracker()
+    stages = {s for j in seen.getJobIdsForGroup("few stages") for s in seen.getJobInfo(j).stageIds}
+    # 114 before components were contracted to parents
+    assert 0 < sum(bool((x := seen.getStageInfo(s)) and x.numCompletedTasks) for s in stages) < 95
+
+
 def test_registers_estimate_similarity():
     rng = np.random.default_rng(4)
     both, a, b = (rng.integers(0, 2**64, n, np.uint64) for n in (800, 100, 100))

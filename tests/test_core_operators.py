@@ -34,6 +34,29 @@ def test_components_of_a_graph(spark):
     assert graph.connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+@pytest.mark.parametrize("rounds", [1, 2, 8])
+def test_hanging_nodes_name_the_least(spark, monkeypatch, rounds):
+    """Chains numbered along the path and at random, a hub, loops and nulls, also when the rounds don't settle it."""
+    monkeypatch.setattr(graph, "CONTRACTIONS", rounds)
+    rng = random.Random(5)
+    mixed = rng.sample(range(1000, 2000), 200)
+    edges = [(i, i + 1) for i in range(80)] + list(zip(mixed, mixed[1:])) + [(5000 + i, 4999) for i in range(300)] * 2
+    edges += [(rng.randrange(7000, 7300), rng.randrange(7000, 7300)) for _ in range(150)] + [(9000, 9000), (None, 9001), (9002, None)]
+    rng.shuffle(edges)
+    root = {x: x for e in edges for x in e}
+    for _ in range(len(root)):
+        moved = False
+        for a, b in edges:
+            if a is not None and b is not None and root[a] != root[b]:
+                root[a] = root[b] = min(root[a], root[b])
+                moved = True
+        if not moved:
+            break
+    got = graph.hanging_nodes(spark.createDataFrame(edges, "x long, y long").repartition(16), "x", "y").collect()
+    assert sorted(map(tuple, got)) == sorted((x, r) for x, r in root.items() if x is not None and x != r)
+    assert graph.hanging_nodes(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
 @pytest.mark.parametrize("block", [2, 3, 100])
 def test_label_components(spark, block):
     df = cells(spark, "11022 01020 11011 00100 22222")
