@@ -12,7 +12,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from furrow.operators.focal import EIGHT, FOUR, column_nearest, row_nearest, spread
 from furrow.operators.graph import connected_components
-from furrow.session import materialise
+from furrow.session import BY_SORT, materialise
 
 #: Cells of a block that one task labels in memory.
 BLOCK = 512
@@ -307,26 +307,56 @@ def border_distance(df: DataFrame, label: str) -> DataFrame:
 
 
 def field_distance(df: DataFrame, label: str) -> DataFrame:
-    """border_distance of fields with any labels.
+    """border_distance of fields with any labels; repeated cells count once, NULL labels drop.
 
     A distance transform in two passes, columns and then rows, over each field with its
-    outer ring: between a cell and its nearest foreign one lies nothing else.
+    outer ring: between a cell and its nearest foreign one lies nothing else. Tasks
+    measure as many pieces of ROWS rows at once as a batch holds.
     """
-    own = df.select(F.col("r").cast("long"), F.col("c").cast("long"), F.col(label).alias("l"))
-    ring = spread(own, FOUR, {"l": "l"}).join(own.select("r", "c", F.col("l").alias("m")), ["r", "c"], "left").filter("m IS NULL OR m <> l").select("r", "c", "l").distinct()
-    both = own.withColumn("foreign", F.lit(False)).unionByName(ring.withColumn("foreign", F.lit(True)))
-    near = column_nearest(both, ["l"], "foreign")
+    own = df.filter(F.col(label).isNotNull()).select(F.col("r").cast("long"), F.col("c").cast("long"), F.col(label).alias("l"))
+    # what only neighbours reach is foreign
+    reached = spread(own, [(0, 0, 1), *((i, j, 0) for i, j in FOUR)], {"l": "l"}).groupBy("l", "r", "c").agg(F.max("w0").alias("own"))
+    near = column_nearest(reached.withColumn("foreign", F.col("own") == 0), ["l"], "foreign").withColumn("rows", F.floor(F.col("r") / ROWS))
     kind = df.schema[label].dataType.simpleString()
 
-    def measure(table: pa.Table) -> pa.Table:
+    def measured(table: pa.Table, starts: np.ndarray) -> pa.RecordBatch:
         r, c, gap, from_r = (table.column(x).to_numpy() for x in ("r", "c", "gap", "from_r"))
         wanted = gap > 0
-        d2, _ = row_nearest(r, c, gap.astype(float), from_r.astype(float), wanted)
+        piece = np.zeros(len(r), np.int64)
+        piece[starts] = 1
+        d2, _ = row_nearest(np.cumsum(piece) * ROWS + r % ROWS, c, gap.astype(float), from_r.astype(float), wanted)
         inside = pa.array(wanted)
-        return pa.table({"r": table.column("r").filter(inside), "c": table.column("c").filter(inside), "l": table.column("l").filter(inside), "d": np.sqrt(d2[wanted])})
-
-    dist = near.groupBy("l", F.floor(F.col("r") / ROWS).alias("rows")).applyInArrow(measure, f"r long, c long, l {kind}, d double")
-    top = dist.groupBy("l").agg(F.max("d").alias("most"))
+        columns = [table.column(x).filter(inside).combine_chunks() for x in ("r", "c", "l")]
+        return pa.RecordBatch.from_arrays([*columns, pa.array(np.sqrt(d2[wanted]))], names=["r", "c", "l", "d"])
+
+    def measure(batches):
+        held, starts, size, last = [], [], 0, None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            table = pa.table(batch)
+            code = table.column("l").combine_chunks().dictionary_encode().indices.to_numpy()
+            rows = table.column("rows").to_numpy()
+            new = np.flatnonzero((np.diff(code) != 0) | (np.diff(rows) != 0)) + 1
+            if last != (first := (table.column("l")[0].as_py(), rows[0])):
+                new = np.concatenate([[0], new])
+            if len(new):  # all pieces but the last one are whole
+                held.append(table[: new[-1]])
+                starts.append(size + new[:-1])
+                if size + new[-1]:
+                    yield measured(pa.concat_tables(held), np.concatenate(starts))
+                held, starts, size = [table[new[-1] :]], [np.zeros(1, np.int64)], table.num_rows - new[-1]
+            else:
+                held.append(table)
+                size += table.num_rows
+            last = (table.column("l")[-1].as_py(), rows[-1])
+        if held:
+            yield measured(pa.concat_tables(held), np.concatenate(starts))
+
+    dealt = near.repartition("l", "rows").sortWithinPartitions("l", "rows")
+    # written once: both the largest distances and the result read it
+    dist = materialise(dealt.mapInArrow(measure, f"r long, c long, l {kind}, d double"), "distances")
+    top = dist.groupBy("l").agg(F.max("d").alias("most")).hint(BY_SORT)
     return dist.join(top, "l").select("r", "c", F.col("l").alias(label), (F.col("d") / F.col("most")).alias("dist"))
 
 

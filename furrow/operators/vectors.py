@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from furrow.operators.focal import FOUR, dilate
+from furrow.operators.focal import FOUR, spread
 from furrow.operators.graph import connected_components
 from furrow.operators.labels import field_distance
 from furrow.operators.sampling import ranked
@@ -29,7 +29,12 @@ def polygon_edges(df: DataFrame, ident: str, ring: str = "ring") -> DataFrame:
 
 
 def rasterise_lines(edges: DataFrame, ident: str, cell: float, all_touched: bool = True) -> DataFrame:
-    """Distinct (id, r, c) of cells that segments cross (all_touched), or whose cell a segment's sampled centre line enters.
+    """Distinct (id, r, c) of cells that segments cross (all_touched), or whose cell a segment's sampled centre line enters."""
+    return _crossed(edges, ident, cell, all_touched).distinct()
+
+
+def _crossed(edges: DataFrame, ident: str, cell: float, all_touched: bool = True) -> DataFrame:
+    """rasterise_lines with a row for each piece of a segment.
 
     A segment is cut at every grid line it crosses; each piece lies in one cell, that of
     its middle. Without all_touched, pieces shorter than half a cell drop.
@@ -48,7 +53,7 @@ def rasterise_lines(edges: DataFrame, ident: str, cell: float, all_touched: bool
     mid = (F.col("p.a") + F.col("p.b")) / 2
     size = (F.col("p.b") - F.col("p.a")) * F.sqrt(dx * dx + dy * dy)
     kept = pieces if all_touched else pieces.filter(size >= cell / 2)
-    return kept.select(ident, F.floor((F.col("y0") + mid * dy) / cell).cast("long").alias("r"), F.floor((F.col("x0") + mid * dx) / cell).cast("long").alias("c")).distinct()
+    return kept.select(ident, F.floor((F.col("y0") + mid * dy) / cell).cast("long").alias("r"), F.floor((F.col("x0") + mid * dx) / cell).cast("long").alias("c"))
 
 
 def rasterise_polygons(df: DataFrame, ident: str, cell: float, ring: str = "ring", order: str | None = None) -> DataFrame:
@@ -69,16 +74,19 @@ def subtract_lines(mask: DataFrame, lines: DataFrame) -> DataFrame:
 
 
 def label_stack(df: DataFrame, ident: str, cell: float, ring: str = "ring") -> DataFrame:
-    """(r, c, extent, edge, dist) of parcels: area less dilated borders, borders dilated by 2x2, normalised distance inside."""
-    area = rasterise_polygons(df, ident, cell, ring)
-    lines = rasterise_lines(polygon_edges(df, ident, ring), ident, cell).select("r", "c").distinct().withColumn("edge", F.lit(1))
-    grid = area.select("r", "c").union(lines.select("r", "c")).distinct()
-    edge = dilate(grid.join(lines, ["r", "c"], "left").select("r", "c", F.coalesce("edge", F.lit(0)).alias("edge")), "edge", [(0, 0), (0, 1), (1, 0), (1, 1)])
-    inner = area.join(edge.filter("edge = 1"), ["r", "c"], "left_anti")
-    dist = field_distance(inner, ident).select("r", "c", "dist")
-    inside = inner.select("r", "c", F.lit(1).alias("extent"))
-    out = edge.join(inside, ["r", "c"], "left").join(dist, ["r", "c"], "left")
-    return out.select("r", "c", F.coalesce("extent", F.lit(0)).alias("extent"), "edge", F.coalesce("dist", F.lit(0.0)).alias("dist"))
+    """(r, c, extent, edge, dist) of parcels: area less dilated borders, borders dilated by 2x2, normalised distance inside.
+
+    Areas and borders meet by one aggregation over the cells. Cells of a parcel with a NULL id have distance 0.
+    """
+    area = _every_cell(df, ident, cell, ring).select("r", "c", ident, F.lit(1).alias("area"), F.lit(1).alias("own"))
+    grown = spread(_crossed(polygon_edges(df, ident, ring), ident, cell).select("r", "c"), [(0, 0, 1), (0, 1, 0), (1, 0, 0), (1, 1, 0)], {})
+    marks = area.unionByName(grown.select("r", "c", F.lit(1).alias("edge"), F.col("w0").cast("int").alias("own")), allowMissingColumns=True)
+    cells = marks.groupBy("r", "c").agg(F.max(ident).alias(ident), *(F.coalesce(F.max(k), F.lit(0)).alias(k) for k in ("area", "edge")), F.max("own").alias("own"))
+    # written once: both the distances and the result read it; borders grow inside the cells that parcels have
+    cells = materialise(cells.filter("own = 1").select("r", "c", ident, F.when(F.col("edge") == 0, F.col("area")).otherwise(0).alias("extent"), "edge"), "stack")
+    measured = (F.col("extent") == 1) & F.col(ident).isNotNull()
+    dist = field_distance(cells.filter(measured), ident).select("r", "c", F.lit(1).alias("extent"), F.lit(0).alias("edge"), "dist")
+    return cells.filter(~measured).select("r", "c", "extent", "edge", F.lit(0.0).alias("dist")).unionByName(dist)
 
 
 def polygonise(df: DataFrame, label: str, cell: float) -> DataFrame:

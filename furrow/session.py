@@ -11,6 +11,10 @@ from contextvars import ContextVar
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Join hint for sides made by explode() or Python: Spark's estimate of a side doesn't grow with
+#: the rows that these add, so without it such sides are collected by the driver for a broadcast.
+BY_SORT = "merge"
+
 #: The folder of the innermost passing_tables() of this thread.
 _passing: ContextVar[str | None] = ContextVar("passing", default=None)
 

@@ -766,3 +766,45 @@ def test_gaps_filled_in_a_stream(spark, tmp_path):
         out.writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/state").trigger(availableNow=True).start().awaitTermination()
     shown = lambda df: sorted((str(r.pixel), r.day, r.kc, r.et_filled) for r in df.collect())
     assert shown(spark.read.parquet(f"{tmp_path}/out")) == shown(temporal.fill_et(days(rows), "pixel", "day", "et", "et_ref"))
+
+
+# --- what the driver is sent --------------------------------------------------
+
+def _boxes_of(spark, n):
+    box = lambda i: [(x + 40.0 * i, y) for x, y in ((0.0, 0.0), (12.0, 0.0), (12.0, 9.0), (0.0, 9.0), (0.0, 0.0))]
+    return spark.createDataFrame([(i, box(i)) for i in range(n)], "id long, ring array<struct<x:double,y:double>>")
+
+
+def _plans(monkeypatch, run):
+    """The plans, as made from estimates, of all tables that run writes, and of its result."""
+    seen = []
+    plan = lambda df: seen.append(df._jdf.queryExecution().executedPlan().toString())
+    for module in (labels, vectors):
+        kept = module.materialise
+        monkeypatch.setattr(module, "materialise", lambda df, name, f=kept: plan(df) or f(df, name))
+    plan(run())
+    return seen
+
+
+def test_label_stack_sends_no_cells_through_the_driver(spark, monkeypatch):
+    """Explode hides the number of cells from Spark's estimates, so no join may be planned by them."""
+    plans = _plans(monkeypatch, lambda: vectors.label_stack(_boxes_of(spark, 20), "id", 1.0))
+    assert len(plans) == 3 and not any("Broadcast" in p for p in plans)
+
+
+@pytest.mark.parametrize("batch", [3, 10000])
+def test_field_distance_does_not_depend_on_batches(spark, batch):
+    rng = random.Random(3)
+    rows = [(r, c, (1 + r // 40) if rng.random() < 0.9 else 9) for r in range(-20, 60) for c in range(7)]
+    df = spark.createDataFrame([*rows, (0, 0, None), rows[5]], "r long, c long, v long")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+    try:
+        got = [(x.r, x.c, x.v, round(x.dist, 9)) for x in labels.field_distance(df, "v").collect()]
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    at = {(r, c): v for r, c, v in rows}
+    far = {}
+    for (r, c), v in at.items():
+        far[r, c] = min((r - i) ** 2 + (c - j) ** 2 for i in range(-21, 61) for j in range(-1, 8) if at.get((i, j)) != v) ** 0.5
+    most = {v: max(far[p] for p in at if at[p] == v) for v in set(at.values())}
+    assert sorted(got) == sorted((r, c, v, round(far[r, c] / most[v], 9)) for (r, c), v in at.items())
