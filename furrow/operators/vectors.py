@@ -12,7 +12,7 @@ from furrow.operators.focal import FOUR, spread
 from furrow.operators.graph import connected_components
 from furrow.operators.labels import field_distance
 from furrow.operators.sampling import ranked
-from furrow.session import materialise
+from furrow.session import BY_SORT, materialise
 
 
 def box_ring(x0: str, y0: str, x1: str, y1: str):
@@ -216,10 +216,11 @@ def overlay_pairs(a: DataFrame, b: DataFrame, id_a: str, id_b: str, cell: float,
     The error of an area is of the order of its outline times the cell size. Polygons
     of one table that overlap each other all count.
     """
-    cells_a, cells_b = _every_cell(a, id_a, cell, ring), _every_cell(b, id_b, cell, ring)
-    size_a = cells_a.groupBy(id_a).agg(F.count(F.lit(1)).alias("n_a"))
-    size_b = cells_b.groupBy(id_b).agg(F.count(F.lit(1)).alias("n_b"))
-    both = cells_a.join(cells_b, ["r", "c"]).groupBy(id_a, id_b).agg(F.count(F.lit(1)).alias("n"))
+    runs_a, runs_b = _cell_runs(a, id_a, cell, ring), _cell_runs(b, id_b, cell, ring)
+    length = F.sum(F.col("_high") - F.col("_low") + 1)
+    size_a = runs_a.groupBy(id_a).agg(length.alias("n_a")).hint(BY_SORT)
+    size_b = runs_b.groupBy(id_b).agg(length.alias("n_b")).hint(BY_SORT)
+    both = _cells_of_runs(runs_a).join(_cells_of_runs(runs_b).hint(BY_SORT), ["r", "c"]).groupBy(id_a, id_b).agg(F.count(F.lit(1)).alias("n"))
     unit = cell * cell
     out = both.join(size_a, id_a).join(size_b, id_b)
     return out.select(
@@ -342,6 +343,15 @@ def _ring_area(ring: str) -> Column:
 
 def _every_cell(df: DataFrame, ident: str, cell: float, ring: str) -> DataFrame:
     """(id, r, c) of every polygon by itself."""
+    return _cells_of_runs(_cell_runs(df, ident, cell, ring))
+
+
+def _cells_of_runs(runs: DataFrame) -> DataFrame:
+    return runs.withColumn("c", F.explode(F.sequence("_low", "_high"))).drop("_low", "_high")
+
+
+def _cell_runs(df: DataFrame, ident: str, cell: float, ring: str) -> DataFrame:
+    """(id, r, _low, _high): runs of cells along rows of every polygon by itself."""
     edges = polygon_edges(df, ident, ring)
     low, high = F.least("y0", "y1"), F.greatest("y0", "y1")
     first, last = F.ceil(low / cell - 0.5).cast("int"), (F.ceil(high / cell - 0.5) - 1).cast("int")
@@ -352,4 +362,4 @@ def _every_cell(df: DataFrame, ident: str, cell: float, ring: str) -> DataFrame:
     odd = F.filter(F.transform("xs", lambda v, i: F.struct(v.alias("v"), F.element_at("xs", F.least(i + 2, F.size("xs"))).alias("w"), i.alias("i"))), lambda s: s["i"] % 2 == 0)
     runs = crossed.select(ident, "r", F.explode(odd).alias("s"))
     a, b = F.ceil(F.col("s.v") / cell - 0.5).cast("int"), (F.ceil(F.col("s.w") / cell - 0.5) - 1).cast("int")
-    return runs.filter(a <= b).select(ident, F.col("r").cast("long").alias("r"), F.explode(F.sequence(a.cast("long"), b.cast("long"))).alias("c"))
+    return runs.filter(a <= b).select(ident, F.col("r").cast("long").alias("r"), a.cast("long").alias("_low"), b.cast("long").alias("_high"))

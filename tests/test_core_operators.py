@@ -808,3 +808,9 @@ def test_field_distance_does_not_depend_on_batches(spark, batch):
         far[r, c] = min((r - i) ** 2 + (c - j) ** 2 for i in range(-21, 61) for j in range(-1, 8) if at.get((i, j)) != v) ** 0.5
     most = {v: max(far[p] for p in at if at[p] == v) for v in set(at.values())}
     assert sorted(got) == sorted((r, c, v, round(far[r, c] / most[v], 9)) for (r, c), v in at.items())
+
+
+def test_overlay_pairs_sends_no_cells_through_the_driver(spark, monkeypatch):
+    boxes = _boxes_of(spark, 20)
+    plans = _plans(monkeypatch, lambda: vectors.overlay_pairs(boxes, boxes.withColumnRenamed("id", "other"), "id", "other", 1.0))
+    assert len(plans) == 1 and "SortMergeJoin" in plans[0] and "Broadcast" not in plans[0]
