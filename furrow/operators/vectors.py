@@ -269,7 +269,7 @@ def box_pairs(a: DataFrame, b: DataFrame) -> DataFrame:
         x = _placed(large, own, low, True)
         y = _placed(small, levels, low, False)
         y = y.select("at", "bx", "by", "salt", *(F.col(c).alias(f"o_{c}") for c in ("id", "x0", "y0", "x1", "y1")))
-        both = x.join(y, ["at", "bx", "by", "salt"]).filter("x0 < o_x1 AND o_x0 < x1 AND y0 < o_y1 AND o_y0 < y1")
+        both = x.join(y.hint(BY_SORT), ["at", "bx", "by", "salt"]).filter("x0 < o_x1 AND o_x0 < x1 AND y0 < o_y1 AND o_y0 < y1")
         size = F.pow(F.lit(2.0), F.col("at"))
         corner = (F.floor(F.greatest("x0", "o_x0") / size) == F.col("bx")) & (F.floor(F.greatest("y0", "o_y0") / size) == F.col("by"))
         return both.filter(corner).select(F.col("id").alias(names[0]), F.col("o_id").alias(names[1]))
@@ -312,7 +312,7 @@ def overlay_exact(a: DataFrame, b: DataFrame, id_a: str, id_b: str, ring: str =
     """
     boxes = [_boxes(d, i, ring) for d, i in ((a, id_a), (b, id_b))]
     first, second = (x.select(F.col("id").alias(n), _sides("ring").alias(f"e_{n}"), F.col("x0").alias(f"x_{n}"), F.col("y0").alias(f"y_{n}"), _ring_area("ring").alias(f"size_{n}")) for x, n in zip(boxes, ("a", "b")))
-    both = box_pairs(*boxes).join(first, "a").join(second, "b")
+    both = box_pairs(*boxes).join(first.hint(BY_SORT), "a").join(second.hint(BY_SORT), "b")
 
     def moved(edges: str) -> Column:
         """Edges seen from the corner of the first box, which loses no digits."""

@@ -814,3 +814,9 @@ def test_overlay_pairs_sends_no_cells_through_the_driver(spark, monkeypatch):
     boxes = _boxes_of(spark, 20)
     plans = _plans(monkeypatch, lambda: vectors.overlay_pairs(boxes, boxes.withColumnRenamed("id", "other"), "id", "other", 1.0))
     assert len(plans) == 1 and "SortMergeJoin" in plans[0] and "Broadcast" not in plans[0]
+
+
+def test_overlay_exact_sends_no_boxes_through_the_driver(spark, monkeypatch):
+    boxes = _boxes_of(spark, 20)
+    plans = _plans(monkeypatch, lambda: vectors.overlay_exact(boxes, boxes.withColumnRenamed("id", "other"), "id", "other"))
+    assert len(plans) == 1 and plans[0].count("SortMergeJoin") == 4 and "Broadcast" not in plans[0]
