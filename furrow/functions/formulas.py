@@ -383,9 +383,10 @@ TWO_VIEWS = FormulaSet(
     }
 )
 
-# Bowen-ratio closure outside (-1.3, -0.7). Inputs rn, g, h, le.
+# Bowen-ratio closure outside (-1.3, -0.7). Inputs rn, g, h, le. Where le is 0 the
+# ratio has no end and all energy is sensible heat; no fluxes at all have no ratio: NaN.
 BOWEN = sets(
     bowen="h / nullif(le, 0.0)",
-    le_closed="CASE WHEN bowen <= -1.3 OR bowen >= -0.7 THEN (rn - g) / (1.0 + bowen) ELSE le END",
-    h_closed="CASE WHEN bowen <= -1.3 OR bowen >= -0.7 THEN rn - g - le_closed ELSE h END",
+    le_closed="CASE WHEN bowen > -1.3 AND bowen < -0.7 THEN le WHEN le = 0.0 AND h = 0.0 THEN (rn - g) * CAST('NaN' AS DOUBLE) WHEN le = 0.0 THEN (rn - g) * h * 0.0 ELSE (rn - g) / (1.0 + bowen) END",
+    h_closed="CASE WHEN bowen > -1.3 AND bowen < -0.7 THEN h ELSE rn - g - le_closed END",
 )

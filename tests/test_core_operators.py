@@ -820,3 +820,14 @@ def test_overlay_exact_sends_no_boxes_through_the_driver(spark, monkeypatch):
     boxes = _boxes_of(spark, 20)
     plans = _plans(monkeypatch, lambda: vectors.overlay_exact(boxes, boxes.withColumnRenamed("id", "other"), "id", "other"))
     assert len(plans) == 1 and plans[0].count("SortMergeJoin") == 4 and "Broadcast" not in plans[0]
+
+
+def test_bowen_closure_without_latent_heat(spark, duck):
+    """As the ratio h / le goes to infinity, all available energy is sensible heat; without any flux nothing is known."""
+    rows = [(100.0, 10.0, 30.0, 0.0), (100.0, 10.0, -30.0, 0.0), (100.0, 10.0, 0.0, 0.0), (100.0, 10.0, 20.0, -20.0), (100.0, 10.0, -13.0, 10.0), (100.0, 10.0, 30.0, 15.0), (100.0, 10.0, None, 5.0), (None, 10.0, 30.0, 0.0), (100.0, 10.0, 30.0, None)]
+    df = spark.createDataFrame(rows, "rn double, g double, h double, le double")
+    got = [(r.le_closed, r.h_closed) for r in formulas.BOWEN.apply(df.coalesce(1)).collect()]
+    assert got[:2] == [(0.0, 90.0), (0.0, 90.0)] and all(map(math.isnan, got[2])) and got[3] == (-20.0, 20.0)
+    assert got[4] == pytest.approx((-300.0, 390.0)) and got[5] == pytest.approx((30.0, 60.0)) and got[6:] == [(None, None)] * 3
+    plain = "SELECT CASE WHEN h / nullif(le, 0) > -1.3 AND h / nullif(le, 0) < -0.7 THEN le ELSE (rn - g) / (1 + h / le) END FROM (VALUES (100e0, 10e0, 30e0, 0e0), (100e0, 10e0, 0e0, 0e0)) t(rn, g, h, le)"
+    assert [repr(x) for x, in duck.execute(plain).fetchall()] == [repr(x) for x, _ in (got[0], got[2])]
