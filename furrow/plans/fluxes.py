@@ -1,14 +1,20 @@
 """Surface energy balance of station or pixel rows: one-source for bare rows, two-source for the others.
 
-All that has a closed form is column expressions (see functions.formulas); only the
-iteration over the Obukhov length runs in Python, on Arrow batches, vectorised over the
-batch. Each row stops by itself, so a result does not depend on how rows are batched
-or partitioned.
+Inputs with a closed form and the iteration over the Obukhov length run in Python, on Arrow
+batches, vectorised over the batch. Each row stops by itself, so a result does not depend
+on how rows are batched or partitioned.
+
+Some rows wander before they settle, and enlarge the last bit of any input to whole
+digits. So every operation comes in the order of the published balance (and of its SQL),
+and functions are those of the C library, which engines share: expressions of Spark round
+some powers, sines and logarithms the other way.
 """
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator, Sequence
+from types import SimpleNamespace
 
 import numpy as np
 import pandas as pd
@@ -26,27 +32,130 @@ TOLERANCE = 1e-3
 LEAST_WIND, LEAST_RESISTANCE = 0.01, 0.1
 FLAG_ALL, FLAG_NO_SOIL_LE, FLAG_NO_LE, FLAG_BARE, FLAG_BARE_NO_LE, FLAG_INVALID = 0, 3, 5, 10, 15, 255
 
-INPUTS = ["t_r", "t_a", "u", "ea", "p", "rho", "c_p", "lambda_v", "psicr", "e_slope", "l_dn", "sn_c", "sn_s", "lai", "f_local", "f_theta", "f_g", "h_c", "emis_c", "emis_s", "z_0m", "d_0", "z_u", "z_t", "leaf_w", "x_lad", "alpha", "g_ratio", "bare"]
+#: What inputs() reads; p, sza and l_dn may be NaN and are then derived.
+RAW = ["t_r", "t_a", "u", "ea", "s_dn", "lai", "h_c", "vza", "doy", "hr", "p", "sza", "l_dn", "elev", "lat", "lon", "stdlon", "f_c", "f_g", "w_c", "z_u", "z_t", "leaf_w", "x_lad", "alpha", "g_ratio", "emis_c", "emis_s", "rho_vis", "tau_vis", "rho_nir", "tau_nir", "soil_vis", "soil_nir", "z_0m", "d_0", "bare"]
+INPUTS = ["t_r", "t_a", "u", "ea", "p", "rho", "c_p", "lambda_v", "psicr", "e_slope", "l_dn", "sn_c", "sn_s", "lai", "f_local", "f_theta", "f_g", "h_c", "emis_c", "emis_s", "z_0m", "d_0", "z_u", "z_t", "leaf_w", "x_lad", "alpha", "g_ratio", "tau_lw", "alb_lw", "bare"]
 OUTPUTS = ["flag", "sn_c", "sn_s", "t_s", "t_c", "t_ac", "ln_s", "ln_c", "le_c", "hf_c", "le_s", "hf_s", "g", "r_s", "r_x", "r_a", "u_star", "obukhov", "steps"]
 
 
+def _library(names: Sequence[str] = ("exp", "log", "log10", "sin", "cos", "tan", "atan", "acos", "pow"), check: bool = True) -> SimpleNamespace:
+    """Functions of the C library on arrays: numpy's where a check finds the same bits, else the library's value by value.
+
+    Where vectors are wide, numpy has functions of its own that round some values the other way.
+    """
+    found, x = {}, np.linspace(0.001, 1, 4096)
+    for name in names:
+        two = name == "pow"
+        one_value = getattr(ctypes.CDLL(None), name)
+        one_value.restype, one_value.argtypes = ctypes.c_double, [ctypes.c_double] * (2 if two else 1)
+        each = np.frompyfunc(one_value, 2 if two else 1, 1)
+        plain = lambda *v, each=each: np.asarray(each(*v)).astype(float)
+        ours = getattr(np, {"atan": "arctan", "acos": "arccos", "pow": "power"}.get(name, name))
+        probe = (50 * x, 5 * x[::-1]) if two else (x,)
+        found[name] = ours if check and np.array_equal(ours(*probe), plain(*probe)) else plain
+    return SimpleNamespace(**found)
+
+
+C = _library()
+#: Karman's constant times gravity, as a decimal product.
+BUOYANCY = 4.018
+
+
+def _pow(x, y) -> np.ndarray:
+    """The C library's power, also for exponents that numpy replaces by products."""
+    x, y = np.broadcast_arrays(x, y)
+    return C.pow(np.array(x, float), np.array(y, float))
+
+
+def _decimal(x: np.ndarray) -> np.ndarray:
+    """Differences of decimals like 1 - 0.95 without the binary rest."""
+    return np.round(x, 12)
+
+
 def _psi(z: np.ndarray, heat: bool) -> np.ndarray:
     """Stability corrections; z 0 is neutral."""
     out = np.zeros_like(z)
-    up = z >= 0
+    up = ~(z < 0)
     s = z[up]
-    out[up] = -6.1 * np.log(s + (1 + s**2.5) ** 0.4)
-    y = -z[~up]
+    out[up] = -6.1 * C.log(s + _pow(1 + _pow(np.abs(s), 2.5), 0.4))
+    y = np.abs(z[~up])
     if heat:
-        out[~up] = (1 - 0.057) / 0.78 * np.log((0.33 + y**0.78) / 0.33)
+        out[~up] = 0.943 / 0.78 * C.log(1 + _pow(y, 0.78) / 0.33)
     else:
-        a, b = 0.33, 0.41
-        x, third = (y / a) ** 0.333333, a**0.333333
-        y = np.minimum(y, b**-3)
-        out[~up] = np.log((a + y) / a) - 3 * b * y**0.333333 + b * third * (0.5 * np.log((1 + x) ** 2 / (1 - x + x * x)) + np.sqrt(3) * (np.arctan((2 * x - 1) / np.sqrt(3)) + np.pi / 6))
+        third, x = _pow(0.33, 0.333333), _pow(y / 0.33, 0.333333)
+        y = np.minimum(y, 1 / 0.068921)
+        out[~up] = C.log((0.33 + y) / 0.33) - 1.23 * _pow(y, 0.333333) + 0.205 * third * C.log((1 + x) * (1 + x) / (1 - x + x * x)) + np.sqrt(3) * 0.41 * third * (C.atan((2 * x - 1) / np.sqrt(3)) + np.pi / 6)
     return out
 
 
+def _extinction(theta: np.ndarray, x_lad: np.ndarray) -> np.ndarray:
+    """Extinction coefficient of a canopy for a beam from theta (radians); of spherical leaves by the secant."""
+    wide = x_lad + 1.774 * _pow(x_lad + 1.182, -0.733)
+    return np.where(x_lad == 1, 1 / C.cos(theta) / wide, np.sqrt(x_lad * x_lad + _pow(C.tan(theta), 2)) / wide)
+
+
+def _layer(k, depth, root, ground) -> tuple[np.ndarray, np.ndarray]:
+    """Transmittance and albedo of a canopy layer over a ground."""
+    r = 2 * k / (k + 1) * (1 - root) / (1 + root)
+    e = C.exp(-root * k * depth)
+    back = (r - ground) / (r * ground - 1) * e * e
+    return (r * r - 1) * e / (r * ground - 1 + r * (r - ground) * e * e), (r + back) / (1 + r * back)
+
+
+def inputs(row: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+    """INPUTS of rows that have RAW: air, sun, sky, and the canopy of rows that aren't bare."""
+    r = dict(row)
+    t_a, ea, t = r["t_a"], r["ea"], r["t_a"] - 273.15
+    p = r["p"] = np.where(np.isnan(r["p"]), 1013.25 * _pow(1 - 2.225577e-3 * (r["elev"] / 100), 5.25588), r["p"])
+    q, lv, mixing = 0.622 * ea / (p - 0.378 * ea), 2501000 - 2361 * t, 0.622 * ea / (p - ea)
+    cp = 1003.5 + 861.5 * q
+    r |= {"lambda_v": lv, "c_p": cp, "rho": 100 * (p - 0.378 * ea) / (287.04 * t_a), "psicr": cp * p / (0.622 * lv), "e_slope": 2503.0584 * C.exp(17.27 * t / (t + 237.3)) / _pow(t + 237.3, 2)}
+    # sun
+    dec, lat = 0.409 * C.sin(2 * np.pi / 365 * r["doy"] - 1.39), np.radians(r["lat"])
+    angle = 15 * (r["hr"] - 12) + (0.258 * C.cos(dec) - 7.416 * C.sin(dec) - 3.648 * C.cos(2 * dec) - 9.228 * C.sin(2 * dec)) / 4 - (r["stdlon"] - r["lon"])
+    height = C.sin(lat) * C.sin(dec) + C.cos(lat) * C.cos(dec) * C.cos(np.radians(angle))
+    sza = np.where(np.isnan(r["sza"]), np.degrees(C.acos(np.maximum(-1, np.minimum(1, height)))), r["sza"])
+    mu, day = C.cos(np.radians(sza)), sza < 90
+    # longwave of the sky
+    low = t_a - (r["h_c"] - r["z_t"]) * 9.8 * (1 + lv * mixing / (287.04 * t_a)) / (cp + lv * lv * mixing * 0.622 / (287.04 * t_a * t_a))
+    sky = 1.24 * _pow(ea / low, 1 / 7) * K["SB"] * _pow(low, 4)
+    r["l_dn"] = np.where(np.isnan(r["l_dn"]), sky, r["l_dn"])
+    # potential beams and their split
+    vapour = np.where(day, 1320 * _pow(10, -1.195 + 0.4459 * C.log10(mu) - 0.0345 * _pow(C.log10(mu), 2)), 0)
+    beam_vis = np.where(day, np.maximum(0, 599.94 * mu * C.exp(-0.185 * p / 1313.25 / mu)), 0)
+    dif_vis = np.where(day, np.maximum(0, 0.4 * (599.94 * mu - beam_vis)), 0)
+    beam_nir = np.where(day, np.maximum(0, mu * (720.06 * C.exp(-0.06 * p / 1313.25 / mu) - vapour)), 0)
+    dif_nir = np.where(day, np.maximum(0, 0.6 * (720.06 * mu - beam_vis - vapour)), 0)
+    vis, nir = (np.where(x > 0, x, 1e-6) for x in (beam_vis + dif_vis, beam_nir + dif_nir))
+    clear, f_vis = np.minimum(1, r["s_dn"] / (vis + nir)), vis / (vis + nir)
+    diffuse = lambda beam, total, top, span: 1 - np.maximum(0, np.minimum(1, beam / total * (1 - _pow((top - np.minimum(top, clear)) / span, 0.6667))))
+    shade = diffuse(beam_vis, vis, 0.9, 0.7) * f_vis + diffuse(beam_nir, nir, 0.88, 0.68) * (1 - f_vis)
+    s_dn, bare = r["s_dn"], r["bare"].astype(bool)
+    # canopy
+    lai, f_c, x_lad = r["lai"], r["f_c"], r["x_lad"]
+    dense = lai / f_c
+    nadir, view, sun = _extinction(np.zeros_like(lai), x_lad), _extinction(np.radians(r["vza"]), x_lad), _extinction(np.radians(np.minimum(sza, 89)), x_lad)
+    through = np.zeros_like(lai)
+    for d in range(0, 90, 5):
+        through = through + C.exp(-lai * _extinction(np.radians(np.full_like(lai, d)), x_lad)) * C.sin(np.radians(np.full_like(lai, 2 * d))) / 2 * np.pi / 36
+    k_d = -C.log(2 * through) / lai
+    clump = -C.log(np.maximum(1e-36, 1 - f_c * (1 - C.exp(-nadir * dense)))) / (dense * nadir)
+    seen = lambda theta: 1 + (1 / clump - 1) * C.exp(-2.2 * _pow(np.radians(theta), _decimal(3.8 - 0.46 / r["w_c"])))
+    eff = dense / seen(np.minimum(sza, 89))
+    sn_c, sn_s = np.zeros_like(lai), np.zeros_like(lai)
+    for share, leaf, ground in ((f_vis, _decimal(1 - r["rho_vis"] - r["tau_vis"]), r["soil_vis"]), (1 - f_vis, _decimal(1 - r["rho_nir"] - r["tau_nir"]), r["soil_nir"])):
+        beam, beam_albedo = _layer(sun, eff, np.sqrt(leaf), ground)
+        sky_, sky_albedo = _layer(k_d, lai, np.sqrt(leaf), ground)
+        sn_c = sn_c + ((1 - beam) * (1 - beam_albedo) * s_dn * (1 - shade) * share + (1 - sky_) * (1 - sky_albedo) * s_dn * shade * share)
+        sn_s = sn_s + _decimal(1 - ground) * (beam * s_dn * (1 - shade) * share + sky_ * s_dn * shade * share)
+    tau_lw, alb_lw = _layer(k_d, lai, np.sqrt(r["emis_c"]), _decimal(1 - r["emis_s"]))
+    r |= {
+        "f_local": np.where(bare, 0, dense), "f_theta": np.where(bare, 0, 1 - C.exp(-view * dense / seen(r["vza"]))), "tau_lw": tau_lw, "alb_lw": alb_lw,
+        "sn_c": np.where(bare, 0, sn_c), "sn_s": np.where(bare, (1 - r["soil_vis"] * f_vis - r["soil_nir"] * (1 - f_vis)) * s_dn, sn_s),
+    }
+    return {c: r[c] for c in INPUTS}
+
+
 class Air:
     """Turbulent exchange of some rows at given inverse Obukhov lengths (0: neutral)."""
 
@@ -55,25 +164,25 @@ class Air:
 
     def friction(self, inv_l: np.ndarray) -> np.ndarray:
         r = self.row
-        log = np.log((r["z_u"] - r["d_0"]) / r["z_0m"]) - _psi((r["z_u"] - r["d_0"]) * inv_l, False) + _psi(r["z_0m"] * inv_l, False)
+        log = C.log((r["z_u"] - r["d_0"]) / r["z_0m"]) - _psi((r["z_u"] - r["d_0"]) * inv_l, False) + _psi(r["z_0m"] * inv_l, False)
         return np.maximum(r["u"] * K["KARMAN"] / log, LEAST_WIND)
 
     def aerodynamic(self, us: np.ndarray, inv_l: np.ndarray) -> np.ndarray:
         r = self.row
-        log = np.log((r["z_t"] - r["d_0"]) / r["z_0m"]) - _psi((r["z_t"] - r["d_0"]) * inv_l, True) + _psi(r["z_0m"] * inv_l, True)
+        log = C.log((r["z_t"] - r["d_0"]) / r["z_0m"]) - _psi((r["z_t"] - r["d_0"]) * inv_l, True) + _psi(r["z_0m"] * inv_l, True)
         return np.maximum(log / (us * K["KARMAN"]), LEAST_RESISTANCE)
 
     def inverse_length(self, us: np.ndarray, h: np.ndarray, le: np.ndarray) -> np.ndarray:
         r = self.row
         buoyant = h + 0.61 * r["t_a"] * r["c_p"] * le / r["lambda_v"]
-        return -K["KARMAN"] * K["GRAV"] * buoyant / (r["t_a"] * r["rho"] * r["c_p"] * us**3)
+        return -BUOYANCY * buoyant / (r["t_a"] * r["rho"] * r["c_p"] * us * us * us)
 
     def canopy_wind(self, us: np.ndarray, inv_l: np.ndarray, leaf_area: np.ndarray, z: np.ndarray) -> np.ndarray:
         """Wind at height z inside the canopy, exponential below its top."""
         r = self.row
-        top = np.maximum(us / K["KARMAN"] * (np.log((r["h_c"] - r["d_0"]) / r["z_0m"]) - _psi((r["h_c"] - r["d_0"]) * inv_l, False) + _psi(r["z_0m"] * inv_l, False)), LEAST_WIND)
-        decay = 0.28 * leaf_area ** (2 / 3) * (r["h_c"] / r["leaf_w"]) ** (1 / 3)
-        return np.maximum(top * np.exp(-decay * (1 - z / r["h_c"])), LEAST_WIND)
+        top = np.maximum(us / K["KARMAN"] * (C.log((r["h_c"] - r["d_0"]) / r["z_0m"]) - _psi((r["h_c"] - r["d_0"]) * inv_l, False) + _psi(r["z_0m"] * inv_l, False)), LEAST_WIND)
+        decay = 0.28 * _pow(leaf_area, 2 / 3) * _pow(r["h_c"] / r["leaf_w"], 1 / 3)
+        return np.maximum(top * C.exp(-decay * (1 - z / r["h_c"])), LEAST_WIND)
 
 
 def _settled(trail: list[np.ndarray]) -> np.ndarray:
@@ -94,7 +203,7 @@ def _settled(trail: list[np.ndarray]) -> np.ndarray:
 def one_source(row: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
     """Bare rows: one surface, sensible heat from its temperature, the rest is evaporation."""
     n, air = len(row["t_r"]), Air(row)
-    ln = row["emis_s"] * (row["l_dn"] - K["SB"] * row["t_r"] ** 4)
+    ln = row["emis_s"] * (row["l_dn"] - K["SB"] * _pow(row["t_r"], 4))
     rn = row["sn_s"] + ln
     inv_l = np.zeros(n)
     us = air.friction(inv_l)
@@ -131,27 +240,15 @@ def _leaf_balance(r: dict, ra, rx, rs, h_c) -> np.ndarray:
     conduct = 1 / ra + 1 / rs + 1 / rx
     linear = (r["t_a"] / ra + r["t_r"] / (rs * fs) + heat * rx * conduct) / (1 / ra + 1 / rs + ft / (rs * fs))
     soil = linear * (1 + rs / ra) - heat * rx * rs * conduct - r["t_a"] * rs / ra
-    slope = 4 * fs * soil**3 * (1 + rs / ra) + 4 * ft * linear**3
-    return linear + (r["t_r"] ** 4 - ft * linear**4 - fs * soil**4) / slope
+    slope = 4 * fs * _pow(soil, 3) * (1 + rs / ra) + 4 * ft * _pow(linear, 3)
+    return linear + (_pow(r["t_r"], 4) - ft * _pow(linear, 4) - fs * _pow(soil, 4)) / slope
 
 
 def _longwave(r: dict, t_c, t_s) -> tuple[np.ndarray, np.ndarray]:
     """Net longwave of canopy and soil, with the canopy's diffuse transmittance and albedo."""
-    tau = np.zeros_like(r["lai"])
-    for a in np.radians(np.arange(0, 90, 5)):
-        k = np.sqrt(r["x_lad"] ** 2 + np.tan(a) ** 2) / (r["x_lad"] + 1.774 * (r["x_lad"] + 1.182) ** -0.733)
-        tau += np.exp(-k * r["lai"]) * np.cos(a) * np.sin(a) * np.radians(5)
-    kd = -np.log(2 * tau) / r["lai"]
-    # leaves absorb emis_c: the rest is reflected
-    am = np.sqrt(r["emis_c"])
-    hemi = (1 - am) / (1 + am)
-    rho, ground = 2 * kd * hemi / (kd + 1), 1 - r["emis_s"]
-    e = np.exp(-am * kd * r["lai"])
-    through = (rho * rho - 1) * e / (rho * ground - 1 + rho * (rho - ground) * e * e)
-    back = (rho - ground) / (rho * ground - 1) * e * e
-    albedo = (rho + back) / (1 + rho * back)
-    leaf, soil = r["emis_c"] * K["SB"] * t_c**4, r["emis_s"] * K["SB"] * t_s**4
-    return (1 - albedo) * (1 - through) * (r["l_dn"] + soil) - 2 * (1 - through) * leaf, r["emis_s"] * (through * r["l_dn"] + (1 - through) * leaf) - soil
+    through, albedo = r["tau_lw"], r["alb_lw"]
+    leaf, soil = r["emis_c"] * K["SB"] * _pow(t_c, 4), r["emis_s"] * K["SB"] * _pow(t_s, 4)
+    return (1 - through) * ((1 - albedo) * (r["l_dn"] + soil) - 2 * leaf), r["emis_s"] * (through * r["l_dn"] + (1 - through) * leaf) - soil
 
 
 def two_source(row: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
@@ -161,9 +258,9 @@ def two_source(row: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
     state = {"inv_l": np.zeros(n)}
     state["us"] = Air(row).friction(state["inv_l"])
     state["t_c"] = np.minimum(row["t_r"], row["t_a"])
-    soil4 = row["t_r"] ** 4 - row["f_theta"] * state["t_c"] ** 4
+    soil4 = _pow(row["t_r"], 4) - row["f_theta"] * _pow(state["t_c"], 4)
     flag = np.where(soil4 >= 0, FLAG_ALL, FLAG_INVALID)
-    state["t_s"] = np.where(soil4 >= 0, np.abs(soil4 / (1 - row["f_theta"])) ** 0.25, 1e-6)
+    state["t_s"] = np.where(soil4 >= 0, np.sqrt(np.sqrt(np.abs(soil4) / (1 - row["f_theta"]))), 1e-6)
     steps = np.zeros(n)
     trail = [state["inv_l"].copy()]
     settled = np.zeros(n, bool)
@@ -183,17 +280,16 @@ def two_source(row: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
             at_leaves = air.canopy_wind(us, inv_l, r["f_local"], r["d_0"] + r["z_0m"])
             rx = np.maximum(90 / r["lai"] * np.sqrt(r["leaf_w"] / at_leaves), LEAST_RESISTANCE)
             at_soil = air.canopy_wind(us, inv_l, r["lai"], np.full(len(todo), 0.01))
-            soil_resistance = lambda dt: np.maximum(1 / (0.0038 * np.maximum(dt, 0) ** (1 / 3) + 0.012 * at_soil), LEAST_RESISTANCE)  # noqa: E731,B023
+            soil_resistance = lambda dt: np.maximum(1 / (0.0038 * _pow(np.maximum(dt, 0), 1 / 3) + 0.012 * at_soil), LEAST_RESISTANCE)  # noqa: E731,B023
             rs = soil_resistance(state["t_s"][todo] - state["t_c"][todo])
             ln_c, ln_s = _longwave(r, state["t_c"][todo], state["t_s"][todo])
             rn_c, rn_s = r["sn_c"] + ln_c, r["sn_s"] + ln_s
-            slope = 10 * r["e_slope"]
-            h_c = rn_c * (1 - a * r["f_g"] * slope / (slope + r["psicr"]))
+            h_c = rn_c * (1 - a * r["f_g"] * 10 * r["e_slope"] / (10 * r["e_slope"] + r["psicr"]))
             t_c = _leaf_balance(r, ra, rx, rs, h_c)
-            soil4 = r["t_r"] ** 4 - r["f_theta"] * t_c**4
+            soil4 = _pow(r["t_r"], 4) - r["f_theta"] * _pow(t_c, 4)
             bad = ~(soil4 >= 0)
             flag[todo[bad]] = FLAG_INVALID
-            t_s = np.where(bad, 1e-6, np.abs(soil4 / (1 - r["f_theta"])) ** 0.25)
+            t_s = np.where(bad, 1e-6, np.sqrt(np.sqrt(np.abs(soil4) / (1 - r["f_theta"]))))
             rs = soil_resistance(t_s - t_c)
             t_ac = (r["t_a"] / ra + t_s / rs + t_c / rx) / (1 / ra + 1 / rs + 1 / rx)
             h_s = r["rho"] * r["c_p"] * (t_s - t_ac) / rs
@@ -213,7 +309,7 @@ def two_source(row: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
             state["us"][now] = air.friction(new_l)[good]
             # rows whose soil would condense try a smaller coefficient, down to none
             todo = now[(le_s[good] < 0) & (a[good] > 0)]
-            alpha[todo] = np.maximum(np.round(alpha[todo] - 0.1, 10), 0.0)
+            alpha[todo] = np.maximum(alpha[todo] - 0.1, 0.0)
         trail = [*trail[-5:], state["inv_l"].copy()]
         settled |= _settled(trail)
     valid = flag != FLAG_INVALID
@@ -236,15 +332,17 @@ MODELS: dict[str, Callable[[dict[str, np.ndarray]], dict[str, np.ndarray]]] = {"
 
 def solve(frames: Iterator[pd.DataFrame], vegetated: Callable = two_source) -> Iterator[pd.DataFrame]:
     for frame in frames:
-        keys = [c for c in frame.columns if c not in INPUTS]
+        keys = [c for c in frame.columns if c not in RAW]
         parts = []
         bare = frame["bare"].to_numpy(bool)
         for chosen, model in ((bare, one_source), (~bare, vegetated)):
             if chosen.any():
                 part = frame[chosen]
                 with np.errstate(all="ignore"):
-                    found = {c: np.full(len(part), np.nan) for c in OUTPUTS} | model({c: part[c].to_numpy(float).copy() for c in INPUTS if c != "bare"})
-                found |= {k: part[k].to_numpy(float) for k in ("sn_c", "sn_s")}
+                    row = inputs({c: part[c].to_numpy(float).copy() for c in RAW})
+                    del row["bare"]
+                    net = {k: row[k].copy() for k in ("sn_c", "sn_s")}
+                    found = {c: np.full(len(part), np.nan) for c in OUTPUTS} | model(row) | net
                 got = pd.DataFrame(found, index=part.index).replace([np.inf, -np.inf], np.nan)
                 parts.append(pd.concat([part[keys], got], axis=1))
         if parts:
@@ -273,6 +371,7 @@ def run_fluxes(df: DataFrame, keys: list[str], defaults: dict[str, Column] | Non
     kinds, named, keys = [df.schema[k].dataType.simpleString() for k in keys], keys, [f"_key{i}" for i in range(len(keys))]
     df = df.withColumns(dict(zip(keys, map(F.col, named))))
     full = with_defaults(df, {c: F.lit(v) for c, v in DEFAULTS.items()} | (defaults or {}))
+    given = set(full.columns)
     if "p" not in full.columns:
         full = f.PRESSURE.apply(full)
     if "sza" not in full.columns:
@@ -281,22 +380,20 @@ def run_fluxes(df: DataFrame, keys: list[str], defaults: dict[str, Column] | Non
         full = f.LONGWAVE.apply(f.HUMIDITY.apply(f.AIR.apply(full)))
     else:
         full = f.HUMIDITY.apply(f.AIR.apply(full))
-    full = split_vegetation(f.DIFFUSE.apply(full)).withColumns({"s_dir": F.col("s_dn") * (1 - F.col("skyl")), "s_dif": F.col("s_dn") * F.col("skyl")})
+    full = split_vegetation(f.DIFFUSE.apply(full))
     needed = ["t_r", "t_a", "u", "ea", "s_dn", "h_c", "vza"]
     usable = None
     for c in needed:
         usable = F.col(c).isNotNull() if usable is None else usable & F.col(c).isNotNull()
-    bare = full.filter(usable & F.col("bare")).withColumns(
-        {
-            "z_0m": F.lit(0.01), "d_0": F.lit(0.0), "sn_c": F.lit(0.0), "f_local": F.lit(0.0), "f_theta": F.lit(0.0),
-            "sn_s": (1 - F.col("f_vis") * F.col("soil_vis") - F.col("f_nir") * F.col("soil_nir")) * F.col("s_dn"),
-        }
-    )
-    veg = f.CLUMPING.apply(f.ROUGHNESS.apply(full.filter(usable & ~F.col("bare")).drop("z_0m", "d_0")))
-    beam = f.FormulaSet({"om_sun": "omega0 / (omega0 + (1.0 - omega0) * exp(-2.2 * pow(radians(least(sza, 89.0)), 3.8 - 0.46 / w_c)))", "lai_eff": "f_local * om_sun", "f_theta": "1.0 - exp(-k_view * omega * f_local)"})
-    veg = f.NET_SHORTWAVE.apply(beam.apply(veg))
+    bare = full.filter(usable & F.col("bare")).withColumns({"z_0m": F.lit(0.01), "d_0": F.lit(0.0)})
+    veg = f.ROUGHNESS.apply(full.filter(usable & ~F.col("bare")).drop("z_0m", "d_0"))
+    if set(extra) - set(veg.columns):
+        veg = f.CLUMPING.apply(veg.withColumns({"s_dir": F.col("s_dn") * (1 - F.col("skyl")), "s_dif": F.col("s_dn") * F.col("skyl")}))
+        beam = f.FormulaSet({"om_sun": "omega0 / (omega0 + (1.0 - omega0) * exp(-2.2 * pow(radians(least(sza, 89.0)), 3.8 - 0.46 / w_c)))", "lai_eff": "f_local * om_sun", "f_theta": "1.0 - exp(-k_view * omega * f_local)"})
+        veg = f.NET_SHORTWAVE.apply(beam.apply(veg))
     along = lambda table: [(F.col(c) if c in table.columns else F.lit(None)).cast("double").alias(f"_extra{i}") for i, c in enumerate(extra)]
-    columns = [F.col(c).cast("boolean" if c == "bare" else "double").alias(c) for c in INPUTS]
+    # what is derived here is for `extra` only: inputs() derives it for the balance
+    columns = [(F.col(c) if c in given or c in ("z_0m", "d_0", "bare") else F.lit(None)).cast("boolean" if c == "bare" else "double").alias(c) for c in RAW]
     both = bare.select(*keys, *along(bare), *columns).unionByName(veg.select(*keys, *along(veg), *columns))
     schema = ", ".join([*(f"{k} {kind}" for k, kind in zip(keys, kinds)), *(f"_extra{i} double" for i in range(len(extra))), *(f"{c} {'int' if c in ('flag', 'steps') else 'double'}" for c in OUTPUTS)])
     solved = both.mapInPandas(lambda frames: solve(frames, vegetated), schema)

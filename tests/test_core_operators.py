@@ -831,3 +831,39 @@ def test_bowen_closure_without_latent_heat(spark, duck):
     assert got[4] == pytest.approx((-300.0, 390.0)) and got[5] == pytest.approx((30.0, 60.0)) and got[6:] == [(None, None)] * 3
     plain = "SELECT CASE WHEN h / nullif(le, 0) > -1.3 AND h / nullif(le, 0) < -0.7 THEN le ELSE (rn - g) / (1 + h / le) END FROM (VALUES (100e0, 10e0, 30e0, 0e0), (100e0, 10e0, 0e0, 0e0)) t(rn, g, h, le)"
     assert [repr(x) for x, in duck.execute(plain).fetchall()] == [repr(x) for x, _ in (got[0], got[2])]
+
+
+# --- the balance against SQL ---------------------------------------------------
+
+def _rows_equal_sql(spark, folder, name, rows):
+    """The named query over events of these (id, time, value), and its SQL."""
+    import duckdb
+
+    from conftest import assert_same
+
+    path = str(folder / "events.parquet")
+    con = duckdb.connect()
+    con.execute("SET TimeZone = 'UTC'")
+    values = ", ".join(f"({i}, TIMESTAMP '{t}', {i % 1500}, 'view', {v}e0, '')" for i, t, v in rows)
+    con.execute(f"COPY (SELECT CAST(i AS BIGINT) AS event_id, t AS ts, CAST(u AS BIGINT) AS user_id, e AS event_type, v AS value, p AS props FROM (VALUES {values}) x(i, t, u, e, v, p)) TO '{path}' (FORMAT parquet)")
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{path}'")
+    assert_same(registry.QUERIES[name](spark, str(folder)), con, registry.ORACLES[name])
+
+
+def test_station_rows_that_wander_equal_sql(spark, tmp_path):
+    """Rows whose iteration enlarges the last bits of their inputs before it settles."""
+    rows = [
+        (22032, "2024-01-07 14:54:22", 14.37), (58632, "2024-01-18 13:58:26", 47.04), (80952, "2024-01-25 06:43:42", 25.17), (94597, "2024-01-29 09:18:35", 14.78),
+        (142152, "2024-01-13 14:21:44", 50.24), (173832, "2024-01-23 03:41:23", 25.17), (184751, "2024-01-26 09:42:46", 60.41), (231192, "2024-01-10 08:26:44", 15.06),
+    ]
+    _rows_equal_sql(spark, tmp_path, "m1_station_fluxes", rows)
+
+
+def test_functions_of_the_balance_are_the_c_library_s():
+    plain = fluxes._library(check=False)
+    x = np.random.default_rng(4).uniform(0.001, 1, 20000)
+    for name in ("exp", "log", "log10", "sin", "cos", "tan", "atan", "acos"):
+        want = [getattr(math, name)(v) for v in x]
+        assert getattr(plain, name)(x).tolist() == want and getattr(fluxes.C, name)(x).tolist() == want
+    assert plain.pow(40 * x, 0.78).tolist() == fluxes._pow(40 * x, 0.78).tolist() == [math.pow(v, 0.78) for v in 40 * x]
+    assert fluxes._pow(x, 2).tolist() == [math.pow(v, 2) for v in x] and math.isnan(plain.log(np.array([-1.0]))[0])
