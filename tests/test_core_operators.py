@@ -867,3 +867,11 @@ def test_functions_of_the_balance_are_the_c_library_s():
         assert getattr(plain, name)(x).tolist() == want and getattr(fluxes.C, name)(x).tolist() == want
     assert plain.pow(40 * x, 0.78).tolist() == fluxes._pow(40 * x, 0.78).tolist() == [math.pow(v, 0.78) for v in 40 * x]
     assert fluxes._pow(x, 2).tolist() == [math.pow(v, 2) for v in x] and math.isnan(plain.log(np.array([-1.0]))[0])
+
+
+def test_two_source_rows_that_wander_equal_sql(spark, tmp_path):
+    rows = [
+        (123432, "2024-01-08 01:12:15", 36.97), (136752, "2024-01-11 23:57:54", 38.32), (291552, "2024-01-28 11:23:53", 37.4), (332995, "2024-01-10 21:05:33", 53.98),
+        (358915, "2024-01-18 15:57:24", 57.07), (404592, "2024-01-02 09:34:31", 38.15), (418272, "2024-01-06 12:11:52", 39.4), (566994, "2024-01-21 02:34:37", 10.95),
+    ]
+    _rows_equal_sql(spark, tmp_path, "m3_two_source", rows)
