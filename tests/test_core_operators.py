@@ -772,7 +772,8 @@ def test_gaps_filled_in_a_stream(spark, tmp_path):
 
 def _boxes_of(spark, n):
     box = lambda i: [(x + 40.0 * i, y) for x, y in ((0.0, 0.0), (12.0, 0.0), (12.0, 9.0), (0.0, 9.0), (0.0, 0.0))]
-    return spark.createDataFrame([(i, box(i)) for i in range(n)], "id long, ring array<struct<x:double,y:double>>")
+    # read from files, as only these have an estimated size
+    return labels.materialise(spark.createDataFrame([(i, box(i)) for i in range(n)], "id long, ring array<struct<x:double,y:double>>"), "boxes")
 
 
 def _plans(monkeypatch, run):
@@ -788,7 +789,8 @@ def _plans(monkeypatch, run):
 
 def test_label_stack_sends_no_cells_through_the_driver(spark, monkeypatch):
     """Explode hides the number of cells from Spark's estimates, so no join may be planned by them."""
-    plans = _plans(monkeypatch, lambda: vectors.label_stack(_boxes_of(spark, 20), "id", 1.0))
+    boxes = _boxes_of(spark, 20)
+    plans = _plans(monkeypatch, lambda: vectors.label_stack(boxes, "id", 1.0))
     assert len(plans) == 3 and not any("Broadcast" in p for p in plans)
 
 
